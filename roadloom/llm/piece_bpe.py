@@ -55,14 +55,15 @@ class PieceVocabulary:
 
     def chunk_pattern(self) -> re.Pattern:
         """What splits a text into chunks that no piece bridges: before a run of spaces; where the vocabulary has no piece across
-        them, also around a newline and between a word of letters and digits and a sentence mark."""
+        them, also around a newline and between a letter or digit and a sentence mark."""
         multi = [p for p in self.pieces if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in multi):
             raise ValueError("a piece goes on after a word's end")
         newline = "" if any("\n" in p for p in multi) else "\n"
         whole = f"{SPACE}*[^{SPACE}{newline}]+|{SPACE}+" + (f"|{newline}" if newline else "")
-        across = re.compile(rf"[^\W_][{SENTENCE_MARKS}]")
-        return re.compile(whole if any(across.search(p) for p in multi) else rf"{SPACE}*[^\W_]+(?=[{SENTENCE_MARKS}])|{whole}")
+        across = re.compile(rf"([^\W_])[{SENTENCE_MARKS}]")
+        bridged = re.escape("".join(sorted({c for p in multi for c in across.findall(p)})))
+        return re.compile(rf"{SPACE}*[^\W_{bridged}]+(?=[{SENTENCE_MARKS}])|{whole}")
 
 
 def agenda(chunk: str, pieces: dict[str, tuple[int, float]]) -> list[str]:
