@@ -1,7 +1,12 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from roadloom.llm import piece_bpe
+from roadloom.llm import piece_bpe, ppm_language, suffix_decontamination, toxicity_pu
 
-QUERIES = {"op4_piece_bpe": piece_bpe.op4_piece_bpe}
+QUERIES = {
+    "op1_toxicity_pu": toxicity_pu.op1_toxicity_pu,
+    "op2_suffix_decontamination": suffix_decontamination.op2_suffix_decontamination,
+    "op4_piece_bpe": piece_bpe.op4_piece_bpe,
+    "op7_ppm_language": ppm_language.op7_ppm_language,
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -52,27 +52,30 @@ def choose(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unla
     return np.sort(good[np.lexsort((good, -z[good]))[:most]])
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, epochs: int = 60, batch: int = 1024, rate: float = 0.02, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias under the logistic loss, by Adam over batches that hold positives and unlabelled rows in proportion."""
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, epochs: int = 80, warm_up: int = 20, batch: int = 1024, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias, by Adam over batches that hold positives and unlabelled rows in proportion: first under the logistic
+    loss, which has no flat parts, then under the sigmoid loss, whose bound keeps single rows from ruling the risk."""
     rng = np.random.default_rng(seed)
     w = np.zeros(xp.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     parts = max(1, -(-len(xu) // batch))
 
-    def slope(x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
+    def slope(x: np.ndarray, sign: int, logistic: bool) -> tuple[float, np.ndarray]:
         """Mean loss of rows taken as of class `sign`, and its gradient."""
-        z = sign * (x @ w[:-1] + w[-1])
-        pull = -sign / (1 + np.exp(np.clip(z, -60, 60))) / len(x)
-        return float(np.logaddexp(0, -z).mean()), np.append(pull @ x, pull.sum())
+        z = np.clip(sign * (x @ w[:-1] + w[-1]), -60, 60)
+        wrong = 1 / (1 + np.exp(z))
+        pull = -sign * (wrong if logistic else 4 * wrong * (1 - wrong)) / len(x)
+        return float((np.logaddexp(0, -z) if logistic else 4 * wrong).mean()), np.append(pull @ x, pull.sum())
 
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        logistic = epoch < warm_up
         for bp, bu in zip(np.array_split(rng.permutation(len(xp)), parts), np.array_split(rng.permutation(len(xu)), parts), strict=True):
             if not len(bp) or not len(bu):
                 continue
-            _, up = slope(xp[bp], 1)
-            loss_n, down_p = slope(xp[bp], -1)
-            loss_u, down_u = slope(xu[bu], -1)
+            _, up = slope(xp[bp], 1, logistic)
+            loss_n, down_p = slope(xp[bp], -1, logistic)
+            loss_u, down_u = slope(xu[bu], -1, logistic)
             gradient = prior * up + down_u - prior * down_p if loss_u - prior * loss_n >= 0 else prior * down_p - down_u
             gradient[:-1] += decay * w[:-1]
             step += 1
