@@ -129,3 +129,37 @@ NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 #: Bytes of a word: letters and digits of ASCII, and all that is not ASCII.
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
+
+
+#: Bytes that end a sentence when a word ends with them.
+SENTENCE_END = np.zeros(256, bool)
+SENTENCE_END[[33, 46, 63]] = True
+
+
+class Sentences:
+    """Words and sentences of a slice. A word is a run without ASCII white space; a sentence ends after a word that ends with
+    . ! or ?, at a line's end and at a text's end."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.starts, self.ends = runs(data, offsets, NOT_SPACE)
+        n = len(self.starts)
+        self.words = hash_runs(LOWER[data], self.starts, self.ends)
+        self.text_of_word = np.searchsorted(offsets, self.starts, "right") - 1
+        last = np.zeros(n, bool)
+        if n:
+            lines = np.concatenate([[0], np.cumsum(data == 10)])
+            last[:-1] = (lines[self.starts[1:]] > lines[self.ends[:-1]]) | (self.text_of_word[1:] != self.text_of_word[:-1])
+            last[-1] = True
+            last |= SENTENCE_END[data[self.ends - 1]]
+        self.end_word = np.flatnonzero(last) + 1
+        self.first_word = np.concatenate([[0], self.end_word[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
+        self.text = self.text_of_word[self.first_word] if n else np.zeros(0, np.int64)
+        #: for each text the number of its first sentence, and the end
+        self.first_sentence = np.searchsorted(self.text, np.arange(len(offsets)))
+        up, self._down = _powers(n + 1)
+        self._total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.words * up[:n], out=self._total[1:])
+
+    def hash_words(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs of words."""
+        return mix((self._total[end] - self._total[first]) * self._down[first] + (end - first).astype(np.uint64))
