@@ -1,11 +1,13 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from roadloom.llm import piece_bpe, ppm_language, suffix_decontamination, toxicity_pu
+from roadloom.llm import piece_bpe, ppm_language, prefix_groups, sentence_spans, suffix_decontamination, toxicity_pu
 
 QUERIES = {
     "op1_toxicity_pu": toxicity_pu.op1_toxicity_pu,
     "op2_suffix_decontamination": suffix_decontamination.op2_suffix_decontamination,
+    "op3_sentence_spans": sentence_spans.op3_sentence_spans,
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
+    "op5_prefix_groups": prefix_groups.op5_prefix_groups,
     "op7_ppm_language": ppm_language.op7_ppm_language,
 }
 
