@@ -1,6 +1,6 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from roadloom.llm import piece_bpe, ppm_language, prefix_groups, sentence_spans, suffix_decontamination, toxicity_pu
+from roadloom.llm import line_variants, piece_bpe, ppm_language, prefix_groups, sentence_spans, suffix_decontamination, toxicity_pu
 
 QUERIES = {
     "op1_toxicity_pu": toxicity_pu.op1_toxicity_pu,
@@ -8,7 +8,8 @@ QUERIES = {
     "op3_sentence_spans": sentence_spans.op3_sentence_spans,
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op5_prefix_groups": prefix_groups.op5_prefix_groups,
+    "op6_line_variants": line_variants.op6_line_variants,
     "op7_ppm_language": ppm_language.op7_ppm_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_variants": line_variants.SQL}
