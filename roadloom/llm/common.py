@@ -163,3 +163,21 @@ class Sentences:
     def hash_words(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of runs of words."""
         return mix((self._total[end] - self._total[first]) * self._down[first] + (end - first).astype(np.uint64))
+
+
+#: Bits of the filter through which rows are read again: at most so many, 32768 to a row of the table that is sent out.
+FILTER_BITS = 1 << 26
+
+
+def through_filter(rows: DataFrame, wanted: DataFrame, h: str = "h", most_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose `h` (a long) is in `wanted`, and some others: tested on a bitmap of a size that is bounded, which is what is sent to
+    all tasks. A full bitmap lets every row through; a join on h has to follow."""
+    bits = 1 << 15
+    n = wanted.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    place = F.pmod(F.col(h), F.lit(bits))
+    maps = wanted.select(place.alias("p")).groupBy((F.expr("p div 32768")).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("map"))
+    byte = F.conv(F.hex(F.substr("map", F.expr(f"cast(pmod({h}, 32768) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("bucket", F.expr(f"pmod({h}, {bits}) div 32768")).join(F.broadcast(maps), "bucket")  # most_bits / 8 bytes at most
+    return held.where(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(pmod({h}, 8) as int))")) != 0).drop("bucket", "map")
