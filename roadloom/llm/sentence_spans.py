@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Sentences, need, read, text_slices
+from roadloom.llm.common import Sentences, cut, need, read, text_slices
 
 SENTENCES, LEAST_WORDS, ENOUGH_WORDS = 3, 20, 40
 
@@ -61,6 +61,7 @@ def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     spans = span_rows(d, sentences, least_words, enough_words)
     place = F.struct("doc", "key", "place")
     repeated = spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("not (first <=> last)").select("h", "first")
+    repeated = cut(repeated)  # so that both sides of the join come from an exchange, and Spark can split a hot span's part
     later = spans.join(repeated, "h").where(~place.eqNullSafe(F.col("first")))
     covered = later.groupBy("key").agg(F.collect_set(F.struct("place", "size")).alias("covered"))  # spans of one document
     kind = d.schema["doc"].dataType.simpleString()
