@@ -27,6 +27,14 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as the frame has a column of that name (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str | None:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share; None where it is unset."""
     import uuid

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import cut, need, read, through_filter
+from roadloom.llm.common import cut, fresh, need, read, through_filter
 
 #: Shorter lines (headings, list marks, page numbers) are kept however often they occur.
 LEAST_CHARS = 20
@@ -105,17 +105,18 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     null ids come first. With keep_columns the documents come back with all their columns and the new text."""
     key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
     d = need(docs, id_column, text_column).select(F.col(id_column).alias("doc"), key.alias("key"), F.col(text_column).alias("text"))
+    gone_name, gone_key = fresh(docs, "gone"), fresh(docs, "gone_key")
     copied = cut(copied_lines(d, least_chars))  # a join of two exchanges, of which Spark can split a hot line's part
     lines = lines_of(d, least_chars).select("h", "doc", "key", "place")
     gone = lines.join(copied, "h").where(F.col("near") | ~F.struct("doc", "key", "place").eqNullSafe(F.col("at")))
-    gone = gone.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("gone")).withColumnRenamed("key", "gone_key")
+    gone = gone.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(gone_name)).withColumnRenamed("key", gone_key)
     source = docs if keep_columns else need(docs, id_column, text_column)
     text = F.col(f"`{text_column}`")
     all_lines = F.split(text, "\n", -1)
-    removed = F.coalesce("gone", F.array().cast("array<int>"))
+    removed = F.coalesce(gone_name, F.array().cast("array<int>"))
     left = F.filter(F.transform(all_lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(removed, s.i))
     new = F.when(F.size(removed) > 0, F.array_join(F.transform(left, lambda s: s.x), "\n")).otherwise(text)
-    joined = source.join(gone, key == F.col("gone_key"), "left")
+    joined = source.join(gone, key == F.col(gone_key), "left")
     if keep_columns:
         return joined.select(*[(new.alias(c) if c == text_column else F.col(f"`{c}`")) for c in docs.columns])
     return joined.select(F.col(id_column), F.coalesce(F.size(all_lines), F.lit(0)).alias("n_lines"), removed.alias("removed"), new.alias("text"))

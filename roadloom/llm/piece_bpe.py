@@ -183,7 +183,7 @@ def _characters(raw: bytes) -> str:
 
 
 def encode_pieces(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Rows (id, ids array<long>, decoded string, n_tokens, ids_sha256, decoded_sha256): each whole text encoded with begin and
+    """Rows (id, ids array<int>, decoded string, n_tokens, ids_sha256, decoded_sha256): each whole text encoded with begin and
     end ids and decoded again. Null and empty texts give the two ids and an empty text. Rows, ids or null ids that repeat are
     each encoded; further columns play no part. keep_ids=False leaves out ids and decoded, for digests alone."""
     spark = docs.sparkSession
@@ -191,23 +191,28 @@ def encode_pieces(docs: DataFrame, model_path: str, id_column: str = "doc_id", t
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"{id_column} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
-        schema += ", ids array<bigint>, decoded string"
+        schema += ", ids array<int>, decoded string"
 
     number = sent._jbroadcast.id()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _CODECS.get(number) or _CODECS.setdefault(number, Codec(sent.value))
         for batch in batches:
-            rows: list[tuple] = []
+            rows, all_ids, texts = [], [], []
             for text in batch.column(1):
                 ids = codec.encode(text.as_py())
                 decoded = codec.decode(ids)
-                digest = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*digest, ids.tolist(), decoded) if keep_ids else digest)
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * (5 if keep_ids else 3)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
-            names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 1 + len(columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False)]], names)
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                if keep_ids:
+                    all_ids.append(ids)
+                    texts.append(decoded)
+            n, encoded, round_trip = zip(*rows, strict=True) if rows else ([], [], [])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(round_trip, pa.string())]
+            if keep_ids:
+                bounds = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                flat = np.concatenate(all_ids).astype(np.int32) if all_ids else np.zeros(0, np.int32)
+                columns += [pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
 
     return need(docs, id_column, text_column).mapInArrow(work, schema)
 

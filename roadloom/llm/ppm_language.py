@@ -123,22 +123,43 @@ def predict(docs: DataFrame, trees: Trees, id_column: str = "doc_id", text_colum
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Trees = sent.value
         for batch in batches:
-            letters = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for row, end, data, offsets in text_slices(batch, 1) if t.languages else ():
-                codes = sequence_codes(data, offsets, t.classes_of, t.a, t.order)
-                sums = np.zeros((len(data) + 1, len(t.languages)))
-                np.cumsum(t.bits[codes], axis=0, dtype=np.float64, out=sums[1:])
-                bits = sums[offsets[1:]] - sums[offsets[:-1]]
-                best[row:end] = bits.argmin(axis=1)
-                score[row:end] = 1 / np.exp2(np.clip(bits.min(axis=1, keepdims=True) - bits, -1000, 0)).sum(axis=1)
-            known = letters & bool(t.languages)
+            best, score, known = judge(batch, 1, t)
             names = pa.array([t.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(np.where(known, score, 0.0))], [id_column, "lang_pred", "score"])
 
     return need(docs, id_column, text_column).mapInArrow(work, f"{id_column} {kind}, lang_pred string, score double")
 
 
+def judge(batch: pa.RecordBatch, column: int, t: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the best language, its score, and whether the text has a letter, for each row."""
+    letters = pc.fill_null(pc.match_substring_regex(batch.column(column), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+    for row, end, data, offsets in text_slices(batch, column) if t.languages else ():
+        codes = sequence_codes(data, offsets, t.classes_of, t.a, t.order)
+        sums = np.zeros((len(data) + 1, len(t.languages)))
+        np.cumsum(t.bits[codes], axis=0, dtype=np.float64, out=sums[1:])
+        bits = sums[offsets[1:]] - sums[offsets[:-1]]
+        best[row:end] = bits.argmin(axis=1)
+        score[row:end] = 1 / np.exp2(np.clip(bits.min(axis=1, keepdims=True) - bits, -1000, 0)).sum(axis=1)
+    return best, score, letters & bool(t.languages)
+
+
+def keep_known(docs: DataFrame, trees: Trees, text_column: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose language is known with a score of `least` or more. Texts that are null or
+    have no letter go; with nothing learned, all others stay."""
+    sent, column = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index(text_column)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, score, known = judge(batch, column, sent.value)
+            if not sent.value.languages:
+                known = pc.fill_null(pc.match_substring_regex(batch.column(column), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+                score += 1
+            yield batch.filter(pa.array(known & (score >= least)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def held_out() -> Column:
     return crc_mod("doc_id", 3) == 1
 

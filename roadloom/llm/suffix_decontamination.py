@@ -192,9 +192,7 @@ def _one_pass(keyed: DataFrame, sent, id_column: str, schema: str, window: int)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block | None = sent.value if sent is not None else None
         if block is not None:
-            sizes = np.diff(block.bounds)
-            windows = np.flatnonzero((block.left >= window) | ((block.left == sizes[block.item]) & (sizes[block.item] < window)))
-            length = np.minimum(block.left, window)[windows]
+            windows, length = _windows(block, window)
             everything = np.arange(len(block.words))
         for batch in batches:
             n = batch.num_rows
@@ -239,10 +237,37 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, of which no window of an item occurs. Ids have to be unique and not null."""
-    hit = contamination(docs, items, id_column, text_column, **options).where(F.size("hits") > 0).select(F.col(id_column).alias("_hit"))
-    return docs.join(hit, docs[f"`{id_column}`"] == hit["_hit"], "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents, with all their columns, of which no window of an item occurs. The rows pass through; each block of items is
+    one more pass of the same rows."""
+    column = docs.columns.index(text_column)
+    for block in blocks(need(items, item_id_column, item_text_column), item_id_column, item_text_column, block_words):
+        docs = docs.mapInArrow(_clean_rows(docs.sparkSession.sparkContext.broadcast(block), column, window), docs.schema)
+    return docs
+
+
+def _windows(block: Block, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at which a window of an item begins, and the windows' lengths."""
+    sizes = np.diff(block.bounds)[block.item]
+    at = np.flatnonzero((block.left >= window) | ((block.left == sizes) & (sizes < window)))
+    return at, np.minimum(block.left, window)[at]
+
+
+def _clean_rows(sent, column: int, window: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block = sent.value
+        windows, length = _windows(block, window)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, _, data, offsets in text_slices(batch, column):
+                hashes, first = words_of(data, offsets)
+                shard = Shard(hashes, first, block, window)
+                low, high = (search(shard.words, shard.reach, shard.array, block, windows, length, upper) for upper in (False, True))
+                for w in np.flatnonzero(high > low).tolist():
+                    keep[row + shard.text_of[shard.position[shard.array[low[w] : high[w]]]]] = False
+            yield batch.filter(pa.array(keep))
+
+    return work
 
 
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
