@@ -22,7 +22,7 @@ from roadloom.llm.common import need, read
 SPACE = "▁"
 SENTENCE_MARKS = ".,!?;:"
 #: Chunks kept by a worker, at most, in each of two generations.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 150_000
 
 
 class PieceVocabulary:
@@ -158,7 +158,7 @@ class Codec:
         return self._byte_array
 
 
-#: Of this worker, by broadcast: a later task finds the chunks of an earlier one.
+#: This worker's codec, by its broadcast: a later task finds the chunks of an earlier one.
 _CODECS: dict[int, Codec] = {}
 
 
@@ -196,7 +196,10 @@ def encode_pieces(docs: DataFrame, model_path: str, id_column: str = "doc_id", t
     number = sent._jbroadcast.id()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _CODECS.get(number) or _CODECS.setdefault(number, Codec(sent.value))
+        if number not in _CODECS:
+            _CODECS.clear()
+            _CODECS[number] = Codec(sent.value)
+        codec = _CODECS[number]
         for batch in batches:
             rows, all_ids, texts = [], [], []
             for text in batch.column(1):
