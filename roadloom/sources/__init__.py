@@ -1 +1 @@
-
+"""Tables and the roles that they play."""
