@@ -149,7 +149,8 @@ def normalize(raw: DataFrame, mappings: dict[str, dict], now: Column, value: str
     known = F.coalesce(F.upper(F.trim(F.col(maker))).isin(*mappings), F.lit(False)) if mappings else F.lit(False)
     out = raw.withColumn("_payload", payload)
     reason = F.when(~known, "UNMAPPED_OEM").when(F.col("_payload").isNull(), "MALFORMED_JSON")
-    out = out.withColumn("event", F.coalesce(*events) if events else F.lit(None))
+    # a generator is a border that no filter or projection of single fields crosses: an event is made once
+    out = out.withColumn("event", F.explode(F.array(F.coalesce(*events)))) if events else out.withColumn("event", F.lit(None))
     return out.withColumn("reason", F.coalesce(reason, F.col("event.reason")) if events else reason).drop("_payload")
 
 
