@@ -58,8 +58,9 @@ def ranking_metrics(scored: DataFrame, score: str, label: str, groups: list[str]
     """(groups, n, average_precision, roc_auc, brier). Average precision sums precision over the steps in recall; the area under the
     ROC curve is the share of pairs in order, ties counted half. Scores are met as distinct values before any window."""
     t = threshold_counts(scored, score, label, groups)
-    ap = F.sum(F.col("p") / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    auc = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)) / (F.first("positives") * F.first("negatives"))
+    some = lambda c: F.nullif(F.col(c), F.lit(0))  # no positives or no negatives: null
+    ap = F.sum(F.col("p") / some("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    auc = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)) / (F.first(some("positives")) * F.first(some("negatives")))
     brier = F.sum(F.col("p") * (F.col(score) - 1) * (F.col(score) - 1) + F.col("q") * F.col(score) * F.col(score)) / F.sum(F.col("p") + F.col("q"))
     out = (F.sum(F.col("p") + F.col("q")).alias("n"), ap.alias("average_precision"), auc.alias("roc_auc"), brier.alias("brier"))
     return t.groupBy(*groups).agg(*out) if groups else t.agg(*out)
