@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import line_variants, piece_bpe, ppm_language, prefix_groups, suffix_decontamination
-from roadloom.llm.common import fresh, read, shared_path
+from roadloom.llm.common import fresh, read, shared_path, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a letter and whose language is clear. The trees learn from the stage's own documents."""
+    small_batches(spark)
     return ppm_language.keep_known(docs, ppm_language.train(docs.where(~ppm_language.held_out())))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that copy earlier ones; n_chars follows the text."""
+    small_batches(spark)
     out = line_variants.dedup_lines(docs, keep_columns=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -28,6 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies: five-word shingles, similarity 0.8. Of rows with
     the same id one stays."""
+    small_batches(spark)
     groups = prefix_groups.similar_components(docs, n=5, percent=80)
     later = fresh(docs, "later")
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(later)).distinct()
@@ -41,6 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and the text that they decode to."""
+    small_batches(spark)
     return piece_bpe.encode_pieces(docs, piece_bpe.default_model())
 
 

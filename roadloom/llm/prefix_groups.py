@@ -13,18 +13,21 @@ of near copies thus costs its length, while no link between different components
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, NOT_SPACE, cut, hash_runs, mix, need, read, runs, text_slices
+from roadloom.llm.common import LOWER, NOT_SPACE, cut, hash_runs, mix, need, read, runs, text_slices, through_filter
 
 N, PERCENT = 3, 90
+#: Lists whose pairs are more than so many times their members are met by stars again, so many times at most.
+LONG_LISTS, MORE_ROUNDS = 20, 2
 #: Counters of n-grams: the order's table has this size at any input.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +53,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(46)).astype(np.int64)  # log2(COUNTERS) = 18 high bits
+    return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)  # the high bits
 
 
 def count_table(docs: DataFrame, n: int) -> np.ndarray:
@@ -63,26 +66,38 @@ def count_table(docs: DataFrame, n: int) -> np.ndarray:
             for _, _, data, offsets in text_slices(batch, 0):
                 _, h = shingle_sets(data, offsets, n)
                 total += np.bincount(_counter(h), minlength=COUNTERS)
-        blocks = total.astype(np.int32 if total.max() < 1 << 31 else np.int64).reshape(-1, block)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.astype(np.int64).tolist() for b in blocks], pa.list_(pa.int64()))], ["block", "counts"])
+        yield _blocks(np.arange(COUNTERS // block), total, block)
 
-    # sums of a block's counts, in trees: each task merges what it has before the next exchange
-    parts = docs.mapInArrow(work, "block int, counts array<long>")
+    parts = docs.mapInArrow(work, "block int, counts binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[b] = sums.get(b, 0) + c.values.to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["block", "counts"])
+            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[b] = sums.get(b, 0) + _unpacked(c)
+        yield _blocks(np.array(list(sums), np.int64), np.concatenate(list(sums.values())) if sums else np.zeros(0, np.int64), block)
 
-    merged = parts.repartition("block").mapInArrow(merge, "block int, counts array<long>").toArrow()  # COUNTERS numbers
-    table = np.zeros(COUNTERS, np.float64)
+    merged = parts.repartition("block").mapInArrow(merge, "block int, counts binary").toArrow()  # COUNTERS numbers
+    table = np.zeros((COUNTERS // block, block), np.float64)
     for b, c in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist(), strict=True):
-        table[b * block : (b + 1) * block] = c
+        table[b] = _unpacked(c)
+    table = table.reshape(-1)
     return np.minimum(np.rint(4 * np.log2(table + 1)), 255).astype(np.uint8)
 
 
+def _blocks(numbers: np.ndarray, counts: np.ndarray, block: int) -> pa.RecordBatch:
+    """Blocks of counts, each in the narrowest type that holds it, compressed: most counts of a task are small."""
+    packed = []
+    for c in counts.reshape(-1, block):
+        kind = next(k for k in ("u1", "u2", "u4", "u8") if c.max() <= np.iinfo(k).max)
+        packed.append(kind.encode() + zlib.compress(c.astype(kind).tobytes(), 1))
+    return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(packed, pa.binary())], ["block", "counts"])
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[2:]), packed[:2].decode()).astype(np.int64)
+
+
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     """n-grams of a set among which one must be shared: size - ceil(percent/100 * size) + 1."""
     return size - -(-percent * size // 100) + 1
@@ -124,20 +139,18 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     """Of the pairs (a, b) of classes those whose sets are similar enough. texts: (cls, text), one row a class."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[pa.Buffer, np.ndarray]] = {}  # the last text on each side: pairs of one class follow each other
+
+        def own(side: int, text: pa.Scalar) -> np.ndarray:
+            raw = text.as_buffer()
+            if side not in held or not raw.equals(held[side][0]):
+                held[side] = (raw, shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, raw.size]), n)[1])
+            return held[side][1]
+
         for batch in batches:
-            sets: list[list[np.ndarray]] = []
-            last: tuple[str, np.ndarray] | None = None
-            for column in (2, 3):
-                own = []
-                for text in batch.column(column):
-                    raw = text.as_buffer()
-                    if last is None or not raw.equals(last[0]):
-                        data = np.frombuffer(raw, np.uint8)
-                        last = (raw, shingle_sets(data, np.array([0, len(data)]), n)[1])
-                    own.append(last[1])
-                sets.append(own)
             good = []
-            for x, y in zip(*sets, strict=True):
+            for text_a, text_b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = own(0, text_a), own(1, text_b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             mask = pa.array(good, pa.bool_())
@@ -164,6 +177,31 @@ def smallest_reachable(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 
+def _sizes_fit(x: str, y: str, percent: int) -> Column:
+    return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+
+
+def _overlap(percent: int) -> Column:
+    """n-grams that sets of size_x and size_y have to share."""
+    return F.ceil((F.col("size_x") + F.col("size_y")) * percent / (100 + percent))
+
+
+def _room(shared: Column, percent: int) -> Column:
+    """Whether sets of size_x and size_y whose prefixes share so many n-grams can be similar enough. One of the prefixes ends
+    before the other in the order, so what the sets share lies in both prefixes or after that prefix's end."""
+    after = lambda size: F.ceil(F.col(size) * percent / 100) - 1  # n-grams after the prefix
+    return (shared + F.greatest(after("size_x"), after("size_y"))) * (100 + percent) >= (F.col("size_x") + F.col("size_y")) * percent
+
+
+def fitting(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (x, y) of groups those whose sizes and prefixes leave room for the similarity."""
+    side = lambda name, *more: groups.select(F.col("grp").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in more])
+    sized = cut(pairs.join(side("x", "size"), "x").join(side("y", "size"), "y").where(_sizes_fit("size_x", "size_y", percent)))
+    both = sized.join(side("x", "prefix"), "x").join(side("y", "prefix"), "y")
+    shared = F.size(F.array_intersect("prefix_x", "prefix_y"))
+    return both.where((shared > 0) & _room(shared, percent)).select("x", "y")
+
+
 def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """Rows (id, n_shingles, component_id), one a document: the size of its set and the smallest id that links reach, its own
     included. Null and empty texts and texts of white space have size 0 and only themselves. Rows equal in id and text come out
@@ -172,55 +210,79 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     spark = docs.sparkSession
     d = need(docs, id_column, text_column).select(F.col(id_column).alias("doc"), F.xxhash64(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
     table = spark.sparkContext.broadcast(count_table(d.select("text"), n))  # COUNTERS bytes
-    found = cut(classes(d, table, n, percent).select("doc", "key", "cls", "size", "prefix_key", F.when(F.size("prefix") > 0, F.col("prefix")).alias("prefix")))
-    member = found.select("doc", "key", "cls", "size")
-    # classes, with the smallest id and one text's key to stand for them; copies are met map-side
-    reps = cut(found.groupBy("cls").agg(F.min("doc").alias("doc"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("prefix_key").alias("grp"), F.first("prefix").alias("prefix")))
-    groups = reps.groupBy("grp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("cls").alias("head"), F.max("cls").alias("tail"))
-    postings = groups.select("grp", "size", F.size("prefix").alias("k"), F.posexplode("prefix").alias("pos", "gram"))
-    shared = postings.groupBy("gram").agg(F.min(F.struct("size", "grp")).alias("head"), F.max(F.struct("size", "grp")).alias("tail")).where("head <> tail").select("gram", "head")
-    postings = cut(postings.join(shared, "gram").select("gram", "grp", "size", "pos", F.col("head.grp").alias("head"), F.col("head.size").alias("head_size")))
-    of_group = reps.select("grp", "cls")
-
-    # first: each member of a list with its smallest member, and each class of a group with the group's first class
-    fits = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
-    star = postings.where((F.col("grp") != F.col("head")) & fits("head_size", "size")).select("grp", "head").distinct()
-    heads = groups.select("grp", F.col("head").alias("cls"))
-    first = star.join(heads, "grp").select(F.col("cls").alias("b"), F.col("head").alias("grp")).join(heads, "grp").select(F.col("cls").alias("a"), "b")
-    inner = of_group.join(heads.select("grp", F.col("cls").alias("a")), "grp").where("a <> cls").select("a", F.col("cls").alias("b"))
+    found = cut(classes(d, table, n, percent))
+    # a class is what has the same set, a group what has the same prefix and size; copies are met map-side
+    reps = cut(found.groupBy("cls").agg(F.min("doc").alias("doc"), F.min("key").alias("key"), F.min("prefix_key").alias("grp")))
+    heads = reps.groupBy("grp").agg(F.min("cls").alias("cls"), F.count("*").alias("n"))
+    groups = cut(found.select(F.col("prefix_key").alias("grp"), "size", "prefix").dropDuplicates(["grp"]))
+    postings = groups.select("grp", F.posexplode("prefix").alias("pos", "gram"))
+    # n-grams in the prefixes of several groups; both sides of the join come from an exchange, so that Spark can split a hot one
+    shared = cut(postings.groupBy("gram").agg(F.min("grp").alias("head"), F.max("grp").alias("last")).where("head <> last").select("gram", "head"))
+    met = cut(through_filter(postings, shared.select("gram"), "gram").join(shared, "gram"))
+
+    # first: each group of a list with the list's first group, by their first classes, and each class with its group's first
+    star = fitting(met.where("grp <> head").select(F.col("head").alias("x"), F.col("grp").alias("y")).distinct(), groups, percent)
+    first = star.join(heads.select(F.col("grp").alias("x"), F.col("cls").alias("a")), "x").join(heads.select(F.col("grp").alias("y"), F.col("cls").alias("b")), "y").select("a", "b")
+    inner = reps.join(heads.where("n > 1").select("grp", F.col("cls").alias("a")), "grp").where("a <> cls").select("a", F.col("cls").alias("b"))
     tried = cut(first.union(inner).distinct())
-    texts = _texts(d, reps, tried)
-    links = cut(verify(tried, texts, n, percent))
+    links = cut(verify(tried, _texts(d, reps, tried), n, percent))
     roots = smallest_reachable(links)
 
-    # then: pairs of a list that are still apart
-    lost = reps.select("cls", "grp", "size").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "grp", "size", F.coalesce("root", "cls").alias("root"))
-    lists = postings.select("gram", "grp", "pos").join(lost, "grp").select("gram", "pos", "cls", "size", "root")
-    apart = lists.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    lists = lists.join(apart, "gram")
-    # of one component's members with the same size and place only pairs with other components are met
-    x = lists.select("gram", F.col("pos").alias("pos_a"), F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    y = lists.select("gram", F.col("pos").alias("pos_b"), F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    # what two sets can still share after this n-gram, with what they may have shared before it, has to reach the similarity
-    room = F.least("pos_a", "pos_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-    near = (F.col("root_a") != F.col("root_b")) & fits("size_a", "size_b") & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))) & (room * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent)
-    rest = x.join(y, "gram").where(near).select("a", "b").distinct()
+    # while long lists are still apart: each of their groups with another of the list, by another order each time
+    size_of = groups.select("grp", "size")
+    for attempt in range(1, MORE_ROUNDS + 1):
+        rooted, spread, lists = _apart(reps, roots, met, size_of)
+        length = lists.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("grp", F.lit(attempt)), "grp", "low")).alias("m"))
+        work = length.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("square")).first()
+        if work.square <= LONG_LISTS * work.n:
+            break
+        chosen = cut(length.select("gram", F.col("m.grp").alias("x"), F.col("m.low").alias("low_x")))
+        star = fitting(lists.join(chosen, "gram").where("grp <> x and not (low = high and low = low_x)").select("x", F.col("grp").alias("y")).distinct(), groups, percent)
+        first = star.join(heads.select(F.col("grp").alias("x"), F.col("cls").alias("a")), "x").join(heads.select(F.col("grp").alias("y"), F.col("cls").alias("b")), "y").select("a", "b")
+        fresh_pairs = cut(first.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
+        tried = tried.union(fresh_pairs)
+        links = links.union(cut(verify(fresh_pairs, _texts(d, reps, fresh_pairs), n, percent)))
+        roots = smallest_reachable(links)
+    else:
+        rooted, spread, lists = _apart(reps, roots, met, size_of)
+
+    # then all pairs of groups of a list that are still apart; for two sizes the prefix that has to meet is known to the n-gram
+    side = lambda name: lists.select("gram", F.col("grp").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("pos", "low", "high", "size")])
+    early = (F.col("pos_x") <= F.col("size_x") - _overlap(percent)) & (F.col("pos_y") <= F.col("size_y") - _overlap(percent))
+    # before this n-gram the sets share no more than the smaller place, after it no more than the smaller rest
+    most = F.least("pos_x", "pos_y") + F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))
+    near = side("x").join(side("y"), "gram").where(F.expr("x < y and not (low_x = high_y and high_x = low_y)") & _sizes_fit("size_x", "size_y", percent) & early & (most >= _overlap(percent)))
+    pairs = fitting(near.select("x", "y").distinct(), groups, percent).union(spread.where("low <> high").select(F.col("grp").alias("x"), F.col("grp").alias("y")))
+    a = rooted.select(F.col("grp").alias("x"), F.col("cls").alias("a"), F.col("root").alias("root_a"))
+    b = rooted.select(F.col("grp").alias("y"), F.col("cls").alias("b"), F.col("root").alias("root_b"))
+    rest = pairs.join(a, "x").join(b, "y").where("root_a <> root_b and (x <> y or a < b)").select("a", "b").distinct()
     rest = cut(rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
-    more = verify(rest, _texts(d, reps, rest), n, percent)
-    roots = smallest_reachable(links.union(more))
+    more = cut(verify(rest, _texts(d, reps, rest), n, percent))
+    if more.take(1):
+        roots = smallest_reachable(links.union(more))
 
-    component = reps.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc", F.coalesce("root", "cls").alias("root"))
+    component = cut(reps.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc", F.coalesce("root", "cls").alias("root")))
     smallest = component.groupBy("root").agg(F.min("doc").alias("component_id"))
-    of_class = component.join(smallest, "root").select("cls", "component_id")
-    linked = member.join(of_class, "cls").groupBy("doc", "key").agg(F.first("size").alias("size"), F.first("component_id").alias("component_id"))
-    return d.select("doc", "key").join(linked.withColumnRenamed("doc", "other").drop("other"), "key", "left").select(F.col("doc").alias(id_column), F.coalesce("size", F.lit(0)).cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    of_class = cut(component.join(smallest, "root").select("cls", "component_id"))
+    linked = found.select("key", "cls", "size").join(of_class, "cls").groupBy("key").agg(F.first("size").alias("size"), F.first("component_id").alias("component_id"))
+    return d.select("doc", "key").join(linked, "key", "left").select(F.col("doc").alias(id_column), F.coalesce("size", F.lit(0)).cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def _apart(reps: DataFrame, roots: DataFrame, met: DataFrame, size_of: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes with their roots; groups with the smallest and the largest root of their classes; and the lists, with sizes, in
+    which more than one root is left."""
+    rooted = cut(reps.select("cls", "grp").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "grp", F.coalesce("root", "cls").alias("root")))
+    spread = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    lists = met.select("gram", "grp", "pos").join(spread, "grp")
+    apart = cut(lists.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("gram"))
+    return rooted, spread, cut(lists.join(apart, "gram").join(size_of, "grp"))
 
 
 def _texts(d: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, text) of the classes in the pairs."""
+    """(cls, text) of the classes in the pairs, without moving the other texts."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    keys = reps.join(wanted, "cls", "left_semi").select("cls", "key")
-    return d.select("key", "text").join(keys, "key").groupBy("cls").agg(F.first("text").alias("text"))
+    keys = cut(reps.join(wanted, "cls", "left_semi").select("cls", "key"))
+    return through_filter(d.select("key", "text"), keys, "key").join(keys, "key").dropDuplicates(["cls"]).select("cls", "text")
 
 
 def op5_prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
