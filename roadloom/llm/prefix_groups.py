@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import LOWER, NOT_SPACE, cut, hash_runs, mix, need, read, runs, text_slices, through_filter
 
 N, PERCENT = 3, 90
-#: Lists whose pairs are more than so many times their members are met by stars again, so many times at most.
-LONG_LISTS, MORE_ROUNDS = 20, 2
+#: Lists whose pairs are more than so many times their members can be met by stars again, so many times at most. None by itself:
+#: where near copies lie just under the similarity, further stars merge little and cost a dozen exchanges each.
+LONG_LISTS, MORE_ROUNDS = 20, 0
 #: Counters of n-grams: the order's table has this size at any input.
 COUNTERS = 1 << 20
 

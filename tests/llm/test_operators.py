@@ -172,8 +172,9 @@ def test_long_lists_are_met_by_stars_and_then_whole(spark, monkeypatch):
             w[k] = f"e{d}x{k}"
         rows.append((d, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for bound in (0, 10**9):
-        monkeypatch.setattr(prefix_groups, "LONG_LISTS", bound)
+    for rounds in (1,):
+        monkeypatch.setattr(prefix_groups, "LONG_LISTS", 0)
+        monkeypatch.setattr(prefix_groups, "MORE_ROUNDS", rounds)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in prefix_groups.similar_components(df).collect()} == brute.components(rows)
 
 
