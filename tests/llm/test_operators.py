@@ -1,5 +1,6 @@
 """Operators on their edge cases, and the queries against plain versions on a small table."""
 
+import collections
 import hashlib
 
 import numpy as np
@@ -243,6 +244,28 @@ def test_language_model(spark, sf, odd, docs):
     assert {r.train_tokens for r in attention_lm.score_texts(odd, F.lit(False), attention_lm.default_ranks()).collect()} == {0}
 
 
+def test_followers_cover_all_training_texts(spark, sf):
+    """Every pair and triple of every training text counts, those seen once too, and the tables' size changes no score."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    vocabulary = attention_lm.Vocabulary(attention_lm.default_ranks())
+    end, pad, encode = vocabulary.end, vocabulary.pad, vocabulary.encoder()
+    expected = collections.Counter()
+    for r in d.collect():
+        s = [pad, end, *encode(attention_lm.normal(r.text)), end]
+        for i in range(2, len(s)):
+            pair = s[i - 1] << 16 | s[i]
+            expected.update([pair, 1 << 60 | s[i - 2] << 32 | pair, 2 << 60 | s[i]])
+    context = collections.Counter()
+    for code, n in expected.items():
+        context[code >> 16] += n
+    sent = spark.sparkContext.broadcast(vocabulary)
+    rows = d.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("training"))
+    grams = {r.code: (r.c, r.p) for r in attention_lm.grams_of(attention_lm.encoded(rows, sent, -1), end, pad).collect()}
+    assert grams == {code: (n, n / context[code >> 16]) for code, n in expected.items()}
+    scores = [{r.doc_id: r.score for r in attention_lm.score_texts(d, F.lit(True), attention_lm.default_ranks(), slots=slots).collect()} for slots in (attention_lm.SLOTS, (4, 16))]
+    assert all(abs(scores[0][i] - scores[1][i]) <= 1e-4 * abs(scores[0][i]) for i in scores[0])
+
+
 def test_attention_gradients_and_windows():
     rng = np.random.default_rng(0)
     seqs = [rng.integers(0, 30, n) for n in (1, 15, 16, 17, 60)] + [np.zeros(0, np.int64)]
