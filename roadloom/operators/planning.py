@@ -36,24 +36,23 @@ def greedy_plan(candidates: DataFrame, bays: DataFrame, days: int = 5, urgent: f
     home depot on its first free day, then to the next depot. What finds no bay is too_risky_to_wait or waiting. Each choice takes
     a bay from the later ones, so a tenant is planned in one group: its size is what the tenant's depots can look at in some days,
     after the filter, never the fleet's."""
-    free = bays.groupBy("tenant").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "depot", "day").alias("k"), F.col("free").cast("int").alias("v")))).alias("free"))
-    worth = candidates.where((F.col("value") > 0) & (F.size("depots") > 0)).join(free, "tenant")
+    worth = candidates.where((F.col("value") > 0) & (F.size("depots") > 0))
 
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        left = dict(rows["free"].iloc[0])
+    def plan(rows: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+        left = {(r.depot, r.day): r.free for r in free.itertuples()}
         rows = rows.assign(late=rows["p"] < urgent).sort_values(["late", "value", "vehicle"], ascending=[True, False, True])
         out = []
         for r in rows.itertuples():
             tries = [(d, 1) for d in r.depots] if not r.late else [(d, t) for d in r.depots for t in range(1, days + 1)]
-            slot = next(((d, t) for d, t in tries if left.get(f"{d}:{t}", 0) > 0), None)
+            slot = next(((d, t) for d, t in tries if left.get((d, t), 0) > 0), None)
             if slot:
-                left[f"{slot[0]}:{slot[1]}"] -= 1
+                left[slot] -= 1
             outcome = "planned" if slot else ("waiting" if r.late else "too_risky_to_wait")
             out.append((r.tenant, r.vehicle, slot[0] if slot else None, slot[1] if slot else None, outcome, round(r.p, 3), float(round(r.value))))
         frame = pd.DataFrame(out, columns=["tenant", "vehicle", "depot", "day", "outcome", "p", "value"])
         return frame.astype({"depot": "Int64", "day": "Int32"})
 
-    return worth.groupBy("tenant").applyInPandas(plan, PLAN_SCHEMA)
+    return worth.groupBy("tenant").cogroup(bays.select("tenant", "depot", "day", "free").groupBy("tenant")).applyInPandas(plan, PLAN_SCHEMA)
 
 
 def check_bookings(requests: DataFrame, vehicles: DataFrame, free: DataFrame, booked: DataFrame, today) -> DataFrame:

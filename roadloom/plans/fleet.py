@@ -218,11 +218,11 @@ def booking_capacity_check(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def greedy_service_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Plans for each tenant's dearest candidates; depots by distance, from the supplier's number."""
-    s = table(spark, sf, "supplier").where("s_suppkey < 30").select(F.col("s_suppkey").alias("depot"), (F.col("s_suppkey") % 10 * 2.0).alias("lat"), (F.col("s_suppkey") % 7 * 2.5).alias("lon"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("depot"), (F.col("s_suppkey") % 10 * 2.0).alias("lat"), (F.col("s_suppkey") % 7 * 2.5).alias("lon"))
     near = planning.nearby(s).groupBy("depot").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "near"))), lambda x: x.near).alias("depots"))
     risk = _risk(spark, sf).join(_fleet(spark, sf), F.col("vehicle_id") == F.col("c_custkey")).withColumn("value", planning.expected_value(F.col("p"), F.col("saving") / 100, 150.0))
-    candidates = risk.withColumn("depot", F.col("c_custkey") % 30).join(near, "depot").select(F.col("r_name").alias("tenant"), F.col("vehicle_id").alias("vehicle"), "p", "value", "depots")
-    bays = table(spark, sf, "region").select(F.col("r_name").alias("tenant")).join(F.broadcast(s.select("depot")), F.lit(True)).select("tenant", "depot", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("day"), F.lit(3).alias("free"))  # 30 depots at most
+    candidates = risk.withColumn("depot", F.col("c_custkey") % max(1, s.count())).join(near, "depot").select(F.col("r_name").alias("tenant"), F.col("vehicle_id").alias("vehicle"), "p", "value", "depots")
+    bays = s.join(F.broadcast(table(spark, sf, "region").select(F.col("r_name").alias("tenant"))), F.lit(True)).select("tenant", "depot", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("day"), F.lit(3).alias("free"))  # one row a tenant
     return planning.greedy_plan(candidates, bays)
 
 

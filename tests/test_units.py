@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import geo, hashing, numbers, payload, vectors, vehicles
 from roadloom.functions.text import suspicious, suspicious_in_json
 from roadloom.operators import drift, learning, normalize, planning, rollups
+from roadloom.plans import fleet
 from roadloom.sources.tables import TenantView, keep_days
 from roadloom.streaming import dedup, rules, sinks
 
@@ -173,6 +174,34 @@ def test_greedy_plan(spark):
     assert got == {1: (1, 1, "planned"), 4: (None, None, "too_risky_to_wait"), 2: (1, 2, "planned"), 3: (None, None, "waiting")}
 
 
+def test_greedy_service_plan_takes_every_depot(spark, tmp_path):
+    """Vehicles of all suppliers' depots are planned, as a plain loop plans them."""
+    n, when = 45, datetime.datetime(2024, 1, 1)
+    tables = {
+        "supplier": spark.createDataFrame([(i,) for i in range(n)], "s_suppkey long"),
+        "customer": spark.createDataFrame([(i, 0) for i in range(400)], "c_custkey long, c_nationkey int"),
+        "nation": spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int"),
+        "region": spark.createDataFrame([(0, "T")], "r_regionkey int, r_name string"),
+        "orders": spark.createDataFrame([(i * 37, i, when, 30_000.0 + 100 * i) for i in range(400)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double"),
+    }
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    near = {}
+    for r in planning.nearby(spark.createDataFrame([(i, i % 10 * 2.0, i % 7 * 2.5) for i in range(n)], "depot long, lat double, lon double")).collect():
+        near.setdefault(r.depot, []).append((r["rank"], r.near))
+    free = {(d, t): 3 for d in range(n) for t in range(1, 6)}
+    rows = [(i * 37 % 1000 / 1000.0, i * 37 % 1000 / 1000.0 * ((30_000.0 + 100 * i) / 100) - 150.0, i) for i in range(400)]
+    expected = {}
+    for p, value, i in sorted((r for r in rows if r[1] > 0), key=lambda r: (r[0] < 0.8, -r[1], r[2])):
+        tries = [(d, t) for _, d in sorted(near[i % n]) for t in (range(1, 6) if p < 0.8 else (1,))]
+        slot = next((x for x in tries if free[x]), None)
+        if slot:
+            free[slot] -= 1
+        expected[i] = slot or (None, None)
+    got = {r.vehicle: (r.depot, r.day) for r in fleet.greedy_service_plan(spark, str(tmp_path)).collect()}
+    assert got == expected and max(d for d, _ in got.values() if d is not None) >= 30
+
+
 def run_rules(*events):
     state, out = rules.State(), []
     for offset, changes in events:
