@@ -1,7 +1,8 @@
 """Operator 3, substring dedup by sliding sentence spans.
 
 From every sentence a span of consecutive sentences begins: the shortest one of at least `sentences` sentences and `least_words`
-words, or of `enough_words` words where sentences are long. Spans are hashed (words without case, whatever the white space) and
+words, or of `enough_words` words where sentences are long. With every sentence the shortest such span also ends, so that the last
+sentences of a repeated passage, too few for a span of their own, are covered as well. Spans are hashed (words without case, whatever the white space) and
 met globally by hash; of each repeated span the occurrence with the smallest (id, place) is the first, and sentences that any
 other occurrence covers are removed from their document.
 """
@@ -28,7 +29,13 @@ def spans_of(s: Sentences, sentences: int, least_words: int, enough_words: int)
     long = np.searchsorted(s.end_word, s.first_word + enough_words) + 1
     end = np.minimum(np.maximum(begin + sentences, by_count), long)
     fits = end <= s.first_sentence[1:][s.text]
-    return begin[fits], end[fits]
+    # the same backwards, from the end of each sentence
+    by_count = np.searchsorted(s.first_word, s.end_word - least_words, "right") - 1
+    long = np.searchsorted(s.first_word, s.end_word - enough_words, "right") - 1
+    back = np.maximum(np.minimum(begin + 1 - sentences, by_count), long)
+    inside = back >= s.first_sentence[:-1][s.text]
+    code = np.unique(np.concatenate([begin[fits] * (n + 1) + end[fits], back[inside] * (n + 1) + begin[inside] + 1]))
+    return code // (n + 1), code % (n + 1)
 
 
 def span_rows(docs: DataFrame, sentences: int, least_words: int, enough_words: int) -> DataFrame:

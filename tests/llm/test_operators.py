@@ -122,6 +122,26 @@ def test_spans(spark, sf, odd, docs):
     assert {r.doc_id: list(r.removed) for r in catalogue.QUERIES["op3_sentence_spans"](spark, sf).collect()} == expected
 
 
+def test_every_sentence_of_a_repeated_run_goes(spark):
+    """Against all runs, whatever their length, that are long enough and stand earlier too."""
+    rng = np.random.default_rng(5)
+    sentence = lambda n, tag: " ".join([*(f"{tag}w{i}" for i in range(n - 1)), f"{tag}end."])
+    passages = [[sentence(n, f"p{k}s{i}") for i, n in enumerate(sizes)] for k, sizes in enumerate([(25, 25, 12), (45, 38), (5, 6, 9), (5, 6, 8), (50,), (3, 4, 30, 39, 2, 2), *[rng.integers(1, 45, 6) for _ in range(10)]])]
+    rows = [(2 * k + copy, " ".join([sentence(7, f"a{k}c{copy}"), *p, sentence(8, f"b{k}c{copy}")])) for k, p in enumerate(passages) for copy in range(2)]
+    rows += [(100 + 2 * k + copy, " ".join(p) + f" {k}.") for k, p in enumerate([[sentence(25, "x"), sentence(25, "y"), sentence(12, "z")]]) for copy in range(2)]
+    first, expected = {}, {d: set() for d, _ in rows}
+    for d, t in rows:
+        s = brute.sentences(t)
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                n = sum(map(len, s[i:j]))
+                if (j - i >= 3 and n >= 20) or n >= 40:
+                    if first.setdefault(tuple(w for x in s[i:j] for w in x), (d, i)) != (d, i):
+                        expected[d].update(range(i, j))
+    got = {r.doc_id: set(r.removed) for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected and got[1] == {1, 2, 3} and got[3] == {1, 2} and got[101] == {0, 1, 2, 3}
+
+
 # 4
 
 
