@@ -3,8 +3,9 @@
 Documents are cut into shards of whole texts. A shard's words become numbers of the benchmark's vocabulary (any other word is a
 wall that no match crosses), and a suffix array orders the places where a match of the asked length can begin, by prefix doubling
 up to the longest item. Every suffix of every benchmark item is then binary-searched in every shard's array: its interval gives
-the longest verbatim match and all places of matches. Items go through in blocks of bounded size; a further block is a further
-pass over the documents, so the benchmark may grow.
+all places of matches. Items go through in blocks of bounded size; a further block is a further
+pass over the documents, so the benchmark may grow. For the longest match of each text, every place is met with the suffixes next to
+it in the order, so what other texts the shard holds plays no part.
 
 Words: A-Z in lower case; runs of letters and digits of ASCII and of all characters beyond ASCII.
 """
@@ -118,21 +119,23 @@ def _compare(words: np.ndarray, reach: np.ndarray, places: np.ndarray, block: Bl
 
 
 def match_lengths(words: np.ndarray, reach: np.ndarray, array: np.ndarray, block: Block, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix the longest verbatim match in the shard, in words, and a place of it: next to where it would be inserted."""
+    """For each place of the suffix array the longest verbatim match of the block that begins there, in words, and a suffix that
+    has it: one of the two next to the place in the order. suffixes: all of the block's, in their order."""
     where = search(words, reach, array, block, suffixes, block.left[suffixes], False)
-    best, place = np.zeros(len(suffixes), np.int64), np.zeros(len(suffixes), np.int64)
-    for neighbour in (where - 1, where):
-        ok = np.flatnonzero((neighbour >= 0) & (neighbour < len(array)))
-        at, active, step = array[neighbour[ok]], np.arange(len(ok)), 0
+    after = np.searchsorted(where, np.arange(len(array)), "right")  # suffixes that are not above the place
+    best, suffix = np.zeros(len(array), np.int64), np.zeros(len(array), np.int64)
+    for neighbour in (after - 1, after):
+        ok = np.flatnonzero((neighbour >= 0) & (neighbour < len(suffixes)))
+        at, of, active, step = array[ok], suffixes[neighbour[ok]], np.arange(len(ok)), 0
         common = np.zeros(len(ok), np.int64)
         while active.size:
-            active = active[(block.left[suffixes[ok[active]]] > step) & (reach[at[active]] > step)]
-            active = active[words[at[active] + step] == block.words[suffixes[ok[active]] + step]]
+            active = active[(block.left[of[active]] > step) & (reach[at[active]] > step)]
+            active = active[words[at[active] + step] == block.words[of[active] + step]]
             step += 1
             common[active] = step
         better = common > best[ok]
-        best[ok[better]], place[ok[better]] = common[better], at[better]
-    return best, place
+        best[ok[better]], suffix[ok[better]] = common[better], of[better]
+    return best, suffix
 
 
 class Shard:
@@ -193,7 +196,7 @@ def _one_pass(keyed: DataFrame, sent, id_column: str, schema: str, window: int)
         block: Block | None = sent.value if sent is not None else None
         if block is not None:
             windows, length = _windows(block, window)
-            everything = np.arange(len(block.words))
+            everything = suffix_array(block.words, block.left, np.arange(len(block.words)), block.longest)
         for batch in batches:
             n = batch.num_rows
             n_words, found, hits = np.zeros(n, np.int64), [set() for _ in range(n)], [[] for _ in range(n)]
@@ -213,12 +216,12 @@ def _one_pass(keyed: DataFrame, sent, id_column: str, schema: str, window: int)
                         t = int(shard.text_of[place])
                         found[row + t].add(block.ids[block.item[windows[w]]])
                         hits[row + t].append((place - int(first[t]), place - int(first[t]) + int(length[w])))
-                size, place = match_lengths(shard.words, shard.reach, shard.array, block, everything)
-                texts = shard.text_of[np.minimum(shard.position[place], len(hashes) - 1)]
-                for s in np.flatnonzero(size).tolist():
-                    t = row + int(texts[s])
-                    if size[s] > longest[t]:
-                        longest[t], longest_item[t] = size[s], block.ids[block.item[s]]
+                size, suffix = match_lengths(shard.words, shard.reach, shard.array, block, everything)
+                texts = shard.text_of[shard.position[shard.array]]
+                order = np.lexsort((shard.array, -size, texts))  # of each text the longest match, then the first
+                for k in order[np.unique(texts[order], return_index=True)[1]].tolist():
+                    if size[k]:
+                        longest[row + int(texts[k])], longest_item[row + int(texts[k])] = size[k], block.ids[block.item[suffix[k]]]
             spans = [[{"begin": b, "end": e} for b, e in _united(h)] for h in hits]
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(spans, kind), pa.array(longest), pa.array(longest_item, pa.string()), batch.column(2)], [id_column, "n_words", "item_ids", "hits", "longest", "longest_item", "row"])

@@ -102,6 +102,35 @@ def test_contamination(spark, sf, odd, docs):
     assert suffix_decontamination.contamination(odd, own.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_longest_match_of_each_text(spark):
+    """Copies in one shard, and texts with different parts of one passage: each has its own longest match, by a plain version."""
+    rng = np.random.default_rng(4)
+    items = [(k, " ".join(f"v{x}" for x in rng.integers(0, 6, n))) for k, n in enumerate((12, 15, 30, 25))]
+    texts = [items[0][1]] * 3 + [f"zz {items[2][1]} yy"] * 2 + [" ".join(t.split()[a:]) for _, t in items for a in range(3)] + [" ".join(f"v{x}" for x in rng.integers(0, 6, 60)) for _ in range(20)]
+
+    def best(text):
+        w = text.split()
+        out = 0
+        for _, t in items:
+            v = t.split()
+            for i in range(len(w) - 9):
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    out = max(out, n)
+        return out
+
+    table = spark.createDataFrame(items, "item_id int, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    results = []
+    for parts in (1, 7):
+        got = {r.doc_id: (r.longest, r.longest_item) for r in suffix_decontamination.contamination(df.repartition(parts), table).collect()}
+        assert {i: n for i, (n, _) in got.items()} == {i: best(t) for i, t in enumerate(texts)}
+        results.append(got)
+    assert results[0] == results[1] and results[0][0] == results[0][1] == results[0][2] == (12, "0")
+
+
 def test_contamination_query(spark, sf, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = catalogue.QUERIES["op2_suffix_decontamination"](spark, sf).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
