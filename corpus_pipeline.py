@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import line_variants, piece_bpe, ppm_language, prefix_groups, suffix_decontamination
-from roadloom.llm.common import fresh, read, shared_path, small_batches
+from roadloom.llm.common import cut, fresh, read, shared_path, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +29,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies: five-word shingles, similarity 0.8. Of rows with
-    the same id one stays."""
+    the same id and text one stays; rows with the same id and other texts are documents of their own."""
     small_batches(spark)
-    groups = prefix_groups.similar_components(docs, n=5, percent=80)
-    later = fresh(docs, "later")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(later)).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col(later), "left_anti")
+    groups = prefix_groups.similar_components(docs, n=5, percent=80, keys=True)
+    later, own = fresh(docs, "later"), fresh(docs, "own")
+    # documents that go or of which only one row stays; the others are not moved
+    marked = cut(groups.groupBy(F.col("key").alias(later)).agg(F.count("*").alias("n"), F.first("first_key").alias("first_key")).where(f"n > 1 or {later} <> first_key"))
+    keyed = docs.withColumn(own, prefix_groups.row_key("doc_id", "text"))
+    alone = keyed.join(marked, F.col(own) == F.col(later), "left_anti")
+    one = keyed.join(marked.where(f"{later} = first_key").select(later), F.col(own) == F.col(later), "left_semi").dropDuplicates([own])
+    return alone.unionByName(one).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

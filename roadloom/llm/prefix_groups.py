@@ -203,17 +203,28 @@ def fitting(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return both.where((shared > 0) & _room(shared, percent)).select("x", "y")
 
 
-def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+def row_key(id_column: str, text_column: str) -> Column:
+    """Tells documents apart: the same for rows equal in id and text."""
+    return F.xxhash64(id_column, text_column)
+
+
+def _first() -> Column:
+    """The smallest id, null last, with the smallest key."""
+    return F.min(F.struct(F.isnull("doc").alias("none"), "doc", "key")).alias("first")
+
+
+def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = N, percent: int = PERCENT, keys: bool = False) -> DataFrame:
     """Rows (id, n_shingles, component_id), one a document: the size of its set and the smallest id that links reach, its own
     included. Null and empty texts and texts of white space have size 0 and only themselves. Rows equal in id and text come out
     alike; rows with the same id and other texts are documents of their own. A null id is no smallest id where another is
-    reached. Further columns play no part."""
+    reached. Further columns play no part. With `keys` also each document's key (row_key) and that of its component's first
+    document, the one with the smallest id and then key (first_key)."""
     spark = docs.sparkSession
-    d = need(docs, id_column, text_column).select(F.col(id_column).alias("doc"), F.xxhash64(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
+    d = need(docs, id_column, text_column).select(F.col(id_column).alias("doc"), row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
     table = spark.sparkContext.broadcast(count_table(d.select("text"), n))  # COUNTERS bytes
     found = cut(classes(d, table, n, percent))
     # a class is what has the same set, a group what has the same prefix and size; copies are met map-side
-    reps = cut(found.groupBy("cls").agg(F.min("doc").alias("doc"), F.min("key").alias("key"), F.min("prefix_key").alias("grp")))
+    reps = cut(found.groupBy("cls").agg(_first(), F.min("prefix_key").alias("grp")).select("cls", "first.doc", "first.key", "grp"))
     heads = reps.groupBy("grp").agg(F.min("cls").alias("cls"), F.count("*").alias("n"))
     groups = cut(found.select(F.col("prefix_key").alias("grp"), "size", "prefix").dropDuplicates(["grp"]))
     postings = groups.select("grp", F.posexplode("prefix").alias("pos", "gram"))
@@ -262,11 +273,13 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     if more.take(1):
         roots = smallest_reachable(links.union(more))
 
-    component = cut(reps.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc", F.coalesce("root", "cls").alias("root")))
-    smallest = component.groupBy("root").agg(F.min("doc").alias("component_id"))
-    of_class = cut(component.join(smallest, "root").select("cls", "component_id"))
-    linked = found.select("key", "cls", "size").join(of_class, "cls").groupBy("key").agg(F.first("size").alias("size"), F.first("component_id").alias("component_id"))
-    return d.select("doc", "key").join(linked, "key", "left").select(F.col("doc").alias(id_column), F.coalesce("size", F.lit(0)).cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    component = cut(reps.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc", "key", F.coalesce("root", "cls").alias("root")))
+    smallest = component.groupBy("root").agg(_first()).select("root", F.col("first.doc").alias("component_id"), F.col("first.key").alias("first_key"))
+    of_class = cut(component.join(smallest, "root").select("cls", "component_id", "first_key"))
+    linked = found.select("key", "cls", "size").join(of_class, "cls").groupBy("key").agg(F.first("size").alias("size"), F.first("component_id").alias("component_id"), F.first("first_key").alias("first_key"))
+    out = d.select("doc", "key").join(linked, "key", "left")
+    more_columns = ["key", F.coalesce("first_key", "key").alias("first_key")] if keys else []
+    return out.select(F.col("doc").alias(id_column), F.coalesce("size", F.lit(0)).cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"), *more_columns)
 
 
 def _apart(reps: DataFrame, roots: DataFrame, met: DataFrame, size_of: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -31,6 +31,16 @@ def test_stages(spark, sf):
     assert sorted((r.doc_id, r.decoded) for r in run.select("doc_id", "decoded").collect()) == [(d, t) for d, t in left if d in set(ids)]
 
 
+def test_near_copies_are_decided_by_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (3, text(1)), (3, text(3)), (None, text(2)), (None, text(4)), (None, text(4)), (5, ""), (5, ""), (6, None), (7, text(7)), (7, text(7) + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, df, "").collect()]
+    sure = [(1, text(1)), (2, text(2)), (3, text(3)), (None, text(4)), (5, ""), (6, None)]
+    assert sorted(map(str, (r for r in got if r[0] != 7))) == sorted(map(str, sure))
+    assert len([r for r in got if r[0] == 7]) == 1
+
+
 def test_a_stage_takes_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
