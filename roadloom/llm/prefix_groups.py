@@ -7,8 +7,15 @@ Group pairs that share a prefix n-gram and whose sizes allow the similarity are
 each pair of classes is verified on its whole sets.
 
 Only components are asked for, so pairs that cannot change them are left out: first each member of an n-gram's list meets the
-list's smallest member; when those links are merged, only pairs from different components remain to be met. A list of thousands
-of near copies thus costs its length, while no link between different components is lost.
+list's smallest member; when those links are merged, only pairs from different components remain to be met.
+
+In a long list nearly every set holds the same n-grams, so that n-grams tell its members apart no more; what a member lacks or has
+beside the others does. The members of long lists with the same head are a family, and its centre is the set of n-grams that more
+than half of its members hold. With D = |A - centre| + |centre - A| for each member A, two members are similar enough exactly if
+their differences overlap in enough n-grams, so a prefix join over the differences, rare n-grams first, finds all of them
+(`differences`, `family_pairs`). Members whose differences are too small to have to overlap are linked for certain, all of them to
+the one with the smallest difference. A list of thousands of near copies, linked or just under the similarity, thus costs its
+length, while no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -24,9 +31,10 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import LOWER, NOT_SPACE, cut, hash_runs, mix, need, read, runs, text_slices, through_filter
 
 N, PERCENT = 3, 90
-#: Lists whose pairs are more than so many times their members can be met by stars again, so many times at most. None by itself:
-#: where near copies lie just under the similarity, further stars merge little and cost a dozen exchanges each.
-LONG_LISTS, MORE_ROUNDS = 20, 0
+#: Lists and groups of so many members or more are met by their differences from a centre, shorter ones by all pairs.
+LONG_LIST = 48
+#: A hot key's rows are dealt to so many parts where they meet one row a key; longer lists than this have more rows than parts.
+PARTS = 48
 #: Counters of n-grams: the order's table has this size at any input.
 COUNTERS = 1 << 20
 
@@ -69,7 +77,8 @@ def count_table(docs: DataFrame, n: int) -> np.ndarray:
                 total += np.bincount(_counter(h), minlength=COUNTERS)
         yield _blocks(np.arange(COUNTERS // block), total, block)
 
-    parts = docs.mapInArrow(work, "block int, counts binary")
+    # merged in two levels, so that no task meets the counts of all others
+    parts = docs.mapInArrow(work, "block int, counts binary").withColumn("part", F.spark_partition_id() % 256)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -78,7 +87,8 @@ def count_table(docs: DataFrame, n: int) -> np.ndarray:
                 sums[b] = sums.get(b, 0) + _unpacked(c)
         yield _blocks(np.array(list(sums), np.int64), np.concatenate(list(sums.values())) if sums else np.zeros(0, np.int64), block)
 
-    merged = parts.repartition("block").mapInArrow(merge, "block int, counts binary").toArrow()  # COUNTERS numbers
+    some = parts.repartition("block", "part").select("block", "counts").mapInArrow(merge, "block int, counts binary")
+    merged = some.repartition("block").mapInArrow(merge, "block int, counts binary").toArrow()  # COUNTERS numbers
     table = np.zeros((COUNTERS // block, block), np.float64)
     for b, c in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist(), strict=True):
         table[b] = _unpacked(c)
@@ -157,17 +167,21 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    a, b = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    # a class in many pairs (a list's head) is dealt to several tasks
+    many = pairs.groupBy("a").agg(F.expr("cast(count(*) div 128 as int)").alias("last"))
+    heads = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")).join(many, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), "last")).alias("part"))
+    dealt = pairs.join(many, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), last + 1) as int)").alias("part"))
+    b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
+    return dealt.join(b, "b").join(heads, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
-def smallest_reachable(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def smallest_reachable(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of the edges (a, b): root is the smallest vertex it reaches. Each round points every vertex at
     the smallest root among its own and its neighbours' and then at that one's root, and writes what it has (checkpoint)."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     roots = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("root"))
     roots = cut(roots)
-    for _ in range(rounds):
+    while True:
         near = both.join(roots.select(F.col("v").alias("b"), F.col("root").alias("other")), "b").groupBy(F.col("a").alias("v")).agg(F.min("other").alias("other"))
         step = roots.join(near, "v").select("v", "root", F.least("root", "other").alias("low"))
         jump = roots.select(F.col("v").alias("low"), F.col("root").alias("far"))
@@ -175,7 +189,6 @@ def smallest_reachable(edges: DataFrame, rounds: int = 50) -> DataFrame:
         roots = new.select("v", F.col("new").alias("root"))
         if not new.where("new <> root").take(1):
             return roots
-    raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 
 def _sizes_fit(x: str, y: str, percent: int) -> Column:
@@ -203,6 +216,86 @@ def fitting(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return both.where((shared > 0) & _room(shared, percent)).select("x", "y")
 
 
+def differences(families: DataFrame, sets: DataFrame, table, percent: int) -> DataFrame:
+    """(fam, cls, root, size, dsize, k, elems) of families (fam, cls, root, size): how a class differs from its family's centre, the
+    n-grams that more than half of the members hold. dsize: the number of n-grams that one of both lacks; elems: the first of them,
+    those that the centre lacks before those that it holds, rare ones first; k = (100 + percent) * dsize - (100 - percent) * size.
+
+    Two sets of the sizes s and t are similar enough exactly if they differ in (s + t) * (100 - percent) / (100 + percent) n-grams at
+    most. They differ in dsize_x + dsize_y - 2 * (what the differences share), so they are if k_x + k_y <= 2 * (100 + percent) * shared.
+    sets: (cls, grams), one row a class. table: the broadcast counts."""
+    held = families.join(sets, "cls")
+    n = families.groupBy("fam").agg(F.count("*").alias("n"))
+    counts = held.select("fam", F.explode("grams").alias("gram")).groupBy("fam", "gram").agg(F.count("*").alias("c"))
+    centre = counts.join(n, "fam").where("2 * c > n").groupBy("fam").agg(F.collect_list("gram").alias("centre"))  # at most twice a member's mean size
+    dealt = _dealt(n.select("fam").join(centre, "fam", "left"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = table.value
+        for batch in batches:
+            dsize, elems = [], []
+            for own, middle in zip(batch.column(4), batch.column(5), strict=True):
+                x = own.values.to_numpy().view(np.uint64)
+                c = middle.values.to_numpy().view(np.uint64) if middle.is_valid else x[:0]
+                diff = np.setxor1d(x, c, assume_unique=True)
+                within = np.isin(diff, c, assume_unique=True)
+                dsize.append(len(diff))
+                diff = diff[np.lexsort((diff, rare[_counter(diff)], within))]
+                # any set that is similar enough differs in no more than (100 - percent) / percent of the size
+                elems.append(diff[: len(x) * (100 - percent) // percent + 1].view(np.int64))
+            size = batch.column(3).to_numpy()
+            d = np.array(dsize, np.int64)
+            k = (100 + percent) * d - (100 - percent) * size
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(d), pa.array(k), pa.array(elems, pa.list_(pa.int64()))], ["fam", "cls", "root", "size", "dsize", "k", "elems"])
+
+    rows = held.withColumn("part", _part()).join(dealt, ["fam", "part"]).select("fam", "cls", "root", "size", "grams", "centre")
+    return cut(rows.mapInArrow(work, "fam long, cls long, root long, size long, dsize long, k long, elems array<long>"))
+
+
+def _part() -> Column:
+    return F.expr(f"cast(pmod(xxhash64(cls), {PARTS}) as int)")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows, one a key, once for each part."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
+def family_pairs(differing: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes from `differences`: those that are links for certain, and those to be verified. Pairs whose
+    components are known to be the same are left out."""
+    best = _dealt(differing.groupBy("fam").agg(F.min(F.struct("k", "cls", "root")).alias("m")))
+    # two members with k_x + k_y <= 0 are each linked to the one with the smallest k, and so are all that it is linked to
+    near = differing.withColumn("part", _part()).join(best, ["fam", "part"])
+    near = near.withColumn("sure", F.expr("k + m.k <= 0"))
+    sure = near.where("sure and cls <> m.cls").select(F.col("m.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    rows = near.select("fam", "cls", "size", "dsize", "k", F.when(F.col("sure"), F.col("m.root")).otherwise(F.col("root")).alias("root"), F.posexplode("elems").alias("pos", "elem"))
+    # an n-gram of the difference that only one member has meets nothing
+    met = cut(rows)
+    shared = met.groupBy("fam", "elem").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("fam", "elem")
+    met = cut(met.join(shared, ["fam", "elem"]))
+    side = lambda name: met.select("fam", "elem", *[F.col(c).alias(f"{c}_{name}") for c in ("cls", "size", "dsize", "k", "pos", "root")])
+    least = F.ceil((F.col("k_x") + F.col("k_y")) / (2 * (100 + percent)))  # n-grams that the differences have to share
+    early = (F.col("pos_x") <= F.col("dsize_x") - least) & (F.col("pos_y") <= F.col("dsize_y") - least)
+    most = F.least("pos_x", "pos_y") + F.least(F.col("dsize_x") - F.col("pos_x"), F.col("dsize_y") - F.col("pos_y"))
+    pairs = side("x").join(side("y"), ["fam", "elem"]).where(F.expr("cls_x < cls_y and root_x <> root_y") & _sizes_fit("size_x", "size_y", percent) & early & (most >= least))
+    return sure, pairs.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
+
+
+def sets_of(texts: DataFrame, n: int) -> DataFrame:
+    """(cls, grams) of (cls, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in text_slices(batch, 1):
+                t, h = shingle_sets(data, offsets, n)
+                bounds = np.searchsorted(t, np.arange(end - row + 1))
+                grams = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), grams], ["cls", "grams"])
+
+    return texts.mapInArrow(work, "cls long, grams array<long>")
+
+
 def row_key(id_column: str, text_column: str) -> Column:
     """Tells documents apart: the same for rows equal in id and text."""
     return F.xxhash64(id_column, text_column)
@@ -240,38 +333,34 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     links = cut(verify(tried, _texts(d, reps, tried), n, percent))
     roots = smallest_reachable(links)
 
-    # while long lists are still apart: each of their groups with another of the list, by another order each time
-    size_of = groups.select("grp", "size")
-    for attempt in range(1, MORE_ROUNDS + 1):
-        rooted, spread, lists = _apart(reps, roots, met, size_of)
-        length = lists.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("grp", F.lit(attempt)), "grp", "low")).alias("m"))
-        work = length.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("square")).first()
-        if work.square <= LONG_LISTS * work.n:
-            break
-        chosen = cut(length.select("gram", F.col("m.grp").alias("x"), F.col("m.low").alias("low_x")))
-        star = fitting(lists.join(chosen, "gram").where("grp <> x and not (low = high and low = low_x)").select("x", F.col("grp").alias("y")).distinct(), groups, percent)
-        first = star.join(heads.select(F.col("grp").alias("x"), F.col("cls").alias("a")), "x").join(heads.select(F.col("grp").alias("y"), F.col("cls").alias("b")), "y").select("a", "b")
-        fresh_pairs = cut(first.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
-        tried = tried.union(fresh_pairs)
-        links = links.union(cut(verify(fresh_pairs, _texts(d, reps, fresh_pairs), n, percent)))
-        roots = smallest_reachable(links)
-    else:
-        rooted, spread, lists = _apart(reps, roots, met, size_of)
-
-    # then all pairs of groups of a list that are still apart; for two sizes the prefix that has to meet is known to the n-gram
-    side = lambda name: lists.select("gram", F.col("grp").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("pos", "low", "high", "size")])
+    # then what is still apart: the pairs of groups of a short list, and of classes of a small group
+    rooted, spread, lists = _apart(reps, roots, met, groups.select("grp", "size"))
+    length = cut(lists.groupBy("gram").agg(F.count("*").alias("n"), F.min("grp").alias("fam")))
+    short = lists.join(length.where(F.col("n") < LONG_LIST).select("gram"), "gram")
+    side = lambda name: short.select("gram", F.col("grp").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("pos", "low", "high", "size")])
+    # for two sizes the prefix that has to meet is known to the n-gram
     early = (F.col("pos_x") <= F.col("size_x") - _overlap(percent)) & (F.col("pos_y") <= F.col("size_y") - _overlap(percent))
     # before this n-gram the sets share no more than the smaller place, after it no more than the smaller rest
     most = F.least("pos_x", "pos_y") + F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))
     near = side("x").join(side("y"), "gram").where(F.expr("x < y and not (low_x = high_y and high_x = low_y)") & _sizes_fit("size_x", "size_y", percent) & early & (most >= _overlap(percent)))
-    pairs = fitting(near.select("x", "y").distinct(), groups, percent).union(spread.where("low <> high").select(F.col("grp").alias("x"), F.col("grp").alias("y")))
+    small = spread.where((F.col("low") != F.col("high")) & (F.col("n") < LONG_LIST)).select(F.col("grp").alias("x"), F.col("grp").alias("y"))
+    pairs = fitting(near.select("x", "y").distinct(), groups, percent).union(small)
     a = rooted.select(F.col("grp").alias("x"), F.col("cls").alias("a"), F.col("root").alias("root_a"))
     b = rooted.select(F.col("grp").alias("y"), F.col("cls").alias("b"), F.col("root").alias("root_b"))
-    rest = pairs.join(a, "x").join(b, "y").where("root_a <> root_b and (x <> y or a < b)").select("a", "b").distinct()
-    rest = cut(rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
-    more = cut(verify(rest, _texts(d, reps, rest), n, percent))
-    if more.take(1):
-        roots = smallest_reachable(links.union(more))
+    rest = pairs.join(a, "x").join(b, "y").where("root_a <> root_b and (x <> y or a < b)").select("a", "b")
+
+    # the classes of long lists and large groups, by what tells them apart
+    far = lists.join(length.where(F.col("n") >= LONG_LIST).select("gram", "fam"), "gram").select("fam", "grp")
+    far = far.union(spread.where((F.col("low") != F.col("high")) & (F.col("n") >= LONG_LIST)).select("grp", "grp")).distinct()
+    families = cut(far.join(rooted.join(groups.select("grp", "size"), "grp"), "grp").select("fam", "cls", "root", "size"))
+    if families.take(1):
+        of = cut(sets_of(_texts(d, reps, families.select(F.col("cls").alias("a"), F.col("cls").alias("b"))), n))
+        sure, close = family_pairs(differences(families, of, table, percent), percent)
+        links = links.union(cut(sure))
+        rest = rest.union(close)
+    rest = cut(rest.distinct().join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
+    links = links.union(cut(verify(rest, _texts(d, reps, rest), n, percent)))
+    roots = smallest_reachable(links)
 
     component = cut(reps.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc", "key", F.coalesce("root", "cls").alias("root")))
     smallest = component.groupBy("root").agg(_first()).select("root", F.col("first.doc").alias("component_id"), F.col("first.key").alias("first_key"))
@@ -283,11 +372,11 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 
 def _apart(reps: DataFrame, roots: DataFrame, met: DataFrame, size_of: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes with their roots; groups with the smallest and the largest root of their classes; and the lists, with sizes, in
-    which more than one root is left."""
+    """Classes with their roots; groups with the smallest and the largest root of their classes and their number; and the lists,
+    with sizes, in which more than one root is left."""
     rooted = cut(reps.select("cls", "grp").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "grp", F.coalesce("root", "cls").alias("root")))
-    spread = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    lists = met.select("gram", "grp", "pos").join(spread, "grp")
+    spread = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    lists = met.select("gram", "grp", "pos").join(spread.drop("n"), "grp")
     apart = cut(lists.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("gram"))
     return rooted, spread, cut(lists.join(apart, "gram").join(size_of, "grp"))
 

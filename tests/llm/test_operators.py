@@ -211,21 +211,29 @@ def test_components_query(spark, sf, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components([(r.doc_id, r.text) for r in docs])
 
 
-def test_long_lists_are_met_by_stars_and_then_whole(spark, monkeypatch):
-    """A list of near copies that are not all alike: whatever the stars find, no link is lost."""
-    rng = np.random.default_rng(3)
-    base = [f"b{i}" for i in range(120)]
+def near_copies(seed, n, most, variants=1):
+    """Texts of one base, or of several that share half of it, each with some words of its own."""
+    rng = np.random.default_rng(seed)
     rows = []
-    for d in range(60):
-        w = list(base)
-        for k in rng.choice(120, rng.integers(0, 4), replace=False):
-            w[k] = f"e{d}x{k}"
-        rows.append((d, " ".join(w)))
+    for d in range(n):
+        w = [f"b{i}" if i < 60 else f"b{i}v{d % variants}" for i in range(120)]
+        for k in rng.choice(120, rng.integers(0, most), replace=False):
+            w[k] = f"e{d}x{k}" if rng.random() < 0.7 else f"e{k}"
+        rows.append((d, " ".join(w[: rng.integers(110, 121)])))
+    return rows
+
+
+@pytest.mark.parametrize("long_list", [2, 10])
+@pytest.mark.parametrize("percent,n", [(90, 3), (80, 5)])
+def test_long_lists_are_met_by_their_differences(spark, monkeypatch, long_list, percent, n):
+    """Lists of near copies that are not all alike, by their differences from a centre: no link is lost."""
+    rows = near_copies(3, 70, 5)
+    rows += [(100 + d, t) for d, t in near_copies(4, 60, 4, variants=3)] + [(300 + i, " ".join(f"b{k}" for k in range(i, i + 5))) for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for rounds in (1,):
-        monkeypatch.setattr(prefix_groups, "LONG_LISTS", 0)
-        monkeypatch.setattr(prefix_groups, "MORE_ROUNDS", rounds)
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in prefix_groups.similar_components(df).collect()} == brute.components(rows)
+    monkeypatch.setattr(prefix_groups, "LONG_LIST", long_list)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in prefix_groups.similar_components(df, n=n, percent=percent).collect()}
+    expected = brute.components(rows, n, percent)
+    assert got == expected and len({c for _, c in expected.values()}) > 20
 
 
 # 6
