@@ -50,22 +50,31 @@ def shared_path(spark: SparkSession, *parts: str) -> str | None:
     return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex]) if base else None
 
 
+def _local_folder(spark: SparkSession) -> str:
+    """A temporary folder, where the one machine is all there is."""
+    import tempfile
+
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="roadloom-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage at this point with checkpoint(), which writes to the shared folder. In tests, where the session names
-    none, a temporary folder serves: the one machine is all there is."""
+    none, a temporary folder serves."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
-        if not folder:
-            import tempfile
-
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="roadloom-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or _local_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    """The frame, written as Parquet below the shared folder and read again: smaller than a checkpoint, which is not compressed."""
+    path = shared_path(df.sparkSession, *parts) or f"{_local_folder(df.sparkSession)}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (first row, end row, bytes, offsets) of a string column, in UTF-8 without a copy; nulls count as empty. A slice has
     at least one row, and more while it stays below `most` bytes."""
@@ -83,6 +92,21 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) ->
         row = end
 
 
+def text_pieces(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As text_slices, but a text of more than `most` bytes comes in several pieces, cut before white space: its row is named by
+    each of them. What is done with the words of a piece then takes bounded memory, however long the text."""
+    for row, end, data, offsets in text_slices(batch, column, most):
+        at = 0
+        while len(data) - at > most and end - row == 1:
+            stop = at + most
+            while stop < len(data) and NOT_SPACE[data[stop : stop + 65536]].all():
+                stop += 65536
+            stop = min(len(data), stop + int(np.argmin(NOT_SPACE[data[stop : stop + 65536]]))) if stop < len(data) else len(data)
+            yield row, end, data[at:stop], np.array([0, stop - at])
+            at = stop
+        yield row, end, data[at:], offsets - at if not at else np.array([0, len(data) - at])
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that the table `inside` marks; a run ends with its text."""
     if not len(data):

@@ -301,44 +301,94 @@ def test_language_model(spark, sf, odd, docs):
     assert {r.train_tokens for r in attention_lm.score_texts(odd, F.lit(False), attention_lm.default_ranks()).collect()} == {0}
 
 
-def test_followers_cover_all_training_texts(spark, sf):
-    """Every pair and triple of every training text counts, those seen once too, and the tables' size changes no score."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    vocabulary = attention_lm.Vocabulary(attention_lm.default_ranks())
-    end, pad, encode = vocabulary.end, vocabulary.pad, vocabulary.encoder()
-    expected = collections.Counter()
-    for r in d.collect():
-        s = [pad, end, *encode(attention_lm.normal(r.text)), end]
-        for i in range(2, len(s)):
-            pair = s[i - 1] << 16 | s[i]
-            expected.update([pair, 1 << 60 | s[i - 2] << 32 | pair, 2 << 60 | s[i]])
-    context = collections.Counter()
-    for code, n in expected.items():
-        context[code >> 16] += n
-    sent = spark.sparkContext.broadcast(vocabulary)
-    rows = d.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("training"))
-    grams = {r.code: (r.c, r.p) for r in attention_lm.grams_of(attention_lm.encoded(rows, sent, -1), end, pad).collect()}
-    assert grams == {code: (n, n / context[code >> 16]) for code, n in expected.items()}
-    scores = [{r.doc_id: r.score for r in attention_lm.score_texts(d, F.lit(True), attention_lm.default_ranks(), slots=slots).collect()} for slots in (attention_lm.SLOTS, (4, 16))]
-    assert all(abs(scores[0][i] - scores[1][i]) <= 1e-4 * abs(scores[0][i]) for i in scores[0])
-
-
-def test_attention_gradients_and_windows():
+def small_model(rng, ids=30, texts=20):
+    seqs = [rng.integers(0, ids, n) for n in (1, 15, 16, 17, 60)] + [np.zeros(0, np.int64)]
+    counts = np.zeros(attention_lm.PAD + 1)
+    counts[: ids - 2] = rng.integers(1, 9, ids - 2)  # two ids have no count
+    counts[ids] = 5
+    return attention_lm.start([s[s < ids - 2] for s in seqs] * texts, counts, ids, passes=1), seqs
+
+
+def plain_log10(m, s, end):
+    """The model's score id by id, without batches: masked attention over the block of the id and the one before."""
+    line, total, n = [end, *s.tolist()], 0.0, attention_lm.BLOCK
+    d = attention_lm.WIDTH // attention_lm.HEADS
+    for t, goal in enumerate([*s.tolist(), end]):
+        first = (t // n - 1) * n
+        seen = range(max(first, 0), t + 1)
+        c = [int(m.compact[line[i]]) for i in seen]
+        o = np.zeros(attention_lm.WIDTH)
+        for h in range(attention_lm.HEADS):
+            own = slice(h * d, h * d + d)
+            q = (m.query[c[-1]] + m.query_place[t % n])[own].astype(float)
+            a = np.exp([q @ (m.key[x] + m.key_place[i - first])[own] + m.key_bias[x] for i, x in zip(seen, c, strict=True)])
+            o[own] = (a / a.sum()) @ m.value[c][:, own]
+        hidden = np.maximum(m.own[c[-1]] + o @ m.mixin, 0)
+        g = int(m.compact[goal])
+        z = np.exp(hidden @ m.class_out + m.class_bias)
+        k = m.class_of[g]
+        y = np.exp(m.within[m.bounds[k] : m.bounds[k + 1]] @ hidden + m.within_bias[m.bounds[k] : m.bounds[k + 1]])
+        p = z[k] / z.sum() * y[m.place[g] - m.bounds[k]] / y.sum()
+        total += np.log10(p) - (m.log_others / np.log(10) if g == m.other else 0)
+    return total
+
+
+def test_scores_against_a_plain_version():
     rng = np.random.default_rng(0)
-    seqs = [rng.integers(0, 30, n) for n in (1, 15, 16, 17, 60)] + [np.zeros(0, np.int64)]
-    end, pad = 30, 31
-    c = np.arange(4)
-    grams = [attention_lm.Grams(c, c / 8, c, n) for n in attention_lm.SLOTS]
-    counts = np.ones(pad + 1)
-    m = attention_lm.fit(seqs * 20, counts, grams, end, pad, epochs=1)
-    together, alone = m.log10(seqs, end, pad), np.array([m.log10([s], end, pad)[0] for s in seqs])
-    assert np.allclose(together, alone, rtol=1e-4) and (together < 0).all()
-    # what follows a token has no part in its score: a longer text's first block scores alike
-    a, b = rng.integers(0, 30, 40), rng.integers(0, 30, 40)
-    b[:20] = a[:20]
-    w = lambda s: attention_lm._windows([s], end, pad)
-    pa_, pb = (m.shares(w(s)[0], np.maximum(w(s)[1], 0)).reshape(-1)[:19] for s in (a, b))
-    assert np.allclose(pa_, pb, rtol=1e-4)
+    m, seqs = small_model(rng)
+    together, alone = m.log10(seqs, 30), np.array([m.log10([s], 30)[0] for s in seqs])
+    expected = [plain_log10(m, s, 30) for s in seqs]
+    assert np.allclose(together, alone, rtol=1e-4) and np.allclose(together, expected, rtol=1e-4) and (together < 0).all()
+    long = rng.integers(0, 30, 700)
+    pieces = [(w, t) for w, t in attention_lm.windows(long, 30, 3)]
+    whole = next(attention_lm.windows(long, 30, None))
+    assert all((np.concatenate([p[k] for p in pieces]) == whole[k]).all() for k in (0, 1))
+    # all ids together, those without a count too, have the probability 1
+    h = attention_lm.forward(m, m.compact[whole[0][:1]])[-1][:1]
+    every = m.compact[np.arange(31)]
+    p = np.exp(m.log_p(np.repeat(h, 31, 0), every) - np.where(every == m.other, m.log_others, 0))
+    assert abs(p.sum() - 1) < 1e-4
+
+
+def test_gradients_by_finite_differences():
+    rng = np.random.default_rng(1)
+    m, seqs = small_model(rng, texts=4)
+    for name in (*attention_lm.BY_ID, *attention_lm.DENSE):
+        setattr(m, name, getattr(m, name).astype(np.float64))
+    w, t = next(attention_lm.windows(seqs[4], 30, None))
+    w, t = m.compact[w], np.where(t >= 0, m.compact[t], -1)
+    _, g = attention_lm.gradients(m, w, t)
+    for name in (*attention_lm.BY_ID, *attention_lm.DENSE):
+        x = getattr(m, name)
+        places = [np.unravel_index(i, x.shape) for i in np.argsort(-np.abs(g[name]).reshape(-1))[:3]] + [tuple(rng.integers(0, n) for n in x.shape) for _ in range(5)]
+        for at in places:
+            old, e = x[at], 1e-5
+            x[at] = old + e
+            up = attention_lm.gradients(m, w, t)[0]
+            x[at] = old - e
+            down = attention_lm.gradients(m, w, t)[0]
+            x[at] = old
+            assert abs((up - down) / (2 * e) - g[name][at]) < 1e-4 * max(1, abs(g[name][at])), name
+
+
+def test_changes_of_tasks_are_averaged(spark):
+    """Several tasks, each with its windows, change the model as the mean of what each does alone; nothing to learn changes nothing."""
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 1 << 40)), rng.integers(0, 28, 200).astype("<u2").tobytes()) for _ in range(20)]
+    ids = spark.createDataFrame(rows, "key long, ids binary")
+    before, after, again = (small_model(np.random.default_rng(0))[0] for _ in range(3))
+    attention_lm.go_on(after, ids, 30, share=1, task_windows=70)
+    attention_lm.go_on(again, ids.repartition(3), 30, share=1, task_windows=70)
+    assert np.allclose(after.own, again.own, atol=1e-6) and np.abs(after.own - before.own).max() > 1e-3
+    test = [np.frombuffer(x, "<u2").astype(np.int64) for _, x in rows]
+    assert after.log10(test, 30).sum() > before.log10(test, 30).sum()
+    same = attention_lm.go_on(small_model(np.random.default_rng(0))[0], ids.limit(0), 30)
+    assert (same.own == before.own).all()
+
+
+def test_attention_beats_the_base_held_out(spark):
+    got = catalogue.QUERIES["op8_attention_lm"](spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert got.s > got.b and got.s / got.n > -4.05
 
 
 # 9
