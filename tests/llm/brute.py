@@ -52,23 +52,18 @@ def sentences(text):
     return out
 
 
-def repeated_spans(docs, least=3, words_=20, enough=40):
-    """Numbers of removed sentences by document; docs in the order of their ids."""
-    seen = collections.defaultdict(list)
+def repeated_spans(docs, least=3, enough=40):
+    """Numbers of removed sentences by document: all runs of `least` sentences or more, and of two with `enough` words, whatever
+    their length, that stand earlier too. docs in the order of their ids."""
+    first, gone = {}, {}
     for d, t in docs:
-        s = sentences(t)
+        s, gone[d] = sentences(t), set()
         for i in range(len(s)):
-            n = 0
-            for j in range(i, len(s)):
-                n += len(s[j])
-                if (j - i + 1 >= least and n >= words_) or n >= enough:
-                    seen[tuple(w for x in s[i : j + 1] for w in x)].append((d, i, j + 1))
-                    break
-    gone = collections.defaultdict(set)
-    for places in seen.values():
-        for d, i, j in sorted(places)[1:]:
-            gone[d].update(range(i, j))
-    return {d: sorted(gone[d]) for d, _ in docs}
+            for j in range(i + 2, min(i + 6, len(s)) + 1):  # a longer run is covered by these
+                if j - i >= least or sum(map(len, s[i:j])) >= enough:
+                    if first.setdefault(tuple(w for x in s[i:j] for w in x), (d, i)) != (d, i):
+                        gone[d].update(range(i, j))
+    return {d: sorted(x) for d, x in gone.items()}
 
 
 def shingles(text, n=3):
@@ -106,9 +101,10 @@ def removed_lines(docs, least=20):
     first = {}
     for d, t in docs:
         for p, line in enumerate(t.split("\n") if t is not None else []):
-            if len(line) >= least:
+            if re.search(r"[^\x09-\x0D\x20]", line):
                 first.setdefault(line, (d, p))
-    near = {b for b in first for a in first if first[a] < first[b] and distance_one(a, b)}
+    long = [x for x in first if len(x) >= least]
+    near = {b for b in long for a in long if first[a] < first[b] and distance_one(a, b)}
     out = {}
     for d, t in docs:
         lines = t.split("\n") if t is not None else []
@@ -147,3 +143,30 @@ def personal(text):
             if kind == "email" or (kind == "ip" and all(int(v) <= 255 for v in m[0].split("."))) or (kind == "card" and 14 <= len(d) <= 19 and luhn(d)) or (kind == "phone" and 10 <= len(d) <= 15):
                 out.append((m.start(), order, m.end(), kind))
     return [f"{k}:{a}:{b}" for a, _, b, k in sorted(out)]
+
+
+def ppm_bits(samples, text, order=3):
+    """The code length of a text after training on the samples: escapes of method C, by dictionaries."""
+
+    def fold(t):
+        return re.sub(rb"[0-9]", b"0", re.sub(rb"[\x09-\x0D]", b" ", lower(t).encode()))
+
+    tree = collections.defaultdict(collections.Counter)
+    for t in samples:
+        b = b" " * order + fold(t)
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                tree[b[i - k : i]][b[i]] += 1
+    total, b = 0.0, b" " * order + fold(text)
+    for i in range(order, len(b)):
+        for k in range(order, -1, -1):
+            c = tree.get(b[i - k : i])
+            if c:
+                n = sum(c.values()) + len(c)
+                if c[b[i]]:
+                    total -= math.log2(c[b[i]] / n)
+                    break
+                total -= math.log2(len([x for x in c.values() if x]) / n)
+        else:
+            total += 8
+    return total

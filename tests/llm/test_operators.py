@@ -4,10 +4,11 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.llm import attention_lm, catalogue, line_variants, metric_tree, pii_boosting, piece_bpe, ppm_language, prefix_groups, sentence_spans, suffix_decontamination, toxicity_pu
+from roadloom.llm import attention_lm, catalogue, common, line_variants, metric_tree, pii_boosting, piece_bpe, ppm_language, prefix_groups, sentence_spans, suffix_decontamination, toxicity_pu
 from tests.llm import brute
 
 LONG = " ".join(f"word{i % 997}x{i % 31}." for i in range(30_000))
@@ -152,10 +153,10 @@ def test_spans(spark, sf, odd, docs):
 
 
 def test_every_sentence_of_a_repeated_run_goes(spark):
-    """Against all runs, whatever their length, that are long enough and stand earlier too."""
+    """Against all runs of three sentences or more, and of two with 40 words, that stand earlier too."""
     rng = np.random.default_rng(5)
     sentence = lambda n, tag: " ".join([*(f"{tag}w{i}" for i in range(n - 1)), f"{tag}end."])
-    passages = [[sentence(n, f"p{k}s{i}") for i, n in enumerate(sizes)] for k, sizes in enumerate([(25, 25, 12), (45, 38), (5, 6, 9), (5, 6, 8), (50,), (3, 4, 30, 39, 2, 2), *[rng.integers(1, 45, 6) for _ in range(10)]])]
+    passages = [[sentence(n, f"p{k}s{i}") for i, n in enumerate(sizes)] for k, sizes in enumerate([(25, 25, 12), (45, 38), (5, 6, 9), (5, 6, 8), (50,), (20, 19), (1, 1, 2), (3, 4, 30, 39, 2, 2), *[rng.integers(1, 45, 6) for _ in range(10)]])]
     rows = [(2 * k + copy, " ".join([sentence(7, f"a{k}c{copy}"), *p, sentence(8, f"b{k}c{copy}")])) for k, p in enumerate(passages) for copy in range(2)]
     rows += [(100 + 2 * k + copy, " ".join(p) + f" {k}.") for k, p in enumerate([[sentence(25, "x"), sentence(25, "y"), sentence(12, "z")]]) for copy in range(2)]
     first, expected = {}, {d: set() for d, _ in rows}
@@ -164,7 +165,7 @@ def test_every_sentence_of_a_repeated_run_goes(spark):
         for i in range(len(s)):
             for j in range(i + 1, len(s) + 1):
                 n = sum(map(len, s[i:j]))
-                if (j - i >= 3 and n >= 20) or n >= 40:
+                if j - i >= 3 or (j - i == 2 and n >= 40):
                     if first.setdefault(tuple(w for x in s[i:j] for w in x), (d, i)) != (d, i):
                         expected[d].update(range(i, j))
     got = {r.doc_id: set(r.removed) for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -250,10 +251,23 @@ def test_lines(spark, odd):
     got = line_variants.dedup_lines(odd, keep_columns=True)
     assert got.columns == odd.columns and got.count() == len(ROWS)
     by = {r.doc_id: r.text for r in got.collect()}
-    assert by[3] is None and by[4] == "" and by[7] == "short\nshort" and by[2].endswith("Other end.") and by[5] == LONG
+    assert by[3] is None and by[4] == "" and by[7] == "short" and by[2].endswith("Other end.") and by[5] == LONG
     assert line_variants.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_that_differ_in_one_place_and_long_lines(spark):
+    """Groups of lines that differ in one character, insertions among them, and lines of many segments, against a plain version."""
+    rng = np.random.default_rng(6)
+    base = "Chapter 0 of the book that everyone here has read"
+    texts = [base.replace("0", c) for c in "zxcvbnm123456789"] + [base.replace("0", "11"), base.replace("0", ""), base.replace("0", "1 "), "a\nb\na", " \n\n \t\nb"]
+    long = "".join(rng.choice(list("abcdefgh "), 3000))
+    texts += [long, long[:1200] + "Q" + long[1201:], long[:2999], long[:40] + long[41:], long + "x", long[:700] + long[702:], long[:1500] + "zz" + long[1500:]]
+    order = rng.permutation(len(texts))
+    rows = [(int(i), texts[k]) for i, k in enumerate(order)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: list(r.removed) for r in line_variants.dedup_lines(df).collect()} == brute.removed_lines(rows)
+
+
 def test_no_python_in_native_plans(spark, sf):
     for name in ("op6_line_variants", "op10_pii_boosting"):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
@@ -280,10 +294,40 @@ def test_language_query_held_out(spark):
     assert got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
-def test_code_lengths_are_probabilities():
+def test_code_lengths_against_dictionaries():
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 3, (4, 4, 4))
-    assert (2 ** -ppm_language.code_lengths(counts)).sum(axis=-1).max() <= 1 + 1e-9
+    texts = ["".join(rng.choice(list("abcAé中 \n7"), rng.integers(1, 60))) for _ in range(40)]
+    for order in (0, 1, 3):
+        batch = pa.RecordBatch.from_pydict({"text": texts[:20]})
+        codes = np.concatenate([c for _, _, c, _ in ppm_language._codes(batch, 0, order)])
+        code, n = np.unique(codes, return_counts=True)
+        trees = ppm_language.Trees(["x"], [ppm_language.Tree(code, n, order)], order)
+        test = pa.RecordBatch.from_pydict({"text": [*texts[20:], None, ""]})
+        got = ppm_language.code_lengths(test, 0, trees)[:, 0]
+        assert np.allclose(got, [*(brute.ppm_bits(texts[:20], t, order) for t in texts[20:]), 0, 0])
+        # after any context the 256 bytes share one unit of probability
+        p = 2.0 ** -trees.trees[0].bits((int(codes[5]) >> 8 << 8) | np.arange(256))
+        assert p.sum() <= 1 + 1e-9
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    """A text in many pieces has the bits of the whole, its bytes in the other languages as well."""
+    text = " ".join(f"wörd{i % 37} {'x' * (i % 50)}" for i in range(400))
+    batch = pa.RecordBatch.from_pydict({"text": ["short one", text, None, text[:77]]})
+    whole = [c for _, _, c, _ in ppm_language._codes(batch, 0, 3)]
+    monkeypatch.setattr(common.text_pieces, "__defaults__", (300,))
+    pieces = [c for _, _, c, _ in ppm_language._codes(batch, 0, 3)]
+    assert len(pieces) > 10 > len(whole) and (np.concatenate(pieces) == np.concatenate(whole)).all()
+
+
+def test_languages_share_no_bound(spark):
+    """Twice as many languages leave order, bytes and code lengths as they are."""
+    rows = [(i, " ".join(f"{chr(97 + i % 8 * 3)}{chr(0x430 + i % 16)}{k % 7}" for k in range(30)), f"l{i % 16:02}") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    half, whole = (ppm_language.train(x) for x in (df.where("lang < 'l08'"), df))
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t, _ in rows]})
+    assert len(whole.languages) == 16 and whole.order == half.order
+    assert np.allclose(ppm_language.code_lengths(batch, 0, whole)[:, :8], ppm_language.code_lengths(batch, 0, half))
 
 
 # 8
@@ -312,18 +356,13 @@ def small_model(rng, ids=30, texts=20):
 def plain_log10(m, s, end):
     """The model's score id by id, without batches: masked attention over the block of the id and the one before."""
     line, total, n = [end, *s.tolist()], 0.0, attention_lm.BLOCK
-    d = attention_lm.WIDTH // attention_lm.HEADS
     for t, goal in enumerate([*s.tolist(), end]):
         first = (t // n - 1) * n
         seen = range(max(first, 0), t + 1)
         c = [int(m.compact[line[i]]) for i in seen]
-        o = np.zeros(attention_lm.WIDTH)
-        for h in range(attention_lm.HEADS):
-            own = slice(h * d, h * d + d)
-            q = (m.query[c[-1]] + m.query_place[t % n])[own].astype(float)
-            a = np.exp([q @ (m.key[x] + m.key_place[i - first])[own] + m.key_bias[x] for i, x in zip(seen, c, strict=True)])
-            o[own] = (a / a.sum()) @ m.value[c][:, own]
-        hidden = np.maximum(m.own[c[-1]] + o @ m.mixin, 0)
+        q = (m.query[c[-1]] + m.query_place[t % n]).astype(float)
+        a = np.exp([q @ (m.key[x] + m.key_place[i - first]) + m.key_bias[x] for i, x in zip(seen, c, strict=True)])
+        hidden = np.maximum(m.own[c[-1]] + (a / a.sum()) @ m.value[c], 0)
         g = int(m.compact[goal])
         z = np.exp(hidden @ m.class_out + m.class_bias)
         k = m.class_of[g]
@@ -371,6 +410,17 @@ def test_gradients_by_finite_differences():
             assert abs((up - down) / (2 * e) - g[name][at]) < 1e-4 * max(1, abs(g[name][at])), name
 
 
+def test_ids_of_words_are_those_of_the_text(spark, odd):
+    """Texts word by word, in pieces and not, have the ids of the whole text."""
+    vocabulary = attention_lm.Vocabulary(attention_lm.default_ranks())
+    texts = [r[1] or "" for r in ROWS] + ["It's 1,000.50 €  ünï\u00a0x \u2003y\u00a0 z don'T", " a", "\u00a0 \u00a0b c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").select("doc", F.col("doc").alias("key"), "text", F.lit(True).alias("training"))
+    head = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0)))
+    got = {r.doc: np.frombuffer(r.ids, "<u2").tolist() for r in attention_lm.encoded(rows, spark.sparkContext.broadcast(vocabulary), -7, head).collect()}
+    encode = vocabulary.encoder()
+    assert got == {i: encode(attention_lm.normal(t)) for i, t in enumerate(texts)}
+
+
 def test_changes_of_tasks_are_averaged(spark):
     """Several tasks, each with its windows, change the model as the mean of what each does alone; nothing to learn changes nothing."""
     rng = np.random.default_rng(2)
