@@ -1,10 +1,10 @@
 """Operator 3, substring dedup by sliding sentence spans.
 
-From every sentence a span of consecutive sentences begins: the shortest one of at least `sentences` sentences and `least_words`
-words, or of `enough_words` words where sentences are long. With every sentence the shortest such span also ends, so that the last
-sentences of a repeated passage, too few for a span of their own, are covered as well. Spans are hashed (words without case, whatever the white space) and
-met globally by hash; of each repeated span the occurrence with the smallest (id, place) is the first, and sentences that any
-other occurrence covers are removed from their document.
+Every run of `sentences` consecutive sentences is a span, whatever their length, and so is every run of two whose words are
+`enough_words` or more; longer runs that repeat are covered by the spans inside them, to their last sentence. A single sentence is
+no span. Spans are hashed (words without case, whatever the white space) and met globally by hash; of each repeated span the
+occurrence with the smallest (id, place) is the first, and sentences that any other occurrence covers are removed from their
+document.
 """
 
 from __future__ import annotations
@@ -18,34 +18,27 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.common import Sentences, cut, need, read, text_slices
 
-SENTENCES, LEAST_WORDS, ENOUGH_WORDS = 3, 20, 40
+SENTENCES, ENOUGH_WORDS = 3, 40
 
 
-def spans_of(s: Sentences, sentences: int, least_words: int, enough_words: int) -> tuple[np.ndarray, np.ndarray]:
+def spans_of(s: Sentences, sentences: int, enough_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the sentences at which a span begins, and of the sentence after its end; none that would leave its text."""
-    n = len(s.first_word)
-    begin = np.arange(n)
-    by_count = np.searchsorted(s.end_word, s.first_word + least_words) + 1  # sentences until least_words are reached
-    long = np.searchsorted(s.end_word, s.first_word + enough_words) + 1
-    end = np.minimum(np.maximum(begin + sentences, by_count), long)
-    fits = end <= s.first_sentence[1:][s.text]
-    # the same backwards, from the end of each sentence
-    by_count = np.searchsorted(s.first_word, s.end_word - least_words, "right") - 1
-    long = np.searchsorted(s.first_word, s.end_word - enough_words, "right") - 1
-    back = np.maximum(np.minimum(begin + 1 - sentences, by_count), long)
-    inside = back >= s.first_sentence[:-1][s.text]
-    code = np.unique(np.concatenate([begin[fits] * (n + 1) + end[fits], back[inside] * (n + 1) + begin[inside] + 1]))
-    return code // (n + 1), code % (n + 1)
-
-
-def span_rows(docs: DataFrame, sentences: int, least_words: int, enough_words: int) -> DataFrame:
+    begin = np.arange(len(s.first_word))
+    stop = s.first_sentence[1:][s.text]
+    whole = begin[begin + sentences <= stop]
+    two = begin[begin + 2 <= stop] if sentences > 2 else begin[:0]
+    two = two[s.end_word[two + 1] - s.first_word[two] >= enough_words]
+    return np.concatenate([whole, two]), np.concatenate([whole + sentences, two + 2])
+
+
+def span_rows(docs: DataFrame, sentences: int, enough_words: int) -> DataFrame:
     """(h, doc, key, place, size) for every span of (doc, key, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, data, offsets in text_slices(batch, 2):
                 s = Sentences(data, offsets)
-                begin, end = spans_of(s, sentences, least_words, enough_words)
+                begin, end = spans_of(s, sentences, enough_words)
                 if not len(begin):
                     continue
                 h = s.hash_words(s.first_word[begin], s.end_word[end - 1]).view(np.int64)
@@ -57,7 +50,7 @@ def span_rows(docs: DataFrame, sentences: int, least_words: int, enough_words: i
     return docs.mapInArrow(work, f"h long, doc {kind}, key long, place int, size int")
 
 
-def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences: int = SENTENCES, least_words: int = LEAST_WORDS, enough_words: int = ENOUGH_WORDS) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sentences: int = SENTENCES, enough_words: int = ENOUGH_WORDS) -> DataFrame:
     """Rows (id, n_sentences, removed array<int>, text): the numbers of the sentences removed, from 0, and the text without them.
 
     A null text stays null and an empty one empty, with no sentences. Rows equal in id and text are one document: each comes out
@@ -65,7 +58,7 @@ def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     ids come first. Further columns play no part."""
     d = need(docs, id_column, text_column)
     d = d.select(F.col(id_column).alias("doc"), F.xxhash64(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
-    spans = span_rows(d, sentences, least_words, enough_words)
+    spans = span_rows(d, sentences, enough_words)
     place = F.struct("doc", "key", "place")
     repeated = spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("not (first <=> last)").select("h", "first")
     repeated = cut(repeated)  # so that both sides of the join come from an exchange, and Spark can split a hot span's part
