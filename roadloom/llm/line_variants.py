@@ -1,14 +1,18 @@
 """Operator 6, line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-Two lines are copies when the edit distance (insertions, deletions and substitutions of characters) is 1 at most: then deleting
-at most one character from each gives the same text. So a line emits its variants, itself and itself without each single
-character, as hashed keys; lines that share a key are joined, the edit distance is verified on their text, and of two copies the
-later one goes.
+Two lines are copies when they are equal, or, if they are long enough, when the edit distance (insertions, deletions and
+substitutions of characters) is 1: then deleting one character from the longer one, or the same place from both, gives the same
+text. So a line emits its variants, itself and itself without each single character, as hashed keys; lines that share a key are
+joined, the edit distance is verified on their text, and of two copies the later one goes.
+
+Lines that share a variant with the same place left out differ in that place alone, so all of them are copies of each other, and
+each only has to meet the earliest of them; a line that is another's variant meets the earliest of those. So a group of thousands
+of lines that differ in one character costs its length.
 
 A line of 300 characters has 301 variants, most of them of no use: copies also share, to the character, all that the edit leaves
 alone. Lines first emit hashes of their halves, with the length that the shorter copy would have; lines that share one with
-another line cut the other half into segments and emit hashes of all but one; only where these meet again, variants of the one
-segment are emitted. Nothing that the full neighbourhood would find is lost, and a line's work grows little faster than it.
+another line cut the other half into parts, again and again, and emit hashes of all but one; only where these meet, variants of the
+last, short part are emitted. Nothing that the full neighbourhood would find is lost, and a line's work grows in proportion to it.
 """
 
 from __future__ import annotations
@@ -16,16 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import cut, fresh, need, read, through_filter
+from roadloom.llm.common import cut, fresh, let, need, read, through_filter
 
-#: Shorter lines (headings, list marks, page numbers) are kept however often they occur.
+#: Shorter lines are copies only of equal ones: one edit in fewer characters is more than a twentieth of the line.
 LEAST_CHARS = 20
-#: Characters of a segment, about.
-SEGMENT = 48
+#: A region of more characters is cut into parts again, so many at most.
+SEGMENT, FAN = 48, 16
 
 
 def _half_keys(line: Column, size: Column) -> Column:
-    """Structs (half, low, size, more): hashes of the beginning and the end that a copy with one edit in the other half shares,
+    """Structs (key, low, size, more): hashes of the beginning and the end that a copy with one edit in the other half shares,
     for shorter copies of this length or one less: floor(s / 2) characters from the front, or the other s - floor(s / 2) from
     the back; and the region left: its place, its size in the shorter copy, and by how much this line is longer."""
     halves = []
@@ -33,36 +37,40 @@ def _half_keys(line: Column, size: Column) -> Column:
         s = size - less
         front = F.floor(s / 2).cast("int")
         back = s - front
-        halves.append(F.struct(F.xxhash64(s, F.lit(0), F.substr(line, F.lit(1), front)).alias("half"), front.alias("low"), back.alias("size"), F.lit(less).alias("more")))
-        halves.append(F.struct(F.xxhash64(s, F.lit(1), F.substr(line, size - back + 1, back)).alias("half"), F.lit(0).alias("low"), front.alias("size"), F.lit(less).alias("more")))
+        halves.append(F.struct(F.xxhash64(s, F.lit(0), F.substr(line, F.lit(1), front)).alias("key"), front.alias("low"), back.alias("size"), F.lit(less).alias("more")))
+        halves.append(F.struct(F.xxhash64(s, F.lit(1), F.substr(line, size - back + 1, back)).alias("key"), F.lit(0).alias("low"), front.alias("size"), F.lit(less).alias("more")))
     return F.array(*halves)
 
 
-def _variants(half: Column, rest: Column) -> Column:
-    """Hashed keys of what lies around a segment with the segment, and with the segment without each of its characters."""
-    size = F.length(rest)
+def _variants(key: Column, region: Column, more: Column) -> Column:
+    """Structs (variant, longer): hashed keys of a region and of what lies around it. A line without `more` emits the region
+    without the character at each place, with the place, for lines of its length, and the whole region for longer ones; a line with
+    `more` the region without each character, as what a shorter line has there."""
+    size = F.length(region)
     places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    without = F.transform(places, lambda i: F.xxhash64(half, F.concat(F.substr(rest, F.lit(1), i - 1), F.substr(rest, i + 1, size))))
-    return F.array_distinct(F.concat(F.array(F.xxhash64(half, rest)), without))
+    rest = lambda i: F.concat(F.substr(region, F.lit(1), i - 1), F.substr(region, i + 1, size))
+    entry = lambda h, longer: F.struct(h.alias("variant"), F.lit(longer).alias("longer"))
+    own = F.concat(F.array(entry(F.xxhash64(key, F.lit(0), region), 0)), F.transform(places, lambda i: entry(F.xxhash64(key, i, rest(i)), 0)))
+    return F.when(more == 0, own).otherwise(F.transform(places, lambda i: entry(F.xxhash64(key, F.lit(0), rest(i)), 1)))
 
 
-def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(h, doc, key, place, line, size) for each line that is long enough, of (doc, key, text)."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(h, doc, key, place, line, size) for each line with a character that is not white space, of (doc, key, text)."""
     lines = docs.select("doc", "key", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).withColumn("size", F.length("line"))
-    return lines.where(F.col("size") >= least_chars).withColumn("h", F.xxhash64("line", F.col("size")))
+    return lines.where(F.col("line").rlike(r"[^\x09-\x0D\x20]")).withColumn("h", F.xxhash64("line", F.col("size")))
 
 
-def _segment_keys(half: Column, line: Column, low: Column, size: Column, more: Column) -> Column:
+def _parts(key: Column, line: Column, low: Column, size: Column, more: Column) -> Column:
     """Structs (key, low, size): the region of `size` characters (of the shorter copy; this line has `more`, 0 or 1) after the
-    first `low` ones is cut into segments, and each stands with a hash of what lies on both of its sides."""
-    n = F.greatest(F.lit(1), F.floor(size / SEGMENT).cast("int"))
+    first `low` ones is cut into parts, FAN at most, and each stands with a hash of what lies on both of its sides."""
+    n = F.least(F.lit(FAN), F.ceil(size / SEGMENT).cast("int"))
 
-    def key(k: Column) -> Column:
+    def part(k: Column) -> Column:
         begin, end = F.floor(k * size / n).cast("int"), F.floor((k + 1) * size / n).cast("int")
         before, behind = F.substr(line, low + 1, begin), F.substr(line, low + end + more + 1, size - end)
-        return F.struct(F.xxhash64(half, k, before, behind).alias("key"), (low + begin).alias("low"), (end - begin).alias("size"))
+        return F.struct(F.xxhash64(key, k, before, behind).alias("key"), (low + begin).alias("low"), (end - begin).alias("size"))
 
-    return F.transform(F.sequence(F.lit(0), n - 1), key)
+    return F.transform(F.sequence(F.lit(0), n - 1), part)
 
 
 def _met(rows: DataFrame, key: str) -> DataFrame:
@@ -73,49 +81,62 @@ def _met(rows: DataFrame, key: str) -> DataFrame:
 
 def copied_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(h, at, near): lines that go somewhere, by hash, with their first place; a near copy of an earlier line goes there too."""
-    lines = lines_of(docs, least_chars)
+    lines = lines_of(docs)
+    long = lines.where(F.col("size") >= least_chars)
     at = F.struct("doc", "key", "place")
     distinct = cut(lines.groupBy("h").agg(F.min(at).alias("at"), F.count("*").alias("n")))
-    halves = cut(_met(lines.select("h", F.explode(_half_keys(F.col("line"), F.col("size"))).alias("k")).select("h", "k.*"), "half").distinct())
-    wanted = distinct.join(halves.select("h").distinct(), "h").select("h", "at")
-    wanted = cut(wanted)
-    texts = through_filter(lines, wanted).join(wanted, "h").where(at.eqNullSafe(F.col("at"))).select("h", "line", "at").dropDuplicates(["h"])
+    regions = cut(_met(long.select("h", F.explode(_half_keys(F.col("line"), F.col("size"))).alias("k")).select("h", "k.*"), "key").distinct())
+    wanted = cut(distinct.join(regions.select("h").distinct(), "h").select("h", "at"))
+    texts = through_filter(long, wanted).join(wanted, "h").where(at.eqNullSafe(F.col("at"))).select("h", "line", "at").dropDuplicates(["h"])
     texts = cut(texts)
     known = texts.select("h", "line")
-    segments = halves.join(known, "h").select("h", F.explode(_segment_keys(F.col("half"), F.col("line"), F.col("low"), F.col("size"), F.col("more"))).alias("k"), "more").select("h", "k.*", "more")
-    segments = cut(_met(segments, "key").distinct())
+    short = regions.where(F.col("size") <= SEGMENT)
+    open_ = regions.where(F.col("size") > SEGMENT)
+    while open_.take(1):  # a line of n characters is cut log(n / SEGMENT) / log(FAN) times
+        parts = open_.join(known, "h").select("h", F.explode(_parts(F.col("key"), F.col("line"), F.col("low"), F.col("size"), F.col("more"))).alias("k"), "more").select("h", "k.*", "more")
+        regions = cut(_met(parts, "key").distinct())
+        short = short.unionByName(regions.where(F.col("size") <= SEGMENT))
+        open_ = regions.where(F.col("size") > SEGMENT)
     region = F.substr("line", F.col("low") + 1, F.col("size") + F.col("more"))
-    variants = segments.join(known, "h").select("h", F.explode(_variants(F.col("key"), region)).alias("variant"))
-    meeting = cut(_met(variants, "variant"))
-    pairs = meeting.select("variant", F.col("h").alias("a")).join(meeting.select("variant", F.col("h").alias("b")), "variant").where("a < b").select("a", "b").distinct()
+    variants = short.join(texts, "h").select("h", "at", F.explode(_variants(F.col("key"), region, F.col("more"))).alias("v")).select("h", "at", "v.*")
+    # of each variant the earliest line, and the earliest of those that are longer
+    first = lambda longer: F.min(F.when(F.col("longer") == longer, F.struct("at", "h")))
+    firsts = variants.groupBy("variant").agg(first(0).alias("own"), first(1).alias("other"), F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("variant", "own", "other")
+    meeting = cut(variants.join(firsts, "variant"))
+    # a shorter line meets the longer ones' earliest; lines of one length, and the longer ones, meet the earliest without more
+    a = F.when((F.col("longer") == 0) & (F.col("other.at") < F.coalesce("own.at", "other.at")), F.col("other.h")).otherwise(F.col("own.h"))
+    pairs = meeting.select(a.alias("a"), F.col("h").alias("b")).where("a <> b").distinct()
     x = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("at").alias("at_a"))
     y = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("at").alias("at_b"))
-    close = pairs.join(x, "a").join(y, "b").where(F.levenshtein("line_a", "line_b", 1) >= 0)
-    near = close.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("near", F.lit(True))
+    close = pairs.join(x, "a").join(y, "b").where((F.col("at_a") < F.col("at_b")) & (F.levenshtein("line_a", "line_b", 1) >= 0))
+    near = close.select(F.col("b").alias("h")).distinct().withColumn("near", F.lit(True))
     return distinct.join(near, "h", "left").where("n > 1 or near").select("h", "at", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = LEAST_CHARS, keep_columns: bool = False) -> DataFrame:
     """Rows (id, n_lines, removed array<int>, text): the numbers of the lines removed, from 0, and the text without them. Of equal
-    lines the one with the smallest (id, place) stays; a line within one edit of a distinct line that begins earlier goes
-    everywhere, whether or not that one stays. Lines of fewer than `least_chars` characters stay.
+    lines the one with the smallest (id, place) stays; a line of `least_chars` characters or more within one edit of a distinct such
+    line that begins earlier goes everywhere, whether or not that one stays. Lines without a character other than white space stay.
 
     A null text stays null with no lines, an empty one is one empty line. Rows equal in id and text are one document: each comes
     out with the same result. Rows with the same id and other texts are documents of their own, ordered by a hash of the text;
-    null ids come first. With keep_columns the documents come back with all their columns and the new text."""
+    null ids come first. A text or line may be of any length: the work grows in proportion to it. With keep_columns the documents
+    come back with all their columns and the new text."""
     key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
     d = need(docs, id_column, text_column).select(F.col(id_column).alias("doc"), key.alias("key"), F.col(text_column).alias("text"))
     gone_name, gone_key = fresh(docs, "gone"), fresh(docs, "gone_key")
     copied = cut(copied_lines(d, least_chars))  # a join of two exchanges, of which Spark can split a hot line's part
-    lines = lines_of(d, least_chars).select("h", "doc", "key", "place")
+    lines = lines_of(d).select("h", "doc", "key", "place")
     gone = lines.join(copied, "h").where(F.col("near") | ~F.struct("doc", "key", "place").eqNullSafe(F.col("at")))
     gone = gone.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias(gone_name)).withColumnRenamed("key", gone_key)
     source = docs if keep_columns else need(docs, id_column, text_column)
     text = F.col(f"`{text_column}`")
     all_lines = F.split(text, "\n", -1)
     removed = F.coalesce(gone_name, F.array().cast("array<int>"))
-    left = F.filter(F.transform(all_lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(removed, s.i))
-    new = F.when(F.size(removed) > 0, F.array_join(F.transform(left, lambda s: s.x), "\n")).otherwise(text)
+    # the places left are a difference of sets, and the lines are split once
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    kept = let(all_lines, lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))
+    new = F.when(F.size(removed) > 0, kept).otherwise(text)
     joined = source.join(gone, key == F.col(gone_key), "left")
     if keep_columns:
         return joined.select(*[(new.alias(c) if c == text_column else F.col(f"`{c}`")) for c in docs.columns])
@@ -134,12 +155,14 @@ WITH lines AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 ),
 firsts AS (
-  SELECT line, length(line) AS size, min((doc_id, place)) AS spot FROM lines WHERE length(line) >= 20 GROUP BY line
+  SELECT line, length(line) AS size, min((doc_id, place)) AS spot FROM lines
+  WHERE regexp_matches(line, '[^\\x09-\\x0D\\x20]') GROUP BY line
 ),
+long AS (SELECT * FROM firsts WHERE size >= 20),
 halves AS (
-  SELECT line, size, spot, s, 0 AS side, substr(line, 1, s // 2) AS half FROM (SELECT *, unnest([size, size - 1]) AS s FROM firsts)
+  SELECT line, size, spot, s, 0 AS side, substr(line, 1, s // 2) AS half FROM (SELECT *, unnest([size, size - 1]) AS s FROM long)
   UNION ALL
-  SELECT line, size, spot, s, 1, substr(line, size - (s - s // 2) + 1) FROM (SELECT *, unnest([size, size - 1]) AS s FROM firsts)
+  SELECT line, size, spot, s, 1, substr(line, size - (s - s // 2) + 1) FROM (SELECT *, unnest([size, size - 1]) AS s FROM long)
 ),
 pairs AS (
   SELECT DISTINCT a.line AS early, b.line AS late

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import need, read
+from roadloom.llm.common import let, need, read
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -39,11 +39,6 @@ FEATURES = {"kind": 3, "digits": 20, "groups": 9, "luhn": 2, "wide_part": 2, "be
 TREES, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.99
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def found(text: Column, pattern: str) -> Column:
     """Array of (start, end, s): the matches of the pattern with their places in characters, the end exclusive."""
     empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
