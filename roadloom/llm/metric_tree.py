@@ -6,12 +6,14 @@ a distance that d(q, x) cannot fall below, and a norm that |x| cannot exceed, bo
 entry. A query takes pages in the order of their bounds until no page can still hold one of its k best. Distances to the entries
 of a page are bounded first by the triangle inequality from the stored distances to the parent, which leaves many uncomputed.
 
-Queries go through in blocks of bounded size; the k best of each shard are merged by one aggregation.
+The trees are built once and written. Queries are dealt to blocks of bounded size; a block meets a tree by a join of the two, so
+neither queries nor vectors pass through the driver, and the k best of each shard are merged by one window.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import need, read
+from roadloom.llm.common import read, written
 
 PAGE = 64
 SHARD_ROWS = 4096
@@ -73,7 +75,7 @@ class MTree:
         return route, near
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id, without the id `own`."""
+        """The k best (score, id), ties to the smaller id, without the row of the id `own` and this vector."""
         q = query.astype(np.float64)
         square = float(q @ q)
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst of the best on top
@@ -92,9 +94,10 @@ class MTree:
             if not len(at):
                 continue
             if level == 0:
-                for score, i in zip(np.rint(here["points"][at] @ q).astype(np.int64).tolist(), here["child"][at].tolist(), strict=True):
+                same = (here["points"][at] == q).all(axis=1)
+                for score, i, equal in zip(np.rint(here["points"][at] @ q).astype(np.int64).tolist(), here["child"][at].tolist(), same.tolist(), strict=True):
                     for one in self.ids[i].tolist():
-                        if one != own:
+                        if not (equal and one == own):
                             if len(best) < k:
                                 heapq.heappush(best, (score, -one))
                             elif (score, -one) > best[0]:
@@ -117,48 +120,45 @@ def scaled(vector: str, scale: float = 256.0) -> Column:
 def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vector_column: str = "v", k: int = 5, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Rows (query_id, rank, id, score): for each query row its k highest inner products with the other rows, ties to the smaller
     id; all other rows, where there are fewer than k. vector_column: array<bigint>, with products that a double holds exactly.
-    Rows with a null id or vector take no part; vectors of another length than the query's are no candidates. Ids must not
-    repeat. Further columns play no part.
-
-    Rows are dealt to shards by a hash of the id, so that no vector's copies meet in one shard. Queries come to the driver in
-    blocks; each block is sent to all shards, so a block more is a pass more over the vectors."""
-    spark = vectors.sparkSession
-    v = need(vectors, id_column, vector_column).where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull())
-    queries = v.where(is_query)
-    n, n_queries = v.count(), queries.count()
-    shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-n_queries // query_block))
-    dealt = v.select(F.pmod(F.xxhash64(F.col(id_column)), F.lit(shards)).alias("shard"), F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
-    found = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64(F.col(id_column), F.lit(1)), F.lit(blocks)) == b).toArrow() if n_queries else queries.limit(0).toArrow()  # about query_block rows
-        sent = spark.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_pylist()))
-
-        part = dealt.groupBy("shard").applyInArrow(_searching(sent, k), "query_id long, id long, score long")
-        found = part if found is None else found.unionAll(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")  # k rows from each shard
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
-
-
-def _searching(sent, k: int):
-    """The search of one shard: its tree, and each of the block's queries in it."""
-
-    def work(table: pa.Table) -> pa.Table:
-        query_ids, query_vectors = sent.value
-        ids, own = table.column("id").to_numpy(), table.column("v").to_pylist()
-        out: list[tuple[int, int, int]] = []
-        by_size: dict[int, list[int]] = {}
+    Rows with a null id or vector take no part; vectors of another length than the query's are no candidates. Rows equal in id and
+    vector are one row. Rows with the same id and other vectors are rows of their own: each is a candidate for all others, and, where
+    it is a query, has its own k best, which leave out that row alone. Further columns play no part.
+
+    Rows are dealt to shards by a hash, so that no vector's copies meet in one shard."""
+    v = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    v = v.where("id is not null and v is not null").withColumn("h", F.xxhash64("v")).groupBy("id", "h").agg(F.first("v").alias("v"), F.max("asks").alias("asks"))
+    v = written(v, "metric_tree", "rows")
+    sizes = v.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)).alias("q")).first()
+    shards, blocks = max(1, -(-sizes.n // shard_rows)), max(1, -(-sizes.q // query_block))
+    parts = max(1, min(shards, -(-shards // 8)))  # a block goes to so many tasks, with some eight trees each
+
+    def build(table: pa.Table) -> pa.Table:
+        ids, own, by_size = table.column("id").to_numpy(), table.column("v").to_pylist(), {}
         for i, x in enumerate(own):
             by_size.setdefault(len(x), []).append(i)
-        for size, members in by_size.items():
-            tree = MTree(ids[members], np.array([own[i] for i in members], np.int64).reshape(len(members), size), k + 1)
-            for qid, q in zip(query_ids.tolist(), query_vectors, strict=True):
-                if len(q) == size:
-                    out.extend((qid, i, s) for s, i in tree.search(np.array(q, np.int64), qid, k))
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.int64())})
-
-    return work
+        trees = {size: MTree(ids[members], np.array([own[i] for i in members], np.int64).reshape(len(members), size), k + 1) for size, members in by_size.items()}
+        return pa.table({"shard": table.column("shard").slice(0, 1), "trees": pa.array([pickle.dumps(trees)], pa.binary())})
+
+    dealt = v.select(F.pmod(F.xxhash64("id", "h"), F.lit(shards)).alias("shard"), "id", "v")
+    trees = written(dealt.groupBy("shard").applyInArrow(build, "shard long, trees binary"), "metric_tree", "trees")
+    cells = trees.select("shard", "trees", F.pmod("shard", F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = v.where("asks").groupBy(F.pmod(F.xxhash64("h", "id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "h", "v")).alias("queries"))  # about query_block rows
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, queries in zip(batch.column(0), batch.column(1), strict=True):
+                own = pickle.loads(packed.as_buffer())
+                out: list[tuple[int, int, int, int]] = []
+                for q in queries.as_py():
+                    if (tree := own.get(len(q["v"]))) is not None:
+                        out.extend((q["id"], q["h"], i, s) for s, i in tree.search(np.array(q["v"], np.int64), q["id"], k))
+                columns = list(zip(*out, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "h", "id", "score"])
+
+    found = cells.join(asked, ["block", "part"]).select("trees", "queries").mapInArrow(work, "query_id long, h long, id long, score long")
+    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "id")  # k rows from each shard
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
 
 
 def op9_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
