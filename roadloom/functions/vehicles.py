@@ -22,9 +22,10 @@ def vin_check_character(vin: Column) -> Column:
 
 
 def vin_reason(vin: Column) -> Column:
-    """Why a number is refused, or null: missing, its length, its characters (no I, O, Q, no lower case), its check character."""
+    """Why a number is refused, or null: missing, its length (a blank one's too), its characters (no I, O, Q, no lower case), its
+    check character."""
     return (
-        F.when(vin.isNull() | (F.trim(vin) == ""), "VIN_MISSING")
+        F.when(vin.isNull(), "VIN_MISSING")
         .when(F.length(vin) != 17, "VIN_LENGTH")
         .when(~vin.rlike("^[0-9A-HJ-NPR-Z]{17}$"), "VIN_ILLEGAL_CHAR")
         .when(vin_check_character(vin) != F.substr(vin, F.lit(9), F.lit(1)), "VIN_CHECK_DIGIT")

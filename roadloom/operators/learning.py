@@ -48,10 +48,10 @@ def baseline_rule(serious: Column, hottest: Column, lowest_battery: Column, heal
 
 def threshold_counts(scored: DataFrame, score: str, label: str, groups: list[str] = []) -> DataFrame:  # noqa: B006
     """(groups, score, tp, fp, positives, negatives): by distinct score, how many rows score as high or higher. Ties are one step."""
-    by = scored.groupBy(*groups, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.count("*").alias("n"))
+    by = scored.groupBy(*groups, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("_hits"), F.count("*").alias("_n"))
     w = Window.partitionBy(*groups).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*groups)
-    return by.select(*groups, score, F.sum("p").over(w).alias("tp"), (F.sum("n").over(w) - F.sum("p").over(w)).alias("fp"), "p", (F.col("n") - F.col("p")).alias("q"), F.sum("p").over(whole).alias("positives"), F.sum(F.col("n") - F.col("p")).over(whole).alias("negatives"))
+    return by.select(*groups, score, F.sum("_hits").over(w).alias("tp"), (F.sum("_n").over(w) - F.sum("_hits").over(w)).alias("fp"), "_hits", (F.col("_n") - F.col("_hits")).alias("_misses"), F.sum("_hits").over(whole).alias("positives"), F.sum(F.col("_n") - F.col("_hits")).over(whole).alias("negatives"))
 
 
 def ranking_metrics(scored: DataFrame, score: str, label: str, groups: list[str] = []) -> DataFrame:  # noqa: B006
@@ -59,10 +59,10 @@ def ranking_metrics(scored: DataFrame, score: str, label: str, groups: list[str]
     ROC curve is the share of pairs in order, ties counted half. Scores are met as distinct values before any window."""
     t = threshold_counts(scored, score, label, groups)
     some = lambda c: F.nullif(F.col(c), F.lit(0))  # no positives or no negatives: null
-    ap = F.sum(F.col("p") / some("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    auc = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)) / (F.first(some("positives")) * F.first(some("negatives")))
-    brier = F.sum(F.col("p") * (F.col(score) - 1) * (F.col(score) - 1) + F.col("q") * F.col(score) * F.col(score)) / F.sum(F.col("p") + F.col("q"))
-    out = (F.sum(F.col("p") + F.col("q")).alias("n"), ap.alias("average_precision"), auc.alias("roc_auc"), brier.alias("brier"))
+    ap = F.sum(F.col("_hits") / some("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    auc = F.sum(F.col("_misses") * (F.col("tp") - F.col("_hits") / 2)) / (F.first(some("positives")) * F.first(some("negatives")))
+    brier = F.sum(F.col("_hits") * (F.col(score) - 1) * (F.col(score) - 1) + F.col("_misses") * F.col(score) * F.col(score)) / F.sum(F.col("_hits") + F.col("_misses"))
+    out = (F.sum(F.col("_hits") + F.col("_misses")).alias("n"), ap.alias("average_precision"), auc.alias("roc_auc"), brier.alias("brier"))
     return t.groupBy(*groups).agg(*out) if groups else t.agg(*out)
 
 
@@ -100,3 +100,31 @@ def score_risk(features: DataFrame, columns: list[str], models, low: float = 0.0
     scored = model.transform(features.fillna(0.0, columns)).select(*features.columns, vector_to_array("probability")[1].alias("_s"))
     out = calibration.transform(scored)
     return out.select(*features.columns, F.greatest(F.least("prediction", F.lit(high)), F.lit(low)).alias("p"))
+
+
+#: Daily columns that the feature frame is made from, beside a 0/1 column `dtc_<code>` for each fault code.
+DAILY = ("samples", "km", "coolant_max", "coolant_avg", "batt_v_min", "batt_v_avg", "soh_min", "rpm_avg", "dtc_events", "harsh_events", "idle_samples")
+
+
+def feature_frame(daily: DataFrame, codes: list[str], serious: list[str], key: str = "vin", day: str = "day") -> DataFrame:
+    """(key, asof, features): for each vehicle and as-of day levels and sums of the last week, of its last 3 days and of the 4 before
+    them, of the day itself, trends between them, and the days with each fault code. One aggregation serves all windows; a window
+    without a row gives null."""
+    rows = asof_windows(daily, day)
+    recent, prior, last = F.col("age") <= 2, F.col("age") >= 3, F.col("age") == 0
+    some = lambda f, c, inside=None: f(c if inside is None else F.when(inside, F.col(c)))
+    out = {
+        "days_active_7d": F.count("*"), "km_7d": F.sum("km"), "coolant_max_7d": F.max("coolant_max"), "coolant_avg_7d": F.avg("coolant_avg"), "batt_min_7d": F.min("batt_v_min"), "batt_avg_7d": F.avg("batt_v_avg"),
+        "soh_min_7d": F.min("soh_min"), "soh_drop_7d": F.max("soh_min") - F.min("soh_min"), "rpm_avg_7d": F.avg("rpm_avg"), "dtc_events_7d": F.sum("dtc_events"), "harsh_7d": F.sum("harsh_events"),
+        "idle_ratio_7d": F.sum("idle_samples") / F.greatest(F.sum("samples"), F.lit(1)),
+        "coolant_max_3d": some(F.max, "coolant_max", recent), "coolant_avg_3d": some(F.avg, "coolant_avg", recent), "batt_min_3d": some(F.min, "batt_v_min", recent), "batt_avg_3d": some(F.avg, "batt_v_avg", recent),
+        "rpm_avg_3d": some(F.avg, "rpm_avg", recent), "dtc_events_3d": block_sum(F.col("dtc_events"), recent), "harsh_3d": block_sum(F.col("harsh_events"), recent), "km_3d": block_sum(F.col("km"), recent),
+        "serious_dtc_days_3d": block_sum(sum((F.coalesce(F.col(f"dtc_{c}"), F.lit(0)) for c in serious), F.lit(0)), recent),
+        "coolant_max_1d": some(F.max, "coolant_max", last), "batt_v_min_1d": some(F.min, "batt_v_min", last), "dtc_events_1d": some(F.max, "dtc_events", last),
+        "_coolant": some(F.avg, "coolant_avg", prior), "_batt": some(F.avg, "batt_v_avg", prior), "_rpm": some(F.avg, "rpm_avg", prior), "_harsh": block_sum(F.col("harsh_events"), prior), "_km": block_sum(F.col("km"), prior),
+        **{f"dtc_{c}_days_7d": F.sum(f"dtc_{c}") for c in codes},
+    }
+    f = rows.groupBy(key, "asof").agg(*[c.alias(n) for n, c in out.items()])
+    per_100 = lambda harsh, km: 100 * F.col(harsh) / F.greatest(km, F.lit(1))
+    f = f.withColumns({"coolant_trend": F.col("coolant_avg_3d") - F.col("_coolant"), "batt_trend": F.col("batt_avg_3d") - F.col("_batt"), "rpm_trend": F.col("rpm_avg_3d") - F.col("_rpm"), "harsh_per_100km_3d": F.when(F.col("km_3d").isNotNull(), per_100("harsh_3d", "km_3d")), "harsh_per_100km_prior": F.when(F.col("_km").isNotNull(), per_100("_harsh", "_km"))})
+    return f.withColumn("harsh_trend", F.col("harsh_per_100km_3d") - F.col("harsh_per_100km_prior")).drop("_coolant", "_batt", "_rpm", "_harsh", "_km")

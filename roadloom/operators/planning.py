@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import haversine
+from roadloom.sources.tables import checkpointed
 
 
 def expected_value(p: Column, saving: Column, cost: Column | float) -> Column:
@@ -20,46 +22,95 @@ def nearby(depots: DataFrame, within_km: float = 350.0) -> DataFrame:
     a = depots.select("depot", "lat", "lon", F.explode(F.array(*[F.floor(F.col("lat") / width) + d for d in (-1, 0, 1)])).alias("cell"))
     b = depots.select(F.col("depot").alias("near"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.floor(F.col("lat") / width).alias("cell"))
     pairs = a.join(b, "cell").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= within_km)
-    from pyspark.sql import Window
-
     return pairs.select("depot", "near", "km", F.row_number().over(Window.partitionBy("depot").orderBy(F.desc(F.col("depot") == F.col("near")), "km", "near")).alias("rank"))
 
 
-PLAN_SCHEMA = "tenant string, vehicle long, depot long, day int, outcome string, p double, value double"
-
-
-def greedy_plan(candidates: DataFrame, bays: DataFrame, days: int = 5, urgent: float = 0.8) -> DataFrame:
-    """(tenant, vehicle, depot, day, outcome, p, value). candidates: tenant, vehicle, p, value, depots (ids, nearest first), of which
-    only those with value > 0 and a home depot are taken. bays: tenant, depot, day, free.
-
-    Urgent vehicles (p >= urgent) come first and go to the nearest depot with a free bay on day 1; the others, by value, to their
-    home depot on its first free day, then to the next depot. What finds no bay is too_risky_to_wait or waiting. Each choice takes
-    a bay from the later ones, so a tenant is planned in one group: its size is what the tenant's depots can look at in some days,
-    after the filter, never the fleet's."""
-    worth = candidates.where((F.col("value") > 0) & (F.size("depots") > 0))
+PLAN_SCHEMA = "tenant string, vehicle long, home long, p double, value double, urgent boolean, depot long, day int"
+
+
+def within_reach(candidates: DataFrame, bays: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(looked_at, beyond): candidates (tenant, home, urgent, value, vehicle, ...) with their rank among those of the same home depot
+    and urgency, parted by what that depot's reachable bays can take at all: on the first day for urgent ones, on all days for the
+    others. Candidates of one home and urgency have the same bays to go to, so when so many before one have been looked at, either
+    one of them found none, or all bays are taken: what is beyond gets none, whatever the others do."""
+    free = bays.groupBy("tenant", F.col("depot").alias("near")).agg(F.sum(F.when(F.col("day") == 1, F.col("free"))).alias("first"), F.sum("free").alias("every"))
+    room = near.select(F.col("depot").alias("home"), "near").join(free, "near").groupBy("tenant", "home").agg(F.coalesce(F.sum("first"), F.lit(0)).alias("first"), F.coalesce(F.sum("every"), F.lit(0)).alias("every"))
+    ranked = candidates.join(room, ["tenant", "home"], "left").withColumn("room", F.coalesce(F.when(F.col("urgent"), F.col("first")).otherwise(F.col("every")), F.lit(0)))
+    order = Window.partitionBy("tenant", "home", "urgent").orderBy(F.desc("value"), "vehicle")
+    ranked = ranked.withColumn("rank", F.row_number().over(order))  # the filter on rank below lets Spark keep only the first of a group
+    return ranked.where("rank <= room").select(candidates.columns), ranked.where("rank > room").select(candidates.columns)
+
+
+def regions(near: DataFrame) -> DataFrame:
+    """(depot, region): depots that are connected by reach have one region, the smallest depot of them. A reference table: rounds of
+    the smallest neighbour until nothing changes, as many as the longest way between two depots."""
+    label = near.select("depot").distinct().withColumn("region", F.col("depot"))
+    while True:
+        other = near.select("depot", "near").union(near.select(F.col("near"), F.col("depot"))).join(label.select(F.col("depot").alias("near"), F.col("region").alias("seen")), "near")
+        step = checkpointed(label.join(other.groupBy("depot").agg(F.min("seen").alias("seen")), "depot", "left").select("depot", F.col("region").alias("was"), F.least("region", "seen").alias("region")))
+        label = step.select("depot", "region")
+        if not step.where("region <> was").take(1):
+            return label
+
+
+def service_plan(candidates: DataFrame, bays: DataFrame, near: DataFrame, days: int = 5, urgent: float = 0.8) -> DataFrame:
+    """(tenant, vehicle, home, p, value, urgent, depot, day, outcome, moved_from, km). candidates: tenant, vehicle, home, p, value.
+    bays: tenant, depot, day (from 1), free. near: depot, near, km, rank, as `nearby` gives it.
+
+    What is not worth an inspection (no positive value, or no home among the depots) is not_worth. The others, urgent ones (p at
+    least `urgent`) first and then by value, are planned: an urgent vehicle only on day 1, at the nearest depot with a free bay;
+    another at its home on the first free day, then at the next depot. What finds no bay is too_risky_to_wait or waiting; moved_from and
+    km tell of a vehicle that leaves its home.
+
+    Each choice takes a bay from later ones, so what may compete for a bay is planned in one group: the depots that reach connects,
+    and of their vehicles only as many as there are bays (`within_reach`)."""
+    known = near.select(F.col("depot").alias("home")).distinct().withColumn("_known", F.lit(True))
+    rows = candidates.join(known, "home", "left").withColumn("urgent", F.col("p") >= urgent).select("tenant", "vehicle", "home", "p", "value", "urgent", (F.coalesce(F.col("value") > 0, F.lit(False)) & F.col("_known").isNotNull()).alias("worth"))
+    looked_at, beyond = within_reach(rows.where("worth").drop("worth"), bays, near)
+    region = regions(near)
+    lists = near.groupBy(F.col("depot").alias("home")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "near"))), lambda x: x["near"]).alias("options"))
+    left = looked_at.join(lists, "home").join(region.withColumnRenamed("depot", "home"), "home")
+    right = bays.where(F.col("free") > 0).join(region, "depot").select("tenant", "region", "depot", "day", "free")
 
     def plan(rows: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
-        left = {(r.depot, r.day): r.free for r in free.itertuples()}
-        rows = rows.assign(late=rows["p"] < urgent).sort_values(["late", "value", "vehicle"], ascending=[True, False, True])
-        out = []
-        for r in rows.itertuples():
-            tries = [(d, 1) for d in r.depots] if not r.late else [(d, t) for d in r.depots for t in range(1, days + 1)]
-            slot = next(((d, t) for d, t in tries if left.get((d, t), 0) > 0), None)
-            if slot:
-                left[slot] -= 1
-            outcome = "planned" if slot else ("waiting" if r.late else "too_risky_to_wait")
-            out.append((r.tenant, r.vehicle, slot[0] if slot else None, slot[1] if slot else None, outcome, round(r.p, 3), float(round(r.value))))
-        frame = pd.DataFrame(out, columns=["tenant", "vehicle", "depot", "day", "outcome", "p", "value"])
-        return frame.astype({"depot": "Int64", "day": "Int32"})
-
-    return worth.groupBy("tenant").cogroup(bays.select("tenant", "depot", "day", "free").groupBy("tenant")).applyInPandas(plan, PLAN_SCHEMA)
+        place = {d: i for i, d in enumerate(sorted(set(free["depot"])))}
+        grid = np.zeros((len(place) + 1, days), np.int64)  # the last row is for depots without bays
+        for d, t, n in zip(free["depot"], free["day"], free["free"], strict=True):
+            if 1 <= t <= days:
+                grid[place[d], t - 1] += n
+        rows = rows.iloc[np.lexsort((rows["vehicle"], -rows["value"], ~rows["urgent"]))]
+        depot, day = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
+        where = {}
+        for k, (options, at_once) in enumerate(zip(rows["options"], rows["urgent"], strict=True)):
+            own = where.setdefault(tuple(options), np.array([place.get(d, len(place)) for d in options]))
+            open_ = grid[own, : 1 if at_once else days] > 0  # depots by distance, days in order
+            if open_.any():
+                i, t = divmod(int(open_.argmax()), open_.shape[1])
+                grid[own[i], t] -= 1
+                depot[k], day[k] = options[i], t + 1
+        found = depot >= 0
+        out = rows[["tenant", "vehicle", "home", "p", "value", "urgent"]].reset_index(drop=True)
+        return out.assign(depot=pd.array(np.where(found, depot, 0), "Int64"), day=pd.array(np.where(found, day, 0), "Int32")).mask(pd.DataFrame({"depot": ~found, "day": ~found}).reindex(columns=[*out.columns, "depot", "day"], fill_value=False))
+
+    planned = left.groupBy("tenant", "region").cogroup(right.groupBy("tenant", "region")).applyInPandas(plan, PLAN_SCHEMA)
+    refused = beyond.select("tenant", "vehicle", "home", "p", "value", "urgent", F.lit(None).cast("long").alias("depot"), F.lit(None).cast("int").alias("day"))
+    rest = rows.where("not worth").select("tenant", "vehicle", "home", "p", "value", F.lit(None).cast("boolean").alias("urgent"), F.lit(None).cast("long").alias("depot"), F.lit(None).cast("int").alias("day"))
+    out = planned.unionByName(refused).unionByName(rest)
+    outcome = F.when(F.col("urgent").isNull(), "not_worth").when(F.col("depot").isNotNull(), "planned").when(F.col("urgent"), "too_risky_to_wait").otherwise("waiting")
+    way = near.select(F.col("depot").alias("home"), F.col("near").alias("depot"), "km")
+    moved = F.col("depot") != F.col("home")
+    return out.withColumn("outcome", outcome).join(way, ["home", "depot"], "left").select("tenant", "vehicle", "home", "p", "value", "urgent", "depot", "day", "outcome", F.when(moved, F.col("home")).alias("moved_from"), F.when(moved, F.round("km")).alias("km"))
+
+
+def plan_totals(plan: DataFrame) -> DataFrame:
+    """(tenant, planned, moved, waiting, too_risky_to_wait, not_worth, value): a tenant's plan in numbers."""
+    is_ = lambda o: F.col("outcome") == o
+    return plan.groupBy("tenant").agg(*[F.count_if(is_(o)).alias(o) for o in ("planned", "waiting", "too_risky_to_wait", "not_worth")], F.count("moved_from").alias("moved"), F.coalesce(F.sum(F.when(is_("planned"), F.col("value"))), F.lit(0.0)).alias("value"))
 
 
 def check_bookings(requests: DataFrame, vehicles: DataFrame, free: DataFrame, booked: DataFrame, today) -> DataFrame:
     """The requests (id, vehicle, depot, day) with the first reason against each, or null: duplicate_vehicle, foreign_vehicle,
     foreign_depot, already_booked, past_day, over_capacity (counting the requests before it for the same depot and day)."""
-    from pyspark.sql import Window
-
     again = F.row_number().over(Window.partitionBy("vehicle").orderBy("id")) > 1
     place = F.row_number().over(Window.partitionBy("depot", "day").orderBy("id"))
     r = requests.withColumn("_again", again).withColumn("_place", place)

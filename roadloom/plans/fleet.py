@@ -35,12 +35,13 @@ def page(rows: DataFrame, order: list[Column], size: int, after: Column | None =
     return (rows if after is None else rows.where(after)).orderBy(*order).limit(size + 1)
 
 
-@query("SELECT n_name AS fleet, r_name AS tenant, count(c_custkey) AS vehicles, count(DISTINCT s_suppkey) AS depots FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 7 = 0 LEFT JOIN supplier ON false GROUP BY 1, 2")
+@query("SELECT n_name AS fleet, r_name AS tenant, count(DISTINCT c_custkey) AS vehicles, count(DISTINCT s_suppkey) AS depots FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
 def fleet_list_with_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """All fleets, the empty ones too."""
-    vehicles = table(spark, sf, "customer").where("c_custkey % 7 = 0").groupBy("c_nationkey").agg(F.count("*").alias("vehicles"))
+    """All fleets, the empty ones too. Each side is counted before it meets the fleets."""
+    count = lambda name, key, what: table(spark, sf, name).groupBy(F.col(key).alias("n_nationkey")).agg(F.count("*").alias(what))
     fleets = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return fleets.join(vehicles, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("fleet"), F.col("r_name").alias("tenant"), F.coalesce("vehicles", F.lit(0)).alias("vehicles"), F.lit(0).cast("bigint").alias("depots"))
+    out = fleets.join(count("customer", "c_nationkey", "vehicles"), "n_nationkey", "left").join(count("supplier", "s_nationkey", "depots"), "n_nationkey", "left")
+    return out.select(F.col("n_name").alias("fleet"), F.col("r_name").alias("tenant"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("vehicles", "depots")])
 
 
 @query("SELECT c_custkey AS id, c_name AS vin, n_name AS fleet, c_mktsegment AS powertrain FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND c_name LIKE 'Customer%' AND c_custkey > 100 ORDER BY 1 LIMIT 51")
@@ -171,17 +172,17 @@ def even_sample(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where((F.col("in_part") + F.col("offset") - 1) % F.greatest(F.lit(1), F.expr("n div 40")) == 0).select("id", "vin")
 
 
-@query("SELECT o_orderkey AS id, o_orderpriority AS component, floor((o_totalprice - m) * 100 + 0.5) / 100 AS above FROM orders JOIN (SELECT o_orderpriority AS q, floor(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) * 100 + 0.5) / 100 AS m FROM orders GROUP BY 1) ON q = o_orderpriority WHERE o_orderkey % 50 = 0")
+@query("SELECT o_orderkey AS id, o_orderpriority AS component, floor((o_totalprice - m) * 100 + 0.5) / 100 AS above FROM orders JOIN (SELECT o_orderpriority AS q, floor(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) * 100 + 0.5) / 100 AS m FROM orders GROUP BY 1) ON q = o_orderpriority")
 def mean_cost_join(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     mean = o.groupBy(F.col("o_orderpriority").alias("component")).agg(half_up(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*"), 2).alias("m"))
-    rows = o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("component"), "o_totalprice")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("component"), "o_totalprice")
     return rows.join(mean, "component", "left").select("id", "component", half_up(F.col("o_totalprice") - F.col("m"), 2).alias("above"))
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS at FROM orders WHERE o_custkey % 20 = 1 ORDER BY CASE WHEN o_orderstatus = 'F' THEN o_orderdate END DESC NULLS LAST, o_orderdate, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS at FROM orders ORDER BY CASE WHEN o_orderstatus = 'F' THEN o_orderdate END DESC NULLS LAST, o_orderdate, o_orderkey LIMIT 100")
 def inspections_conditional_sort(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey % 20 = 1")
+    o = table(spark, sf, "orders")
     done = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
     return o.orderBy(done.desc_nulls_last(), "o_orderdate", "o_orderkey").limit(100).select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("at"))
 
@@ -201,45 +202,18 @@ def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     return once(o.where("o_orderstatus = 'O'").select("dedup_key"), o.where("o_orderstatus = 'P'"), "dedup_key")
 
 
-BOOKINGS = "(SELECT o_orderkey AS id, o_custkey % 120 AS vehicle, o_custkey % 9 AS depot, (o_orderkey % 6)::INT AS day FROM orders WHERE o_orderkey % 25 = 0)"
+BOOKINGS = "(SELECT o_orderkey AS id, o_custkey % 120 AS vehicle, o_custkey % 9 AS depot, (o_orderkey % 6)::INT AS day FROM orders)"
 
 
 @query(f"""SELECT b.id, b.vehicle, b.depot, b.day, CASE WHEN again > 1 THEN 'duplicate_vehicle' WHEN v.vehicle IS NULL THEN 'foreign_vehicle' WHEN s.depot IS NULL THEN 'foreign_depot' WHEN k.vehicle IS NOT NULL THEN 'already_booked' WHEN b.day < 1 THEN 'past_day' WHEN place > coalesce(f.free, 0) THEN 'over_capacity' END AS reason
   FROM (SELECT *, row_number() OVER (PARTITION BY vehicle ORDER BY id) AS again, row_number() OVER (PARTITION BY depot, day ORDER BY id) AS place FROM {BOOKINGS}) b
-  LEFT JOIN (SELECT c_custkey AS vehicle FROM customer WHERE c_custkey < 100) v ON v.vehicle = b.vehicle LEFT JOIN (SELECT s_suppkey AS depot FROM supplier WHERE s_suppkey < 8) s ON s.depot = b.depot
-  LEFT JOIN (SELECT c_custkey AS vehicle FROM customer WHERE c_custkey % 10 = 4) k ON k.vehicle = b.vehicle LEFT JOIN (SELECT s_suppkey AS depot, d AS day, 2 + s_suppkey % 3 AS free FROM supplier CROSS JOIN range(1, 6) t(d) WHERE s_suppkey < 8) f ON f.depot = b.depot AND f.day = b.day""")
+  LEFT JOIN (SELECT c_custkey AS vehicle FROM customer) v ON v.vehicle = b.vehicle LEFT JOIN (SELECT s_suppkey AS depot FROM supplier) s ON s.depot = b.depot
+  LEFT JOIN (SELECT c_custkey AS vehicle FROM customer WHERE c_custkey % 10 = 4) k ON k.vehicle = b.vehicle LEFT JOIN (SELECT s_suppkey AS depot, d AS day, 2 + s_suppkey % 3 AS free FROM supplier CROSS JOIN range(1, 6) t(d)) f ON f.depot = b.depot AND f.day = b.day""")
 def booking_capacity_check(spark: SparkSession, sf: str) -> DataFrame:
     o, c, s = (table(spark, sf, t) for t in ("orders", "customer", "supplier"))
-    requests = o.where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 120).alias("vehicle"), (F.col("o_custkey") % 9).alias("depot"), (F.col("o_orderkey") % 6).cast("int").alias("day"))
-    free = s.where("s_suppkey < 8").select(F.col("s_suppkey").alias("depot"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("day"), (2 + F.col("s_suppkey") % 3).alias("free"))
-    return planning.check_bookings(requests, c.where("c_custkey < 100").select(F.col("c_custkey").alias("vehicle")), free, c.where("c_custkey % 10 = 4").select(F.col("c_custkey").alias("vehicle")), 1)
-
-
-@query()
-def greedy_service_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Plans for each tenant's dearest candidates; depots by distance, from the supplier's number."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("depot"), (F.col("s_suppkey") % 10 * 2.0).alias("lat"), (F.col("s_suppkey") % 7 * 2.5).alias("lon"))
-    near = planning.nearby(s).groupBy("depot").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "near"))), lambda x: x.near).alias("depots"))
-    risk = _risk(spark, sf).join(_fleet(spark, sf), F.col("vehicle_id") == F.col("c_custkey")).withColumn("value", planning.expected_value(F.col("p"), F.col("saving") / 100, 150.0))
-    candidates = risk.withColumn("depot", F.col("c_custkey") % max(1, s.count())).join(near, "depot").select(F.col("r_name").alias("tenant"), F.col("vehicle_id").alias("vehicle"), "p", "value", "depots")
-    bays = s.join(F.broadcast(table(spark, sf, "region").select(F.col("r_name").alias("tenant"))), F.lit(True)).select("tenant", "depot", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("day"), F.lit(3).alias("free"))  # one row a tenant
-    return planning.greedy_plan(candidates, bays)
-
-
-@query("""SELECT o_orderkey AS id, coalesce(sha256(prev::VARCHAR), '') = CASE WHEN o_orderkey % 997 = 5 THEN 'tampered' ELSE coalesce(sha256(prev::VARCHAR), '') END AS ok
-  FROM (SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS prev FROM orders)""")
-def audit_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether each row's stored hash of the row before is that row's hash. Rows are dealt by ranges of the id; the first of each
-    range meets the last of the range before by a join of one row a range."""
-    hash_of = lambda c: F.sha2(F.col(c).cast("string").cast("binary"), 256)
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    ranged = o.repartitionByRange(8, "id").withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy("id")
-    bounds = ranged.groupBy("part").agg(F.max("id").alias("last"))
-    before = bounds.select("part", F.lag("last").over(Window.orderBy("part")).alias("carry"))  # one row a range
-    rows = ranged.withColumn("prev", F.lag("id").over(w)).join(F.broadcast(before), "part").withColumn("prev", F.coalesce("prev", "carry"))
-    stored = F.when(F.col("id") % 997 == 5, "tampered").otherwise(F.coalesce(hash_of("prev"), F.lit("")))
-    return rows.select("id", (F.coalesce(hash_of("prev"), F.lit("")) == stored).alias("ok"))
+    requests = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 120).alias("vehicle"), (F.col("o_custkey") % 9).alias("depot"), (F.col("o_orderkey") % 6).cast("int").alias("day"))
+    free = s.select(F.col("s_suppkey").alias("depot"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("day"), (2 + F.col("s_suppkey") % 3).alias("free"))
+    return planning.check_bookings(requests, c.select(F.col("c_custkey").alias("vehicle")), free, c.where("c_custkey % 10 = 4").select(F.col("c_custkey").alias("vehicle")), 1)
 
 
 @query("SELECT o_orderkey::VARCHAR AS action, a.c_name AS requested_by, b.c_name AS decided_by FROM orders LEFT JOIN customer a ON a.c_custkey::VARCHAR = o_custkey::VARCHAR LEFT JOIN customer b ON b.c_custkey = (o_orderkey % 5000) WHERE o_orderstatus = 'P'")
@@ -251,9 +225,9 @@ def proposal_audit_join(spark: SparkSession, sf: str) -> DataFrame:
     return o.join(a, F.col("o_custkey").cast("string") == F.col("ak"), "left").join(b, F.col("o_orderkey") % 5000 == F.col("bk"), "left").select(F.col("o_orderkey").cast("string").alias("action"), "requested_by", "decided_by")
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' AND list_contains(['1-URGENT', '2-HIGH'], o_orderpriority) AND (NULL IS NULL OR o_custkey = NULL) AND o_totalprice IS NOT NULL AND NOT (o_orderkey % 2 = 1)")
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' AND list_contains(['1-URGENT', '2-HIGH'], o_orderpriority) AND (NULL IS NULL OR o_custkey = NULL) AND o_totalprice IS NOT NULL")
 def null_tolerant_filters(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts(table(spark, sf, "orders"), not_status="F", severities=["1-URGENT", "2-HIGH"], vehicle=None).where("o_totalprice IS NOT NULL AND NOT (o_orderkey % 2 = 1)").select(F.col("o_orderkey").alias("id"))
+    return alerts(table(spark, sf, "orders"), not_status="F", severities=["1-URGENT", "2-HIGH"], vehicle=None).where("o_totalprice IS NOT NULL").select(F.col("o_orderkey").alias("id"))
 
 
 def alerts(rows: DataFrame, not_status: str | None = None, severities: list[str] | None = None, vehicle: int | None = None) -> DataFrame:
@@ -269,6 +243,6 @@ def sorted_limits(spark: SparkSession, sf: str) -> DataFrame:
     return _risk(spark, sf).orderBy((F.col("p") >= 0.8).desc(), value.desc(), "vehicle_id").limit(20).select("vehicle_id", "p", half_up(value, 2).alias("value"))
 
 
-@query()
+@query("SELECT c_custkey AS vin, (list_reduce(list_transform(range(1, 65), lambda i: strpos('0123456789abcdef', substr(sha256(c_custkey::VARCHAR), i, 1)) - 1), lambda a, x: (a * 16 + x) % 10))::INT AS grp FROM customer")
 def vin_group_hash_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("vin"), sha_group(F.col("c_custkey")).alias("grp"))

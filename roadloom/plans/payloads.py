@@ -72,8 +72,7 @@ def dlq_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT {_REASON} AS reason, count(*) AS n, min(seq) AS first_offset FROM {_EVENTS} GROUP BY 1")
 def mapping_preview(spark: SparkSession, sf: str) -> DataFrame:
-    n = _normalized(spark, sf)
-    return norm.preview(n).join(n.groupBy("reason").agg(F.min("offset").alias("first_offset")).withColumnRenamed("reason", "r"), F.col("reason").eqNullSafe(F.col("r"))).select("reason", "n", "first_offset")
+    return norm.preview(_normalized(spark, sf), "offset").select("reason", "n", F.col("first").alias("first_offset"))
 
 
 @query(f"SELECT seq AS \"offset\" FROM (SELECT *, row_number() OVER (PARTITION BY seq % 4 ORDER BY seq DESC) AS rn FROM {_EVENTS} WHERE {_REASON} IS NOT NULL) WHERE rn <= 500 AND {_REASON} = 'UNMAPPED_OEM' ORDER BY 1 DESC LIMIT 200")
@@ -136,18 +135,18 @@ def geohash_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HAV = "2 * 6371 * asin(sqrt(least(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1)))"
-_DEPOTS = "(SELECT s_suppkey AS depot, s_suppkey % 10 * 2.0 AS lat, s_suppkey % 7 * 2.5 AS lon FROM supplier WHERE s_suppkey < 60)"
+_DEPOTS = "(SELECT s_suppkey AS depot, s_suppkey % 10 * 2.0 AS lat, s_suppkey % 7 * 2.5 AS lon FROM supplier)"
 
 
 @query(f"SELECT a.depot, b.depot AS near, floor({_HAV} * 1000 + 0.5) / 1000 AS km FROM {_DEPOTS} a JOIN {_DEPOTS} b ON {_HAV} <= 350")
 def haversine_depots(spark: SparkSession, sf: str) -> DataFrame:
     from roadloom.operators.planning import nearby
 
-    d = table(spark, sf, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("depot"), (F.col("s_suppkey") % 10 * 2.0).alias("lat"), (F.col("s_suppkey") % 7 * 2.5).alias("lon"))
+    d = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("depot"), (F.col("s_suppkey") % 10 * 2.0).alias("lat"), (F.col("s_suppkey") % 7 * 2.5).alias("lon"))
     return nearby(d).select("depot", "near", half_up(F.col("km"), 3).alias("km"))
 
 
-@query(rf"SELECT conv_id, turn, regexp_matches(text, '(?i)({'|'.join(PHRASES)})') AS suspicious FROM conversations")
+@query(rf"SELECT conv_id, turn, regexp_matches(text, '(?im)({'|'.join(p.replace(chr(39), chr(39) * 2) for p in PHRASES)})') AS suspicious FROM conversations")
 def suspicious_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", suspicious(F.col("text")).alias("suspicious"))
 

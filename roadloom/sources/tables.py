@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,58 @@ class TenantView:
 def keep_days(df: DataFrame, day: str, today, days: int) -> DataFrame:
     """Retention: the days younger than so many days. On a table partitioned by day only those partitions are read."""
     return df.where(F.col(day) >= F.date_sub(F.lit(today).cast("date"), days))
+
+
+def shared_folder(spark: SparkSession, *parts: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where it is unset and the one machine is all there
+    is, a temporary folder; on a cluster that is an error."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return tempfile.mkdtemp(prefix="roadloom-")
+    return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut, in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
+def write_by_day(df: DataFrame, path: str, day: str = "day", search: list[str] = [], order: list[str] = []) -> None:  # noqa: B006
+    """A table in a folder for each day, rows of a day together in files sorted by `order`, so that statistics skip row groups;
+    columns in `search` get bloom filters, which skip those that lack a value asked for."""
+    w = df.repartition(day).sortWithinPartitions(day, *order).write.partitionBy(day)
+    for c in search:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.mode("overwrite").parquet(path)
+
+
+def days_between(spark: SparkSession, path: str, first, after, day: str = "day") -> DataFrame:
+    """The rows of the days in [first, after); other days' folders aren't read."""
+    return spark.read.parquet(path).where((F.col(day) >= F.lit(first).cast("date")) & (F.col(day) < F.lit(after).cast("date")))
+
+
+def parameterised(spark: SparkSession, sql: str, tables: dict[str, DataFrame], **values) -> DataFrame:
+    """A query text with named parameters (:name) over frames ({name}); values never become part of the text."""
+    return spark.sql(sql, args=values, **tables)
+
+
+def truncated(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first `limit` rows in the order, each with `truncated`: whether there were more. One row more than asked is looked at."""
+    few = rows.orderBy(*order).limit(limit + 1)
+    w = Window.orderBy(*order)  # over limit + 1 rows
+    return few.withColumn("_n", F.row_number().over(w)).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")
+
+
+def stable_id(*parts: Column) -> Column:
+    """An id in the form of a UUID that depends on the parts alone, so that a replay gives the same one."""
+    h = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    cut = lambda a, n: F.substr(h, F.lit(a), F.lit(n))
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12))
