@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import line_variants, piece_bpe, ppm_language, prefix_groups, suffix_decontamination
-from roadloom.llm.common import cut, fresh, read, shared_path, small_batches
+from roadloom.llm.common import cut, fresh, read, small_batches, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,12 +67,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        path = shared_path(spark, "corpus_pipeline", name.split(" ")[0].lower())
-        if path is None:  # a session of tests names no shared folder
-            import tempfile
-
-            path = f"{tempfile.mkdtemp(prefix='roadloom-')}/docs"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), "corpus_pipeline", name.split(" ")[0].lower())
     return STAGES[-1][1](spark, docs, sf_dir)
