@@ -3,8 +3,10 @@
 Vectors of integers are dealt to shards, and each shard's go into an M-tree: pages of metric entries, each with a routing vector,
 a covering radius, the distance to its parent's routing vector, and the largest norm below it. With q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2
 a distance that d(q, x) cannot fall below, and a norm that |x| cannot exceed, bound the inner product of all that lies below an
-entry. A query takes pages in the order of their bounds until no page can still hold one of its k best. Distances to the entries
-of a page are bounded first by the triangle inequality from the stored distances to the parent, which leaves many uncomputed.
+entry. A query takes pages in the order of their bounds until no page can still hold one of its k best; all queries of a block go on
+together, each with its own order, and those that have come to the same page meet it as one product of matrices. Distances to the
+entries of a page are bounded first by the triangle inequality from the stored distances to the parent, which leaves many
+uncomputed. What a task has found in one tree bounds its search in the next.
 
 The trees are built once and written. Queries are dealt to blocks of bounded size; a block meets a tree by a join of the two, so
 neither queries nor vectors pass through the driver, and the k best of each shard are merged by one window.
@@ -12,7 +14,6 @@ neither queries nor vectors pass through the driver, and the k best of each shar
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 
@@ -24,41 +25,41 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import read, written
 
 PAGE = 64
+#: What bounds may be off by, as their numbers are rounded.
+SLACK = 1e-3
 SHARD_ROWS = 4096
 QUERY_BLOCK = 8192
 
 
 class MTree:
-    """A tree over integer vectors. Pages hold entry numbers; level 0 has the vectors themselves, the last level is the root page.
-    Equal vectors are one entry with their ids in order."""
+    """A tree over integer vectors. Level 0 has the vectors themselves, with their ids, the last level is the root page. Of equal
+    vectors only the `keep` smallest ids are kept: no more of them can be among the best."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, keep: int):
-        order = np.lexsort((ids,))
-        vectors, inverse = np.unique(vectors[order], axis=0, return_inverse=True)
-        inverse = inverse.reshape(-1)
-        by = np.argsort(inverse, kind="stable")
-        starts = np.searchsorted(inverse[by], np.arange(len(vectors) + 1))
-        # of equal vectors only the first `keep` ids can be among the best
-        self.ids = [ids[order][by[a : min(b, a + keep)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        order = np.lexsort((ids, *vectors.T[::-1]))
+        ids, vectors = ids[order], vectors[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        few = np.arange(len(ids)) - first[np.cumsum(new) - 1] < keep
+        ids, points = ids[few], vectors[few].astype(np.float64)
+        norms, radius = np.sqrt((points**2).sum(axis=1)), np.zeros(len(points))
         self.levels: list[dict] = []
-        points = vectors.astype(np.float64)
-        norms = np.sqrt((points**2).sum(axis=1))
-        radius = np.zeros(len(points))
         rng = np.random.default_rng(0)
+        names = ids
         while True:
-            n_pages = max(1, -(-len(points) // PAGE))
-            route, page_of = self._assign(points, n_pages, rng)
+            route, page_of = self._assign(points, max(1, -(-len(points) // PAGE)), rng)
             to_parent = np.sqrt(((points - route[page_of]) ** 2).sum(axis=1))
-            order = np.argsort(page_of, kind="stable")
+            order = np.lexsort((names, page_of))  # within a page by id: ties go to the smaller one
             bounds = np.searchsorted(page_of[order], np.arange(len(route) + 1))
-            self.levels.append({"points": points[order], "norm": norms[order], "radius": radius[order], "parent": to_parent[order], "child": order, "bounds": bounds})
+            self.levels.append({"points": points[order], "norm": norms[order], "radius": radius[order], "parent": to_parent[order], "name": names[order], "bounds": bounds})
             if len(route) == 1:
-                self.root = (route[0], 0.0)
+                self.root = route[0]
                 return
             reach, top = np.zeros(len(route)), np.zeros(len(route))
             np.maximum.at(reach, page_of, to_parent + radius)
             np.maximum.at(top, page_of, norms)
-            points, radius, norms = route, reach, top
+            points, radius, norms, names = route, reach, top, np.arange(len(route))
 
     @staticmethod
     def _assign(points: np.ndarray, n_pages: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -74,41 +75,61 @@ class MTree:
             route = total / np.bincount(near)[:, None]
         return route, near
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id, without the row of the id `own` and this vector."""
-        q = query.astype(np.float64)
-        square = float(q @ q)
-        best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst of the best on top
-        top = len(self.levels) - 1
-        agenda: list[tuple[float, int, int, float]] = [(-np.inf, top, 0, float(np.sqrt(((q - self.root[0]) ** 2).sum())))]
-        while agenda:
-            bound, level, page, parent = heapq.heappop(agenda)
-            if len(best) == k and -bound < best[0][0]:
+    def search(self, queries: np.ndarray, own: np.ndarray, best: Best) -> None:
+        """The best of each query, bettered by what this tree has; the row of the id `own` with the query's vector is left out."""
+        q = queries.astype(np.float64)
+        square = (q**2).sum(axis=1)
+        # pages of a level with an upper bound and the distance to their routing vector, for each query; -inf where it is pruned
+        bound, distance = np.full((len(q), 1), np.inf), np.sqrt(((q - self.root) ** 2).sum(axis=1))[:, None]
+        for here in self.levels[:0:-1]:
+            n = len(here["points"])
+            page = np.repeat(np.arange(len(here["bounds"]) - 1), np.diff(here["bounds"]))
+            least = np.maximum(np.abs(distance[:, page] - here["parent"]) - here["radius"], 0)
+            upper = (square[:, None] + here["norm"] ** 2 - least**2) / 2 + SLACK
+            upper[~((bound[:, page] >= best.worst[:, None]) & (upper >= best.worst[:, None]))] = -np.inf
+            far = np.full((len(q), n), np.inf)
+            for k in np.flatnonzero((upper > -np.inf).any(axis=0)).tolist():  # entries that some query still asks for
+                asks = np.flatnonzero(upper[:, k] > -np.inf)
+                far[asks, k] = np.sqrt(np.maximum(square[asks] - 2 * q[asks] @ here["points"][k] + (here["points"][k] ** 2).sum(), 0))
+            tight = (square[:, None] + here["norm"] ** 2 - np.maximum(far - here["radius"], 0) ** 2) / 2 + SLACK
+            upper = np.where(upper > -np.inf, np.minimum(upper, tight), -np.inf)
+            back = np.argsort(here["name"])  # entries in the order of the pages that they stand for
+            bound, distance = upper[:, back], far[:, back]
+        leaf = self.levels[0]
+        turn = np.argsort(-bound, axis=1, kind="stable")
+        for r in range(turn.shape[1]):
+            page = turn[:, r]
+            live = np.flatnonzero((bound[np.arange(len(q)), page] >= best.worst) & (bound[np.arange(len(q)), page] > -np.inf))
+            if not len(live):
                 break
-            here = self.levels[level]
-            at = np.arange(here["bounds"][page], here["bounds"][page + 1])
-            # by the triangle inequality, before any distance is computed
-            least = np.maximum(np.abs(parent - here["parent"][at]) - here["radius"][at], 0)
-            upper = (square + here["norm"][at] ** 2 - least**2) / 2 + 1e-3
-            at = at[upper >= best[0][0]] if len(best) == k else at
-            if not len(at):
-                continue
-            if level == 0:
-                same = (here["points"][at] == q).all(axis=1)
-                for score, i, equal in zip(np.rint(here["points"][at] @ q).astype(np.int64).tolist(), here["child"][at].tolist(), same.tolist(), strict=True):
-                    for one in self.ids[i].tolist():
-                        if not (equal and one == own):
-                            if len(best) < k:
-                                heapq.heappush(best, (score, -one))
-                            elif (score, -one) > best[0]:
-                                heapq.heapreplace(best, (score, -one))
-                continue
-            distance = np.sqrt(np.maximum(((here["points"][at] - q) ** 2).sum(axis=1), 0))
-            upper = (square + here["norm"][at] ** 2 - np.maximum(distance - here["radius"][at], 0) ** 2) / 2 + 1e-3
-            for u, d, child in zip(upper.tolist(), distance.tolist(), here["child"][at].tolist(), strict=True):
-                if len(best) < k or u >= best[0][0]:
-                    heapq.heappush(agenda, (-u, level - 1, child, d))
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+            live = live[np.argsort(page[live], kind="stable")]
+            pages, first = np.unique(page[live], return_index=True)
+            for k, asks in zip(pages.tolist(), np.split(live, first[1:]), strict=True):
+                at = slice(leaf["bounds"][k], leaf["bounds"][k + 1])
+                least = np.abs(distance[asks, k][:, None] - leaf["parent"][at])
+                some = ((square[asks, None] + leaf["norm"][at] ** 2 - least**2) / 2 + SLACK >= best.worst[asks, None]).any(axis=1)
+                if (asks := asks[some]).size:
+                    score = np.rint(q[asks] @ leaf["points"][at].T)
+                    # equal norms and the norm's square as product: the query's own vector
+                    itself = (leaf["name"][at] == own[asks, None]) & (score == square[asks, None]) & (np.rint(leaf["norm"][at] ** 2) == square[asks, None])
+                    best.add(asks, np.where(itself, -np.inf, score), leaf["name"][at])
+
+
+class Best:
+    """The k best (score, id) of each query, ties to the smaller id; `worst` is the last one's score, -inf while there are fewer."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.worst = self.score[:, -1].copy()
+
+    def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Further candidates of some queries: a matrix of scores, with the ids of its columns in order."""
+        top = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
+        score = np.concatenate([self.score[rows], np.take_along_axis(score, top, 1)], axis=1)
+        ids = np.concatenate([self.id[rows], ids[top]], axis=1)
+        order = np.lexsort((ids, -score), axis=1)[:, : self.k]
+        self.score[rows], self.id[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        self.worst[rows] = self.score[rows, -1]
 
 
 def scaled(vector: str, scale: float = 256.0) -> Column:
@@ -146,17 +167,26 @@ def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vect
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}  # what a block's queries have found in the trees so far, by block: there are few in a task
         for batch in batches:
-            for packed, queries in zip(batch.column(0), batch.column(1), strict=True):
-                own = pickle.loads(packed.as_buffer())
-                out: list[tuple[int, int, int, int]] = []
-                for q in queries.as_py():
-                    if (tree := own.get(len(q["v"]))) is not None:
-                        out.extend((q["id"], q["h"], i, s) for s, i in tree.search(np.array(q["v"], np.int64), q["id"], k))
-                columns = list(zip(*out, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "h", "id", "score"])
-
-    found = cells.join(asked, ["block", "part"]).select("trees", "queries").mapInArrow(work, "query_id long, h long, id long, score long")
+            for block, packed, queries in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if block not in held:
+                    v = queries.values.field("v")
+                    size = np.diff(v.offsets.to_numpy())
+                    flat, at = v.values.to_numpy(), v.offsets.to_numpy()[:-1]
+                    groups = {n: np.flatnonzero(size == n) for n in np.unique(size).tolist()}
+                    ids, h = (queries.values.field(c).to_numpy() for c in ("id", "h"))
+                    held[block] = {n: (ids[rows], h[rows], flat[at[rows][:, None] + np.arange(n)].reshape(len(rows), n), Best(len(rows), k)) for n, rows in groups.items()}
+                for n, tree in pickle.loads(packed.as_buffer()).items():
+                    if n in held[block]:
+                        ids, _, q, best = held[block][n]
+                        tree.search(q, ids, best)
+        for groups in held.values():
+            for ids, h, _, best in groups.values():
+                row, rank = np.nonzero(best.score > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], h[row], best.id[row, rank], best.score[row, rank].astype(np.int64))], ["query_id", "h", "id", "score"])
+
+    found = cells.join(asked, ["block", "part"]).select("block", "trees", "queries").mapInArrow(work, "query_id long, h long, id long, score long")
     order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "id")  # k rows from each shard
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
 
