@@ -2,10 +2,11 @@
 
 Documents are cut into shards of whole texts. A shard's words become numbers of the benchmark's vocabulary (any other word is a
 wall that no match crosses), and a suffix array orders the places where a match of the asked length can begin, by prefix doubling
-up to the longest item. Every suffix of every benchmark item is then binary-searched in every shard's array: its interval gives
-all places of matches. Items go through in blocks of bounded size; a further block is a further
-pass over the documents, so the benchmark may grow. For the longest match of each text, every place is met with the suffixes next to
-it in the order, so what other texts the shard holds plays no part.
+up to the longest item. Every suffix of every benchmark item is then binary-searched in every shard's array, but for those whose
+first two words stand nowhere in the shard one after the other: its interval gives all places of matches. Items go through in
+blocks of bounded size; rows pass one block after the other, and take with them what they have been found to hold, so the benchmark
+may grow. For the longest match of each text, every place is met with the suffixes next to it in the order, so what other texts the
+shard holds plays no part. A text longer than a shard comes in pieces, each with as many words before it as the longest item has.
 
 Words: A-Z in lower case; runs of letters and digits of ASCII and of all characters beyond ASCII.
 """
@@ -14,18 +15,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, WORD, hash_runs, need, read, runs, text_slices
+from roadloom.llm.common import LOWER, WORD, hash_runs, need, read, runs, text_pieces
 
 WINDOW = 10
 #: Words of benchmark items that go through together.
 BLOCK_WORDS = 1_000_000
+#: Bytes of text of a shard, about.
+SHARD_BYTES = 2 << 20
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,30 +170,62 @@ class Shard:
         small = np.flatnonzero(self.reach >= shortest)
         self.array = suffix_array(self.words, self.reach, small, block.longest)
 
+    def matches(self, block: Block, windows: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(number of a window, places of its matches), for the windows that occur: binary search of both ends of their intervals."""
+        if not len(self.array):
+            return
+        # a window whose first two words follow each other nowhere needs no search
+        base = len(block.vocabulary) + 1
+        after = lambda words, at, inside: words[at] * base + np.where(inside, words[np.minimum(at + 1, len(words) - 1)], 0)
+        here = np.unique(after(self.words, self.array, self.reach[self.array] > 1))
+        some = np.flatnonzero((length == 1) | np.isin(after(block.words, windows, length > 1), here))
+        low, high = (search(self.words, self.reach, self.array, block, windows[some], length[some], upper) for upper in (False, True))
+        for k in np.flatnonzero(high > low).tolist():
+            yield int(some[k]), np.unique(self.position[self.array[low[k] : high[k]]]).tolist()
+
+
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
 
 def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (id, n_words, item_ids array<string>, hits array<struct<begin, end>>, longest, longest_item): for each document the
     items of which a window of `window` words (the whole item, where it is shorter) occurs, the words hit, as spans of word
-    numbers, and the longest verbatim match of any item's suffix with its item. A null or empty text, or one without words, has
-    none; an empty benchmark hits nothing; an item that occurs twice in the benchmark counts once. Repeated documents and ids are
-    each judged; further columns play no part."""
+    numbers that do not overlap, and the longest verbatim match of any item's suffix with its item: of equally long ones the one
+    that begins first in the text, and of those the item that is in the first block and comes first in the order of suffixes. A null
+    or empty text, or one without words, has none; an empty benchmark hits nothing; an item that occurs twice in the benchmark counts
+    once. Repeated documents and ids are each judged; further columns, whatever their names, play no part."""
     spark = docs.sparkSession
-    docs = need(docs, id_column, text_column)
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"{id_column} {kind}, n_words bigint, item_ids array<string>, hits array<struct<begin:bigint,end:bigint>>, longest bigint, longest_item string, row bigint"
-    # a further block is a further pass: rows of one document are put together by its place in the partition
-    keyed = docs.withColumn("row", F.monotonically_increasing_id())
-    passes = [_one_pass(keyed, spark.sparkContext.broadcast(b), id_column, schema, window) for b in blocks(need(items, item_id_column, item_text_column), item_id_column, item_text_column, block_words)]
-    if not passes:
-        passes = [_one_pass(keyed, None, id_column, schema, window)]
-    if len(passes) == 1:
-        return passes[0].drop("row")
-    whole = reduce(DataFrame.union, passes)
-    merged = whole.groupBy("row").agg(F.first(id_column).alias(id_column), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.max(F.struct("longest", "longest_item")).alias("m"))
-    return merged.select(id_column, "n_words", "item_ids", "hits", "m.longest", "m.longest_item")
-
-
-def _one_pass(keyed: DataFrame, sent, id_column: str, schema: str, window: int) -> DataFrame:
+    nothing = "array<struct<begin:bigint,end:bigint>>"
+    rows = docs.select(F.col(f"`{id_column}`").alias("doc"), F.col(f"`{text_column}`").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<string>").alias("item_ids"), F.array().cast(nothing).alias("hits"), F.lit(0).cast("bigint").alias("longest"), F.lit(None).cast("string").alias("longest_item"))
+    schema = f"doc {kind}, text string, n_words bigint, item_ids array<string>, hits {nothing}, longest bigint, longest_item string"
+    every = [spark.sparkContext.broadcast(b) for b in blocks(need(items, item_id_column, item_text_column), item_id_column, item_text_column, block_words)]
+    for sent in every or [None]:
+        rows = rows.mapInArrow(_found(sent, window), schema)
+    return rows.select(F.col("doc").alias(id_column), "n_words", "item_ids", "hits", "longest", "longest_item")
+
+
+def _shards(batch: pa.RecordBatch, column: int, keep: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, int]]:
+    """(first row, end row, words, first word of each text, number of the first word in its text, words met before) of a batch's
+    shards; a long text comes in pieces, each with the last `keep` words before it."""
+    last, carry, seen = -1, np.zeros(0, np.uint64), 0
+    for row, end, data, offsets in text_pieces(batch, column, SHARD_BYTES):
+        hashes, first = words_of(data, offsets)
+        before = 0
+        if row == last:
+            before = len(carry)
+            hashes = np.concatenate([carry, hashes])
+            first = np.array([0, len(hashes)])
+        else:
+            seen = 0
+        yield row, end, hashes, first, seen - before, before
+        seen += len(hashes) - before
+        last, carry = row, hashes[len(hashes) - min(keep, len(hashes)) :]
+
+
+def _found(sent, window: int):
+    """The pass of a block: rows with what they hold of the blocks before and of this one."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block | None = sent.value if sent is not None else None
         if block is not None:
@@ -199,34 +233,31 @@ def _one_pass(keyed: DataFrame, sent, id_column: str, schema: str, window: int)
             everything = suffix_array(block.words, block.left, np.arange(len(block.words)), block.longest)
         for batch in batches:
             n = batch.num_rows
-            n_words, found, hits = np.zeros(n, np.int64), [set() for _ in range(n)], [[] for _ in range(n)]
-            longest, longest_item = np.zeros(n, np.int64), [None] * n
-            for row, end, data, offsets in text_slices(batch, 1):
-                hashes, first = words_of(data, offsets)
-                n_words[row:end] = np.diff(first)
+            n_words, longest, longest_item = np.zeros(n, np.int64), batch.column(5).to_numpy().copy(), batch.column(6).to_pylist()
+            found = [set(x) for x in batch.column(3).to_pylist()]
+            hits = [[(s["begin"], s["end"]) for s in x] for x in batch.column(4).to_pylist()]
+            for row, end, hashes, first, at, before in _shards(batch, 1, block.longest if block is not None else 0):
+                n_words[row:end] += np.diff(first) - before
                 if block is None or not len(hashes):
                     continue
                 shard = Shard(hashes, first, block, window)
                 if not len(shard.array):
                     continue
-                low = search(shard.words, shard.reach, shard.array, block, windows, length, False)
-                high = search(shard.words, shard.reach, shard.array, block, windows, length, True)
-                for w in np.flatnonzero(high > low).tolist():
-                    for place in np.unique(shard.position[shard.array[low[w] : high[w]]]).tolist():
+                for w, places in shard.matches(block, windows, length):
+                    for place in places:
                         t = int(shard.text_of[place])
                         found[row + t].add(block.ids[block.item[windows[w]]])
-                        hits[row + t].append((place - int(first[t]), place - int(first[t]) + int(length[w])))
+                        hits[row + t].append((at + place - int(first[t]), at + place - int(first[t]) + int(length[w])))
                 size, suffix = match_lengths(shard.words, shard.reach, shard.array, block, everything)
                 texts = shard.text_of[shard.position[shard.array]]
                 order = np.lexsort((shard.array, -size, texts))  # of each text the longest match, then the first
                 for k in order[np.unique(texts[order], return_index=True)[1]].tolist():
-                    if size[k]:
+                    if size[k] > longest[row + int(texts[k])]:
                         longest[row + int(texts[k])], longest_item[row + int(texts[k])] = size[k], block.ids[block.item[suffix[k]]]
             spans = [[{"begin": b, "end": e} for b, e in _united(h)] for h in hits]
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(spans, kind), pa.array(longest), pa.array(longest_item, pa.string()), batch.column(2)], [id_column, "n_words", "item_ids", "hits", "longest", "longest_item", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(spans, _SPANS), pa.array(longest), pa.array(longest_item, pa.string())], ["doc", "text", "n_words", "item_ids", "hits", "longest", "longest_item"])
 
-    return keyed.mapInArrow(work, schema)
+    return work
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -262,12 +293,10 @@ def _clean_rows(sent, column: int, window: int):
         windows, length = _windows(block, window)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for row, _, data, offsets in text_slices(batch, column):
-                hashes, first = words_of(data, offsets)
+            for row, _, hashes, first, _, _ in _shards(batch, column, window):
                 shard = Shard(hashes, first, block, window)
-                low, high = (search(shard.words, shard.reach, shard.array, block, windows, length, upper) for upper in (False, True))
-                for w in np.flatnonzero(high > low).tolist():
-                    keep[row + shard.text_of[shard.position[shard.array[low[w] : high[w]]]]] = False
+                for _, places in shard.matches(block, windows, length):
+                    keep[row + shard.text_of[places]] = False
             yield batch.filter(pa.array(keep))
 
     return work
