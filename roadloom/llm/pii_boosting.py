@@ -1,12 +1,16 @@
 """Operator 10, personal data by candidate gradient boosting, in DataFrame operations only.
 
-Base spans come from one expression and one check for each kind. They miss what stands next to other digits: a telephone number
-before an address of a machine, two card numbers in a row, where the expression takes both together and the check fails. So
-generators propose, with high recall and with overlaps, every run of neighbouring digit groups inside such matches. Boosted trees
-score the proposals by format (digits, groups, check digit, parts) and context (the characters beside them). They learn from the
-corpus itself, over all documents: a proposal that is a base span is positive; one that cuts or widens a base span, or that is a
-whole match whose check failed, is negative. A threshold, calibrated on a fold that the trees have not seen, picks from the
-proposals that touch no base span. Proposals have few forms, so what the trees learn from is a small table of forms with counts.
+Base spans come from one expression and one check for each kind. They miss what stands next to other digits (a telephone number
+before an address of a machine, two card numbers in a row), and what is written in another way: telephone numbers without their
+plus, cards of 12 or 13 digits, e-mail addresses with spaces or with the sign in words. So generators propose, with high recall and
+with overlaps, runs of neighbouring digit groups and looser forms of addresses, none of which depend on the base expressions.
+
+Boosted trees score the proposals by format (digits, groups, check digit, parts, separators) and context (the characters beside them,
+whether another group of digits leads up to them). They learn from the corpus itself, over all documents: a proposal that is a base span
+is positive; one that cuts or widens a base span, belongs to a base span of another kind, or is a whole match that cannot be of its
+kind, is negative; the others, which the trees are there to judge, teach nothing. What gives base spans away (the plus) is no
+feature. A threshold for each kind, calibrated on a fold that the trees have not seen, picks from the proposals that touch no base
+span. Proposals have few forms, so what the trees learn from is a small table of forms with counts.
 """
 
 from __future__ import annotations
@@ -32,26 +36,47 @@ PATTERNS = {
 }
 #: A character that a text must have before the expression is tried.
 GUARDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Matches inside which the generators look.
-WIDE = {"ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+", "card": PATTERNS["card"], "phone": PATTERNS["phone"]}
+_PART = "[A-Za-z0-9-]++"
+#: Matches inside which the generators look: addresses with spaces or words for their signs, and runs of digit groups.
+WIDE = {
+    "email": rf"(?i)(?:\G|(?<!{_LOCAL})){_LOCAL}++(?:\x20?@\x20?|\x20?[(\[]at[)\]]\x20?|\x20at\x20(?={_PART}\x20?[(\[]?dot\b)){_PART}(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20){_PART})++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
+    "phone": r"(?:\+|(?<![0-9+]))\(?[0-9][\x20().0-9-]{6,}[0-9]",
+}
 DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
-FEATURES = {"kind": 3, "digits": 20, "groups": 9, "luhn": 2, "wide_part": 2, "before": 4, "after": 4, "whole": 2, "bracket": 2, "last": 5}
+FEATURES = {"kind": 4, "digits": 20, "groups": 9, "luhn": 2, "wide_part": 2, "before": 4, "after": 4, "whole": 2, "bracket": 2, "last": 5, "lead": 2, "sign": 3}
 TREES, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.99
+#: Sums are taken in pieces of so many numbers.
+PIECE = 64
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of ints. Pieces are summed first and then their totals, as adding to an array copies it."""
+
+    def sums(x: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, zero, lambda s, v: F.struct((s.at + v).alias("at"), F.concat(s.out, F.array((s.at + v).cast("int"))).alias("out")), lambda s: s.out)
+
+    def whole(pieces: Column) -> Column:
+        inner = F.transform(pieces, sums)
+        totals = lambda x: sums(F.transform(x, lambda p: F.element_at(p, -1)))
+        shifted = lambda x: let(totals(x), lambda t: F.transform(x, lambda p, i: F.transform(p, lambda v: v + F.when(i > 0, F.get(t, i - 1)).otherwise(0))))
+        return F.flatten(let(inner, shifted))
+
+    pieces = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(PIECE)), lambda i: F.slice(values, i, PIECE))
+    return F.when(F.size(values) > 0, whole(pieces)).otherwise(F.array().cast("array<int>"))
 
 
 def found(text: Column, pattern: str) -> Column:
     """Array of (start, end, s): the matches of the pattern with their places in characters, the end exclusive."""
     empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def add(state: Column, x: Column) -> Column:
-        start = state.at + F.length(x["piece"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(state.out, F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("s")))).alias("out"))
 
     def placed(matches: Column) -> Column:
-        zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("piece"), matches.alias("match"))
-        return F.when(F.size(matches) > 0, F.aggregate(zipped, zero, add, lambda state: state.out)).otherwise(empty)
+        pieces = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        ends = running(F.zip_with(pieces, matches, lambda p, m: F.length(p) + F.length(m)))
+        spans = F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("s")))
+        return F.when(F.size(matches) > 0, spans).otherwise(empty)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
@@ -70,7 +95,7 @@ def passes(kind: str, s: Column) -> Column:
     """The check of a kind's match."""
     digits = F.length(_digits(s))
     if kind == "ip":
-        return F.forall(F.split(s, r"\."), lambda x: F.coalesce(F.try_to_number(F.substr(x, F.lit(1), F.lit(9)), F.lit("999999999")) <= 255, F.lit(False)) & (F.length(F.ltrim(x, F.lit("0"))) <= 3))
+        return F.forall(F.split(s, r"\."), lambda x: x.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     if kind == "card":
         return (digits >= 14) & (digits <= 19) & luhn(_digits(s))
     if kind == "phone":
@@ -98,36 +123,50 @@ def _char_class(c: Column) -> Column:
 
 def proposals(kind: str) -> Column:
     """The generator of a kind: an array of structs with the place, the features, and whether it is the whole match."""
-    low, high = DIGITS[kind]
+    text = F.col("text")
+
+    def one(start: Column, end: Column, s: Column, groups: Column, last: Column, whole: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), groups.cast("int").alias("groups"), last.cast("int").alias("last"), whole.alias("is_whole"), s.alias("s"), _digits(s).alias("d"))
 
     def between(run: Column, groups: Column) -> Column:
+        low, high = DIGITS[kind]
         n = F.size(groups)
+        plus = run.s.startswith("+")
 
         def proposal(i: Column, g: Column, j: Column, h: Column) -> Column:
-            start = F.lit(0) if kind == "phone" else g.start
-            s = F.substr(run.s, start + 1, h.end - start)
-            whole = (i == 0) & (j == n - 1)
-            return F.struct((run.start + start).alias("start"), (run.start + h.end).alias("end"), (j - i + 1).alias("groups"), F.length(h.s).alias("last"), whole.alias("is_whole"), s.alias("s"), _digits(s).alias("d"))
+            start = g.start
+            if kind == "phone":  # with its plus, or with the bracket around its first group
+                opened = F.substr(run.s, g.start, F.lit(1)) == "("
+                start = F.when(plus, 0).when((g.start > 0) & opened, g.start - 1).otherwise(g.start)
+            return one(run.start + start, run.start + h.end, F.substr(run.s, start + 1, h.end - start), j - i + 1, F.length(h.s), (i == 0) & (j == n - 1))
 
         def starting(g: Column, i: Column) -> Column:
-            last = F.when(i + 3 < n, F.array(i + 3)).otherwise(F.array().cast("array<int>")) if kind == "ip" else F.sequence(i, F.least(n - 1, i + 18))
+            last = F.when(i + 3 < n, F.array(i + 3)).otherwise(F.array().cast("array<int>")) if kind == "ip" else F.sequence(i, F.least(n - 1, i + 18))  # more groups have too many digits
             return F.transform(last, lambda j: proposal(i, g, j, F.get(groups, j)))
 
-        heads = F.slice(groups, 1, 1) if kind == "phone" else groups
-        return F.filter(F.flatten(F.transform(heads, starting)), lambda x: (F.length(x.d) >= low) & (F.length(x.d) <= high))
+        # a plus begins a number, so nothing begins after it
+        heads = F.when(plus, F.slice(groups, 1, 1)).otherwise(groups) if kind == "phone" else groups
+        out = F.filter(F.flatten(F.transform(heads, starting)), lambda x: (F.length(x.d) >= low) & (F.length(x.d) <= high))
+        # digits in one run without a plus are numbers of all sorts
+        return F.filter(out, lambda x: (x.groups > 1) | x.s.startswith("+")) if kind == "phone" else out
 
     def inside(run: Column) -> Column:
+        if kind == "email":
+            parts = F.split(run.s, r"(?i)\.|[(\[]dot[)\]]|\x20dot\x20")
+            return F.array(one(run.start, run.end, run.s, F.size(parts), F.length(F.element_at(parts, -1)), F.lit(True)))
         return let(found(run.s, "[0-9]++"), lambda groups: between(run, groups))
 
-    runs = F.when(F.contains("text", F.lit(GUARDS[kind])), found(F.col("text"), WIDE[kind]))
-    text = F.col("text")
+    wanted = F.contains(text, F.lit(GUARDS[kind])) if kind == "ip" else F.contains(text, F.lit("@")) | text.rlike(r"(?i)[(\[\x20]at[)\]\x20]") if kind == "email" else F.lit(True)
+    runs = F.when(wanted, found(text, WIDE[kind]))
 
     def features(x: Column) -> Column:
+        ahead = F.substr(text, F.greatest(x.start - 1, F.lit(1)), F.least(x.start, F.lit(2)))
         before = F.when(x.start > 0, F.substr(text, x.start, F.lit(1))).otherwise("")
+        sign = F.when(F.contains(x.s, F.lit("@")), 2).when(x.s.rlike("[(\\[]"), 1).otherwise(0) if kind == "email" else F.lit(0)
         values = {
-            "kind": F.lit(list(WIDE).index(kind)), "digits": F.length(x.d), "groups": F.least(x.groups, F.lit(8)), "luhn": luhn(x.d).cast("int"),
+            "kind": F.lit(KINDS.index(kind)), "digits": F.least(F.length(x.d), F.lit(19)), "groups": F.least(x.groups, F.lit(8)), "luhn": (luhn(x.d) if kind != "email" else F.lit(False)).cast("int"),
             "wide_part": (~passes("ip", x.s)).cast("int") if kind == "ip" else F.lit(0), "before": _char_class(before), "after": _char_class(F.substr(text, x.end + 1, F.lit(1))),
-            "whole": x.is_whole.cast("int"), "bracket": F.contains(x.s, F.lit("(")).cast("int"), "last": F.least(x["last"], F.lit(4)),
+            "whole": x.is_whole.cast("int"), "bracket": F.contains(x.s, F.lit("(")).cast("int"), "last": F.least(x["last"], F.lit(4)), "lead": F.when(x.start > 0, ahead.rlike(r"[0-9][\x20().-]?$").cast("int")).otherwise(0), "sign": sign,
         }
         return F.struct(x.start.alias("start"), x.end.alias("end"), x.s.alias("s"), *[v.cast("int").alias(k) for k, v in values.items()])
 
@@ -140,11 +179,14 @@ def _touches(x: Column, spans: Column) -> Column:
 
 
 def _labelled(kind: str):
-    """A proposal's features with its label: 1 for a base span, 0 for what touches one or has failed as a whole, else null."""
+    """A proposal's features with its label: 1 for a base span, 0 for what touches one of any kind or cannot be of its kind, else null."""
 
     def label(x: Column) -> Column:
         exact = F.exists(F.col(kind), lambda y: (y.start == x.start) & (y.end == x.end))
-        return F.when(exact, 1).when(_touches(x, F.col(kind)) | ((x.whole == 1) & ~passes(kind, x.s)), 0)
+        touches = _touches(x, F.col(KINDS[0]))
+        for other in KINDS[1:]:
+            touches = touches | _touches(x, F.col(other))
+        return F.when(exact, 1).when(touches, 0).when((x.whole == 1) & ~passes(kind, x.s), 0)
 
     return lambda x: F.struct(*[x[f].alias(f) for f in FEATURES], label(x).alias("label"))
 
@@ -161,10 +203,10 @@ def forms(docs: DataFrame) -> list:
 
 
 class Trees:
-    """Boosted trees: nested tuples (feature, bound, below, from) with numbers as leaves, the first score, and the threshold."""
+    """Boosted trees: nested tuples (feature, bound, below, from) with numbers as leaves, the first score, and a threshold for each kind."""
 
-    def __init__(self, first: float, trees: list, threshold: float):
-        self.first, self.trees, self.threshold = first, trees, threshold
+    def __init__(self, first: float, trees: list, thresholds: dict[str, float]):
+        self.first, self.trees, self.thresholds = first, trees, thresholds
 
     def margin(self, row) -> float:
         def walk(t):
@@ -184,12 +226,12 @@ class Trees:
 
 
 def fit(rows: list, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, precision: float = PRECISION) -> Trees:
-    """Gradient boosting with the logistic loss over the forms; Newton steps at the leaves. The threshold is the lowest score at
-    which the fold left out has the asked precision from there on up, and 0.5 at least."""
+    """Gradient boosting with the logistic loss over the forms; Newton steps at the leaves. A kind's threshold is the lowest score at
+    which its part of the fold left out has the asked precision from there on up, and 0.5 at least."""
     own, held = [r for r in rows if not r.fold], [r for r in rows if r.fold]
     positive, total = sum(r.n for r in own if r.label), sum(r.n for r in own)
     if not positive or positive == total:
-        return Trees(-30.0, [], 0.5)
+        return Trees(-30.0, [], dict.fromkeys(WIDE, 0.5))
     first = math.log(positive / (total - positive))
     margin = [first] * len(own)
     grown: list = []
@@ -220,19 +262,24 @@ def fit(rows: list, trees: int = TREES, depth: int = DEPTH, rate: float = RATE,
             return (f, b, grow([i for i in at if own[i][f] < b], level + 1), grow([i for i in at if own[i][f] >= b], level + 1))
 
         grown.append(grow(list(range(len(own))), 0))
-    model = Trees(first, grown, 0.5)
-    scored = sorted(((1 / (1 + math.exp(-model.margin(r))), r.label, r.n) for r in held), reverse=True)
-    good = every = 0
-    for i, (s, label, n) in enumerate(scored):
-        good, every = good + label * n, every + n
-        if i + 1 == len(scored) or scored[i + 1][0] < s:
-            if s < 0.5:
-                break
-            if good < precision * every:
-                model.threshold = max(model.threshold, math.nextafter(s, 2))
+    model = Trees(first, grown, dict.fromkeys(WIDE, 0.5))
+    for kind in WIDE:
+        scored = sorted(((1 / (1 + math.exp(-model.margin(r))), r.label, r.n) for r in held if r.kind == KINDS.index(kind)), reverse=True)
+        good = every = 0
+        for i, (s, label, n) in enumerate(scored):
+            good, every = good + label * n, every + n
+            if i + 1 == len(scored) or scored[i + 1][0] < s:
+                if s < 0.5:
+                    break
+                if good < precision * every:
+                    model.thresholds[kind] = max(model.thresholds[kind], math.nextafter(s, 2))
     return model
 
 
+def _at_least(score: float):
+    return lambda x: x.score >= score
+
+
 def _as_span(kind: str, score):
     return lambda x: F.struct(x.start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), x.end.alias("end"), F.lit(kind).alias("kind"), score(x).alias("score"))
 
@@ -249,11 +296,11 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     scored = []
     for kind in WIDE:
         free = F.filter(proposals(kind), lambda x: ~_touches(x, F.col("base")))
-        scored.append(F.transform(free, _as_span(kind, model.column)))
-    # most texts have no digits next to each other that could hold a proposal
-    likely = F.col("text").rlike(r"[0-9][\x20().0-9-]{5,}[0-9]")
+        scored.append(F.filter(F.transform(free, _as_span(kind, model.column)), _at_least(model.thresholds[kind])))
+    # most texts have nothing that could be a proposal
+    likely = F.col("text").rlike(r"(?i)[0-9][\x20().0-9-]{5,}[0-9]|@|[(\[]at[)\]]|\x20dot\x20")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double>>")
-    picked = F.when(likely, F.filter(F.concat(*scored), lambda x: x.score >= model.threshold)).otherwise(none)
+    picked = F.when(likely, F.concat(*scored)).otherwise(none)
     # of proposals that overlap the best one stays: the highest score, then the longest, then the first
     better = lambda x, y: (y.score > x.score) | ((y.score == x.score) & ((y.end - y.start > x.end - x.start) | ((y.end - y.start == x.end - x.start) & ((y.start < x.start) | ((y.start == x.start) & (y.order < x.order))))))
     d = d.withColumn("base", base).withColumn("picked", picked)
