@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     chosen_ids = labels.where((F.col(label_column) == 1) & share(positives, known.p)).select(id_column)  # about `positives` ids
     p = docs.join(F.broadcast(chosen_ids), id_column, "left_semi").select(F.lit(1).alias("positive"), text_column)
     u = docs.where(share(unlabelled, total)).select(F.lit(0).alias("positive"), text_column)
-    sample = cut(p.unionAll(u))
+    # rows that repeat are drawn together: twice the bound is the most that is taken
+    sample = cut(p.limit(2 * positives).unionAll(u.limit(2 * unlabelled)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, BUCKETS + 1), np.int64)  # the last one counts documents
@@ -175,7 +176,7 @@ def score(docs: DataFrame, model: Classifiers, id_column: str = "doc_id", text_c
 
 
 def held_out() -> Column:
-    return crc_mod("doc_id", 3) == 1
+    return F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))  # a null id is not held out
 
 
 def op1_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,24 @@ def test_longest_match_of_each_text(spark):
     assert results[0] == results[1] and results[0][0] == results[0][1] == results[0][2] == (12, "0")
 
 
+def test_contamination_in_pieces(spark, monkeypatch):
+    """Texts of many pieces hold what the whole holds, at the pieces' edges as well; matches and blocks don't depend on partitions."""
+    monkeypatch.setattr(suffix_decontamination, "SHARD_BYTES", 200)
+    rng = np.random.default_rng(8)
+    word = lambda: f"v{rng.integers(0, 9)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((3, 10, 14, 30))] + [(9, "v1"), (10, None)]
+    texts = [" ".join(word() for _ in range(n)) for n in (0, 5, 300, 900)] + [" ".join([*(word() for _ in range(150)), items[3][1], *(word() for _ in range(90))]) for _ in range(4)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    table = spark.createDataFrame(items, "item_id int, text string")
+    expected = {d: (n, k, hit) for d, n, hit, k, _, _ in brute.contamination(list(enumerate(texts)), items)}
+    for parts, block in ((1, 10**6), (3, 20), (7, 20)):
+        got = suffix_decontamination.contamination(df.repartition(parts), table, id_column="row", block_words=block).collect()
+        assert {r["row"]: (r.n_words, len(r.item_ids), sum(h.end - h.begin for h in r.hits)) for r in got} == expected
+        assert all(r.longest >= 30 for r in got if 4 <= r["row"] < 8)
+        clean = suffix_decontamination.decontaminate(df.repartition(parts), table, block_words=block)
+        assert sorted(r["row"] for r in clean.collect()) == [d for d, (_, _, hit) in sorted(expected.items()) if not hit]
+
+
 def test_contamination_query(spark, sf, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = catalogue.QUERIES["op2_suffix_decontamination"](spark, sf).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
@@ -484,6 +502,23 @@ def test_boosting_finds_neighbours(spark):
     assert pii_boosting.redact(df).where("doc_id = 500").first().text == "é [PHONE] [IP] end"
 
 
+def test_proposals_beyond_the_base(spark):
+    """Forms that no base expression finds: a number without its plus, an address with spaces or words; but no date, price or serial."""
+    rows = [(i, f"call +1 (2{i % 90 + 10}) 555-{1000 + i} or write to ann{i}@mail.example.com, on 2024-01-{i % 28 + 10}; 10.0.{i % 200}.7, 12.50 or {i} 000 000") for i in range(300)]
+    tests = ["ring (826) 555-4081 x", "ring 1 (826) 555-4081 x", "bob [at] mail [dot] example.com!", "bob @ mail.example.org is it", "on 2024-01-30 at noon. Then", "serial 1704067200000 x", "look at home.There"]
+    df = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(tests)], "doc_id long, text string")
+    got = {r.doc_id - 1000: [(x.kind, tests[r.doc_id - 1000][x.start : x.end]) for x in r.spans] for r in pii_boosting.personal_data(df).where("doc_id >= 1000").collect()}
+    assert got == {0: [("phone", "(826) 555-4081")], 1: [("phone", "1 (826) 555-4081")], 2: [("email", "bob [at] mail [dot] example.com")], 3: [("email", "bob @ mail.example.org")], 4: [], 5: [], 6: []}
+
+
+def test_running_sums_and_many_matches(spark):
+    values = list(range(1, 400))
+    df = spark.createDataFrame([(values, "ab1" * 5000), ([], "")], "v array<int>, t string")
+    got = df.select(pii_boosting.running(F.col("v")).alias("r"), pii_boosting.found(F.col("t"), "[0-9]").alias("f")).collect()
+    assert got[0].r == np.cumsum(values).tolist() and got[1].r == [] and got[1].f == []
+    assert [(x.start, x.end) for x in got[0].f] == [(3 * i + 2, 3 * i + 3) for i in range(5000)]
+
+
 def test_personal_query(spark, sf, docs):
     got = {r.doc_id: r for r in catalogue.QUERIES["op10_pii_boosting"](spark, sf).collect()}
     for r in docs:
