@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions.numbers import half_up
 from roadloom.operators.rollups import finish, merge, state_columns
 from roadloom.plans.telemetry import T
-from roadloom.sources.tables import table, telemetry
+from roadloom.sources.tables import shared_folder, table, telemetry
 from roadloom.streaming import dedup, rules, sinks
 
 QUERIES: dict = {}
@@ -28,11 +26,8 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A folder for a stream's files, in the shared place that the session names; a temporary one where it names none."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    """A folder for a stream's files, in the shared place that the session names."""
+    return shared_folder(spark, "streams", name)
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,6 +55,17 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.read_batches(spark, out).groupBy("vin").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("distinct_n"))
 
 
+@query(f"SELECT vin, ts::DATE AS day, count(*) AS n FROM {T} GROUP BY 1, 2")
+def stream_windows_by_event_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Days by the events' own time with a watermark. A last, far later event lets the stream give out the days before it."""
+    out, marks = folder(spark, "windows"), folder(spark, "windows-marks")
+    days = sinks.keyed_by_time(event_stream(spark, sf), "ts", "40 days").groupBy("vin", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    stream = days.select("vin", F.to_date("w.start").alias("day"), "n")
+    run = stream.writeStream.outputMode("update").foreachBatch(sinks.batch_files(out)).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sinks.read_batches(spark, out).groupBy("vin", "day").agg(F.max("n").alias("n"))  # counts only go up
+
+
 #: Events are hours apart, so times are stretched.
 LIMITS = rules.Limits(stretch=360, overheat_c=60.0, critical=("PURCHASE",), harsh=("click", "error"))
 
@@ -78,7 +84,7 @@ def rule_engine_alerts(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stream_rules(spark: SparkSession, sf: str) -> DataFrame:
     out, marks = folder(spark, "rules"), folder(spark, "rules-marks")
-    sinks.run_to_end(rules.stream_alerts(as_canonical(event_stream(spark, sf)), ["ts", "seq"], LIMITS), sinks.ignore_known(out, "dedup_key"), marks)
+    sinks.run_to_end(rules.stream_alerts(as_canonical(event_stream(spark, sf)), ["ts", "seq"], LIMITS), sinks.ignore_known(out, "dedup_key", F.to_date(F.timestamp_millis("opened_at"))), marks)
     return sinks.read_batches(spark, out)
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VERSION = 1
+VERSION = 2
 MINUTE, HOUR = 60_000, 3_600_000
 
 #: Severity and cooldown of each rule.
@@ -57,13 +57,11 @@ class Limits:
 
 @dataclass
 class State:
-    """What a vehicle's rules remember; times in milliseconds, None for never."""
+    """What a vehicle's rules remember; times in milliseconds, None for never. held: for each rule about something that lasts since
+    when it does, and whether that was told."""
 
     last: int | None = None
-    hot_since: int | None = None
-    hot_told: bool = False
-    idle_since: int | None = None
-    idle_told: bool = False
+    held: dict[str, list] = field(default_factory=dict)
     coolant: float | None = None
     coolant_at: int | None = None
     jump_at: int | None = None
@@ -82,68 +80,93 @@ class State:
         return cls(**values) if values.pop("version", None) == VERSION else cls()
 
 
-def step(s: State, e: dict, lim: Limits = Limits()) -> list[dict]:
-    """Takes one event into the state and returns its alerts. e: vin, ts (milliseconds), engine_on, speed_kmh, fuel_pct, soc_pct,
-    coolant_c, batt_v, dtc, evt, lat, lon; what is missing is null."""
-    ts, k = e["ts"], lim.stretch
-    alerts: list[dict] = []
+def _below(value, bound: float) -> bool:
+    return value is not None and value < bound
+
+
+#: Rules that one event decides by itself: what the alert tells, or None.
+POINT_RULES = {
+    "CRITICAL_DTC": lambda e, lim: next(({"dtc": c} for c in e.get("dtc") or () if c in lim.critical), None),
+    "LOW_12V_BATTERY": lambda e, lim: {"batt_v": e["batt_v"], "threshold_v": lim.low_battery_v} if not e.get("engine_on") and _below(e.get("batt_v"), lim.low_battery_v) else None,
+    # a vehicle that reports charge and no fuel is electric
+    "EV_LOW_SOC": lambda e, lim: {"soc_pct": e["soc_pct"], "threshold_pct": lim.low_charge_pct} if e.get("fuel_pct") is None and (e.get("speed_kmh") or 0) > 0 and _below(e.get("soc_pct"), lim.low_charge_pct) else None,
+}
+
+
+class _Step:
+    """One event on its way into a vehicle's state."""
+
+    def __init__(self, s: State, e: dict, lim: Limits):
+        self.s, self.e, self.lim, self.ts, self.alerts = s, e, lim, e["ts"], []
+
+    def time(self, limit: int) -> int:
+        return limit * self.lim.stretch
 
-    def tell(rule: str, at: int, opened: int, **details) -> bool:
+    def tell(self, rule: str, at: int, opened: int, details: dict) -> bool:
+        """An alert, unless the rule is still quiet for the vehicle at that time (or was told of something later)."""
         severity, quiet = RULES[rule]
-        before = s.raised.get(rule)
-        if before is not None and at - before < quiet * k:  # also an event older than the last firing
+        before = self.s.raised.get(rule)
+        if before is not None and at - before < self.time(quiet):
             return False
-        s.raised[rule] = at if before is None else max(before, at)
-        details |= {"lat": e.get("lat"), "lon": e.get("lon")}
-        alerts.append({"dedup_key": f"{e['vin']}:{rule}:{opened}", "vin": e["vin"], "rule": rule, "severity": severity, "opened_at": opened, "at": ts, "details": json.dumps(details, sort_keys=True)})
+        self.s.raised[rule] = at if before is None else max(before, at)
+        said = json.dumps({**details, "lat": self.e.get("lat"), "lon": self.e.get("lon")}, sort_keys=True)
+        self.alerts.append({"dedup_key": f"{self.e['vin']}:{rule}:{opened}", "vin": self.e["vin"], "rule": rule, "severity": severity, "opened_at": opened, "at": self.ts, "details": said})
         return True
 
-    on, speed, coolant = bool(e.get("engine_on")), e.get("speed_kmh") or 0.0, e.get("coolant_c")
-    for code in e.get("dtc") or ():
-        if code in lim.critical and tell("CRITICAL_DTC", ts, ts, dtc=code):
-            break
-    if not on and e.get("batt_v") is not None and e["batt_v"] < lim.low_battery_v:
-        tell("LOW_12V_BATTERY", ts, ts, batt_v=e["batt_v"])
-    if e.get("soc_pct") is not None and e.get("fuel_pct") is None and speed > 0 and e["soc_pct"] < lim.low_charge_pct:
-        tell("EV_LOW_SOC", ts, ts, soc_pct=e["soc_pct"])
-    if e.get("evt") in lim.harsh:
-        s.harsh = sorted([*s.harsh, ts])[-lim.harsh_events :]  # late ones take their place, the oldest goes
-        span = s.harsh[-1] - s.harsh[0]
-        if len(s.harsh) == lim.harsh_events and span <= lim.harsh_window * k and tell("HARSH_DRIVING", s.harsh[-1], s.harsh[0], events=len(s.harsh), window_seconds=span // 1000):
-            s.harsh = []
-
-    if s.last is not None and ts < s.last:
-        return alerts
-    if s.last is not None and ts - s.last > lim.gap * k:
-        s.hot_since = s.idle_since = None
-        s.hot_told = s.idle_told = False
-    if coolant is not None:
-        near = s.coolant_at is not None and ts - s.coolant_at <= lim.gap * k
-        if near and abs(coolant - s.coolant) > lim.jump_c:
-            if s.jump_at is None or ts - s.jump_at > lim.jump_window * k:
-                s.jump_at, s.jumps = ts, 0
-            s.jumps += 1
+    def lasting(self, rule: str, holds: bool, least: int, told: dict, seconds: str) -> None:
+        """A rule about what lasts: told once, when it has held for `least` milliseconds."""
+        if not holds:
+            self.s.held.pop(rule, None)
+            return
+        entry = self.s.held.setdefault(rule, [self.ts, False])
+        if not entry[1] and self.ts - entry[0] >= least:
+            entry[1] = True
+            self.tell(rule, self.ts, entry[0], {**told, seconds: (self.ts - entry[0]) // 1000})
+
+    def harsh(self) -> None:
+        """Enough harsh events within the window; late ones take their place, and the next alert needs as many new ones."""
+        kept = sorted([*self.s.harsh, self.ts])[-self.lim.harsh_events :]
+        span = kept[-1] - kept[0]
+        full = len(kept) == self.lim.harsh_events and span <= self.time(self.lim.harsh_window)
+        self.s.harsh = [] if full and self.tell("HARSH_DRIVING", kept[-1], kept[0], {"events": len(kept), "window_seconds": span // 1000}) else kept
+
+    def sensor(self, coolant: float) -> None:
+        """Readings that jump to and fro mean a failing sensor: while it is suspect, its heat isn't believed."""
+        s, lim = self.s, self.lim
+        jumped = s.coolant_at is not None and self.ts - s.coolant_at <= self.time(lim.gap) and abs(coolant - s.coolant) > lim.jump_c
+        if jumped:
+            again = s.jump_at is not None and self.ts - s.jump_at <= self.time(lim.jump_window)
+            s.jump_at, s.jumps = (s.jump_at, s.jumps + 1) if again else (self.ts, 1)
             if s.jumps >= lim.jumps:
-                fresh, s.suspect_until = ts >= s.suspect_until, ts + lim.suspect_for * k
+                fresh, s.suspect_until = self.ts >= s.suspect_until, self.ts + self.time(lim.suspect_for)
                 if fresh:
-                    tell("SENSOR_FAULT", ts, s.jump_at, sensor="coolant", jumps=s.jumps, readings_c=[s.coolant, coolant])
-        s.coolant, s.coolant_at = coolant, ts
-    if coolant is None or coolant <= lim.overheat_c or ts < s.suspect_until:
-        s.hot_since, s.hot_told = None, False
-    else:
-        s.hot_since = ts if s.hot_since is None else s.hot_since
-        if not s.hot_told and ts - s.hot_since >= lim.overheat_for * k:
-            s.hot_told = True
-            tell("ENGINE_OVERHEAT", ts, s.hot_since, coolant_c=coolant, above_for_seconds=(ts - s.hot_since) // 1000)
-    if not on or speed >= 1:
-        s.idle_since, s.idle_told = None, False
-    else:
-        s.idle_since = ts if s.idle_since is None else s.idle_since
-        if not s.idle_told and ts - s.idle_since > lim.idle_for * k:
-            s.idle_told = True
-            tell("EXCESSIVE_IDLING", ts, s.idle_since, idle_seconds=(ts - s.idle_since) // 1000)
-    s.last = ts
-    return alerts
+                    told = {"sensor": "coolant", "jumps": s.jumps, "window_seconds": (self.ts - s.jump_at) // 1000, "readings_c": [s.coolant, coolant], "max_plausible_change_c": lim.jump_c, "overheat_alerts_held": True}
+                    self.tell("SENSOR_FAULT", self.ts, s.jump_at, told)
+        s.coolant, s.coolant_at = coolant, self.ts
+
+
+def step(s: State, e: dict, lim: Limits = Limits()) -> list[dict]:
+    """Takes one event into the state and returns its alerts. e: vin, ts (milliseconds), engine_on, speed_kmh, fuel_pct, soc_pct,
+    coolant_c, batt_v, dtc, evt, lat, lon; what is missing is null."""
+    now = _Step(s, e, lim)
+    for rule, told_by in POINT_RULES.items():
+        if (told := told_by(e, lim)) is not None:
+            now.tell(rule, e["ts"], e["ts"], told)
+    if e.get("evt") in lim.harsh:
+        now.harsh()
+    if s.last is not None and e["ts"] < s.last:  # late: what lasts is known already
+        return now.alerts
+    if s.last is not None and e["ts"] - s.last > now.time(lim.gap):
+        s.held.clear()
+    coolant = e.get("coolant_c")
+    if coolant is not None:
+        now.sensor(coolant)
+    hot = coolant is not None and coolant > lim.overheat_c and e["ts"] >= s.suspect_until
+    now.lasting("ENGINE_OVERHEAT", hot, now.time(lim.overheat_for), {"coolant_c": coolant, "threshold_c": lim.overheat_c}, "above_for_seconds")
+    idle = bool(e.get("engine_on")) and (e.get("speed_kmh") or 0) < 1
+    now.lasting("EXCESSIVE_IDLING", idle, now.time(lim.idle_for) + 1, {}, "idle_seconds")
+    s.last = e["ts"]
+    return now.alerts
 
 
 ALERTS = "dedup_key string, vin string, rule string, severity string, opened_at long, at long, details string"

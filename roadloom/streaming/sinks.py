@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.operators.rollups import once
@@ -34,24 +34,34 @@ def several(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return write
 
 
-def ignore_known(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Rows whose key no earlier batch has written."""
+def ignore_known(path: str, key: str, day: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """Rows whose key no earlier batch has written. day: an expression that is the same for all rows of a key; rows are then kept in
+    a folder for each day, and a batch looks only at the days of its own rows, however long the history is."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        rows = batch if day is None else batch.withColumn("_day", day)
         try:
             known = spark.read.parquet(path).where(F.col("batch_id") != number)
         except Exception as error:  # nothing is written yet
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
-            known = batch.limit(0)
-        once(batch, known, key).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+            known = rows.limit(0)
+        if day is not None and "_day" in known.columns:
+            known = known.where(F.col("_day").isin([r[0] for r in rows.select("_day").distinct().collect()]))  # the days of one batch
+        out = once(rows, known, key).write
+        (out if day is None else out.partitionBy("_day")).mode("overwrite").parquet(f"{path}/batch_id={number}")
 
     return write
 
 
+def keyed_by_time(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Events with their own time as the record's time: state about what is older than the latest by the delay may be given up."""
+    return events.withWatermark(ts, delay)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch_id")
+    return spark.read.parquet(path).drop("batch_id", "_day")
 
 
 def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
