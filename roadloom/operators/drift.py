@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.operators.ranks import quantiles
+
 
 def psi(rows: DataFrame, group: str, value: str, current: str, floor: float = 1e-4) -> DataFrame:
     """(group, psi, baseline_mean, current_mean, baseline_n, current_n). rows: a boolean column `current` tells the sample. Edges are
@@ -12,7 +14,7 @@ def psi(rows: DataFrame, group: str, value: str, current: str, floor: float = 1e
     belong to no bin. The edges, nine a group, come from one aggregation and meet the values by a join on the group."""
     rows = rows.where(F.col(value).isNotNull() & F.col(current).isNotNull())
     cuts = [i / 10 for i in range(1, 10)]
-    edges = rows.where(~F.col(current)).groupBy(group).agg(F.array_distinct(F.percentile(value, cuts)).alias("_edges"))
+    edges = quantiles(rows.where(~F.col(current)), value, cuts, [group]).select(group, F.array_distinct("q").alias("_edges"))
     binned = rows.join(edges, group).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col(value))))
     sums = binned.groupBy(group, "_bin").agg(F.first("_edges").alias("_edges"), F.count_if(~F.col(current)).alias("b"), F.count_if(F.col(current)).alias("c"), F.sum(F.when(~F.col(current), F.col(value))).alias("bs"), F.sum(F.when(F.col(current), F.col(value))).alias("cs"))
     total = sums.groupBy(group).agg(F.sum("b").alias("baseline_n"), F.sum("c").alias("current_n"), (F.sum("bs") / F.sum("b")).alias("baseline_mean"), (F.sum("cs") / F.nullif(F.sum("c"), F.lit(0))).alias("current_mean"), F.first(F.size("_edges")).alias("_n"), F.collect_list(F.struct("_bin", "b", "c")).alias("_bins"))

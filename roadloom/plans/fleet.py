@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.hashing import sha_group
 from roadloom.functions.numbers import half_up
-from roadloom.operators import planning
+from roadloom.operators import planning, ranks
 from roadloom.operators.rollups import once
 from roadloom.sources.tables import TenantView, table
 
@@ -152,24 +152,19 @@ def repair_after_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT a.c_custkey AS vehicle, b.s_suppkey AS driver FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) a JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey DESC) AS rn FROM supplier) b USING (rn)")
 def zip_join_row_number(spark: SparkSession, sf: str) -> DataFrame:
-    """Two tables side by side. The shorter one, suppliers, bounds what is numbered of the longer."""
-    drivers = table(spark, sf, "supplier").select("s_suppkey")
-    n = drivers.count()
-    a = table(spark, sf, "customer").select("c_custkey").orderBy("c_custkey").limit(n).withColumn("rn", F.row_number().over(Window.orderBy("c_custkey")))
-    b = drivers.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("s_suppkey"))))
-    return a.join(b, "rn").select(F.col("c_custkey").alias("vehicle"), F.col("s_suppkey").alias("driver"))
+    """Two tables side by side, each numbered by ranges of its key."""
+    a = ranks.placed(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"])
+    b = ranks.placed(table(spark, sf, "supplier").select("s_suppkey", (-F.col("s_suppkey")).alias("back")), ["back"])
+    return a.join(b, "upto").select(F.col("c_custkey").alias("vehicle"), F.col("s_suppkey").alias("driver"))
 
 
 @query("SELECT id, vin FROM (SELECT c_custkey AS id, c_name AS vin, row_number() OVER (ORDER BY c_custkey) AS rn, count(*) OVER () AS n FROM customer) WHERE (rn - 1) % greatest(1, n // 40) = 0")
 def even_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Every so manieth row in the order of the key: rows are numbered within ranges of the key, whose sizes give the offsets."""
+    """Every so manieth row in the order of the key, numbered by ranges of it."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("vin"))
-    ranged = c.repartitionByRange(8, "id").withColumn("part", F.spark_partition_id()).withColumn("in_part", F.row_number().over(Window.partitionBy("part").orderBy("id")))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
-    offsets = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("offset"))  # one row a range
-    total = sizes.agg(F.sum("size").alias("n"))
-    rows = ranged.join(F.broadcast(offsets), "part").join(F.broadcast(total))
-    return rows.where((F.col("in_part") + F.col("offset") - 1) % F.greatest(F.lit(1), F.expr("n div 40")) == 0).select("id", "vin")
+    total = c.agg(F.count("*").alias("n"))
+    rows = ranks.placed(c, ["id"]).join(F.broadcast(total))  # one row
+    return rows.where((F.col("upto") - 1) % F.greatest(F.lit(1), F.expr("n div 40")) == 0).select("id", "vin")
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS component, floor((o_totalprice - m) * 100 + 0.5) / 100 AS above FROM orders JOIN (SELECT o_orderpriority AS q, floor(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) * 100 + 0.5) / 100 AS m FROM orders GROUP BY 1) ON q = o_orderpriority")

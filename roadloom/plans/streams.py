@@ -31,7 +31,7 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 4).parquet(f"{sf}/events*.parquet")
+    e = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events*.parquet")
     level = F.get_json_object("props", "$.k").cast("int")
     return e.select(F.col("user_id").alias("vin"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("evt"), F.col("value").alias("reading"), level.alias("level"))
 

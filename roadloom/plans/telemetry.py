@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.numbers import half_up
+from roadloom.operators import ranks
 from roadloom.operators.rollups import finish, latest, merge, newest, state_columns
 from roadloom.sources.tables import table, telemetry
 
@@ -177,7 +178,8 @@ def unmapped_enrichment_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""SELECT evt, quantile_cont(reading, 0.5) AS median, quantile_cont(reading, 0.95) AS p95_interpolated FROM {T} GROUP BY 1""")
 def median_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry(spark, sf).groupBy("evt").agg(F.percentile("reading", 0.5).alias("median"), F.percentile("reading", 0.95).alias("p95_interpolated"))
+    q = ranks.quantiles(telemetry(spark, sf).select("evt", "reading"), "reading", [0.5, 0.95], ["evt"])
+    return q.select("evt", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p95_interpolated"))
 
 
 @query(f"""WITH r AS (SELECT evt, reading, row_number() OVER (PARTITION BY evt ORDER BY reading) - 1 AS i, count(*) OVER (PARTITION BY evt) AS n FROM {T})
@@ -185,17 +187,17 @@ def median_by_group(spark: SparkSession, sf: str) -> DataFrame:
 def p95_latency_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest rank: the reading at place round(p (n - 1)), halves to the even one, from counts of equal readings."""
     counts = telemetry(spark, sf).groupBy("evt", "reading").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("evt").orderBy("reading")
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).join(counts.groupBy("evt").agg(F.sum("c").alias("n")), "evt")
+    ranked = ranks.placed(counts, ["reading"], ["evt"], "c").join(counts.groupBy("evt").agg(F.sum("c").alias("n")), "evt")
     at = lambda p: F.min(F.when(F.col("upto") > F.bround(p * (F.col("n") - 1)), F.col("reading")))
     return ranked.groupBy("evt").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 @query(f"""SELECT evt, max(ts) AS checked_at, max(reading) AS highest FROM {T} WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY 1""")
 def drift_recent_max(spark: SparkSession, sf: str) -> DataFrame:
-    t = telemetry(spark, sf)
-    newest_ts = t.agg(F.max("ts").alias("newest"))
-    return t.join(F.broadcast(newest_ts)).where(F.col("ts") > F.col("newest") - F.expr("INTERVAL 24 HOUR")).groupBy("evt").agg(F.max("ts").alias("checked_at"), F.max("reading").alias("highest"))  # one row
+    """The newest time is a scalar subquery, so that the filter reaches the scan."""
+    t = telemetry(spark, sf).select("evt", "ts", "reading")
+    newest = t.select(F.max("ts").alias("m")).scalar()
+    return t.where(F.col("ts") > newest - F.expr("INTERVAL 24 HOUR")).groupBy("evt").agg(F.max("ts").alias("checked_at"), F.max("reading").alias("highest"))
 
 
 @query(f"""SELECT vin, ts::DATE AS day, sum(n) OVER (PARTITION BY vin ORDER BY day_no RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)::BIGINT AS n_7d, sum(n) OVER (PARTITION BY vin ORDER BY day_no RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS n_3d,

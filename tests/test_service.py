@@ -3,11 +3,12 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from roadloom.functions.text import json_strings, suspicious_in_json
-from roadloom.operators import learning, normalize, planning, scoring, states
+from roadloom.operators import learning, normalize, planning, ranks, scoring, states
 from roadloom.plans import service
 from roadloom.sources import tables
 
@@ -184,3 +185,17 @@ def test_latest_complete_day(spark, sf):
     daily = service.daily_signals(spark, sf)
     assert str(scoring.latest_complete_day(daily, "2024-01-10")) == "2024-01-09"
     assert scoring.latest_complete_day(daily, "1999-01-01") is None
+
+
+def test_ranks_by_ranges(spark):
+    r = random.Random(5)
+    rows = [(r.choice("abc"), float(r.randrange(40))) for _ in range(2000)] + [("a", None), ("d", 7.0), ("n", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {x.g: (x.n, x.q) for x in ranks.quantiles(df, "v", [0.0, 0.1, 0.5, 1.0], ["g"]).collect()}
+    for g in "abcd":
+        own = np.array([v for k, v in rows if k == g and v is not None])
+        assert got[g][0] == len(own) and np.allclose(got[g][1], np.quantile(own, [0.0, 0.1, 0.5, 1.0]))
+    assert "n" not in got
+    ids = spark.createDataFrame([(i,) for i in r.sample(range(10_000), 700)], "id int")
+    assert [x.upto for x in ranks.placed(ids, ["id"]).orderBy("id").collect()] == list(range(1, 701))
+    assert ranks.placed(ids.limit(0), ["id"]).count() == 0
