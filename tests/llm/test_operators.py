@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,39 @@ def test_nnpu_finds_what_only_positives_have():
     assert (p[y] >= 0.7).mean() > 0.95 and (p[~y] >= 0.7).mean() < 0.01
 
 
+def test_toxicity_scores_against_a_plain_version(spark, sf):
+    """Each score from the words of its text, one by one: a word and its beginnings count once, whatever else is scored with it."""
+    d, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity_pu.train(d, labels, classifiers=2)
+    number = {int(c): i for i, c in enumerate(model.chosen)}
+
+    def plain(text):
+        own = set()
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+            w = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+            for size in (None, *toxicity_pu.BEGINNINGS):
+                if size is None or len(w) > size:
+                    part = np.frombuffer(w[:size], np.uint8)
+                    h = common.hash_runs(part, np.array([0]), np.array([len(part)]))
+                    h = h if size is None else common.mix(h + np.uint64(size))
+                    own.add(number.get(int(h[0] % np.uint64(toxicity_pu.BUCKETS))))
+        margin = model.biases + sum((model.weights[i] for i in own if i is not None), np.zeros(len(model.biases)))
+        return float((1 / (1 + np.exp(-np.clip(margin, -60, 60)))).mean())
+
+    rows = d.collect()
+    got = {r.doc_id: r.score for r in toxicity_pu.score(d, model).collect()}
+    assert len(model.chosen) > 0 and all(abs(got[r.doc_id] - plain(r.text)) < 1e-9 for r in rows)
+
+
+def test_nnpu_turns_where_the_negative_risk_falls_below_zero():
+    """On positives that look like nothing else the plain estimator explains them away without end; the non-negative one stops."""
+    rng = np.random.default_rng(1)
+    x = (rng.random((400, 40)) < 0.1).astype(np.float32)
+    w, b = toxicity_pu.fit_nnpu(x[:40], x, 0.3, 0)
+    z = lambda v: 4 / (1 + np.exp(np.clip(-(v @ w + b), -60, 60)))  # noqa: E731  the sigmoid loss of taking rows as negatives
+    assert z(x).mean() - 0.3 * z(x[:40]).mean() > -0.2
+
+
 def test_toxicity_query_held_out(spark):
     folder = "/root/testdata/sf0.1"
     got = catalogue.QUERIES["op1_toxicity_pu"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")
@@ -502,6 +536,21 @@ def test_boosting_finds_neighbours(spark):
     assert pii_boosting.redact(df).where("doc_id = 500").first().text == "é [PHONE] [IP] end"
 
 
+def test_trees_as_an_expression_and_as_a_walk(spark, sf):
+    """The scores of added spans are what a walk through the trees gives, and no added span touches a base one or another."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = pii_boosting.fit(pii_boosting.forms(pii_boosting.base_spans(d.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))))
+    every = pii_boosting.base_spans(d.where("text is not null").select("doc_id", "text")).select("doc_id", *[pii_boosting.proposals(k).alias(f"p_{k}") for k in pii_boosting.WIDE]).collect()
+    walked = {(r.doc_id, k, x.start, x.end): 1 / (1 + np.exp(-model.margin(x))) for r in every for k in pii_boosting.WIDE for x in r[f"p_{k}"]}
+    assert walked
+    for r in pii_boosting.personal_data(d, model=model).collect():
+        base = {(x.kind, x.start, x.end) for x in r.base}
+        added = [x for x in r.spans if (x.kind, x.start, x.end) not in base]
+        for x in added:
+            assert abs(walked[r.doc_id, x.kind, x.start, x.end] - x.score) < 1e-9 and x.score >= model.thresholds[x.kind]
+            assert not any(y.start < x.end and x.start < y.end for y in [*r.base, *(z for z in added if z != x)])
+
+
 def test_proposals_beyond_the_base(spark):
     """Forms that no base expression finds: a number without its plus, an address with spaces or words; but no date, price or serial."""
     rows = [(i, f"call +1 (2{i % 90 + 10}) 555-{1000 + i} or write to ann{i}@mail.example.com, on 2024-01-{i % 28 + 10}; 10.0.{i % 200}.7, 12.50 or {i} 000 000") for i in range(300)]
