@@ -77,8 +77,8 @@ def cost_curve(scored: DataFrame, score: str, label: str, saving: str, threshold
 
 
 def train_risk(features: DataFrame, columns: list[str], label: str, seed: int = 7, iterations: int = 20):
-    """Boosted trees over imputed features and an isotonic calibration of their scores on the rows whose split is valid. features:
-    with `split`. Returns (pipeline model, calibration model)."""
+    """Boosted trees over imputed features, which stop growing when the rows whose split is valid gain no more, and an isotonic
+    calibration of their scores on those rows. features: with `split`. Returns (pipeline model, calibration model)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -86,7 +86,7 @@ def train_risk(features: DataFrame, columns: list[str], label: str, seed: int =
     from pyspark.ml.regression import IsotonicRegression
 
     ready = features.select("*", F.col(label).cast("double").alias("_y")).fillna(0.0, columns)
-    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(labelCol="_y", featuresCol="_x", maxIter=iterations, maxDepth=3, seed=seed)]).fit(ready.where("split = 'train'"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(labelCol="_y", featuresCol="_x", maxIter=iterations, maxDepth=3, seed=seed, validationIndicatorCol="_held", validationTol=0.001)]).fit(ready.where("split in ('train', 'valid')").withColumn("_held", F.col("split") == "valid"))
     valid = model.transform(ready.where("split = 'valid'")).select(vector_to_array("probability")[1].alias("_s"), "_y")
     calibration = IsotonicRegression(labelCol="_y", featuresCol="_s").fit(valid)
     return model, calibration

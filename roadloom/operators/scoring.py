@@ -133,3 +133,13 @@ def unseen_maker(features: DataFrame, columns: list[str], threshold: float, grou
         own = at_threshold(learning.score_risk(test.where(F.col(group) == maker), columns, models), threshold, group)
         out = out.unionByName(own.withColumn("model", F.lit("never_seen")))
     return out.where(F.col(group).isNotNull())
+
+
+def signatures(frame: DataFrame, now: DataFrame, breakdowns: DataFrame, columns: list[str], key: str = "vin") -> DataFrame:
+    """(key, window_end, embedding, component, cost): the features of past breakdowns two days before they came, as z-scores by the
+    mean and deviation of the fleet of today; what is missing is 0. frame: (key, asof, columns); now: today's rows of it;
+    breakdowns: key, at, component, cost. With a frame of today's risky vehicles and no breakdowns they have no outcome."""
+    stats = now.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    z = lambda c: F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0), F.lit(0.0))
+    past = frame.join(breakdowns.select(key, F.date_sub(F.to_date("at"), 2).alias("asof"), "component", "cost"), [key, "asof"])
+    return past.join(F.broadcast(stats)).select(key, F.date_add("asof", 1).alias("window_end"), F.array(*[F.round(z(c), 5) for c in columns]).alias("embedding"), "component", "cost")  # one row

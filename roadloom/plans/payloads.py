@@ -128,7 +128,12 @@ def dtc_list_ops(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array_join(codes, ",").alias("codes"), F.size(codes).alias("n"))
 
 
-@query()
+# Bit i of a geohash: of the longitude's cell for even i, of the latitude's for odd ones.
+_BIT = "(CASE WHEN ({i}) % 2 = 0 THEN floor((lon + 180) / 360 * pow(2, ({i}) // 2 + 1)) ELSE floor((lat + 90) / 180 * pow(2, ({i}) // 2 + 1)) END)::BIGINT % 2"
+_CHAR = "substr('0123456789bcdefghjkmnpqrstuvwxyz', (1 + " + " + ".join(f"{2 ** (4 - b)} * ({_BIT.format(i=f'5 * j + {b}')})" for b in range(5)) + ")::INT, 1)"
+
+
+@query("SELECT id, " + ", ".join(f"array_to_string(list_transform(range({p}), lambda j: {_CHAR}), '') AS g{p}" for p in (1, 6, 12)) + " FROM (SELECT c_custkey AS id, c_custkey % 170 - 85 + 0.125::DOUBLE AS lat, c_custkey % 350 - 175 + 0.375::DOUBLE AS lon FROM customer)")
 def geohash_encode(spark: SparkSession, sf: str) -> DataFrame:
     lat, lon = F.col("c_custkey") % 170 - 85 + 0.125, F.col("c_custkey") % 350 - 175 + 0.375
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), *[geo.geohash(lat, lon, p).alias(f"g{p}") for p in (1, 6, 12)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,8 +72,11 @@ def write_by_day(df: DataFrame, path: str, day: str = "day", search: list[str] =
     w.mode("overwrite").parquet(path)
 
 
-def days_between(spark: SparkSession, path: str, first, after, day: str = "day") -> DataFrame:
-    """The rows of the days in [first, after); other days' folders aren't read."""
+def days_between(spark: SparkSession, path: str, first, after, day: str = "day", most_days: int | None = None) -> DataFrame:
+    """The rows of the days in [first, after); other days' folders aren't read. A ValueError for no days, or more than `most_days`."""
+    span = (datetime.date.fromisoformat(str(after)) - datetime.date.fromisoformat(str(first))).days
+    if span <= 0 or (most_days is not None and span > most_days):
+        raise ValueError(f"a span of {span} days")
     return spark.read.parquet(path).where((F.col(day) >= F.lit(first).cast("date")) & (F.col(day) < F.lit(after).cast("date")))
 
 

@@ -130,6 +130,9 @@ def test_tables_by_day(spark, tmp_path):
     tables.write_by_day(df, f"{tmp_path}/t", search=["vin"], order=["vin"])
     got = tables.days_between(spark, f"{tmp_path}/t", "2024-01-02", "2024-01-04")
     assert got.count() == 40 and "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString().replace("\n", "")
+    for first, after in (("2024-01-04", "2024-01-02"), ("2024-01-01", "2024-01-09")):
+        with pytest.raises(ValueError):
+            tables.days_between(spark, f"{tmp_path}/t", first, after, most_days=7)
     few = tables.truncated(df.where("vin = 1"), [F.col("day")], 5).collect()
     assert len(few) == 5 and not any(r.truncated for r in few) and all(r.truncated for r in tables.truncated(df, [F.col("day"), F.col("vin")], 3).collect())
 
@@ -199,3 +202,11 @@ def test_ranks_by_ranges(spark):
     ids = spark.createDataFrame([(i,) for i in r.sample(range(10_000), 700)], "id int")
     assert [x.upto for x in ranks.placed(ids, ["id"]).orderBy("id").collect()] == list(range(1, 701))
     assert ranks.placed(ids.limit(0), ["id"]).count() == 0
+
+
+def test_signatures_two_days_before(spark):
+    day = lambda d: datetime.date(2024, 1, d)
+    frame = spark.createDataFrame([("a", day(1), 1.0, None), ("a", day(2), 2.0, 5.0), ("b", day(2), 4.0, 7.0)], "vin string, asof date, x double, y double")
+    broken = spark.createDataFrame([("a", datetime.datetime(2024, 1, 3, 9), "brakes", 10.0), ("b", datetime.datetime(2024, 1, 9, 9), "battery", 20.0)], "vin string, at timestamp, component string, cost double")
+    got = scoring.signatures(frame, frame.where("asof = date'2024-01-02'"), broken, ["x", "y"]).collect()
+    assert [tuple(r) for r in got] == [("a", day(2), [round((1 - 3) / 2**0.5, 5), 0.0], "brakes", 10.0)]
