@@ -154,7 +154,7 @@ def failure_risk_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 _CODES = [f"C{i:02}" for i in range(15)]
 _SERIOUS = _CODES[:8]
-_DAILY = f"""(SELECT vin, ts::DATE AS day, count(*) AS samples, sum(level)::BIGINT AS km, max(level) AS coolant_max, avg(level) * 0.9173137::DOUBLE AS coolant_avg, min(level) / 8.0::DOUBLE AS batt_v_min, avg(level) / 7.3137419::DOUBLE AS batt_v_avg, 100 - max(level) / 50.0::DOUBLE AS soh_min, avg(level * 30) * 1.0031379::DOUBLE AS rpm_avg,
+_DAILY = f"""(SELECT vin, ts::DATE AS day, count(*) AS samples, sum(level)::BIGINT AS km, max(level) AS coolant_max, avg(level) * 0.91731372718281::DOUBLE AS coolant_avg, min(level) / 8.0::DOUBLE AS batt_v_min, avg(level) / 7.31374197182818::DOUBLE AS batt_v_avg, 100 - max(level) / 50.0::DOUBLE AS soh_min, avg(level * 30) * 1.00313792718281::DOUBLE AS rpm_avg,
   count(*) FILTER (evt = 'error') AS dtc_events, count(*) FILTER (evt IN ('error', 'click')) AS harsh_events, count(*) FILTER (evt = 'view') AS idle_samples, {", ".join(f"max((level % 15 = {i})::INT)::BIGINT AS dtc_{c}" for i, c in enumerate(_CODES))} FROM {T} GROUP BY 1, 2)"""
 _R4 = lambda e: f"floor(({e}) * 1e4 + 0.5) / 1e4"
 _FRAME_SQL = f"""SELECT vin, "asof", count(*) AS days_active_7d, sum(km)::BIGINT AS km_7d, max(coolant_max) AS coolant_max_7d, {_R4("avg(coolant_avg)")} AS coolant_avg_7d, min(batt_v_min) AS batt_min_7d, {_R4("avg(batt_v_avg)")} AS batt_avg_7d, {_R4("min(soh_min)")} AS soh_min_7d, {_R4("max(soh_min) - min(soh_min)")} AS soh_drop_7d,
@@ -174,7 +174,7 @@ def daily_signals(spark: SparkSession, sf: str) -> DataFrame:
     t, level = telemetry(spark, sf), F.col("level")
     flags = [F.max((level % 15 == i).cast("bigint")).alias(f"dtc_{c}") for i, c in enumerate(_CODES)]
     return t.groupBy("vin", F.to_date("ts").alias("day")).agg(
-        F.count("*").alias("samples"), F.sum("level").alias("km"), F.max("level").alias("coolant_max"), (F.avg("level") * 0.9173137).alias("coolant_avg"), (F.min("level") / 8).alias("batt_v_min"), (F.avg("level") / 7.3137419).alias("batt_v_avg"), (100 - F.max("level") / 50).alias("soh_min"), (F.avg(level * 30) * 1.0031379).alias("rpm_avg"),
+        F.count("*").alias("samples"), F.sum("level").alias("km"), F.max("level").alias("coolant_max"), (F.avg("level") * 0.91731372718281).alias("coolant_avg"), (F.min("level") / 8).alias("batt_v_min"), (F.avg("level") / 7.31374197182818).alias("batt_v_avg"), (100 - F.max("level") / 50).alias("soh_min"), (F.avg(level * 30) * 1.00313792718281).alias("rpm_avg"),
         F.count_if(F.col("evt") == "error").alias("dtc_events"), F.count_if(F.col("evt").isin("error", "click")).alias("harsh_events"), F.count_if(F.col("evt") == "view").alias("idle_samples"), *flags,
     )
 
