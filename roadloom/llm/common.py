@@ -80,6 +80,15 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark drop the shuffles, broadcasts and plans that nothing refers to any more. It hears of them only when the driver's
+    heap is collected, which in a job of many short steps comes late."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (first row, end row, bytes, offsets) of a string column, in UTF-8 without a copy; nulls count as empty. A slice has
     at least one row, and more while it stays below `most` bytes."""

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import cut, fresh, let, need, read, through_filter
+from roadloom.llm.common import cut, fresh, let, let_go, need, read, through_filter
 
 #: Shorter lines are copies only of equal ones: one edit in fewer characters is more than a twentieth of the line.
 LEAST_CHARS = 20
@@ -97,6 +97,7 @@ def copied_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
         regions = cut(_met(parts, "key").distinct())
         short = short.unionByName(regions.where(F.col("size") <= SEGMENT))
         open_ = regions.where(F.col("size") > SEGMENT)
+    let_go(docs.sparkSession)
     region = F.substr("line", F.col("low") + 1, F.col("size") + F.col("more"))
     variants = short.join(texts, "h").select("h", "at", F.explode(_variants(F.col("key"), region, F.col("more"))).alias("v")).select("h", "at", "v.*")
     # of each variant the earliest line, and the earliest of those that are longer
