@@ -172,7 +172,8 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     heads = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")).join(many, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), "last")).alias("part"))
     dealt = pairs.join(many, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), last + 1) as int)").alias("part"))
     b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return dealt.join(b, "b").join(heads, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    # merge: sent out, texts would be unpacked in the driver's memory
+    return dealt.join(b.hint("merge"), "b").join(heads.hint("merge"), ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
@@ -210,8 +211,8 @@ def _room(shared: Column, percent: int) -> Column:
 def fitting(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (x, y) of groups those whose sizes and prefixes leave room for the similarity."""
     side = lambda name, *more: groups.select(F.col("grp").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in more])
-    sized = cut(pairs.join(side("x", "size"), "x").join(side("y", "size"), "y").where(_sizes_fit("size_x", "size_y", percent)))
-    both = sized.join(side("x", "prefix"), "x").join(side("y", "prefix"), "y")
+    sized = cut(pairs.join(side("x", "size").hint("merge"), "x").join(side("y", "size").hint("merge"), "y").where(_sizes_fit("size_x", "size_y", percent)))
+    both = sized.join(side("x", "prefix").hint("merge"), "x").join(side("y", "prefix").hint("merge"), "y")
     shared = F.size(F.array_intersect("prefix_x", "prefix_y"))
     return both.where((shared > 0) & _room(shared, percent)).select("x", "y")
 
@@ -224,7 +225,7 @@ def differences(families: DataFrame, sets: DataFrame, table, percent: int) -> Da
     Two sets of the sizes s and t are similar enough exactly if they differ in (s + t) * (100 - percent) / (100 + percent) n-grams at
     most. They differ in dsize_x + dsize_y - 2 * (what the differences share), so they are if k_x + k_y <= 2 * (100 + percent) * shared.
     sets: (cls, grams), one row a class. table: the broadcast counts."""
-    held = families.join(sets, "cls")
+    held = families.join(sets.hint("merge"), "cls")
     n = families.groupBy("fam").agg(F.count("*").alias("n"))
     counts = held.select("fam", F.explode("grams").alias("gram")).groupBy("fam", "gram").agg(F.count("*").alias("c"))
     centre = counts.join(n, "fam").where("2 * c > n").groupBy("fam").agg(F.collect_list("gram").alias("centre"))  # at most twice a member's mean size
@@ -248,7 +249,7 @@ def differences(families: DataFrame, sets: DataFrame, table, percent: int) -> Da
             k = (100 + percent) * d - (100 - percent) * size
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(d), pa.array(k), pa.array(elems, pa.list_(pa.int64()))], ["fam", "cls", "root", "size", "dsize", "k", "elems"])
 
-    rows = held.withColumn("part", _part()).join(dealt, ["fam", "part"]).select("fam", "cls", "root", "size", "grams", "centre")
+    rows = held.withColumn("part", _part()).join(dealt.hint("merge"), ["fam", "part"]).select("fam", "cls", "root", "size", "grams", "centre")
     return cut(rows.mapInArrow(work, "fam long, cls long, root long, size long, dsize long, k long, elems array<long>"))
 
 
