@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, WORD, hash_runs, need, read, runs, text_pieces
+from roadloom.llm.common import LOWER, WORD, hash_runs, need, read, runs, text_pieces, written
 
 WINDOW = 10
 #: Words of benchmark items that go through together.
@@ -39,7 +39,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Block:
     """Items with words: their ids, words as numbers from 1 of the block's vocabulary, and where each item begins."""
 
-    def __init__(self, ids: list[str], hashes: list[np.ndarray]):
+    def __init__(self, ids: list[str | None], hashes: list[np.ndarray]):
         self.ids = ids
         self.bounds = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64)
         flat = np.concatenate(hashes)
@@ -51,12 +51,12 @@ class Block:
 
 
 def blocks(items: DataFrame, id_column: str, text_column: str, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The items, read one partition at a time, in blocks. Items without words are in none."""
-    ids: list[str] = []
+    """The items, read one partition at a time, in blocks. Items without words are in none; a null id is kept as it is."""
+    ids: list[str | None] = []
     hashes: list[np.ndarray] = []
     size = 0
     rows = items.select(F.col(f"`{id_column}`").cast("string").alias("i"), F.col(f"`{text_column}`").alias("t"))
-    for row in rows.where("t is not null and i is not null").toLocalIterator():
+    for row in rows.where("t is not null").toLocalIterator():
         data = np.frombuffer(row.t.encode(), np.uint8)
         h, _ = words_of(data, np.array([0, len(data)]))
         if len(h):
@@ -193,15 +193,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     numbers that do not overlap, and the longest verbatim match of any item's suffix with its item: of equally long ones the one
     that begins first in the text, and of those the item that is in the first block and comes first in the order of suffixes. A null
     or empty text, or one without words, has none; an empty benchmark hits nothing; an item that occurs twice in the benchmark counts
-    once. Repeated documents and ids are each judged; further columns, whatever their names, play no part."""
+    once, and an id with several texts counts once, whichever of them occur. An item with a null id hits words and can be the longest
+    match, but has no id to list. Blocks pass one after the other, each written before the next. Repeated documents and ids are each judged; further columns, whatever their names, play no part."""
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     nothing = "array<struct<begin:bigint,end:bigint>>"
     rows = docs.select(F.col(f"`{id_column}`").alias("doc"), F.col(f"`{text_column}`").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<string>").alias("item_ids"), F.array().cast(nothing).alias("hits"), F.lit(0).cast("bigint").alias("longest"), F.lit(None).cast("string").alias("longest_item"))
     schema = f"doc {kind}, text string, n_words bigint, item_ids array<string>, hits {nothing}, longest bigint, longest_item string"
-    every = [spark.sparkContext.broadcast(b) for b in blocks(need(items, item_id_column, item_text_column), item_id_column, item_text_column, block_words)]
-    for sent in every or [None]:
-        rows = rows.mapInArrow(_found(sent, window), schema)
+    passed = False
+    for block in blocks(need(items, item_id_column, item_text_column), item_id_column, item_text_column, block_words):
+        if passed:  # one block and its workers at a time
+            rows = written(rows, "suffix_decontamination")
+        rows, passed = rows.mapInArrow(_found(spark.sparkContext.broadcast(block), window), schema), True
+    if not passed:
+        rows = rows.mapInArrow(_found(None, window), schema)
     return rows.select(F.col("doc").alias(id_column), "n_words", "item_ids", "hits", "longest", "longest_item")
 
 
@@ -246,7 +251,8 @@ def _found(sent, window: int):
                 for w, places in shard.matches(block, windows, length):
                     for place in places:
                         t = int(shard.text_of[place])
-                        found[row + t].add(block.ids[block.item[windows[w]]])
+                        if (item := block.ids[block.item[windows[w]]]) is not None:
+                            found[row + t].add(item)
                         hits[row + t].append((at + place - int(first[t]), at + place - int(first[t]) + int(length[w])))
                 size, suffix = match_lengths(shard.words, shard.reach, shard.array, block, everything)
                 texts = shard.text_of[shard.position[shard.array]]
@@ -272,10 +278,13 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents, with all their columns, of which no window of an item occurs. The rows pass through; each block of items is
-    one more pass of the same rows."""
-    column = docs.columns.index(text_column)
+    """The documents, with all their columns, of which no window of an item occurs, whether or not the item has an id. The rows pass
+    through; each block of items is one more pass of what the one before kept and wrote."""
+    column, passed = docs.columns.index(text_column), False
     for block in blocks(need(items, item_id_column, item_text_column), item_id_column, item_text_column, block_words):
+        if passed:
+            docs = written(docs, "suffix_decontamination")
+        passed = True
         docs = docs.mapInArrow(_clean_rows(docs.sparkSession.sparkContext.broadcast(block), column, window), docs.schema)
     return docs
 
