@@ -85,17 +85,19 @@ class Trees:
         self.languages, self.trees, self.order = languages, trees, order
 
 
-def train(labelled: DataFrame, lang_column: str = "lang", text_column: str = "text", id_column: str = "doc_id", per_language: int = 600, max_order: int = MAX_ORDER) -> Trees:
-    """Trees from about `per_language` documents of each language: the bound of the sample. A row is in it by the hash of its
-    id, so that no sort is needed; rows with null text or language are left out. Languages must be a small set: one row for each
-    comes to the driver, and then one for each sequence of `max_order` + 1 bytes that its sample has."""
+def train(labelled: DataFrame, lang_column: str = "lang", text_column: str = "text", id_column: str = "doc_id", per_language: int = 600, max_order: int = MAX_ORDER, most_languages: int = 1000) -> Trees:
+    """Trees from about `per_language` documents of each language: the bound of the sample. A row is in it by a hash of its id and
+    text, whatever the id, so that no sort is needed, and rows equal in both are in it once; rows with null text or language are
+    left out. Of more than `most_languages` values those with the most rows are learned, ties by name: one row for each comes to
+    the driver, and then one for each sequence of `max_order` + 1 bytes that its sample has."""
     labelled = need(labelled, id_column, lang_column, text_column).where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_column).count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_column).limit(most_languages).collect()}
     if not sizes:
         return Trees([], [], max_order)
     languages, ring = sorted(sizes), 1 << 30
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, int(min(ring, ring * per_language // sizes[name] + 1)))])
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(ring)) < share[F.col(lang_column)]).select(lang_column, text_column)
+    keyed = labelled.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.lit("sample"), id_column, text_column).alias("h"))
+    sample = keyed.where(F.pmod("h", F.lit(ring)) < share[F.col("lang")]).dropDuplicates(["lang", "h"]).select("lang", "text")
     number = {name: i for i, name in enumerate(languages)}
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
