@@ -87,7 +87,8 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, epochs: in
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", positives: int = 4000, unlabelled: int = 12000, most_features: int = 1024, classifiers: int = 3, prior: float | None = None) -> Classifiers:
     """Classifiers from about `positives` documents labelled 1 and about `unlabelled` documents of `docs`, whatever their label:
-    both bounds of the sample, which is drawn by the hash of the id. The class prior is the share of 1 among the labels, unless
+    both bounds of the sample. Positives are drawn by the hash of the label's id, the others by a hash of id and text, so that null
+    and repeated ids are no more likely than others; no layout of the rows changes the sample. The class prior is the share of 1 among the labels, unless
     it is given. `docs` and `labels` hold only what may be learned from. Without positives or documents the score is 0."""
     spark = docs.sparkSession
     docs, labels = need(docs, id_column, text_column), need(labels, id_column, label_column).where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).alias(label_column))
@@ -97,12 +98,14 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         return Classifiers(np.zeros(0, np.uint64), np.zeros((0, 1)), np.full(1, -60.0))
     prior = min(0.5, max(1e-4, prior if prior is not None else known.p / known.n))
     ring = 1 << 30
-    share = lambda most, of: F.pmod(F.xxhash64(F.col(id_column)), F.lit(ring)) < int(min(ring, ring * most // of + 1))
-    chosen_ids = labels.where((F.col(label_column) == 1) & share(positives, known.p)).select(id_column)  # about `positives` ids
-    p = docs.join(F.broadcast(chosen_ids), id_column, "left_semi").select(F.lit(1).alias("positive"), text_column)
-    u = docs.where(share(unlabelled, total)).select(F.lit(0).alias("positive"), text_column)
-    # rows that repeat are drawn together: twice the bound is the most that is taken
-    sample = cut(p.limit(2 * positives).unionAll(u.limit(2 * unlabelled)))
+    drawn = lambda h, most, of: F.pmod(h, F.lit(ring)) < int(min(ring, ring * most // of + 1))
+    chosen_ids = labels.where((F.col(label_column) == 1) & drawn(F.xxhash64(F.col(id_column)), positives, known.p)).select(F.col(id_column).alias("id"))  # about `positives` ids
+    keyed = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(F.lit("sample"), id_column, text_column).alias("h"))
+    # rows equal in id and text are one; texts that share an id may exceed the bound, then those with the smallest hashes are taken
+    first = lambda rows, positive, most: rows.dropDuplicates(["h"]).orderBy("h").limit(2 * most).select(F.lit(positive).alias("positive"), F.col("text").alias(text_column))
+    p = first(keyed.join(F.broadcast(chosen_ids), "id", "left_semi"), 1, positives)
+    u = first(keyed.where(drawn(F.col("h"), unlabelled, total)), 0, unlabelled)
+    sample = cut(p.unionAll(u))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, BUCKETS + 1), np.int64)  # the last one counts documents
