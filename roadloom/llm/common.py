@@ -64,29 +64,18 @@ def _local_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="roadloom-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage at this point with checkpoint(), which writes to the shared folder. In tests, where the session names
-    none, a temporary folder serves."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or _local_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, *parts: str) -> DataFrame:
-    """The frame, written as Parquet below the shared folder and read again: smaller than a checkpoint, which is not compressed."""
+    """The frame, written as Parquet below the shared folder and read again."""
     path = shared_path(df.sparkSession, *parts) or f"{_local_folder(df.sparkSession)}/rows"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Let Spark drop the shuffles, broadcasts and plans that nothing refers to any more. It hears of them only when the driver's
-    heap is collected, which in a job of many short steps comes late."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage at this point with a written table. Not with checkpoint(): what it returns keeps the size that was estimated for
+    the plan before it, and a join multiplies the sizes of its sides, so in rounds that join what they made to itself the estimate
+    doubles its digits each time, until the driver works, and runs out of memory, on a single number."""
+    return written(df, "cut")
 
 
 def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, NOT_SPACE, cut, hash_runs, let_go, mix, need, read, runs, text_slices, through_filter
+from roadloom.llm.common import LOWER, NOT_SPACE, cut, hash_runs, mix, need, read, runs, text_slices, through_filter
 
 N, PERCENT = 3, 90
 #: Lists and groups of so many members or more are met by their differences from a centre, shorter ones by all pairs.
@@ -178,7 +178,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of the edges (a, b): root is the smallest vertex it reaches. Each round points every vertex at
-    the smallest root among its own and its neighbours' and then at that one's root, and writes what it has (checkpoint)."""
+    the smallest root among its own and its neighbours' and then at that one's root, and writes what it has."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     roots = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("root"))
     roots = cut(roots)
@@ -326,14 +326,12 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     shared = cut(postings.groupBy("gram").agg(F.min("grp").alias("head"), F.max("grp").alias("last")).where("head <> last").select("gram", "head"))
     met = cut(through_filter(postings, shared.select("gram"), "gram").join(shared, "gram"))
 
-    let_go(spark)
     # first: each group of a list with the list's first group, by their first classes, and each class with its group's first
     star = fitting(met.where("grp <> head").select(F.col("head").alias("x"), F.col("grp").alias("y")).distinct(), groups, percent)
     first = star.join(heads.select(F.col("grp").alias("x"), F.col("cls").alias("a")), "x").join(heads.select(F.col("grp").alias("y"), F.col("cls").alias("b")), "y").select("a", "b")
     inner = reps.join(heads.where("n > 1").select("grp", F.col("cls").alias("a")), "grp").where("a <> cls").select("a", F.col("cls").alias("b"))
     tried = cut(first.union(inner).distinct())
     links = cut(verify(tried, _texts(d, reps, tried), n, percent))
-    let_go(spark)
     roots = smallest_reachable(links)
 
     # then what is still apart: the pairs of groups of a short list, and of classes of a small group
@@ -352,7 +350,6 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     b = rooted.select(F.col("grp").alias("y"), F.col("cls").alias("b"), F.col("root").alias("root_b"))
     rest = pairs.join(a, "x").join(b, "y").where("root_a <> root_b and (x <> y or a < b)").select("a", "b")
 
-    let_go(spark)
     # the classes of long lists and large groups, by what tells them apart
     far = lists.join(length.where(F.col("n") >= LONG_LIST).select("gram", "fam"), "gram").select("fam", "grp")
     far = far.union(spread.where((F.col("low") != F.col("high")) & (F.col("n") >= LONG_LIST)).select("grp", "grp")).distinct()
@@ -362,12 +359,10 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         sure, close = family_pairs(differences(families, of, table, percent), percent)
         links = links.union(cut(sure))
         rest = rest.union(close)
-    let_go(spark)
     rest = cut(rest.distinct().join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
     links = links.union(cut(verify(rest, _texts(d, reps, rest), n, percent)))
     roots = smallest_reachable(links)
 
-    let_go(spark)
     component = cut(reps.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc", "key", F.coalesce("root", "cls").alias("root")))
     smallest = component.groupBy("root").agg(_first()).select("root", F.col("first.doc").alias("component_id"), F.col("first.key").alias("first_key"))
     of_class = cut(component.join(smallest, "root").select("cls", "component_id", "first_key"))
