@@ -31,7 +31,7 @@ TOP = 50
 #: Postings of a block.
 BLOCK = 1024
 #: A shard has about so many bytes of text; one longer text is a shard by itself.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 #: Pairs of item and term of a block of items, which is sent to all tasks (16 bytes each); one item with more is a block by itself.
 BLOCK_TERMS = 1 << 16
 
