@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.hashing import sha_group
+from roadloom.operators import boosting
 
 
 def asof_windows(daily: DataFrame, day: str, days: int = 7, keep: Column | None = None) -> DataFrame:
@@ -76,29 +77,26 @@ def cost_curve(scored: DataFrame, score: str, label: str, saving: str, threshold
     return out.select("threshold", "flagged", "caught", "saved", (F.col("caught") / F.greatest("flagged", F.lit(1))).alias("precision"), (F.col("caught") / F.greatest("positives", F.lit(1))).alias("recall"))
 
 
-def train_risk(features: DataFrame, columns: list[str], label: str, seed: int = 7, iterations: int = 20):
-    """Boosted trees over imputed features, which stop growing when the rows whose split is valid gain no more, and an isotonic
-    calibration of their scores on those rows. features: with `split`. Returns (pipeline model, calibration model)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def train_risk(features: DataFrame, columns: list[str], label: str, categorical: list[str] = [], iterations: int = 40, depth: int = 3):  # noqa: B006
+    """Boosted trees over numbers and categories, which learn where a missing value goes and stop growing when the rows whose split is
+    valid gain no more, and an isotonic calibration of their scores on those rows. features: with `split`. Returns (trees,
+    calibration model)."""
     from pyspark.ml.regression import IsotonicRegression
 
-    ready = features.select("*", F.col(label).cast("double").alias("_y")).fillna(0.0, columns)
-    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(labelCol="_y", featuresCol="_x", maxIter=iterations, maxDepth=3, seed=seed, validationIndicatorCol="_held", validationTol=0.001)]).fit(ready.where("split in ('train', 'valid')").withColumn("_held", F.col("split") == "valid"))
-    valid = model.transform(ready.where("split = 'valid'")).select(vector_to_array("probability")[1].alias("_s"), "_y")
-    calibration = IsotonicRegression(labelCol="_y", featuresCol="_s").fit(valid)
-    return model, calibration
+    ready = features.where("split in ('train', 'valid')").withColumn("_valid", F.col("split") == "valid")
+    model = boosting.fit(ready, columns, label, categorical, held="_valid", iterations=iterations, depth=depth)
+    valid = _probability(ready.where("_valid"), model).select("_s", F.col(label).cast("double").alias("_y")).where("_y is not null")
+    return model, IsotonicRegression(labelCol="_y", featuresCol="_s").fit(valid)
 
 
-def score_risk(features: DataFrame, columns: list[str], models, low: float = 0.001, high: float = 0.99) -> DataFrame:
-    """The rows with `p`, the calibrated probability within the bounds."""
-    from pyspark.ml.functions import vector_to_array
+def _probability(rows: DataFrame, model: boosting.BoostedTrees) -> DataFrame:
+    return boosting.scored(rows, model, "_margin").withColumn("_s", 1 / (1 + F.exp(-F.col("_margin"))))
+
 
+def score_risk(features: DataFrame, models, low: float = 0.001, high: float = 0.99) -> DataFrame:
+    """The rows with `p`, the calibrated probability within the bounds."""
     model, calibration = models
-    scored = model.transform(features.fillna(0.0, columns)).select(*features.columns, vector_to_array("probability")[1].alias("_s"))
-    out = calibration.transform(scored)
+    out = calibration.transform(_probability(features, model))
     return out.select(*features.columns, F.greatest(F.least("prediction", F.lit(high)), F.lit(low)).alias("p"))
 
 

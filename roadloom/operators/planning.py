@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +14,14 @@ def expected_value(p: Column, saving: Column, cost: Column | float) -> Column:
 
 
 def nearby(depots: DataFrame, within_km: float = 350.0) -> DataFrame:
-    """(depot, near, km, rank): for each depot those within reach, itself first. depots: depot, lat, lon; a reference table that is
-    joined to itself by grid cells as wide as the reach, so that no pair of far depots is formed."""
+    """(depot, near, km, rank): for each depot those within reach, itself first and then by distance (to the millimetre; ties by
+    number). depots: depot, lat, lon; a reference table that is joined to itself by grid cells as wide as the reach, so that no pair of
+    far depots is formed."""
     width = within_km / 111.0
     a = depots.select("depot", "lat", "lon", F.explode(F.array(*[F.floor(F.col("lat") / width) + d for d in (-1, 0, 1)])).alias("cell"))
     b = depots.select(F.col("depot").alias("near"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.floor(F.col("lat") / width).alias("cell"))
     pairs = a.join(b, "cell").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= within_km)
-    return pairs.select("depot", "near", "km", F.row_number().over(Window.partitionBy("depot").orderBy(F.desc(F.col("depot") == F.col("near")), "km", "near")).alias("rank"))
-
-
-PLAN_SCHEMA = "tenant string, vehicle long, home long, p double, value double, urgent boolean, depot long, day int"
+    return pairs.select("depot", "near", "km", F.row_number().over(Window.partitionBy("depot").orderBy(F.desc(F.col("depot") == F.col("near")), F.round("km", 6), "near")).alias("rank"))
 
 
 def within_reach(candidates: DataFrame, bays: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,16 +37,49 @@ def within_reach(candidates: DataFrame, bays: DataFrame, near: DataFrame) -> tup
     return ranked.where("rank <= room").select(candidates.columns), ranked.where("rank > room").select(candidates.columns)
 
 
-def regions(near: DataFrame) -> DataFrame:
-    """(depot, region): depots that are connected by reach have one region, the smallest depot of them. A reference table: rounds of
-    the smallest neighbour until nothing changes, as many as the longest way between two depots."""
-    label = near.select("depot").distinct().withColumn("region", F.col("depot"))
+def _served() -> tuple[Column, ...]:
+    """The order in which vehicles are served, the same at all depots."""
+    return F.desc("urgent"), F.desc("value"), F.asc("vehicle")
+
+
+def _room(bays: DataFrame, days: int) -> DataFrame:
+    """(tenant, depot, first, every, up_to): a depot's free bays on day 1, on all days, and up to each day."""
+    on = lambda d: F.coalesce(F.sum(F.when((F.col("day") == d) & (F.col("free") > 0), F.col("free"))), F.lit(0)).cast("long")
+    out = bays.groupBy("tenant", "depot").agg(*[on(d).alias(f"_{d}") for d in range(1, days + 1)])
+    up_to = [sum((F.col(f"_{d}") for d in range(2, last + 1)), F.col("_1")) for last in range(1, days + 1)]
+    return out.select("tenant", "depot", F.col("_1").alias("first"), up_to[-1].alias("every"), F.array(*up_to).alias("up_to"))
+
+
+def deferred_acceptance(vehicles: DataFrame, room: DataFrame, near: DataFrame) -> DataFrame:
+    """The vehicles (tenant, vehicle, home, urgent, value, ...) with `depot` and `day`, null where all depots within reach refuse.
+
+    In rounds: each vehicle asks the nearest depot that hasn't refused it, and each depot keeps those it serves first of all that ask:
+    urgent ones as far as day 1 goes, others as far as all days go beside them. Once refused is refused for good, as a depot only
+    ever trades what it keeps for what it would serve before. All depots serve in the same order, so there is one stable outcome:
+    that of going through the vehicles one by one in that order. Depots without a bay that the vehicle could take are never asked.
+    A round is one window over the vehicles that a depot has before it; those that none will have leave the rounds."""
+    options = near.select(F.col("depot").alias("home"), F.col("near").alias("depot"), "rank").join(room, "depot")
+    listed = lambda able: F.transform(F.array_sort(F.collect_list(F.when(able, F.struct("rank", "depot")))), lambda x: x["depot"])
+    lists = options.groupBy("tenant", "home").agg(listed(F.col("first") > 0).alias("_at_once"), listed(F.col("every") > 0).alias("_any"))
+    rows = vehicles.join(lists, ["tenant", "home"], "left").withColumn("_asks", F.coalesce(F.when(F.col("urgent"), F.col("_at_once")).otherwise(F.col("_any")), F.array().cast("array<long>")))
+    rows = checkpointed(rows.select(*vehicles.columns, "_asks", F.lit(0).alias("_k")))
+    at_depot = Window.partitionBy("tenant", "_depot")
+    refused_by_all = None
     while True:
-        other = near.select("depot", "near").union(near.select(F.col("near"), F.col("depot"))).join(label.select(F.col("depot").alias("near"), F.col("region").alias("seen")), "near")
-        step = checkpointed(label.join(other.groupBy("depot").agg(F.min("seen").alias("seen")), "depot", "left").select("depot", F.col("region").alias("was"), F.least("region", "seen").alias("region")))
-        label = step.select("depot", "region")
-        if not step.where("region <> was").take(1):
-            return label
+        asking = rows.where(F.col("_k") < F.size("_asks")).withColumn("_depot", F.get("_asks", F.col("_k")))
+        placed = asking.join(room.select("tenant", F.col("depot").alias("_depot"), "first", "every", "up_to"), ["tenant", "_depot"])
+        placed = placed.withColumn("_place", F.row_number().over(at_depot.orderBy(*_served()))).withColumn("_before", F.count_if("urgent").over(at_depot))
+        kept = F.when(F.col("urgent"), F.col("_place") <= F.col("first")).otherwise(F.col("_place") - F.col("_before") <= F.col("every") - F.least("_before", "first"))
+        placed = placed.withColumn("_kept", kept)
+        out = rows.where(F.col("_k") >= F.size("_asks")).select(*vehicles.columns)
+        refused_by_all = out if refused_by_all is None else refused_by_all.union(out)
+        rows = checkpointed(placed.select(*vehicles.columns, "_asks", F.when(F.col("_kept"), F.col("_k")).otherwise(F.col("_k") + 1).alias("_k"), "_depot", "_place", "up_to", "_kept"))
+        if not rows.where("not _kept").take(1):
+            break
+        rows = rows.drop("_depot", "_place", "up_to", "_kept")
+    day = (1 + F.size(F.filter("up_to", lambda n: n < F.col("_place")))).cast("int")
+    taken = rows.select(*vehicles.columns, F.col("_depot").alias("depot"), day.alias("day"))
+    return taken.unionByName(refused_by_all.withColumns({"depot": F.lit(None).cast("long"), "day": F.lit(None).cast("int")}))
 
 
 def service_plan(candidates: DataFrame, bays: DataFrame, near: DataFrame, days: int = 5, urgent: float = 0.8) -> DataFrame:
@@ -62,40 +91,15 @@ def service_plan(candidates: DataFrame, bays: DataFrame, near: DataFrame, days:
     another at its home on the first free day, then at the next depot. What finds no bay is too_risky_to_wait or waiting; moved_from and
     km tell of a vehicle that leaves its home.
 
-    Each choice takes a bay from later ones, so what may compete for a bay is planned in one group: the depots that reach connects,
-    and of their vehicles only as many as there are bays (`within_reach`)."""
+    Each choice takes a bay from later ones, but no group of vehicles has to be planned in one place: `within_reach` settles those that
+    no bay is left for, `deferred_acceptance` the others."""
     known = near.select(F.col("depot").alias("home")).distinct().withColumn("_known", F.lit(True))
-    rows = candidates.join(known, "home", "left").withColumn("urgent", F.col("p") >= urgent).select("tenant", "vehicle", "home", "p", "value", "urgent", (F.coalesce(F.col("value") > 0, F.lit(False)) & F.col("_known").isNotNull()).alias("worth"))
+    rows = candidates.join(known, "home", "left").withColumn("urgent", F.coalesce(F.col("p") >= urgent, F.lit(False))).select("tenant", "vehicle", "home", "p", "value", "urgent", (F.coalesce(F.col("value") > 0, F.lit(False)) & F.col("_known").isNotNull()).alias("worth"))
     looked_at, beyond = within_reach(rows.where("worth").drop("worth"), bays, near)
-    region = regions(near)
-    lists = near.groupBy(F.col("depot").alias("home")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "near"))), lambda x: x["near"]).alias("options"))
-    left = looked_at.join(lists, "home").join(region.withColumnRenamed("depot", "home"), "home")
-    right = bays.where(F.col("free") > 0).join(region, "depot").select("tenant", "region", "depot", "day", "free")
-
-    def plan(rows: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
-        place = {d: i for i, d in enumerate(sorted(set(free["depot"])))}
-        grid = np.zeros((len(place) + 1, days), np.int64)  # the last row is for depots without bays
-        for d, t, n in zip(free["depot"], free["day"], free["free"], strict=True):
-            if 1 <= t <= days:
-                grid[place[d], t - 1] += n
-        rows = rows.iloc[np.lexsort((rows["vehicle"], -rows["value"], ~rows["urgent"]))]
-        depot, day = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
-        where = {}
-        for k, (options, at_once) in enumerate(zip(rows["options"], rows["urgent"], strict=True)):
-            own = where.setdefault(tuple(options), np.array([place.get(d, len(place)) for d in options]))
-            open_ = grid[own, : 1 if at_once else days] > 0  # depots by distance, days in order
-            if open_.any():
-                i, t = divmod(int(open_.argmax()), open_.shape[1])
-                grid[own[i], t] -= 1
-                depot[k], day[k] = options[i], t + 1
-        found = depot >= 0
-        out = rows[["tenant", "vehicle", "home", "p", "value", "urgent"]].reset_index(drop=True)
-        return out.assign(depot=pd.array(np.where(found, depot, 0), "Int64"), day=pd.array(np.where(found, day, 0), "Int32")).mask(pd.DataFrame({"depot": ~found, "day": ~found}).reindex(columns=[*out.columns, "depot", "day"], fill_value=False))
-
-    planned = left.groupBy("tenant", "region").cogroup(right.groupBy("tenant", "region")).applyInPandas(plan, PLAN_SCHEMA)
-    refused = beyond.select("tenant", "vehicle", "home", "p", "value", "urgent", F.lit(None).cast("long").alias("depot"), F.lit(None).cast("int").alias("day"))
-    rest = rows.where("not worth").select("tenant", "vehicle", "home", "p", "value", F.lit(None).cast("boolean").alias("urgent"), F.lit(None).cast("long").alias("depot"), F.lit(None).cast("int").alias("day"))
-    out = planned.unionByName(refused).unionByName(rest)
+    planned = deferred_acceptance(looked_at, checkpointed(_room(bays, days)), near)
+    nowhere = {"depot": F.lit(None).cast("long"), "day": F.lit(None).cast("int")}
+    rest = rows.where("not worth").drop("worth").withColumn("urgent", F.lit(None).cast("boolean"))
+    out = planned.unionByName(beyond.withColumns(nowhere)).unionByName(rest.withColumns(nowhere))
     outcome = F.when(F.col("urgent").isNull(), "not_worth").when(F.col("depot").isNotNull(), "planned").when(F.col("urgent"), "too_risky_to_wait").otherwise("waiting")
     way = near.select(F.col("depot").alias("home"), F.col("near").alias("depot"), "km")
     moved = F.col("depot") != F.col("home")

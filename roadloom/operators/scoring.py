@@ -7,42 +7,37 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.operators import learning
+from roadloom.operators import boosting, learning
+from roadloom.operators.boosting import BoostedTrees
 from roadloom.sources.tables import stable_id
 
 
 def train_component(positives: DataFrame, columns: list[str], component: str = "component", trees: int = 30, seed: int = 7):
-    """A forest that tells, for vehicles that will fail, which part it will be. positives: rows with a part."""
+    """A forest that tells, for vehicles that will fail, which part it will be. positives: rows with a part. A missing value is the
+    column's median beside a column that says that it was missing; both are stages of the model, with the medians of these rows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 
+    known = positives.where(F.col(component).isNotNull())
+    have = {c for c, n in known.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in columns]).first().asDict().items() if n}
+    numbers = [c for c in columns if c in have]  # a column without any value has no median, and tells nothing
     index = StringIndexer(inputCol=component, outputCol="_part", stringOrderType="alphabetAsc")
+    missing = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST(`{c}` AS DOUBLE) AS `_v_{c}`, CAST(`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)) AS DOUBLE) AS `_no_{c}`" for c in numbers) + " FROM __THIS__")
+    impute = Imputer(strategy="median", inputCols=[f"_v_{c}" for c in numbers], outputCols=[f"_m_{c}" for c in numbers])
     forest = RandomForestClassifier(labelCol="_part", featuresCol="_x", predictionCol="_guess", rawPredictionCol="_raw", probabilityCol="_prob", numTrees=trees, maxDepth=5, seed=seed)
-    return Pipeline(stages=[index, VectorAssembler(inputCols=columns, outputCol="_x"), forest]).fit(positives.fillna(0.0, columns).where(F.col(component).isNotNull()))
+    return Pipeline(stages=[index, missing, impute, VectorAssembler(inputCols=[f"{p}{c}" for c in numbers for p in ("_m_", "_no_")], outputCol="_x"), forest]).fit(known)
 
 
-def component_of(rows: DataFrame, columns: list[str], model) -> DataFrame:
+def component_of(rows: DataFrame, model) -> DataFrame:
     """The rows with `component`, the likeliest part."""
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    out = rows.fillna(0.0, columns)
+    out = rows
     for stage in model.stages[1:]:
         out = stage.transform(out)
     return out.select(*rows.columns, F.get(names, F.col("_guess").cast("int")).alias("component"))
 
 
-def top_factors(rows: DataFrame, columns: list[str], importance: dict[str, float], k: int = 3) -> DataFrame:
-    """The rows with `factors`: the `k` features that push a row up most, as structs (feature, value, contribution). A feature's
-    contribution is its importance in the model times how many deviations the value lies above the rows' mean, and only what is above
-    counts; ties go by name. It is a stand-in for exact contributions of trees, which Spark's models don't give."""
-    stats = rows.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    push = lambda c: F.round(F.lit(float(importance.get(c, 0.0))) * (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0), 3)
-    each = F.array(*[F.struct((-push(c)).alias("order"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), push(c).alias("contribution")) for c in columns])
-    best = F.slice(F.array_sort(F.filter(each, lambda x: x["contribution"] > 0)), 1, k)
-    named = F.transform(best, lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"), x["contribution"].alias("contribution")))
-    return rows.join(F.broadcast(stats)).select(*rows.columns, named.alias("factors"))  # one row
-
-
 def with_saving(rows: DataFrame, costs: DataFrame) -> DataFrame:
     """The rows with `saving`: what a breakdown of the component costs over its repair, 0 for parts without costs. costs: component,
     breakdown_cost, repair_cost; one row a part."""
@@ -57,6 +52,17 @@ def failure_alerts(scored: DataFrame, threshold: float, version: str, day) -> Da
     return scored.where(F.col("p") >= threshold).select(stable_id(key).alias("id"), "vin", F.lit("HIGH_FAILURE_RISK").alias("rule"), F.lit("CRITICAL").alias("severity"), key.alias("dedup_key"), details.alias("details"))
 
 
+def scoring_run(features: DataFrame, label: str, columns: list[str], categorical: list[str], costs: DataFrame, today, threshold: float, version: str, **options) -> tuple[DataFrame, DataFrame]:
+    """(scores, alerts) of one run, from features to alerts. features: vin, asof, split, the label, component (null where nothing
+    breaks), the columns. Trees and calibration learn from the rows with a split, the parts' forest from the positives among the
+    training rows; the rows of `today` get p, component, saving and factors, and an alert from the threshold on."""
+    models = learning.train_risk(features.where("split is not null"), columns, label, categorical, **options)
+    parts = train_component(features.where(f"split = 'train' and {label} = 1"), [c for c in columns if c not in categorical])
+    now = learning.score_risk(features.where(F.col("asof") == F.lit(today).cast("date")).drop("component", "split", label), models)
+    scores = boosting.factors(with_saving(component_of(now, parts), costs), models[0])
+    return scores, failure_alerts(scores, threshold, version, today)
+
+
 def latest_complete_day(daily: DataFrame, today, day: str = "day"):
     """The last day before today: today's is still filling. None where there is none."""
     return daily.where(F.col(day) < F.lit(today).cast("date")).agg(F.max(day)).first()[0]
@@ -82,7 +88,7 @@ def save_model(folder: str, version: str, stages: dict, meta: dict, active: bool
     without meta is none. `active` is the row that names the model in force."""
     spark = SparkSession.active()
     for name, stage in stages.items():
-        stage.write().overwrite().save(f"{folder}/{version}/{name}")
+        (stage if isinstance(stage, BoostedTrees) else stage.write().overwrite()).save(f"{folder}/{version}/{name}")
     spark.createDataFrame([(json.dumps({**meta, "version": version, "stages": {n: type(s).__module__ + "." + type(s).__name__ for n, s in stages.items()}}),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{folder}/{version}/meta")
     if active:
         spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/active")
@@ -127,10 +133,10 @@ def unseen_maker(features: DataFrame, columns: list[str], threshold: float, grou
     test = features.where("split = 'test'")
     makers = [r[0] for r in test.where(F.col(group).isNotNull()).select(group).distinct().orderBy(group).collect()]  # a handful
     whole = learning.train_risk(features, columns, "label", **options)
-    out = at_threshold(learning.score_risk(test, columns, whole), threshold, group).withColumn("model", F.lit("trained_with"))
+    out = at_threshold(learning.score_risk(test, whole), threshold, group).withColumn("model", F.lit("trained_with"))
     for maker in makers:
         models = learning.train_risk(features.where(F.col(group) != maker), columns, "label", **options)
-        own = at_threshold(learning.score_risk(test.where(F.col(group) == maker), columns, models), threshold, group)
+        own = at_threshold(learning.score_risk(test.where(F.col(group) == maker), models), threshold, group)
         out = out.unionByName(own.withColumn("model", F.lit("never_seen")))
     return out.where(F.col(group).isNotNull())
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadloom.functions.text import json_strings, suspicious_in_json
-from roadloom.operators import learning, normalize, planning, ranks, scoring, states
+from roadloom.operators import boosting, learning, normalize, planning, ranks, scoring, states
 from roadloom.plans import service
 from roadloom.sources import tables
 
@@ -61,7 +61,6 @@ def test_service_plan(spark, seed):
     r = random.Random(seed)
     depots = [(d, d % 4 * 2.0, d // 4 * 9.0) for d in range(12)]
     near = [tuple(x) for x in planning.nearby(spark.createDataFrame(depots, "depot long, lat double, lon double")).select("depot", "near", "km", "rank").collect()]
-    assert len({x.region for x in planning.regions(spark.createDataFrame(near, "depot long, near long, km double, rank int")).collect()}) == 3
     candidates = [(f"t{v % 3}", v, r.randrange(14), round(r.random(), 3), float(r.randrange(-3, 30))) for v in range(300)]
     bays = [(f"t{t}", d, day, r.randrange(3)) for t in range(3) for d in range(10) for day in range(1, 4)]
     plan = planning.service_plan(spark.createDataFrame(candidates, "tenant string, vehicle long, home long, p double, value double"), spark.createDataFrame(bays, "tenant string, depot long, day int, free int"), spark.createDataFrame(near, "depot long, near long, km double, rank int"), days=3, urgent=0.8)
@@ -152,13 +151,13 @@ def test_scores_registry_and_guards(spark, tmp_path):
     risk, calibration = learning.train_risk(f, columns, "label", iterations=3)
     parts = scoring.train_component(f.where("label = 1 and split = 'train'"), columns, trees=5)
     test = f.where("split = 'test'").drop("component")
-    scored = scoring.component_of(learning.score_risk(test, columns, (risk, calibration)), columns, parts)
+    scored = scoring.component_of(learning.score_risk(test, (risk, calibration)), parts)
     assert scored.where("p > 0.5 and component = 'brakes' and z < 0.3").count() == 0 and scored.where("label = 1").agg(F.avg("p")).first()[0] > 0.8
     ap = learning.ranking_metrics(scored, "p", "label").first().average_precision
     meta = {"features": columns, "threshold": 0.5, "metrics": {"average_precision": round(ap, 3)}}
     scoring.save_model(f"{tmp_path}/models", "v1", {"risk": risk, "calibration": calibration, "parts": parts}, meta)
     again, stages = scoring.load_active(f"{tmp_path}/models")
-    repeat = learning.score_risk(test, columns, (stages["risk"], stages["calibration"]))
+    repeat = learning.score_risk(test, (stages["risk"], stages["calibration"]))
     assert {r.id: r.p for r in repeat.collect()} == {r.id: r.p for r in scored.collect()}
     assert scoring.same_model_again(again, columns, ap) <= 0.002
     for bad in ((["x"], ap), (columns, ap - 0.1)):
@@ -166,7 +165,7 @@ def test_scores_registry_and_guards(spark, tmp_path):
             scoring.same_model_again(again, *bad)
 
     costs = spark.createDataFrame([("brakes", 900.0, 300.0)], "component string, breakdown_cost double, repair_cost double")
-    whole = scoring.top_factors(scoring.with_saving(scored, costs), columns, {"x": 0.8, "z": 0.2})
+    whole = boosting.factors(scoring.with_saving(scored, costs), risk)
     assert {(r.component, r.saving) for r in whole.collect()} <= {("brakes", 600.0), ("battery", 0.0)}
     assert all(x.contribution > 0 for r in whole.collect() for x in r.factors) and max(whole.collect(), key=lambda r: r.x).factors[0].feature == "x"
     alerts = scoring.failure_alerts(whole, 0.5, "v1", "2024-01-30")
