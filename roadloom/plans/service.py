@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions.numbers import half_up
-from roadloom.operators import drift, learning, planning, scoring, states
+from roadloom.operators import boosting, drift, learning, planning, scoring, states
 from roadloom.plans.fleet import RISK, _fleet, _risk
 from roadloom.plans.telemetry import T
 from roadloom.sources.tables import checkpointed, days_between, parameterised, shared_folder, stable_id, table, telemetry, truncated, write_by_day
@@ -232,3 +232,41 @@ def service_plan_totals(spark: SparkSession, sf: str) -> DataFrame:
     """A tenant's plan in numbers, of values in hundredths."""
     rounded = _plan(spark, sf).withColumn("value", half_up(F.col("value"), 2))
     return planning.plan_totals(rounded).withColumn("value", half_up(F.col("value"), 2))
+
+
+def _labelled_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature frame with the vehicle's powertrain, the part of the first error within the week, if any, and the split."""
+    frame = learning.feature_frame(daily_signals(spark, sf), _CODES, _SERIOUS)
+    errors = telemetry(spark, sf).where("evt = 'error'").select("vin", "ts", F.concat(F.lit("part"), (F.col("level") % 3).cast("string")).alias("component"))
+    labelled = learning.first_in_horizon(frame, errors, "vin", "asof", "ts").drop("ts", "days_to")
+    vehicles = table(spark, sf, "customer").select(F.col("c_custkey").alias("vin"), F.col("c_mktsegment").alias("powertrain"))
+    return labelled.join(vehicles, "vin").withColumn("split", learning.split_of(F.col("vin"), F.col("asof") < F.lit("2024-01-16").cast("date")))
+
+
+def _scoring_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    labelled = checkpointed(_labelled_frame(spark, sf))
+    columns = [c for c in labelled.columns if c not in ("vin", "asof", "label", "component", "split")]
+    costs = spark.createDataFrame([(f"part{i}", 900.0 + 100 * i, 300.0) for i in range(3)], "component string, breakdown_cost double, repair_cost double")
+    return scoring.scoring_run(labelled, "label", columns, ["powertrain"], costs, "2024-01-30", 0.5, "v1", iterations=8)
+
+
+@query()
+def scoring_run_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """One scoring run from events to scores: features, trees with nulls and categories, calibration, part, saving and the exact
+    contributions that push a vehicle's odds up most. tests hold its pieces against plain versions."""
+    return _scoring_run(spark, sf)[0].select("vin", F.round("p", 4).alias("p"), "component", "saving", F.transform("factors", lambda x: x["feature"]).alias("factors"))
+
+
+@query()
+def scoring_run_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """The alerts of the same run, from the threshold on."""
+    return _scoring_run(spark, sf)[1]
+
+
+@query()
+def feature_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """The features that the trees of risk split by, by what their splits gain."""
+    labelled = _labelled_frame(spark, sf).where("split in ('train', 'valid')").withColumn("held", F.col("split") == "valid")
+    columns = [c for c in labelled.columns if c not in ("vin", "asof", "label", "component", "split", "held")]
+    ranking = boosting.gain_ranking(boosting.fit(labelled, columns, "label", ["powertrain"], held="held", iterations=4))
+    return spark.createDataFrame([(i + 1, c, round(g, 4)) for i, (c, g) in enumerate(ranking)], "rank int, feature string, gain double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions.numbers import half_up
+from roadloom.operators import chains
 from roadloom.operators.rollups import finish, merge, state_columns
 from roadloom.plans.telemetry import T
 from roadloom.sources.tables import shared_folder, table, telemetry
@@ -93,14 +94,13 @@ def stream_rules(spark: SparkSession, sf: str) -> DataFrame:
   SELECT vin, fired FROM r WHERE fires""")
 def cooldown_suppression(spark: SparkSession, sf: str) -> DataFrame:
     """One firing, then quiet for three days of the vehicle's own time."""
-    import pandas as pd
+    return chains.cooldown(telemetry(spark, sf).where("evt = 'error'"), "vin", "ts", "seq", 3 * chains.DAY).select("vin", F.col("ts").alias("fired"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for r in frame.sort_values(["ts", "seq"]).itertuples():
-            if last is None or r.ts - last >= pd.Timedelta(hours=72):
-                last = r.ts
-                out.append((r.vin, r.ts))
-        return pd.DataFrame(out, columns=["vin", "fired"])
 
-    return telemetry(spark, sf).where("evt = 'error'").select("vin", "ts", "seq").groupBy("vin").applyInPandas(run, "vin long, fired timestamp_ntz")
+@query(f"""WITH RECURSIVE e AS (SELECT vin, ts, row_number() OVER w AS i, lag(ts, 4) OVER w AS first FROM {T} WHERE evt IN ('error', 'click') WINDOW w AS (PARTITION BY vin ORDER BY ts, seq)),
+  r AS (SELECT vin, i, 0::BIGINT AS fired, first, ts, false AS fires FROM e WHERE i = 1
+    UNION ALL SELECT vin, i, CASE WHEN fires THEN i ELSE fired END, first, ts, fires FROM (SELECT e.vin, e.i, r.fired, e.first, e.ts, e.i - r.fired >= 5 AND e.ts - e.first <= INTERVAL 36 HOUR AS fires FROM r JOIN e ON e.vin = r.vin AND e.i = r.i + 1))
+  SELECT vin, first, ts FROM r WHERE fires""")
+def harsh_five_with_reset(spark: SparkSession, sf: str) -> DataFrame:
+    """Five harsh events within 36 hours; those of a firing count for no other."""
+    return chains.n_in_window(telemetry(spark, sf).where(F.col("evt").isin("error", "click")), "vin", "ts", "seq", 5, 36 * 3_600_000_000)
