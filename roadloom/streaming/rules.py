@@ -1,6 +1,6 @@
 """Live alert rules with a state for each vehicle.
 
-One function steps a state by one event; a stream applies it with keyed state, a batch with one group for each vehicle, both in the
+One function steps a state by one event; a stream applies it with keyed state, a batch to pieces of a vehicle's history, both in the
 order of arrival. Point rules and the count of harsh events look at every event; what is held over time, only at events in order.
 A cooldown keeps a rule quiet for a vehicle, and an alert is named by vehicle, rule and the begin of its episode, so the same events
 give the same alerts again.
@@ -13,9 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.operators import ranks
+from roadloom.sources.tables import checkpointed
+
 VERSION = 2
 MINUTE, HOUR = 60_000, 3_600_000
 
@@ -177,17 +180,78 @@ def _events(frame: pd.DataFrame) -> Iterator[dict]:
         yield {c: None if isinstance(v, float) and v != v else list(v) if hasattr(v, "tolist") and getattr(v, "ndim", 0) else v for c, v in row.items()}
 
 
-def batch_alerts(events: DataFrame, arrival: list[str], limits: Limits = Limits()) -> DataFrame:
-    """The alerts of all events, each vehicle's in the order of arrival. events: the columns of `step`, ts as a timestamp."""
-    ready = _ready(events)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = State(), []
-        for e in _events(frame.sort_values(arrival)):
+def settled(s: State, after: int | None, lim: Limits) -> State:
+    """The state without what no event from the time `after` on can tell any more (None: there is none): quiet times that are over,
+    what was held before a gap, harsh events and jumps beyond their windows. Two states with the same rest give the same alerts."""
+    if after is None:
+        return State()
+    over = lambda at, limit: at is None or after - at > limit * lim.stretch
+    out = State()
+    if s.last is not None and not over(s.last, lim.gap):
+        out.last, out.held = s.last, s.held
+    if not over(s.coolant_at, lim.gap):
+        out.coolant, out.coolant_at = s.coolant, s.coolant_at
+    if not over(s.jump_at, lim.jump_window):
+        out.jump_at, out.jumps = s.jump_at, s.jumps
+    out.suspect_until = s.suspect_until if s.suspect_until > after else -1
+    out.harsh = [t for t in s.harsh if not over(t, lim.harsh_window)]
+    out.raised = {r: at for r, at in s.raised.items() if after - at < RULES[r][1] * lim.stretch}
+    return out
+
+
+#: Events of a piece of a vehicle's history that one task looks at.
+PIECE_EVENTS = 20_000
+_RAN = f"piece long, state string, {ALERTS}"
+
+
+def _pieces(ready: DataFrame, arrival: list[str], piece_events: int) -> DataFrame:
+    """The events with `piece`: 0 for a vehicle with as many as one piece has, else the number of each stretch of so many in the order
+    of arrival. The numbers come from ranges over the whole table, so no task has a vehicle's events."""
+    many = checkpointed(ready.groupBy("vin").agg(F.count("*").alias("_n")).where(F.col("_n") > piece_events).select("vin"))
+    if not many.take(1):
+        return ready.withColumn("piece", F.lit(0).cast("long"))
+    few = ready.join(many, "vin", "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    # an event's columns tell apart what arrives at once
+    numbered = ranks.placed(ready.join(many, "vin", "left_semi").withColumn("_h", F.xxhash64(*ready.columns)), [*arrival, "_h"], ["vin"])
+    return few.unionByName(numbered.withColumn("piece", F.floor((F.col("upto") - 1) / piece_events)).drop("_h", "upto"))
+
+
+def batch_alerts(events: DataFrame, arrival: list[str], limits: Limits = Limits(), piece_events: int = PIECE_EVENTS) -> DataFrame:
+    """The alerts of all events, each vehicle's in the order of arrival. events: the columns of `step`, ts as a timestamp.
+
+    A long history is cut into pieces, and all pieces run at once, each as if it were the first. What a piece leaves behind, as far as
+    it can still matter to later events (`settled`), is then held against what the next piece began with: pieces that began otherwise
+    run again, with the right state, until none is left. After a pause as long as the longest quiet time nothing is left behind, so most
+    pieces run once. A piece is right one round after the one before it, so there are no more rounds than pieces of a vehicle."""
+    ready = checkpointed(_pieces(_ready(events), arrival, piece_events))
+    later = Window.partitionBy("vin").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
+    bounds = ready.groupBy("vin", "piece").agg(F.min("ts").alias("_least")).withColumn("after", F.min("_least").over(later)).drop("_least")  # a row for each piece
+
+    def run(frame: pd.DataFrame, begins: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in _RAN.split(", ")]
+        if not len(begins) or not len(frame):
+            return pd.DataFrame(columns=names)
+        vin, piece, after, begun = begins.iloc[0][["vin", "piece", "after", "state"]]
+        state, out = State.load(begun), []
+        for e in _events(frame.drop(columns="piece").sort_values(arrival)):
             out += step(state, e, limits)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
-
-    return ready.groupBy("vin").applyInPandas(run, ALERTS)
+        left = settled(state, None if after is None or after != after else int(after), limits).dump()
+        rows = [{"piece": int(piece), **x} for x in out] + [{"piece": int(piece), "state": left, "vin": vin}]
+        return pd.DataFrame([[x.get(n) for n in names] for x in rows], columns=names, dtype=object)
+
+    begins = checkpointed(bounds.withColumn("state", F.lit(State().dump())))
+    begun, done = begins, None
+    while True:
+        ran = checkpointed(ready.join(begins.select("vin", "piece"), ["vin", "piece"], "left_semi").groupBy("vin", "piece").cogroup(begins.groupBy("vin", "piece")).applyInPandas(run, _RAN))
+        if done is not None:
+            ran = checkpointed(done.join(begins.select("vin", "piece"), ["vin", "piece"], "left_anti").unionByName(ran))
+        done = ran
+        left = done.where("state is not null").select("vin", (F.col("piece") + 1).alias("piece"), F.col("state").alias("left"))
+        begun = checkpointed(begun.join(left, ["vin", "piece"], "left").withColumn("again", F.coalesce(F.col("left") != F.col("state"), F.lit(False))).select("vin", "piece", "after", F.coalesce("left", "state").alias("state"), "again"))
+        begins = begun.where("again").drop("again")
+        begun = begun.drop("again")
+        if not begins.take(1):
+            return done.where("state is null").select(*[c.split()[0] for c in ALERTS.split(", ")])
 
 
 def stream_alerts(events: DataFrame, arrival: list[str], limits: Limits = Limits()) -> DataFrame:
