@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, WORD, cut, hash_runs, need, read, runs, text_pieces, through_filter, written
+from roadloom.llm.common import LOWER, SLICE_BYTES, WORD, cut, hash_runs, need, read, runs, text_pieces, through_filter, written
 
 TOP = 50
 #: Postings of a block.
@@ -128,7 +128,7 @@ def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
         for batch in batches:
             before = -1
-            for row, end, data, offsets in text_pieces(batch, 1):
+            for row, end, data, offsets in text_pieces(batch, 1, min(SLICE_BYTES, shard_bytes)):
                 if row != before and held and held + len(data) > shard_bytes:
                     yield shard()
                     ids, texts, held, rows = [], [], 0, 0
