@@ -6,6 +6,10 @@ comes back with what happened to it: its new state, or why it was refused. Rows
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,19 +82,43 @@ def decided_proposals(proposals: DataFrame, decisions: DataFrame, checked: DataF
     return out, checked.join(executed, "id", "left_semi").drop("reason")
 
 
-def audit_chain(log: DataFrame, key: str = "id", group: str | None = None, body: list[str] | None = None) -> DataFrame:
-    """The log with prev_hash and row_hash: each row's hash covers the hash of the row before it in its group, '' before the first.
-    The chain is a fold in the order of the key, so a group is one chain: use a group (a tenant, a day) that a task can hold."""
-    body = body or [c for c in log.columns if c not in (key, group)]
-    text = F.concat_ws("|", F.col(key).cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in body])
-    rows = log.withColumn("_text", text).groupBy(*([group] if group else [])).agg(F.array_sort(F.collect_list(F.struct(key, "_text"))).alias("_rows"))
-    empty = F.array().cast("array<struct<id:bigint,prev_hash:string,row_hash:string>>")
+def _chain_text(key: str, body: list[str]) -> Column:
+    return F.concat_ws("|", F.col(key).cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in body])
 
-    def step(s: Column, r: Column) -> Column:
-        h = F.sha2(F.concat(s["last"], r["_text"]).cast("binary"), 256)
-        return F.struct(h.alias("last"), F.concat(s["out"], F.array(F.struct(r[key].cast("bigint").alias("id"), s["last"].alias("prev_hash"), h.alias("row_hash")))).alias("out"))
 
-    return rows.select(*([group] if group else []), F.explode(F.aggregate("_rows", F.struct(F.lit("").alias("last"), empty.alias("out")), step, lambda s: s["out"])).alias("_x")).select(*([group] if group else []), "_x.*")
+def audit_chain(log: DataFrame, key: str = "id", group: str | None = None, body: list[str] | None = None, after: DataFrame | None = None) -> DataFrame:
+    """The log with prev_hash and row_hash: each row's hash covers the hash of the row before it in its group, '' before the first.
+    after: a chain (group, key, row_hash) that is there already; a group goes on from its last row, so an append costs what is
+    appended, and rows up to a group's last key are refused. A group's rows pass through one task in the order of the key, which a chain
+    asks for, but none are held: only the last hash is."""
+    body = body or [c for c in log.columns if c not in (key, group)]
+    by = F.col(group) if group else F.lit(0)
+    rows = log.select(by.alias("_g"), F.col(key).cast("bigint").alias("_k"), _chain_text(key, body).alias("_text"), F.lit(None).cast("string").alias("_last"))
+    if after is not None:
+        ends = after.groupBy(by.alias("_g")).agg(F.max(F.col(key).cast("bigint")).alias("_k"), F.max_by("row_hash", key).alias("_last"))
+        rows = rows.unionByName(ends.select("_g", "_k", F.lit(None).cast("string").alias("_text"), "_last"))
+    # a group's end comes before a row with the same key
+    ordered = rows.repartition("_g").sortWithinPartitions("_g", "_k", F.col("_text").isNotNull())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, end = object(), "", None
+        for batch in batches:
+            out = []
+            for g, k, text, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if g != now:
+                    now, last, end = g, "", None
+                if text is None:
+                    last, end = start, k
+                    continue
+                if end is not None and k <= end:
+                    raise ValueError(f"row {k} is not after the chain's last one, {end}")
+                before, last = last, hashlib.sha256((last + text).encode()).hexdigest()
+                out.append((g, k, before, last))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string()), strict=True)], ["_g", "id", "prev_hash", "row_hash"])
+
+    chained = ordered.mapInArrow(work, f"_g {rows.schema['_g'].dataType.simpleString()}, id long, prev_hash string, row_hash string")
+    return chained.withColumnRenamed("_g", group) if group else chained.drop("_g")
 
 
 def broken_links(stored: DataFrame, recomputed: DataFrame, key: str = "id") -> DataFrame:
@@ -101,7 +129,6 @@ def broken_links(stored: DataFrame, recomputed: DataFrame, key: str = "id") -> D
 def chain_checked(log: DataFrame, key: str, group: str, body: list[str]) -> DataFrame:
     """(key, ok) for a log that carries prev_hash and row_hash: ok where row_hash fits the row and prev_hash is the row_hash of the
     row before it in the group. Each row looks at one neighbour, so a chain of any length is checked by a window."""
-    text = F.concat_ws("|", F.col(key).cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in body])
-    own = F.sha2(F.concat("prev_hash", text).cast("binary"), 256) == F.col("row_hash")
+    own = F.sha2(F.concat("prev_hash", _chain_text(key, body)).cast("binary"), 256) == F.col("row_hash")
     before = F.lag("row_hash", 1, "").over(Window.partitionBy(group).orderBy(key))
     return log.select(key, (own & (F.col("prev_hash") == before)).alias("ok"))

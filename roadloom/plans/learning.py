@@ -113,6 +113,16 @@ def cost_curve(spark: SparkSession, sf: str) -> DataFrame:
     return learning.cost_curve(_scored(spark, sf), "s", "y", "saving", THRESHOLDS)
 
 
+#: Hundredths: fine where alerts are decided, coarse above.
+FINE = [*range(1, 10), *[10 + 2.5 * i for i in range(35)]]
+
+
+@query(CURVE[1:-1].replace("[5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95]", str(FINE)))
+def cost_curve_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """The curve at 44 thresholds, dense where decisions fall; still one pass."""
+    return learning.cost_curve(_scored(spark, sf), "s", "y", "saving", FINE)
+
+
 @query(f"SELECT cost, arg_max(threshold, threshold) FILTER (threshold <= cost * 1.5 + 1e-9) AS rule, max(saved - cost * flagged) AS best_net, arg_max(threshold, (saved - cost * flagged, -threshold)) AS best FROM {CURVE} CROSS JOIN range(10, 61, 10) c(cost) GROUP BY cost")
 def cost_choice_from_curve(spark: SparkSession, sf: str) -> DataFrame:
     curve = learning.cost_curve(_scored(spark, sf), "s", "y", "saving", THRESHOLDS).withColumn("cost", F.explode(F.lit([10, 20, 30, 40, 50, 60]).cast("array<bigint>")))
@@ -184,6 +194,26 @@ def drift_table(spark: SparkSession, sf: str) -> DataFrame:
     return _psi(spark, sf).where("current_n >= 300").select("evt", half_up(F.col("baseline_mean"), 2).alias("baseline_mean"), half_up(F.col("current_mean"), 2).alias("current_mean"), "current_n")
 
 
+@query(f"""WITH ok AS (SELECT evt FROM {T} GROUP BY 1 HAVING count(DISTINCT date_trunc('minute', ts)) >= 0.9 * 2000)
+  SELECT evt, floor(avg(reading) FILTER (ts < TIMESTAMP '2024-01-20') * 100 + 0.5) / 100 AS baseline_mean, floor(avg(reading) FILTER (ts >= TIMESTAMP '2024-01-20') * 100 + 0.5) / 100 AS current_mean, count(*) FILTER (ts >= TIMESTAMP '2024-01-20') AS current_n FROM {T} JOIN ok USING (evt) GROUP BY 1""")
+def drift_where_covered(spark: SparkSession, sf: str) -> DataFrame:
+    """Drift only of makers (event types) with readings in at least nine tenths of 2,000 minutes: what was hardly heard isn't judged."""
+    t = telemetry(spark, sf)
+    enough = drift.covered(t, "evt", "ts", 2000)
+    rows = t.join(enough.select("evt"), "evt", "left_semi").withColumn("cur", F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))
+    return drift.psi(rows, "evt", "reading", "cur").select("evt", half_up(F.col("baseline_mean"), 2).alias("baseline_mean"), half_up(F.col("current_mean"), 2).alias("current_mean"), "current_n")
+
+
+@query("SELECT o_orderpriority AS component, count(*) AS inspected, count(*) FILTER (o_orderkey % 3 = 0) AS found, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 4 = o_custkey % 4) AS part_right, CASE WHEN count(*) FILTER (o_orderkey % 3 = 0) > 0 THEN floor(count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 4 = o_custkey % 4)::DOUBLE / count(*) FILTER (o_orderkey % 3 = 0) * 10000 + 0.5) / 10000 END AS share FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def model_health_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the inspections that found a fault, how many found it in the part that the model named, by priority."""
+    o = table(spark, sf, "orders").where("o_orderstatus = 'O'")
+    found = F.col("o_orderkey") % 3 == 0
+    right = found & (F.col("o_orderkey") % 4 == F.col("o_custkey") % 4)
+    a = o.groupBy(F.col("o_orderpriority").alias("component")).agg(F.count("*").alias("inspected"), F.count_if(found).alias("found"), F.count_if(right).alias("part_right"))
+    return a.withColumn("share", F.when(F.col("found") > 0, half_up(F.col("part_right") / F.col("found"), 4)))
+
+
 @query("SELECT e.vec_id, e.label, floor(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) * 1e5 + 0.5) / 1e5 AS similarity FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE e.vec_id <> 7 ORDER BY similarity DESC, e.vec_id LIMIT 5")
 def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """The five cases most like one case; the one vector is sent to all."""

@@ -99,6 +99,28 @@ def json_path_functions(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("seq", k.alias("k"), TRANSFORMS["fraction_to_pct"](k).cast("int").alias("pct"), lookup(F.col("v"), "k[0].x").text.alias("missing"))
 
 
+@query("""SELECT event_id AS seq, '{"seq":' || event_id || ',"evt":"' || event_type || '","k":' || json_extract_string(props, '$.k') || ',"late":' || (event_id % 2 = 0)::VARCHAR || '}' AS merged FROM events""")
+def json_build_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """A document built from columns, with the fields of the payload and of a patch; a later field of the same name takes the place of
+    an earlier one."""
+    t = telemetry(spark, sf)
+    entry = lambda **fields: F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*[F.to_json(F.struct(v.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(v.alias("x")))) - 6) for v in fields.values()]))
+    first, patch = entry(seq=F.col("seq"), evt=F.col("evt"), k=F.lit(-1)), entry(k=F.col("level"), late=F.col("seq") % 2 == 0)
+    kept = F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(patch), k)), patch)
+    text = F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    return t.select("seq", F.concat(F.lit("{"), text, F.lit("}")).alias("merged"))
+
+
+@query("""SELECT event_id AS seq, ['C' || (event_id % 7), 'D' || (event_id % 5)] AS codes, 2 - (event_id % 3 = 0)::BIGINT AS n FROM events""")
+def json_array_explode(spark: SparkSession, sf: str) -> DataFrame:
+    """All codes of a list in a payload, by [*]; an entry without the field counts for nothing."""
+    code = lambda letter, m: F.concat(F.lit(f'{{"c":"{letter}'), (F.col("seq") % m).cast("string"), F.lit('"}'))
+    payload = F.concat(F.lit('{"d":['), code("C", 7), F.lit(',{"x":1},'), code("D", 5), F.lit("]}"))
+    marks = F.concat(F.lit('{"m":[{"t":1},'), F.when(F.col("seq") % 3 == 0, F.lit('{"t":null}')).otherwise(F.lit('{"t":2}')), F.lit("]}"))
+    t = telemetry(spark, sf).select("seq", F.parse_json(payload).alias("v"), F.parse_json(marks).alias("w"))
+    return t.select("seq", lookup(F.col("v"), "d[*].c").many.alias("codes"), F.size(lookup(F.col("w"), "m[*].t").many).cast("bigint").alias("n"))
+
+
 _DIGITS = "list_transform(string_split(translate(v, 'ABCDEFGHJKLMNPRSTUVWXYZ', '12345678123457923456789'), ''), lambda x: x::INT)"
 _CHECK = f"substr('0123456789X', list_sum(list_transform(list_zip({_DIGITS}, [8,7,6,5,4,3,2,10,0,9,8,7,6,5,4,3,2]), lambda p: p[1] * p[2]))::INT % 11 + 1, 1)"
 

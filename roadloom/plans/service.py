@@ -81,14 +81,28 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("tenant"), F.col("o_orderstatus").alias("action"))
 
 
-@query("""WITH RECURSIVE log AS (SELECT o_orderkey AS id, o_custkey AS tenant, o_orderkey::VARCHAR || '|' || o_orderstatus AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+_CHAIN = """WITH RECURSIVE log AS (SELECT o_orderkey AS id, o_custkey AS tenant, o_orderkey::VARCHAR || '|' || o_orderstatus AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
   chain AS (SELECT id, tenant, rn, '' AS prev_hash, sha256(body) AS row_hash FROM log WHERE rn = 1 UNION ALL SELECT l.id, l.tenant, l.rn, c.row_hash, sha256(c.row_hash || l.body) FROM chain c JOIN log l ON l.tenant = c.tenant AND l.rn = c.rn + 1)
-  SELECT id, prev_hash, row_hash FROM chain""")
+  SELECT id, prev_hash, row_hash FROM chain"""
+
+
+@query(_CHAIN)
 def audit_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Each tenant's log as a chain: a row's hash covers that of the row before it."""
     return states.audit_chain(_log(spark, sf), "id", "tenant", ["action"]).select("id", "prev_hash", "row_hash")
 
 
+@query(_CHAIN)
+def audit_chain_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """The same chain in two appends: the second goes on from the last hashes of the first, and costs its own rows."""
+    log = _log(spark, sf)
+    middle = F.broadcast(log.agg((F.max("id") / 2).alias("_middle")))  # one row
+    parts = [log.join(middle).where(half).drop("_middle") for half in (F.col("id") <= F.col("_middle"), F.col("id") > F.col("_middle"))]
+    first = checkpointed(states.audit_chain(parts[0], "id", "tenant", ["action"]))
+    second = states.audit_chain(parts[1], "id", "tenant", ["action"], after=first)
+    return first.union(second).select("id", "prev_hash", "row_hash")
+
+
 @query("SELECT o_orderkey AS id, o_orderkey % 97 <> 5 AND coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) % 89 <> 3, true) AS ok FROM orders")
 def audit_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
     """A chain with rows changed after the fact (a row's own hash does not fit) and with hashes replaced (the next row's link breaks)."""

@@ -124,6 +124,20 @@ def test_chain_is_checked_row_by_row(spark):
     assert sorted(r.id for r in states.chain_checked(chain.where("id <> 4"), "id", "g", ["body"]).where("not ok").collect()) == [6]
 
 
+def test_chain_grows_by_appends(spark):
+    """Two appends give the chain of one; what comes before a chain's end is refused; a long chain costs its length."""
+    log = spark.createDataFrame([(i, i % 3, f"a{i}") for i in range(200)] + [(500, None, "alone")], "id long, g int, body string").repartition(3)
+    whole = {r.id: (r.prev_hash, r.row_hash) for r in states.audit_chain(log, "id", "g", ["body"]).collect()}
+    first = states.audit_chain(log.where("id < 77"), "id", "g", ["body"])
+    second = states.audit_chain(log.where("id >= 77"), "id", "g", ["body"], after=first)
+    assert {r.id: (r.prev_hash, r.row_hash) for r in first.union(second).collect()} == whole and len(whole) == 201
+    with pytest.raises(Exception, match="is not after"):
+        states.audit_chain(log.where("id = 5"), "id", "g", ["body"], after=first).collect()
+    long = spark.range(200_000).select("id", F.lit("x").alias("body"))
+    chain = states.audit_chain(long, "id", None, ["body"])
+    assert chain.where("prev_hash = ''").count() == 1 and chain.count() == 200_000
+
+
 def test_tables_by_day(spark, tmp_path):
     df = spark.createDataFrame([(datetime.date(2024, 1, d), v) for d in range(1, 6) for v in range(20)], "day date, vin int")
     tables.write_by_day(df, f"{tmp_path}/t", search=["vin"], order=["vin"])
