@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadloom.operators import boosting, learning
 from roadloom.operators.boosting import BoostedTrees
-from roadloom.sources.tables import stable_id
+from roadloom.sources.tables import exists, folders, stable_id
 
 
 def train_component(positives: DataFrame, columns: list[str], component: str = "component", trees: int = 30, seed: int = 7):
@@ -74,12 +74,8 @@ def write_run(folder: str, run: str, scores: DataFrame, alerts: DataFrame, signa
     spark = scores.sparkSession
     scores.write.mode("overwrite").parquet(f"{folder}/risk_score/run={run}")
     signatures.write.mode("overwrite").parquet(f"{folder}/fault_signature/run={run}")
-    try:
-        earlier = spark.read.parquet(f"{folder}/alert").where(F.col("run") != run).select("dedup_key")
-    except Exception as e:  # the first run: there is no such table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        earlier = alerts.select("dedup_key").limit(0)
+    some = exists(spark, f"{folder}/alert") and any(f != f"run={run}" for f in folders(spark, f"{folder}/alert"))
+    earlier = spark.read.parquet(f"{folder}/alert").where(F.col("run") != run).select("dedup_key") if some else alerts.select("dedup_key").limit(0)
     alerts.dropDuplicates(["dedup_key"]).join(earlier, "dedup_key", "left_anti").write.mode("overwrite").parquet(f"{folder}/alert/run={run}")
 
 

@@ -10,7 +10,7 @@ from roadloom.operators import chains
 from roadloom.operators.rollups import finish, merge, state_columns
 from roadloom.plans.telemetry import T
 from roadloom.sources.tables import shared_folder, table, telemetry
-from roadloom.streaming import dedup, rules, sinks
+from roadloom.streaming import dedup, rules, sinks, store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,6 +67,14 @@ def stream_windows_by_event_time(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.read_batches(spark, out).groupBy("vin", "day").agg(F.max("n").alias("n"))  # counts only go up
 
 
+@query(f"SELECT DISTINCT ON (vin) vin, evt, reading, seq FROM {T} ORDER BY vin, ts DESC, seq DESC")
+def stream_latest_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vehicle's last event, kept by a stream: a batch rewrites only the buckets of its vehicles, and only what is newer wins."""
+    kept = store.LatestStore(folder(spark, "latest"), ["vin"], "at", buckets=16)
+    sinks.run_to_end(event_stream(spark, sf), store.sink(kept, lambda b: b.select("vin", F.struct("ts", "seq").alias("at"), "evt", "reading")), folder(spark, "latest-marks"))
+    return kept.read(spark).select("vin", "evt", "reading", F.col("at.seq").alias("seq"))
+
+
 #: Events are hours apart, so times are stretched.
 LIMITS = rules.Limits(stretch=360, overheat_c=60.0, critical=("PURCHASE",), harsh=("click", "error"))
 

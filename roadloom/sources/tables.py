@@ -55,6 +55,28 @@ def shared_folder(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever store the path names."""
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder."""
+    fs, where = _at(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory())
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut: written in the shared folder and read again, so that what follows knows its true size."""
     path = f"{shared_folder(df.sparkSession, 'checkpoints')}/rows"

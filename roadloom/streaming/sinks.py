@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.operators.rollups import once
+from roadloom.sources.tables import exists, folders
 
 
 def batch_files(path: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
@@ -41,12 +42,8 @@ def ignore_known(path: str, key: str, day: Column | None = None) -> Callable[[Da
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch if day is None else batch.withColumn("_day", day)
-        try:
-            known = spark.read.parquet(path).where(F.col("batch_id") != number)
-        except Exception as error:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            known = rows.limit(0)
+        written = [f for f in folders(spark, path) if f.startswith("batch_id=") and f != f"batch_id={number}" and exists(spark, f"{path}/{f}/_SUCCESS")] if exists(spark, path) else []
+        known = spark.read.parquet(path).where(F.col("batch_id") != number) if written else rows.limit(0)
         if day is not None and "_day" in known.columns:
             known = known.where(F.col("_day").isin([r[0] for r in rows.select("_day").distinct().collect()]))  # the days of one batch
         out = once(rows, known, key).write
