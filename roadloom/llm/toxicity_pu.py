@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, WORD, crc_mod, cut, hash_runs, mix, need, read, runs, text_slices
+from roadloom.llm.common import LOWER, WORD, crc_mod, cut, hash_runs, mix, need, read, runs, text_pieces
 
 THRESHOLD = 0.7
 #: A feature is a whole word or its first so many bytes.
@@ -112,10 +112,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         for batch in batches:
             kinds = np.array(batch.column(0).to_pylist(), np.int64)
             np.add.at(n[:, BUCKETS], kinds, 1)
-            for row, _, data, offsets in text_slices(batch, 1):
+            found = []
+            for row, _, data, offsets in text_pieces(batch, 1):
                 text, value = features(data, offsets)
-                pairs = np.unique(text * BUCKETS + (value % np.uint64(BUCKETS)).astype(np.int64))
-                np.add.at(n, (kinds[row + pairs // BUCKETS], pairs % BUCKETS), 1)
+                found.append(np.unique((row + text) * BUCKETS + (value % np.uint64(BUCKETS)).astype(np.int64)))
+            pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)  # pieces of one text share features
+            np.add.at(n, (kinds[pairs // BUCKETS], pairs % BUCKETS), 1)
         where = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (*where, n[where])], ["positive", "bucket", "n"])
 
@@ -127,10 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     def matrix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, lists = batch.column(0), [None] * batch.num_rows
-            for row, end, data, offsets in text_slices(batch, 1):
+            kinds, lists = batch.column(0), [[] for _ in range(batch.num_rows)]
+            for row, _, data, offsets in text_pieces(batch, 1):
                 for i, own in enumerate(present(data, offsets, chosen), row):
-                    lists[i] = own
+                    lists[i] = sorted({*lists[i], *own}) if lists[i] else own
             yield pa.RecordBatch.from_arrays([kinds.cast(pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["positive", "own"])
 
     table = sample.mapInArrow(matrix_rows, "positive long, own array<int>").toArrow()  # as many short lists as the sample has rows
@@ -162,17 +164,17 @@ def _pairs(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> np.ndar
 
 def score(docs: DataFrame, model: Classifiers, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (id, score): the classifiers' mean probability for each whole text. Null and empty texts and texts without words have
-    the score of a text without any feature. Each row is scored; columns beyond id and text play no part."""
+    the score of a text without any feature. Long texts are looked at in pieces, cut before white space, and a feature counts once for a text. Each row is scored; columns beyond id and text play no part."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # most_features rows
     kind = docs.schema[id_column].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifiers = sent.value
         for batch in batches:
-            margin = np.tile(m.biases, (batch.num_rows, 1))
-            for row, _, data, offsets in text_slices(batch, 1):
-                pairs = _pairs(data, offsets, m.chosen)
-                np.add.at(margin, row + pairs // max(len(m.chosen), 1), m.weights[pairs % max(len(m.chosen), 1)])
+            margin, width = np.tile(m.biases, (batch.num_rows, 1)), max(len(m.chosen), 1)
+            found = [row * width + _pairs(data, offsets, m.chosen) for row, _, data, offsets in text_pieces(batch, 1)]
+            pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)  # pieces of one text share features
+            np.add.at(margin, pairs // width, m.weights[pairs % width])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((1 / (1 + np.exp(-np.clip(margin, -60, 60)))).mean(axis=1))], [id_column, "score"])
 
     return need(docs, id_column, text_column).mapInArrow(work, f"{id_column} {kind}, score double")
