@@ -91,12 +91,13 @@ def train(labelled: DataFrame, lang_column: str = "lang", text_column: str = "te
     left out. Of more than `most_languages` values those with the most rows are learned, ties by name: one row for each comes to
     the driver, and then one for each sequence of `max_order` + 1 bytes that its sample has."""
     labelled = need(labelled, id_column, lang_column, text_column).where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_column).limit(most_languages).collect()}
+    keyed = labelled.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.lit("sample"), id_column, text_column).alias("h"))
+    # different rows, so that a language of few texts that repeat is still drawn
+    sizes = {r.lang: max(1, r.n) for r in keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_languages).collect()}
     if not sizes:
         return Trees([], [], max_order)
     languages, ring = sorted(sizes), 1 << 30
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, int(min(ring, ring * per_language // sizes[name] + 1)))])
-    keyed = labelled.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.lit("sample"), id_column, text_column).alias("h"))
     sample = keyed.where(F.pmod("h", F.lit(ring)) < share[F.col("lang")]).dropDuplicates(["lang", "h"]).select("lang", "text")
     number = {name: i for i, name in enumerate(languages)}
 

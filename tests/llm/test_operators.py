@@ -109,6 +109,25 @@ def test_nnpu_turns_where_the_negative_risk_falls_below_zero():
     assert z(x).mean() - 0.3 * z(x[:40]).mean() > -0.2
 
 
+def test_toxicity_of_long_texts_and_of_null_ids(spark, monkeypatch):
+    """A text in pieces has the score that it has whole; rows with null or repeated ids are as likely in the sample as others."""
+    words = [f"word{i % 700}" for i in range(90_000)]
+    chosen = np.unique(np.concatenate([toxicity_pu.features(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1] % np.uint64(toxicity_pu.BUCKETS) for w in words[:50]]))
+    model = toxicity_pu.Classifiers(chosen.astype(np.int64), np.linspace(-1, 1, len(chosen))[:, None], np.zeros(1))
+    rows = [(1, " ".join(words)), (2, " ".join(words[:700])), (None, " ".join(reversed(words)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({round(r.score, 9) for r in toxicity_pu.score(df, model).collect()}) == 1
+    n = 3000
+    docs = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some text "), F.col("id")).alias("text"))
+    drawn = []
+    keep = toxicity_pu.cut
+    monkeypatch.setattr(toxicity_pu, "cut", lambda df: drawn.append(keep(df)) or drawn[-1])
+    labels = spark.createDataFrame([(2, 1), (4, 0)], "doc_id long, toxic int")
+    toxicity_pu.train(docs, labels, unlabelled=600, classifiers=1)
+    found = [r.text for r in drawn[0].where("positive = 0").collect()]
+    assert 450 < len(found) < 750 and 0.35 < sum(int(t.split()[-1]) % 2 for t in found) / len(found) < 0.65
+
+
 def test_toxicity_query_held_out(spark):
     folder = "/root/testdata/sf0.1"
     got = catalogue.QUERIES["op1_toxicity_pu"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")
@@ -166,6 +185,19 @@ def test_longest_match_of_each_text(spark):
     assert results[0] == results[1] and results[0][0] == results[0][1] == results[0][2] == (12, "0")
 
 
+def test_items_without_an_id_hit(spark):
+    """Their words count, their absence from the list is all that is missing; the pipeline's stage drops what they hit. Small blocks pass one after the other."""
+    item = " ".join(f"leak{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing of that kind")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (None, None), (5, "other words that stand nowhere"), (5, "nothing of")], "item_id long, text string")
+    for block_words in (3, 1000):
+        got = {r.doc_id: (sum(s.end - s.begin for s in r.hits), r.item_ids, r.longest) for r in suffix_decontamination.contamination(docs, items, block_words=block_words).collect()}
+        assert got == {1: (12, [], 12), 2: (2, ["5"], 2)}
+        assert suffix_decontamination.decontaminate(docs, items, block_words=block_words).count() == 0
+    plan = suffix_decontamination.contamination(docs, items, block_words=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # no workers of several blocks in one stage
+
+
 def test_contamination_in_pieces(spark, monkeypatch):
     """Texts of many pieces hold what the whole holds, at the pieces' edges as well; matches and blocks don't depend on partitions."""
     monkeypatch.setattr(suffix_decontamination, "SHARD_BYTES", 200)
@@ -346,6 +378,19 @@ def test_language_query_held_out(spark):
     assert got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_the_language_sample_is_bounded(spark, monkeypatch):
+    """Rows with null ids, or with one id, are drawn like others; rows that repeat whole are one. Each byte is a sequence of the tree."""
+    text = F.concat(F.lit("some words "), F.lpad(F.col("id").cast("string"), 5, "0"))
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("en").alias("lang"), text.alias("text"))
+    rows = rows.union(spark.range(3000).select(F.lit(7), F.lit("fr"), F.lit("toujours la"))).union(spark.range(3000).select(F.lit(7), F.lit("de"), text))
+    learned = []
+    tree = ppm_language.Tree
+    monkeypatch.setattr(ppm_language, "Tree", lambda code, n, order: learned.append(int(n.sum())) or tree(code, n, order))
+    assert ppm_language.train(rows, per_language=300).languages == ["de", "en", "fr"]
+    assert 200 < learned[0] / 16 < 420 and 200 < learned[1] / 16 < 420 and learned[2] == 11
+    assert ppm_language.train(rows, per_language=5000, most_languages=2).languages == ["de", "en"]
+
+
 def test_code_lengths_against_dictionaries():
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abcAé中 \n7"), rng.integers(1, 60))) for _ in range(40)]
