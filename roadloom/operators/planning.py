@@ -50,14 +50,28 @@ def _room(bays: DataFrame, days: int) -> DataFrame:
     return out.select("tenant", "depot", F.col("_1").alias("first"), up_to[-1].alias("every"), F.array(*up_to).alias("up_to"))
 
 
+def _next_ask(placed: DataFrame, room: DataFrame) -> DataFrame:
+    """The refused vehicles with `_k` moved on to the next depot that, with those that it keeps now, would have them; to the end of
+    their list where there is none."""
+    key = F.struct(-F.col("value"), "vehicle")  # the smaller one is served before
+    kept = placed.where("_kept").groupBy("tenant", F.col("_depot").alias("depot")).agg(F.count_if("urgent").alias("_nu"), F.count_if(~F.col("urgent")).alias("_nn"), F.max(F.when(F.col("urgent"), key)).alias("_wu"), F.max(F.when(~F.col("urgent"), key)).alias("_wn"))
+    depots = room.join(kept, ["tenant", "depot"], "left").withColumns({"_nu": F.coalesce("_nu", F.lit(0)), "_nn": F.coalesce("_nn", F.lit(0))})
+    refused = placed.where("not _kept").drop("_depot", "_place", "up_to", "_kept")
+    ahead = refused.select("tenant", "vehicle", "urgent", key.alias("_key"), "_k", F.posexplode("_asks").alias("_at", "depot")).where("_at > _k").join(depots, ["tenant", "depot"])
+    taken = F.when(F.col("urgent"), (F.col("_nu") < F.col("first")) | (F.col("_key") < F.col("_wu"))).otherwise((F.col("_nn") < F.col("every") - F.least("_nu", "first")) | (F.col("_key") < F.col("_wn")))
+    following = ahead.where(taken).groupBy("tenant", "vehicle").agg(F.min("_at").alias("_next"))
+    return refused.join(following, ["tenant", "vehicle"], "left").withColumn("_k", F.coalesce("_next", F.size("_asks"))).drop("_next")
+
+
 def deferred_acceptance(vehicles: DataFrame, room: DataFrame, near: DataFrame) -> DataFrame:
     """The vehicles (tenant, vehicle, home, urgent, value, ...) with `depot` and `day`, null where all depots within reach refuse.
 
     In rounds: each vehicle asks the nearest depot that hasn't refused it, and each depot keeps those it serves first of all that ask:
     urgent ones as far as day 1 goes, others as far as all days go beside them. Once refused is refused for good, as a depot only
     ever trades what it keeps for what it would serve before. All depots serve in the same order, so there is one stable outcome:
-    that of going through the vehicles one by one in that order. Depots without a bay that the vehicle could take are never asked.
-    A round is one window over the vehicles that a depot has before it; those that none will have leave the rounds."""
+    that of going through the vehicles one by one in that order. For the same reason a refused vehicle passes over the depots that
+    would refuse it as they stand, and those without a bay that it could take are never asked. A round is one window over the vehicles
+    that a depot has before it; those that none will have leave the rounds."""
     options = near.select(F.col("depot").alias("home"), F.col("near").alias("depot"), "rank").join(room, "depot")
     listed = lambda able: F.transform(F.array_sort(F.collect_list(F.when(able, F.struct("rank", "depot")))), lambda x: x["depot"])
     lists = options.groupBy("tenant", "home").agg(listed(F.col("first") > 0).alias("_at_once"), listed(F.col("every") > 0).alias("_any"))
@@ -73,12 +87,13 @@ def deferred_acceptance(vehicles: DataFrame, room: DataFrame, near: DataFrame) -
         placed = placed.withColumn("_kept", kept)
         out = rows.where(F.col("_k") >= F.size("_asks")).select(*vehicles.columns)
         refused_by_all = out if refused_by_all is None else refused_by_all.union(out)
-        rows = checkpointed(placed.select(*vehicles.columns, "_asks", F.when(F.col("_kept"), F.col("_k")).otherwise(F.col("_k") + 1).alias("_k"), "_depot", "_place", "up_to", "_kept"))
-        if not rows.where("not _kept").take(1):
+        placed = checkpointed(placed.select(*vehicles.columns, "_asks", "_k", "_depot", "_place", "up_to", "_kept"))
+        if not placed.where("not _kept").take(1):
             break
-        rows = rows.drop("_depot", "_place", "up_to", "_kept")
+        stays = placed.where("_kept").select(*vehicles.columns, "_asks", "_k")
+        rows = stays.unionByName(_next_ask(placed, room).select(*vehicles.columns, "_asks", "_k"))
     day = (1 + F.size(F.filter("up_to", lambda n: n < F.col("_place")))).cast("int")
-    taken = rows.select(*vehicles.columns, F.col("_depot").alias("depot"), day.alias("day"))
+    taken = placed.select(*vehicles.columns, F.col("_depot").alias("depot"), day.alias("day"))
     return taken.unionByName(refused_by_all.withColumns({"depot": F.lit(None).cast("long"), "day": F.lit(None).cast("int")}))
 
 
