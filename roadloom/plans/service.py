@@ -9,6 +9,7 @@ from roadloom.functions.numbers import half_up
 from roadloom.operators import boosting, drift, learning, planning, scoring, states
 from roadloom.plans.fleet import RISK, _fleet, _risk
 from roadloom.plans.telemetry import T
+from roadloom.sources import skipping
 from roadloom.sources.tables import checkpointed, days_between, parameterised, shared_folder, stable_id, table, telemetry, truncated, write_by_day
 
 QUERIES: dict = {}
@@ -214,6 +215,16 @@ def unit_hints(spark: SparkSession, sf: str) -> DataFrame:
     return means.join(F.broadcast(fleet)).select("evt", half_up(F.col("c") / F.col("b"), 2).alias("ratio"), hint.alias("hint"))
 
 
+@query(f"SELECT vin, seq, ts, reading FROM {T} WHERE vin IN (7, 57, 107) AND ts::DATE >= DATE '2024-01-10' AND ts::DATE < DATE '2024-01-13'")
+def vehicles_in_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of three vehicles in three days of a table by day, from the files that can have any: a table of files is asked first."""
+    t = telemetry(spark, sf).withColumn("day", F.to_date("ts"))
+    home = shared_folder(spark, "skipping")
+    t.select("vin", "seq", "ts", "reading", "day").repartition("day", F.pmod("vin", F.lit(4))).write.partitionBy("day").parquet(f"{home}/rows")
+    index = skipping.refreshed(spark, f"{home}/rows", f"{home}/index", "day", "vin")
+    return skipping.read_with(spark, f"{home}/rows", index, "day", "vin", "2024-01-10", "2024-01-13", [7, 57, 107]).select("vin", "seq", "ts", "reading")
+
+
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("depot"), (F.col("s_suppkey") % 10 * 2.0).alias("lat"), (F.col("s_suppkey") % 7 * 2.5).alias("lon"))
     risk = _risk(spark, sf).join(_fleet(spark, sf), F.col("vehicle_id") == F.col("c_custkey")).withColumn("value", planning.expected_value(F.col("p"), F.col("saving") / 100, 150.0))
