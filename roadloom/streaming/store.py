@@ -56,9 +56,9 @@ class LatestStore:
         finally:
             new.unpersist()
 
-    def read(self, spark: SparkSession) -> DataFrame | None:
-        """The table by the last manifest; None where nothing was written."""
-        return self._rows(spark, self._manifest(spark))
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The table by the last manifest (before a batch, if one is named); None where nothing was written."""
+        return self._rows(spark, self._manifest(spark, before))
 
     def vacuum(self, spark: SparkSession) -> list[int]:
         """Removes the folders of batches that the last manifest doesn't name, and the manifests before it; returns the batches whose
