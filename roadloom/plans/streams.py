@@ -58,7 +58,8 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT vin, ts::DATE AS day, count(*) AS n FROM {T} GROUP BY 1, 2")
 def stream_windows_by_event_time(spark: SparkSession, sf: str) -> DataFrame:
-    """Days by the events' own time with a watermark. A last, far later event lets the stream give out the days before it."""
+    """Days by the events' own time with a watermark. Counts come out as they grow, and the delay is longer than the data, so no event is
+    too late; of each day the last count is read."""
     out, marks = folder(spark, "windows"), folder(spark, "windows-marks")
     days = sinks.keyed_by_time(event_stream(spark, sf), "ts", "40 days").groupBy("vin", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
     stream = days.select("vin", F.to_date("w.start").alias("day"), "n")
