@@ -21,21 +21,26 @@ PROPOSAL_MOVES = {"EXECUTED": ("PROPOSED",), "REJECTED": ("PROPOSED",), "FAILED"
 
 def judged(rows: DataFrame, requests: DataFrame, moves: dict[str, tuple[str, ...]], key: str = "id", state: str = "status") -> DataFrame:
     """The requests (request, key, to, at, by) with `outcome`: done, not_found or conflict, and `found`, the state that the request met.
-    Of several requests for one row each meets what those before it have left: a fold over the row's own requests."""
-    states = F.create_map(*[F.lit(x) for to, froms in moves.items() for x in (to, F.array(*map(F.lit, froms)))])
-    one = F.struct("at", "request", "to", "by")
-    line = requests.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_line"))  # requests for one row
-    met = line.join(rows.select(key, F.col(state).alias("_state")), key, "left")
-    empty = F.array().cast("array<struct<request:bigint,to:string,at:timestamp,by:string,found:string,outcome:string>>")
-    start = F.struct(F.col("_state").alias("now"), empty.alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        ok = F.coalesce(F.array_contains(F.try_element_at(states, r["to"]), s["now"]), F.lit(False))
-        outcome = F.when(s["now"].isNull(), "not_found").when(ok, "done").otherwise("conflict")
-        said = F.struct(r["request"].cast("bigint").alias("request"), r["to"].alias("to"), r["at"].cast("timestamp").alias("at"), r["by"].cast("string").alias("by"), s["now"].alias("found"), outcome.alias("outcome"))
-        return F.struct(F.when(ok, r["to"]).otherwise(s["now"]).alias("now"), F.concat(s["out"], F.array(said)).alias("out"))
-
-    return met.select(key, F.explode(F.aggregate("_line", start, step, lambda s: s["out"])).alias("_r")).select("_r.request", key, "_r.to", "_r.at", "_r.by", "_r.found", "_r.outcome")
+    Of several requests for one row each meets what those before it have left: a task reads a row's requests in order and holds no
+    more than the row's state, however many there are."""
+    met = requests.select(F.col("request").cast("bigint").alias("request"), key, F.col("to").cast("string").alias("to"), F.col("at").cast("timestamp").alias("at"), F.col("by").cast("string").alias("by"))
+    met = met.join(rows.select(key, F.col(state).alias("_state")), key, "left").select("request", key, "to", "at", "by", "_state")
+    ordered = met.repartition(key).sortWithinPartitions(key, "at", "request", "to", "by")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, now = object(), None
+        for batch in batches:
+            found, outcome = [], []
+            for k, to, begun in zip(*[batch.column(i).to_pylist() for i in (1, 2, 5)], strict=True):
+                if k != row:
+                    row, now = k, begun
+                found.append(now)
+                outcome.append("not_found" if now is None else "done" if now in moves.get(to, ()) else "conflict")
+                if outcome[-1] == "done":
+                    now = to
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.string()), pa.array(outcome, pa.string())], ["request", key, "to", "at", "by", "found", "outcome"])
+
+    return ordered.mapInArrow(work, f"request long, {key} {met.schema[key].dataType.simpleString()}, to string, at timestamp, by string, found string, outcome string")
 
 
 def moved(rows: DataFrame, verdicts: DataFrame, key: str = "id", state: str = "status") -> DataFrame:

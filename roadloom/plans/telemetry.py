@@ -87,8 +87,8 @@ def telemetry_range_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT vin, max(seq) FILTER (true) AS n_seq, arg_max(seq, (ts, seq)) AS seq, max(ts) AS ts, arg_max(reading, (ts, seq)) AS reading FROM {T} GROUP BY 1")
 def latest_per_vehicle(spark: SparkSession, sf: str) -> DataFrame:
-    t = telemetry(spark, sf).select("vin", "ts", "seq", "reading")
-    return latest(t, ["vin"], ["ts", "seq"]).join(t.groupBy("vin").agg(F.max("seq").alias("n_seq")), "vin").select("vin", "n_seq", "seq", "ts", "reading")
+    t = telemetry(spark, sf).groupBy("vin").agg(F.max("seq").alias("n_seq"), F.max(F.struct("ts", "seq", "reading")).alias("last"))
+    return t.select("vin", "n_seq", "last.seq", "last.ts", "last.reading")
 
 
 @query(f"""SELECT c.c_custkey AS vin, c.c_mktsegment AS segment, l.ts, l.reading FROM customer c LEFT JOIN LATERAL (SELECT ts, reading FROM {T} WHERE t.vin = c.c_custkey ORDER BY ts DESC, seq DESC LIMIT 1) l ON true""")
