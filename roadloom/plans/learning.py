@@ -241,3 +241,24 @@ def risk_scores_trained(spark: SparkSession, sf: str) -> DataFrame:
     labelled = learning.first_in_horizon(f, events, "vin", "as_of", "ts").withColumn("split", learning.split_of(F.col("vin"), F.col("as_of") < F.lit("2024-01-16").cast("date")))
     models = learning.train_risk(labelled.where("split is not null").select("vin", "as_of", *columns, "label", "split"), columns, "label", iterations=5)
     return learning.score_risk(f.where("as_of = date'2024-01-30'"), models).select("vin", "as_of", "p")
+
+
+_GROUP = "list_sum(list_transform(range(1, 65), lambda i: (instr('0123456789abcdef', substr(h, i::BIGINT, 1)) - 1) * CASE WHEN i = 64 THEN 1 ELSE 6 END)) % 10"
+
+
+@query(f"""SELECT id, g, CASE WHEN g < 7 AND early THEN 'train' WHEN g = 7 AND early THEN 'valid' WHEN g >= 8 AND NOT early THEN 'test' END AS part FROM (SELECT id, early, {_GROUP} AS g FROM (SELECT c_custkey AS id, sha256(c_custkey::VARCHAR) AS h, c_custkey % 2 = 0 AS early FROM customer))""")
+def split_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The split of a key: by its group of ten from the SHA-256, and by time. Powers of 16 end in 6, so the last digit of the hash as a
+    number is that of six times its other digits and the last one."""
+    from roadloom.functions.hashing import sha_group
+
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return c.select("id", sha_group(F.col("id")).cast("bigint").alias("g"), learning.split_of(F.col("id"), F.col("id") % 2 == 0).alias("part"))
+
+
+@query(f"SELECT evt, count(*) FILTER (level > 10) AS moving, floor(avg(reading) FILTER (level > 10) * 100 + 0.5) / 100 AS mean_moving FROM {T} GROUP BY 1")
+def moving_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings while the vehicle moves: only those are compared between makers. NaN is no speed."""
+    speed = F.when(F.col("seq") % 1_000_000_007 == -1, float("nan")).otherwise(F.greatest(F.col("level") - 10, F.lit(0)).cast("double"))
+    value = drift.moving_only(F.col("reading"), speed)
+    return telemetry(spark, sf).groupBy("evt").agg(F.count_if(speed > 0).alias("moving"), half_up(F.avg(value), 2).alias("mean_moving"))

@@ -189,3 +189,33 @@ def scalar_string_date_math(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("c_mktsegment")
     label = F.when(s.startswith("B"), F.concat(F.lit("Fault code "), s, F.lit(" reported"))).otherwise(F.lower(s))
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.upper(F.trim(s)).alias("segment"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("name"), label.alias("label"), F.abs(F.floor("c_acctbal")).cast("bigint").alias("balance"), F.coalesce(F.nullif(F.col("c_nationkey"), F.lit(3)), F.lit(-1)).alias("nation"), F.date_add(F.lit("2024-03-01").cast("date"), (F.col("c_custkey") % 28 + 1).cast("int")).alias("next_day"))
+
+
+_WORDS = ["true", " TRUE ", "on", "Drive", "0", "2.5", "no", "off"]
+
+
+@query("""SELECT event_id AS seq, ['true', ' TRUE ', 'on', 'Drive', '0', '2.5', 'no', 'off'][event_id % 8 + 1] AS text, event_id % 8 IN (0, 1, 2, 3, 5) AS told FROM events""")
+def truth_words(spark: SparkSession, sf: str) -> DataFrame:
+    """What counts as true in a payload."""
+    text = F.get(F.array(*[F.lit(w) for w in _WORDS]), (F.col("seq") % 8).cast("int"))
+    return telemetry(spark, sf).select("seq", text.alias("text"), TRANSFORMS["bool"](text).alias("told"))
+
+
+@query("""SELECT event_id AS seq, CASE WHEN event_id % 4 < 2 THEN epoch(date_trunc('second', ts))::BIGINT - CASE WHEN event_id % 4 = 1 THEN 7200 ELSE 0 END END AS iso, epoch(date_trunc('second', ts))::BIGINT AS written, epoch(date_trunc('second', ts))::BIGINT AS epoch_s FROM events""")
+def times_in_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Points in time as ISO 8601 with a zone (without one, or as a word, there is none), in a format of a mapping, and as seconds."""
+    t = telemetry(spark, sf)
+    base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    iso = F.when(F.col("seq") % 4 == 0, F.concat(base, F.lit("Z"))).when(F.col("seq") % 4 == 1, F.concat(base, F.lit("+02:00"))).when(F.col("seq") % 4 == 2, base).otherwise(F.lit("yesterday"))
+    seconds = F.unix_seconds(F.date_trunc("second", "ts").cast("timestamp"))
+    of = lambda c: F.unix_seconds(c.cast("timestamp"))
+    return t.select("seq", of(TRANSFORMS["iso8601"](iso)).alias("iso"), of(TRANSFORMS["datetime"](F.date_format("ts", "dd.MM.yyyy HH-mm-ss"), "dd.MM.yyyy HH-mm-ss")).alias("written"), of(TRANSFORMS["epoch_s"](seconds.cast("string"))).alias("epoch_s"))
+
+
+@query(f"""SELECT id, made, substr(made, 1, 3) AS maker, true AS fits FROM (SELECT id, substr(v, 1, 8) || {_CHECK} || substr(v, 10) AS made FROM (SELECT c_custkey AS id, ['1HG', 'WVW', 'JTD'][c_custkey % 3 + 1] || 'CM826' || '0' || lpad((c_custkey % 100000)::VARCHAR, 8, '0') AS v FROM customer))""")
+def vin_made(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers made from maker, descriptor and serial, with the check character that they ask for; and their makers."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    maker = F.get(F.array(F.lit("1HG"), F.lit("WVW"), F.lit("JTD")), (F.col("id") % 3).cast("int"))
+    made = c.select("id", vehicles.vin_from_parts(maker, F.lit("CM826"), F.lpad((F.col("id") % 100000).cast("string"), 8, "0")).alias("made"))
+    return made.select("id", "made", vehicles.vin_maker(F.col("made")).alias("maker"), vehicles.vin_reason(F.col("made")).isNull().alias("fits"))
