@@ -102,8 +102,8 @@ def audit_chain(log: DataFrame, key: str = "id", group: str | None = None, body:
     if after is not None:
         ends = after.groupBy(by.alias("_g")).agg(F.max(F.col(key).cast("bigint")).alias("_k"), F.max_by("row_hash", key).alias("_last"))
         rows = rows.unionByName(ends.select("_g", "_k", F.lit(None).cast("string").alias("_text"), "_last"))
-    # a group's end comes before a row with the same key
-    ordered = rows.repartition("_g").sortWithinPartitions("_g", "_k", F.col("_text").isNotNull())
+    # a group's end comes before its new rows
+    ordered = rows.repartition("_g").sortWithinPartitions("_g", F.col("_text").isNotNull(), "_k")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last, end = object(), "", None
