@@ -230,7 +230,7 @@ def _plan(spark: SparkSession, sf: str) -> DataFrame:
     risk = _risk(spark, sf).join(_fleet(spark, sf), F.col("vehicle_id") == F.col("c_custkey")).withColumn("value", planning.expected_value(F.col("p"), F.col("saving") / 100, 150.0))
     depots = F.broadcast(s.agg(F.count("*").alias("n")))  # one row
     candidates = risk.join(depots).select(F.col("r_name").alias("tenant"), F.col("vehicle_id").alias("vehicle"), (F.col("c_custkey") % F.col("n")).alias("home"), "p", "value")
-    bays = s.join(F.broadcast(table(spark, sf, "region").select(F.col("r_name").alias("tenant"))), F.lit(True)).select("tenant", "depot", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("day"), (1 + F.col("depot") % 3 % 2).cast("int").alias("free"))  # one row a tenant
+    bays = s.join(F.broadcast(table(spark, sf, "region").select(F.col("r_name").alias("tenant"))), F.lit(True)).select("tenant", "depot", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("day"), F.lit(3).alias("free"))  # one row a tenant
     return planning.service_plan(candidates, bays, checkpointed(planning.nearby(s)))
 
 
@@ -240,7 +240,7 @@ _PLAN_SQL = f"""WITH RECURSIVE s AS (SELECT s_suppkey AS depot, s_suppkey % 10 *
   near AS (SELECT depot, list(i ORDER BY depot <> near, round(km, 6), near) AS options FROM km WHERE km <= 350 GROUP BY depot),
   c AS (SELECT r_name AS tenant, vehicle_id AS vehicle, c_custkey % (SELECT count(*) FROM supplier) AS home, p, p * (saving / 100) - 150.0::DOUBLE AS value, p >= 0.8 AS urgent FROM {RISK} r JOIN customer ON c_custkey = vehicle_id JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE rn = 1),
   w AS (SELECT c.*, row_number() OVER (PARTITION BY tenant ORDER BY urgent DESC, value DESC, vehicle) AS k, CASE WHEN urgent THEN list_transform(options, lambda d: d * 5 - 4) ELSE flatten(list_transform(options, lambda d: [d * 5 - 4, d * 5 - 3, d * 5 - 2, d * 5 - 1, d * 5])) END AS slots FROM c JOIN near ON depot = home WHERE value > 0),
-  r AS (SELECT r_name AS tenant, 0::BIGINT AS k, (SELECT flatten(list([1 + depot % 3 % 2 FOR d IN range(5)] ORDER BY i)) FROM s) AS free, 0::BIGINT AS slot FROM region
+  r AS (SELECT r_name AS tenant, 0::BIGINT AS k, (SELECT flatten(list([3 FOR d IN range(5)] ORDER BY i)) FROM s) AS free, 0::BIGINT AS slot FROM region
     UNION ALL SELECT tenant, k, list_transform(free, lambda n, j: n - (j = slot)::BIGINT), slot FROM (SELECT r.tenant, w.k, r.free, coalesce(list_filter(w.slots, lambda x: r.free[x] > 0)[1], 0) AS slot FROM r JOIN w ON w.tenant = r.tenant AND w.k = r.k + 1)),
   plan AS (SELECT c.tenant, c.vehicle, c.home, c.p, floor(c.value * 100 + 0.5) / 100 AS value, CASE WHEN w.k IS NOT NULL THEN c.urgent END AS urgent, s.depot, CASE WHEN slot > 0 THEN ((slot - 1) % 5 + 1)::INT END AS day, CASE WHEN w.k IS NULL THEN 'not_worth' WHEN slot > 0 THEN 'planned' WHEN c.urgent THEN 'too_risky_to_wait' ELSE 'waiting' END AS outcome
     FROM c LEFT JOIN w ON w.tenant = c.tenant AND w.vehicle = c.vehicle LEFT JOIN r ON r.tenant = w.tenant AND r.k = w.k LEFT JOIN s ON slot > 0 AND s.i = (slot - 1) // 5 + 1)"""
