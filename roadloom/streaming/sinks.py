@@ -35,8 +35,9 @@ def several(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return write
 
 
-def ignore_known(path: str, key: str, day: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """Rows whose key no earlier batch has written. day: an expression that is the same for all rows of a key; rows are then kept in
+def ignore_known(path: str, key: str, day: Column | None = None, then: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """Rows whose key no earlier batch has written. then: a sink that gets what was inserted, as it is stored, and nothing else; a batch
+    that runs again inserts the same rows, so it gets them again. day: an expression that is the same for all rows of a key; rows are then kept in
     a folder for each day, and a batch looks only at the days of its own rows, however long the history is."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -48,10 +49,20 @@ def ignore_known(path: str, key: str, day: Column | None = None) -> Callable[[Da
             known = known.where(F.col("_day").isin([r[0] for r in rows.select("_day").distinct().collect()]))  # the days of one batch
         out = once(rows, known, key).write
         (out if day is None else out.partitionBy("_day")).mode("overwrite").parquet(f"{path}/batch_id={number}")
+        if then is not None:
+            then(spark.read.schema(rows.schema).parquet(f"{path}/batch_id={number}").drop("_day"), number)
 
     return write
 
 
+def stored_after(rows: DataFrame, at: str, stored: Column | None = None) -> DataFrame:
+    """(n, p50_ms, p95_ms, late): how long after the event's own time (`at`, milliseconds) the rows were stored, now if no time is given;
+    what is stored before its own time, by a clock that is ahead, counts as 0. late: rows over a minute."""
+    now = F.unix_millis(F.current_timestamp()) if stored is None else stored
+    wait = F.when(F.col(at).isNotNull(), F.greatest(now - F.col(at), F.lit(0)))
+    return rows.agg(F.count(at).alias("n"), F.percentile(wait, 0.5).alias("p50_ms"), F.percentile(wait, 0.95).alias("p95_ms"), F.count_if(wait > 60_000).alias("late"))
+
+
 def keyed_by_time(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Events with their own time as the record's time: state about what is older than the latest by the delay may be given up."""
     return events.withWatermark(ts, delay)
