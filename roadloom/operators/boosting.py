@@ -179,7 +179,7 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, categories: np.ndarr
                 if min(side[2], other[2]) < max(least_rows, 1):
                     continue
                 gain = score(side[0], side[1]) + score(other[0], other[1]) - score(total[0], total[1])
-                if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                if gain > 1e-9 and (best is None or gain > best[0] * (1 + 1e-9)):  # sums come in any order
                     goes = np.zeros(g.shape[1], bool)
                     goes[order[: k + 1]] = True
                     goes[-1] = side[2] > other[2] if to_left is None else to_left
