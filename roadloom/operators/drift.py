@@ -37,16 +37,21 @@ def classify(drift: DataFrame, peers_of: list[str], who: str, watch: float = 0.1
     return joined.withColumn("status", F.when(over(drifted), "DRIFT").when(over(watch), "WATCH").otherwise("OK"))
 
 
+#: Bands of the ratio of means that look like another unit.
+MILES, TWICE, THOUSANDTHS = (0.55, 0.70), (1.45, 1.80), (900, 1100)
+
+
 def unit_hint(field: Column, baseline: Column, current: Column, fleet_ratio: Column | float = 1.0) -> Column:
     """What a mean's change looks like, once the change of all makers (`fleet_ratio`) is divided out: miles for kilometres or twice
     converted speeds, degrees Fahrenheit, thousandths; null where it looks like none."""
     ratio = current / F.when(F.abs(baseline) >= 1e-6, baseline) / fleet_ratio
     speed, coolant = field == "speed_kmh", field == "coolant_c"
+    within = lambda band: (ratio > band[0]) & (ratio < band[1])
     return (
-        F.when(speed & (ratio > 0.55) & (ratio < 0.70), "miles for kilometres")
-        .when(speed & (ratio > 1.45) & (ratio < 1.80), "converted twice")
+        F.when(speed & within(MILES), "miles for kilometres")
+        .when(speed & within(TWICE), "converted twice")
         .when(coolant & (F.abs(current - (baseline * 9 / 5 + 32)) < 0.1 * current), "Fahrenheit for Celsius")
-        .when((ratio > 900) & (ratio < 1100), "thousandths")
+        .when(within(THOUSANDTHS), "thousandths")
     )
 
 

@@ -22,6 +22,7 @@ FIELDS = {
     "rpm": "number", "fuel_pct": "number", "soc_pct": "number", "soh_pct": "number", "coolant_c": "number", "batt_v": "number", "dtc": "list", "evt": "text",
 }
 REQUIRED = ("vin", "seq", "ts", "lat", "lon")
+#: The kinds of events.
 EVENTS = ("PERIODIC", "IGNITION_ON", "IGNITION_OFF", "HARSH_BRAKE", "HARSH_ACCEL", "CHARGING_START", "CHARGING_STOP")
 _MAKER = re.compile(r"^[A-Z][A-Z0-9_]{1,29}$")
 
