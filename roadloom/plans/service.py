@@ -231,7 +231,7 @@ def _plan(spark: SparkSession, sf: str) -> DataFrame:
     depots = F.broadcast(s.agg(F.count("*").alias("n")))  # one row
     candidates = risk.join(depots).select(F.col("r_name").alias("tenant"), F.col("vehicle_id").alias("vehicle"), (F.col("c_custkey") % F.col("n")).alias("home"), "p", "value")
     bays = s.join(F.broadcast(table(spark, sf, "region").select(F.col("r_name").alias("tenant"))), F.lit(True)).select("tenant", "depot", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("day"), F.lit(3).alias("free"))  # one row a tenant
-    return planning.service_plan(candidates, bays, checkpointed(planning.nearby(s)))
+    return planning.service_plan(candidates, bays, planning.reach(s))
 
 
 #: The plan vehicle by vehicle: each row of the recursion has a tenant's free bays as a list, a depot's five days next to each other.

@@ -71,6 +71,23 @@ def test_service_plan(spark, seed):
     assert all((x.km is None) == (x.moved_from is None) for x in plan.collect())
 
 
+def test_service_plan_of_crowded_places(spark, monkeypatch):
+    """Depots of one place share a list: the same plan as one by one, without pairs of depots, and refused vehicles, however many a
+    home has, are dealt along the list at once instead of three a round."""
+    written, real = [], planning.checkpointed
+    monkeypatch.setattr(planning, "checkpointed", lambda df: written.append(df.columns) or real(df))
+    r = random.Random(7)
+    depots = spark.createDataFrame([(d, d % 2 * 2.0, 0.0) for d in range(80)] + [(80, 70.0, 179.5), (81, 70.0, -179.5)], "depot long, lat double, lon double")
+    near = [tuple(x) for x in planning.nearby(depots).select("depot", "near", "km", "rank").collect()]
+    assert len(near) == 80 * 80 + 4 and len({(d, n) for d, n, _, _ in near}) == len(near)
+    candidates = [(f"t{v % 2}", v, home, 0.9 if home % 3 else 0.2, float(home % 23)) for v, home in enumerate([h for h in (1, 2, 4, 5, 9, 11, 14, 30, 41) for _ in range(40)] + [80, 81, r.randrange(80)] * 9)]
+    bays = [(f"t{t}", d, day, d % 3) for t in range(2) for d in range(82) for day in range(1, 4)]
+    written.clear()
+    plan = planning.service_plan(spark.createDataFrame(candidates, "tenant string, vehicle long, home long, p double, value double"), spark.createDataFrame(bays, "tenant string, depot long, day int, free int"), planning.reach(depots), days=3, urgent=0.8)
+    got = {x.vehicle: (x.outcome, x.depot, x.day, x.moved_from) for x in plan.collect()}
+    assert got == plain_plan(candidates, bays, near, 3, 0.8) and sum("_kept" in c for c in written) <= 8
+
+
 def test_plan_without_candidates_or_bays(spark):
     none = spark.createDataFrame([], "tenant string, vehicle long, home long, p double, value double")
     bays = spark.createDataFrame([], "tenant string, depot long, day int, free int")
