@@ -88,6 +88,13 @@ def test_service_plan_of_crowded_places(spark, monkeypatch):
     assert got == plain_plan(candidates, bays, near, 3, 0.8) and sum("_kept" in c for c in written) <= 8
 
 
+def test_pairs_of_depots_are_dealt_evenly(spark):
+    """Many depots of one place: their pairs come from several tasks, each with a part of them."""
+    pairs = planning.nearby(spark.range(1600).select(F.col("id").alias("depot"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))).select("depot", "near", "km")
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1600 * 1600 and max(sizes) <= sum(sizes) / 2
+
+
 def test_plan_without_candidates_or_bays(spark):
     none = spark.createDataFrame([], "tenant string, vehicle long, home long, p double, value double")
     bays = spark.createDataFrame([], "tenant string, depot long, day int, free int")
