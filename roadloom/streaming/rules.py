@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,9 +176,15 @@ def step(s: State, e: dict, lim: Limits = Limits()) -> list[dict]:
 ALERTS = "dedup_key string, vin string, rule string, severity string, opened_at long, at long, details string"
 
 
+def _records(names: list[str], columns: list[list]) -> Iterator[dict]:
+    """Rows of columns of plain values; NaN says nothing."""
+    for row in zip(*[[None if v != v else v for v in c] for c in columns], strict=True):
+        yield dict(zip(names, row, strict=True))
+
+
 def _events(frame: pd.DataFrame) -> Iterator[dict]:
-    for row in frame.to_dict("records"):
-        yield {c: None if isinstance(v, float) and v != v else list(v) if hasattr(v, "tolist") and getattr(v, "ndim", 0) else v for c, v in row.items()}
+    listed = lambda c: [list(v) if hasattr(v, "tolist") else v for v in c]
+    return _records(list(frame.columns), [listed(frame[c].tolist()) for c in frame.columns])
 
 
 def settled(s: State, after: int | None, lim: Limits) -> State:
@@ -223,26 +230,41 @@ def batch_alerts(events: DataFrame, arrival: list[str], limits: Limits = Limits(
     it can still matter to later events (`settled`), is then held against what the next piece began with: pieces that began otherwise
     run again, with the right state, until none is left. After a pause as long as the longest quiet time nothing is left behind, so most
     pieces run once. A piece is right one round after the one before it, so there are no more rounds than pieces of a vehicle."""
-    ready = checkpointed(_pieces(_ready(events), arrival, piece_events))
+    ready = checkpointed(_pieces(_ready(events).where("vin is not null"), arrival, piece_events))
     later = Window.partitionBy("vin").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
     bounds = ready.groupBy("vin", "piece").agg(F.min("ts").alias("_least")).withColumn("after", F.min("_least").over(later)).drop("_least")  # a row for each piece
 
-    def run(frame: pd.DataFrame, begins: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in _RAN.split(", ")]
-        if not len(begins) or not len(frame):
-            return pd.DataFrame(columns=names)
-        vin, piece, after, begun = begins.iloc[0][["vin", "piece", "after", "state"]]
-        state, out = State.load(begun), []
-        for e in _events(frame.drop(columns="piece").sort_values(arrival)):
-            out += step(state, e, limits)
-        left = settled(state, None if after is None or after != after else int(after), limits).dump()
-        rows = [{"piece": int(piece), **x} for x in out] + [{"piece": int(piece), "state": left, "vin": vin}]
-        return pd.DataFrame([[x.get(n) for n in names] for x in rows], columns=names, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in _RAN.split(", "))])
+        state, first, out = State(), None, []
+
+        def left() -> list[dict]:
+            if first is None:
+                return []
+            return [{"piece": first["piece"], "state": settled(state, first["after"], limits).dump(), "vin": first["vin"]}]
+
+        for batch in batches:
+            for e in _records(batch.schema.names, [c.to_pylist() for c in batch.columns]):
+                if e["state"] is not None:  # a piece begins
+                    out += left()
+                    state, first = State.load(e["state"]), e
+                else:
+                    out += [{"piece": e["piece"], **x} for x in step(state, e, limits)]
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+        yield pa.RecordBatch.from_pylist(left(), schema)
+
+    def stepped(events: DataFrame, begins: DataFrame) -> DataFrame:
+        """The pieces' alerts and what they leave behind. What a piece begins with comes as a row before its events, so a task goes through
+        its rows once, with one state at a time, and a vehicle costs no more than its events."""
+        rows = events.unionByName(begins, allowMissingColumns=True).repartition("vin", "piece")
+        return rows.sortWithinPartitions("vin", "piece", F.col("state").isNull(), *[F.asc_nulls_last(c) for c in arrival]).mapInArrow(run, _RAN)
 
     begins = checkpointed(bounds.withColumn("state", F.lit(State().dump())))
     begun, done = begins, None
     while True:
-        ran = checkpointed(ready.join(begins.select("vin", "piece"), ["vin", "piece"], "left_semi").groupBy("vin", "piece").cogroup(begins.groupBy("vin", "piece")).applyInPandas(run, _RAN))
+        again = ready if done is None else ready.join(begins.select("vin", "piece"), ["vin", "piece"], "left_semi")
+        ran = checkpointed(stepped(again, begins))
         if done is not None:
             ran = checkpointed(done.join(begins.select("vin", "piece"), ["vin", "piece"], "left_anti").unionByName(ran))
         done = ran
@@ -261,10 +283,11 @@ def stream_alerts(events: DataFrame, arrival: list[str], limits: Limits = Limits
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state, out = State.load(held.get[0] if held.exists else None), []
-        for e in _events(pd.concat(list(frames)).sort_values(arrival)):
+        for e in sorted((e for f in frames for e in _events(f)), key=lambda e: [(e[c] is None, e[c]) for c in arrival]):
             out += step(state, e, limits)
         held.update((state.dump(),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
 
     return _ready(events).groupBy("vin").applyInPandasWithState(run, ALERTS, "state string", "append", GroupStateTimeout.NoTimeout)
 

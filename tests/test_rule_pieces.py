@@ -45,6 +45,16 @@ def test_pieces_give_the_alerts_of_the_whole(spark, seed, piece):
     assert len({x[2] for x in want}) >= 5
 
 
+def test_many_vehicles_cost_no_more_than_their_events(spark, monkeypatch):
+    """A task goes through its rows once: no call of a function for each vehicle, whose cost would outweigh its few events."""
+    rows = [(f"v{i % 300}", i, START + datetime.timedelta(seconds=20 * i), True, 60.0, 50.0, float("nan") if i % 2 else 5.0, 112.0, 12.6, [], "HARSH_BRAKE", 1.0, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    calls = []
+    monkeypatch.setattr(type(df.groupBy("vin").cogroup(df.groupBy("vin"))), "applyInPandas", lambda *a: calls.append(a))
+    got = rules.batch_alerts(df, ["n"])
+    assert sorted((r.dedup_key, r.at) for r in got.collect()) == sorted((x[0], x[5]) for x in fold([tuple(None if v != v else v for v in row) for row in rows])) and not calls
+
+
 def test_no_piece_is_larger_than_stated(spark):
     rows = history(4, 600)
     ready = rules._pieces(rules._ready(spark.createDataFrame(rows, SCHEMA)), ["n"], 50)
