@@ -276,20 +276,28 @@ def batch_alerts(events: DataFrame, arrival: list[str], limits: Limits = Limits(
             return done.where("state is null").select(*[c.split()[0] for c in ALERTS.split(", ")])
 
 
-def stream_alerts(events: DataFrame, arrival: list[str], limits: Limits = Limits()) -> DataFrame:
-    """The same over a stream, with a state for each vehicle. Within a micro-batch a vehicle's events are put in order of arrival,
-    which an exchange does not keep."""
+#: Vehicles of a stream are dealt to so many buckets, each with one state.
+BUCKETS = 1024
+
+
+def stream_alerts(events: DataFrame, arrival: list[str], limits: Limits = Limits(), buckets: int = BUCKETS) -> DataFrame:
+    """The same over a stream. A bucket of vehicles has one state with a text for each vehicle, so that the calls of a micro-batch do not
+    grow with the vehicles; only the vehicles that have events are read and written anew. Within a micro-batch events are put in order
+    of arrival, which an exchange does not keep."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state, out = State.load(held.get[0] if held.exists else None), []
+        texts, states, out = dict(json.loads(held.get[0])) if held.exists else {}, {}, []
         for e in sorted((e for f in frames for e in _events(f)), key=lambda e: [(e[c] is None, e[c]) for c in arrival]):
-            out += step(state, e, limits)
-        held.update((state.dump(),))
+            if e["vin"] not in states:
+                states[e["vin"]] = State.load(texts.get(e["vin"]))
+            out += step(states[e["vin"]], e, limits)
+        held.update((json.dumps([*{**texts, **{v: s.dump() for v, s in states.items()}}.items()]),))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
 
-    return _ready(events).groupBy("vin").applyInPandasWithState(run, ALERTS, "state string", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.pmod(F.xxhash64("vin"), F.lit(buckets)).cast("int")
+    return _ready(events).withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(run, ALERTS, "states string", "append", GroupStateTimeout.NoTimeout)
 
 
 def _ready(events: DataFrame) -> DataFrame:

@@ -55,6 +55,18 @@ def test_many_vehicles_cost_no_more_than_their_events(spark, monkeypatch):
     assert sorted((r.dedup_key, r.at) for r in got.collect()) == sorted((x[0], x[5]) for x in fold([tuple(None if v != v else v for v in row) for row in rows])) and not calls
 
 
+def test_stream_in_buckets(spark, tmp_path):
+    """Vehicles that share a bucket keep their own states from one micro-batch to the next."""
+    rows = history(5, 600)
+    for part in (0, 1):
+        spark.createDataFrame(rows[300 * part : 300 * part + 300], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = []
+    rules_ = rules.stream_alerts(stream, ["n"], buckets=2)
+    rules_.writeStream.foreachBatch(lambda b, i: got.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.dedup_key, r.vin, r.rule, r.severity, r.opened_at, r.at, r.details) for r in got) == fold(rows)
+
+
 def test_no_piece_is_larger_than_stated(spark):
     rows = history(4, 600)
     ready = rules._pieces(rules._ready(spark.createDataFrame(rows, SCHEMA)), ["n"], 50)
