@@ -104,11 +104,12 @@ def score_risk(features: DataFrame, models, low: float = 0.001, high: float = 0.
 DAILY = ("samples", "km", "coolant_max", "coolant_avg", "batt_v_min", "batt_v_avg", "soh_min", "rpm_avg", "dtc_events", "harsh_events", "idle_samples")
 
 
-def feature_frame(daily: DataFrame, codes: list[str], serious: list[str], key: str = "vin", day: str = "day") -> DataFrame:
+def feature_frame(daily: DataFrame, codes: list[str], serious: list[str], key: str = "vin", day: str = "day", tasks: int | None = None) -> DataFrame:
     """(key, asof, features): for each vehicle and as-of day levels and sums of the last week, of its last 3 days and of the 4 before
     them, of the day itself, trends between them, and the days with each fault code. One aggregation serves all windows; a window
-    without a row gives null."""
-    rows = asof_windows(daily, day)
+    without a row gives null. tasks: so many, if given, have the vehicles; daily rows are dealt before they are spread to their as-of
+    days, so these are not moved, and with tasks in proportion to the rows the memory of one stays as it is."""
+    rows = asof_windows(daily if tasks is None else daily.repartition(tasks, key), day)
     recent, prior, last = F.col("age") <= 2, F.col("age") >= 3, F.col("age") == 0
     some = lambda f, c, inside=None: f(c if inside is None else F.when(inside, F.col(c)))
     out = {

@@ -194,10 +194,19 @@ def daily_signals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: A task of the feature frame has the vehicles of about so many events.
+TASK_EVENTS = 50_000
+
+
+def _frame(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = 1 + table(spark, sf, "events").count() // TASK_EVENTS  # from the files' footers
+    return learning.feature_frame(daily_signals(spark, sf), _CODES, _SERIOUS, tasks=tasks)
+
+
 @query(_FRAME_SQL)
 def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
     """All features of a vehicle and as-of day, those of the 15 codes too."""
-    f = learning.feature_frame(daily_signals(spark, sf), _CODES, _SERIOUS)
+    f = _frame(spark, sf)
     whole = {n for n, t in f.dtypes if t == "double"} - {"batt_min_7d", "batt_min_3d", "batt_v_min_1d"}
     return f.select(*[(half_up(F.col(c), 4).alias(c) if c in whole else F.col(c)) for c in f.columns])
 
@@ -261,7 +270,7 @@ def service_plan_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def _labelled_frame(spark: SparkSession, sf: str) -> DataFrame:
     """The feature frame with the vehicle's powertrain, the part of the first error within the week, if any, and the split."""
-    frame = learning.feature_frame(daily_signals(spark, sf), _CODES, _SERIOUS)
+    frame = _frame(spark, sf)
     errors = telemetry(spark, sf).where("evt = 'error'").select("vin", "ts", F.concat(F.lit("part"), (F.col("level") % 3).cast("string")).alias("component"))
     labelled = learning.first_in_horizon(frame, errors, "vin", "asof", "ts").drop("ts", "days_to")
     vehicles = table(spark, sf, "customer").select(F.col("c_custkey").alias("vin"), F.col("c_mktsegment").alias("powertrain"))

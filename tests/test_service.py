@@ -227,6 +227,14 @@ def test_latest_complete_day(spark, sf):
     assert scoring.latest_complete_day(daily, "1999-01-01") is None
 
 
+def test_feature_frame_in_tasks_by_the_events(spark, sf, monkeypatch):
+    """More events, more tasks: none gets more vehicles than its share, and the rows spread to as-of days are not moved."""
+    monkeypatch.setattr(service, "TASK_EVENTS", 100, raising=False)
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    frame = service.feature_frame(spark, sf)
+    assert frame.rdd.getNumPartitions() >= events // 100
+
+
 def test_ranks_by_ranges(spark):
     r = random.Random(5)
     rows = [(r.choice("abc"), float(r.randrange(40))) for _ in range(2000)] + [("a", None), ("d", 7.0), ("n", None)]
