@@ -1,6 +1,7 @@
 """Operators on their edge cases, and the queries against plain versions on a small table."""
 
 import collections
+import copy
 import hashlib
 import re
 
@@ -533,6 +534,26 @@ def test_changes_of_tasks_are_averaged(spark):
     assert (same.own == before.own).all()
 
 
+def test_all_windows_are_learned_from(spark):
+    """Every window of every training text moves the model: what one text alone holds is learned too, and the classes see all texts."""
+    rows = [(k, np.tile(np.arange(14) + 14 * (k % 2), 40).astype("<u2").tobytes()) for k in range(12)]
+    ids = spark.createDataFrame(rows, "key long, ids binary").repartition(3)
+    m = small_model(np.random.default_rng(0))[0]
+    before = copy.deepcopy(m)
+    attention_lm.go_on(m, ids, 30, task_windows=50)
+    seen = [np.frombuffer(x, "<u2").astype(np.int64) for _, x in rows[:2]]
+    assert (m.log10(seen, 30) > before.log10(seen, 30) + 10).all()
+    counts = attention_lm.ids_counted(ids, 30)
+    compact, weight, marks = attention_lm.numbered(counts)
+    plain = np.zeros(len(weight) * 256)
+    for _, x in rows:
+        line = compact[[30, *np.frombuffer(x, "<u2"), 30]]
+        for a, b in zip(line[:-1], line[1:], strict=True):
+            plain[b * 256 + marks[a]] += marks[a] >= 0
+            plain[a * 256 + marks[b] + 128] += marks[b] >= 0
+    assert (attention_lm.neighbours(ids, counts, 30) == plain).all()
+
+
 def test_attention_beats_the_base_held_out(spark):
     got = catalogue.QUERIES["op8_attention_lm"](spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert got.s > got.b and got.s / got.n > -4.05
