@@ -9,7 +9,7 @@ from roadloom.functions.numbers import half_up, interpolate, per_at_least
 from roadloom.operators import drift, learning
 from roadloom.operators.rollups import top_by_group
 from roadloom.plans.telemetry import T
-from roadloom.sources.tables import table, telemetry
+from roadloom.sources.tables import checkpointed, table, telemetry
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -239,7 +239,8 @@ def risk_scores_trained(spark: SparkSession, sf: str) -> DataFrame:
     events = telemetry(spark, sf).where("evt = 'error'").select("vin", "ts", "seq")
     f = features(spark, sf).select("vin", "as_of", *[F.col(c).cast("double").alias(c) for c in columns])
     labelled = learning.first_in_horizon(f, events, "vin", "as_of", "ts").withColumn("split", learning.split_of(F.col("vin"), F.col("as_of") < F.lit("2024-01-16").cast("date")))
-    models = learning.train_risk(labelled.where("split is not null").select("vin", "as_of", *columns, "label", "split"), columns, "label", iterations=5)
+    learned = checkpointed(labelled.where("split is not null").select("vin", "as_of", *columns, "label", "split"))  # each pass of the training reads it
+    models = learning.train_risk(learned, columns, "label", iterations=5)
     return learning.score_risk(f.where("as_of = date'2024-01-30'"), models).select("vin", "as_of", "p")
 
 

@@ -112,3 +112,26 @@ def test_models_of_nothing(spark, vehicles):
     odd = spark.createDataFrame([(1, None, "never seen", None), (2, float("inf"), None, -1e300)], "id long, volts double, maker string, heat double")
     model = boosting.fit(vehicles, COLUMNS, "y", ["maker"], iterations=9)  # margins are written anew after eight trees
     assert len(model.trees) == 9 and boosting.scored(odd, model).where("margin is null").count() == 0 and boosting.scored(odd.limit(0), model).count() == 0
+
+
+def test_training_rows_are_made_once(spark, sf, monkeypatch):
+    """The passes of the training read written rows, not the events with all that makes features and splits of them."""
+    from roadloom.operators import learning
+    from roadloom.plans import learning as plans
+
+    read = []
+    train = learning.train_risk
+    monkeypatch.setattr(learning, "train_risk", lambda features, *a, **k: read.extend(features.inputFiles()) or train(features, *a, **k))
+    assert plans.risk_scores_trained(spark, sf).count() and read and not any("events" in f for f in read)
+
+
+def test_group_of_a_key(spark):
+    """The hash as a number, for groups that divide a power of 16 and others, and null for null."""
+    import hashlib
+
+    from roadloom.functions.hashing import sha_group
+
+    rows = spark.range(50).select("id", *[sha_group(F.col("id"), g).alias(f"g{g}") for g in (7, 10, 16, 1000003)], sha_group(F.nullif(F.col("id"), F.col("id"))).alias("none"))
+    for r in rows.collect():
+        h = int(hashlib.sha256(str(r.id).encode()).hexdigest(), 16)
+        assert (r.g7, r.g10, r.g16, r.g1000003, r.none) == (h % 7, h % 10, h % 16, h % 1000003, None)
