@@ -1,7 +1,7 @@
 """Operator 5, n-gram Jaccard join by grouped prefixes.
 
 A document's set holds its distinct word n-grams, as 64-bit hashes. In one order of all n-grams (rare ones first, by counts over
-all documents in a table of fixed size, then by hash), two sets that are similar enough share an n-gram among their first few,
+all documents in a table of bounded size, then by hash), two sets that are similar enough share an n-gram among their first few,
 the prefix. Documents with the same set collapse into one class, and classes with identical prefixes and size into one group.
 Group pairs that share a prefix n-gram and whose sizes allow the similarity are candidates; they expand to their classes, and
 each pair of classes is verified on its whole sets.
@@ -35,8 +35,9 @@ N, PERCENT = 3, 90
 LONG_LIST = 48
 #: A hot key's rows are dealt to so many parts where they meet one row a key; longer lists than this have more rows than parts.
 PARTS = 48
-#: Counters of n-grams: the order's table has this size at any input.
-COUNTERS = 1 << 20
+#: Counters of n-grams: the order's table has one for so many bytes of text, within these bounds (a byte each is sent to all tasks).
+#: With too many n-grams to a counter frequent ones pass for rare, and their lists grow with the input.
+COUNTERS, MOST_COUNTERS, COUNTED_BYTES = 1 << 20, 1 << 26, 128
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,52 +62,80 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return t[fresh], h[fresh]
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)  # the high bits
+def counters_for(docs: DataFrame, text_column: str = "text") -> int:
+    """How many counters the texts need: a power of two, one for some 20 n-grams of all texts, between COUNTERS and MOST_COUNTERS."""
+    n = COUNTERS
+    length = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    while n * COUNTED_BYTES < length and n < MOST_COUNTERS:
+        n *= 2
+    return n
+
+
+def _counter(h: np.ndarray, size: int) -> np.ndarray:
+    return (h >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)  # the high bits
 
 
 def count_table(docs: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams of each counter occur in all documents' sets, as the logarithm's half steps: 8 bits a counter."""
-    block = 1 << 12
+    """How often n-grams of each counter occur in all documents' sets, as the logarithm's half steps: 8 bits a counter. A task counts
+    up to 65,535 a counter: what is more frequent comes last in any case."""
+    size = counters_for(docs)
+    block = min(size, 1 << 14)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(size, np.uint16)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch, 0):
                 _, h = shingle_sets(data, offsets, n)
-                total += np.bincount(_counter(h), minlength=COUNTERS)
-        yield _blocks(np.arange(COUNTERS // block), total, block)
-
-    # merged in two levels, so that no task meets the counts of all others
-    parts = docs.mapInArrow(work, "block int, counts binary").withColumn("part", F.spark_partition_id() % 256)
+                at, c = np.unique(_counter(h, size), return_counts=True)
+                total[at] = np.minimum(total[at] + c, 65535)
+        some = total.reshape(-1, block)
+        for k in range(0, len(some), 256):
+            used = k + np.flatnonzero(some[k : k + 256].any(axis=1))
+            yield _blocks(used, some[used])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows come by block, so that one block's sum is held at a time."""
+        at, total = -1, np.zeros(block, np.int64)
+        for batch in batches:
+            for b, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != at:
+                    if at >= 0:
+                        yield at, total
+                    at, total = b, np.zeros(block, np.int64)
+                total += _unpacked(c.as_buffer())
+        if at >= 0:
+            yield at, total
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[b] = sums.get(b, 0) + _unpacked(c)
-        yield _blocks(np.array(list(sums), np.int64), np.concatenate(list(sums.values())) if sums else np.zeros(0, np.int64), block)
+        for b, total in sums(batches):
+            yield _blocks(np.array([b]), total[None])
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, total in sums(batches):
+            yield _blocks(np.array([b]), np.minimum(np.rint(4 * np.log2(total + 1)), 255).astype(np.uint8)[None])
 
-    some = parts.repartition("block", "part").select("block", "counts").mapInArrow(merge, "block int, counts binary")
-    merged = some.repartition("block").mapInArrow(merge, "block int, counts binary").toArrow()  # COUNTERS numbers
-    table = np.zeros((COUNTERS // block, block), np.float64)
-    for b, c in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist(), strict=True):
-        table[b] = _unpacked(c)
-    table = table.reshape(-1)
-    return np.minimum(np.rint(4 * np.log2(table + 1)), 255).astype(np.uint8)
+    # merged in two levels, so that no task meets the counts of all others
+    parts = docs.mapInArrow(work, "block int, counts binary").withColumn("part", F.spark_partition_id() % 256)
+    some = parts.repartition("block", "part").sortWithinPartitions("block").select("block", "counts").mapInArrow(merge, "block int, counts binary")
+    merged = some.repartition("block").sortWithinPartitions("block").mapInArrow(steps, "block int, counts binary").toArrow()  # MOST_COUNTERS bytes at most
+    table = np.zeros((size // block, block), np.uint8)
+    for b, c in zip(merged.column(0).to_pylist(), merged.column(1), strict=True):
+        table[b] = _unpacked(c.as_buffer())
+    return table.reshape(-1)
 
 
-def _blocks(numbers: np.ndarray, counts: np.ndarray, block: int) -> pa.RecordBatch:
+def _blocks(numbers: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """Blocks of counts, each in the narrowest type that holds it, compressed: most counts of a task are small."""
     packed = []
-    for c in counts.reshape(-1, block):
+    for c in counts:
         kind = next(k for k in ("u1", "u2", "u4", "u8") if c.max() <= np.iinfo(k).max)
         packed.append(kind.encode() + zlib.compress(c.astype(kind).tobytes(), 1))
     return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(packed, pa.binary())], ["block", "counts"])
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed[2:]), packed[:2].decode()).astype(np.int64)
+def _unpacked(packed: pa.Buffer) -> np.ndarray:
+    packed = memoryview(packed)
+    return np.frombuffer(zlib.decompress(packed[2:]), bytes(packed[:2]).decode())
 
 
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
@@ -127,7 +156,7 @@ def classes(docs: DataFrame, table, n: int, percent: int) -> DataFrame:
                 cls = np.zeros(end - row, np.uint64)
                 np.add.at(cls, t, mix(h + np.uint64(77)))
                 cls = mix(cls + size.astype(np.uint64))
-                order = np.lexsort((h, counts[_counter(h)], t))
+                order = np.lexsort((h, counts[_counter(h, len(counts))], t))
                 t, h = t[order], h[order]
                 first = np.concatenate([[0], np.cumsum(size)])
                 rank = np.arange(len(h)) - first[:-1][t]
@@ -241,7 +270,7 @@ def differences(families: DataFrame, sets: DataFrame, table, percent: int) -> Da
                 diff = np.setxor1d(x, c, assume_unique=True)
                 within = np.isin(diff, c, assume_unique=True)
                 dsize.append(len(diff))
-                diff = diff[np.lexsort((diff, rare[_counter(diff)], within))]
+                diff = diff[np.lexsort((diff, rare[_counter(diff, len(rare))], within))]
                 # any set that is similar enough differs in no more than (100 - percent) / percent of the size
                 elems.append(diff[: len(x) * (100 - percent) // percent + 1].view(np.int64))
             size = batch.column(3).to_numpy()
@@ -315,7 +344,7 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     document, the one with the smallest id and then key (first_key)."""
     spark = docs.sparkSession
     d = need(docs, id_column, text_column).select(F.col(id_column).alias("doc"), row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
-    table = spark.sparkContext.broadcast(count_table(d.select("text"), n))  # COUNTERS bytes
+    table = spark.sparkContext.broadcast(count_table(d.select("text"), n))  # MOST_COUNTERS bytes at most
     found = cut(classes(d, table, n, percent))
     # a class is what has the same set, a group what has the same prefix and size; copies are met map-side
     reps = cut(found.groupBy("cls").agg(_first(), F.min("prefix_key").alias("grp")).select("cls", "first.doc", "first.key", "grp"))

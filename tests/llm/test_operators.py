@@ -322,6 +322,21 @@ def test_long_lists_are_met_by_their_differences(spark, monkeypatch, long_list,
     assert got == expected and len({c for _, c in expected.values()}) > 20
 
 
+def test_counters_grow_with_the_texts(spark, monkeypatch):
+    """An n-gram of all texts is told from those of one text, however many there are: its list is no prefix's."""
+    monkeypatch.setattr(prefix_groups, "COUNTERS", 8)
+    texts = ["all have this " + " ".join(f"d{i}w{k}" for k in range(30)) for i in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(400, None), (401, texts[7] + " end")], "doc_id long, text string")
+    table = prefix_groups.count_table(df.select("text"), 3)
+    data = np.frombuffer(texts[0].encode(), np.uint8)
+    _, own = prefix_groups.shingle_sets(data, np.array([0, len(data)]), 3)
+    _, common_one = prefix_groups.shingle_sets(data[:13], np.array([0, 13]), 3)
+    seen = table[prefix_groups._counter(own, len(table))]
+    assert len(own) == 31 and (seen >= table[prefix_groups._counter(common_one, len(table))]).sum() == 1
+    got = {r.doc_id: r.component_id for r in prefix_groups.similar_components(df).collect()}
+    assert got == {i: 7 if i == 401 else i for i in range(402)}
+
+
 # 6
 
 
