@@ -569,6 +569,53 @@ def test_all_windows_are_learned_from(spark):
     assert (attention_lm.neighbours(ids, counts, 30) == plain).all()
 
 
+def test_merged_ids_are_the_same_text_in_fewer(spark):
+    """Merged pairs stand for the ids of the public vocabulary, in texts of whatever pieces; all ids together have the probability 1."""
+    texts = ["Enchung stver der enchung enchungst", "der", "", None, "stverst der \u00dcchung  enchung\tder 1,000 enchung", "qqqqqq qqqqqq qqq"]
+    words = attention_lm.normal(" ".join(t or "" for t in texts)).split()
+    vocabulary, rounds = attention_lm.Vocabulary(attention_lm.default_ranks()), 4
+    vocabulary.merge(words, np.ones(len(words)), 40, rounds)
+    assert 0 < vocabulary.n_merges <= 40 and len(vocabulary.merges) <= rounds
+    pairs = dict(enumerate([p for table in vocabulary.merges for p in table.tolist()], vocabulary.pad + 1))
+    whole = lambda i: [*whole(pairs[i] >> 16), *whole(pairs[i] & 65535)] if i in pairs else [i]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").select("doc", F.col("doc").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("training"))
+    head = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0)))
+    got = {r.doc: np.frombuffer(r.ids, "<u2").tolist() for r in attention_lm.encoded(rows, spark.sparkContext.broadcast(vocabulary), -8, head).collect()}
+    encode = vocabulary.encoder()
+    assert {i: [k for x in ids for k in whole(x)] for i, ids in got.items()} == {i: encode(attention_lm.normal(t)) for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) < sum(len(encode(attention_lm.normal(t))) for t in texts)
+    counts = np.bincount(sum(got.values(), []), minlength=attention_lm.PAD + 1).astype(float)
+    counts[vocabulary.end] = len(texts)
+    m = attention_lm.start([np.array(x, np.int64) for x in got.values()], counts, vocabulary.end, passes=1, more=vocabulary.n_merges)
+    every = m.compact[[i for i in range(vocabulary.pad + 1 + vocabulary.n_merges) if i != vocabulary.pad]]
+    h = attention_lm.forward(m, m.compact[next(attention_lm.windows(np.array(got[0]), vocabulary.end, None))[0][:1]])[-1][:1]
+    p = np.exp(m.log_p(np.repeat(h, len(every), 0), every).astype(float) - np.where(every == m.other, m.log_others, 0))
+    assert abs(p.sum() - 1) < 1e-3
+    nothing = attention_lm.Vocabulary(attention_lm.default_ranks())
+    nothing.merge([], np.zeros(0))
+    assert nothing.n_merges == 0
+
+
+def test_merges_go_by_the_counts_of_all_training_texts():
+    words = ["gamma", "alpha", "\u00e9t\u00e9", "beta"]
+    data = np.frombuffer(" ".join(sorted(words)).encode(), np.uint8)
+    h = common.hash_runs(data, *common.runs(data, np.array([0, len(data)]), common.NOT_SPACE))[:3]  # all but the last in the head
+    order = np.argsort(h)
+    got = attention_lm._head_words(["Beta \u00e9t\u00e9", "", "alpha  ALPHA", "gamma delta"], h[order], np.array([7, 8, 9])[order])
+    assert dict(zip(got[0], got[1].tolist(), strict=True)) == dict(zip(sorted(words)[:3], [7, 8, 9], strict=True))
+    assert attention_lm._head_words([], h[order], np.array([7, 8, 9]))[0] == []
+
+
+def test_rows_of_an_id_are_added():
+    rng = np.random.default_rng(4)
+    for n, ids in ((0, 5), (1, 5), (3000, 7), (3000, 900)):
+        at, g = np.minimum(rng.zipf(1.5, n), ids) - 1, rng.normal(size=(n, 3))
+        plain = np.zeros((ids, 3))
+        np.add.at(plain, at, g)
+        rows, sums = attention_lm._by_id(at, g, ids)
+        assert (rows == np.unique(at)).all() and np.allclose(sums, plain[rows])
+
+
 def test_attention_beats_the_base_held_out(spark):
     got = catalogue.QUERIES["op8_attention_lm"](spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert got.s > got.b and got.s / got.n > -4.05
