@@ -1,9 +1,9 @@
 """Boosted trees over binned features, with nulls, categories and exact contributions.
 
 A feature is a number from 0 below its number of bins: numbers by quantiles of the training rows, categories by their names. What is
-missing (null, NaN, a name that wasn't seen) has a bin of its own, and each split learns to which side it goes. A level of a tree is
-one pass: every task sums gradients over its rows into histograms, Spark adds them up by (node, feature, bin), and the driver, which sees
-no rows but at most nodes x features x bins sums, chooses the splits.
+missing (null, NaN, a name that wasn't seen) has a bin of its own, and each split learns to which side it goes. Training rows of equal
+bins and label are one row with a weight. A level of a tree is one pass: every task sums gradients over its rows into histograms, Spark
+adds them up by (node, feature, bin), and the driver, which sees no rows but at most nodes x features x bins sums, chooses the splits.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
@@ -72,6 +73,13 @@ class Tree:
         return sum(self.value[i] * self.cover[i] for i in leaves) / max(self.cover[0], 1e-300) if self.cover[0] else self.value[0]
 
 
+def _sum_of(trees: list[Tree], codes: np.ndarray, bins: int) -> np.ndarray:
+    total = np.zeros(len(codes))
+    for t in trees:
+        total += np.array(t.value)[t.place(codes, bins)]
+    return total
+
+
 @dataclass
 class BoostedTrees:
     """A model: log odds `base` plus the trees' values. edges: upper bounds of a number's bins; names: those of a category's."""
@@ -101,11 +109,8 @@ class BoostedTrees:
         """Log odds of rows of bins."""
         return self.base + self.sum_of_trees(codes)
 
-    def sum_of_trees(self, codes: np.ndarray, first: int = 0) -> np.ndarray:
-        total = np.zeros(len(codes))
-        for t in self.trees[first:]:
-            total += np.array(t.value)[t.place(codes, self.bins)]
-        return total
+    def sum_of_trees(self, codes: np.ndarray) -> np.ndarray:
+        return _sum_of(self.trees, codes, self.bins)
 
     def expected(self) -> float:
         """The margin over the training rows; contributions add to it."""
@@ -163,34 +168,35 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, categories: np.ndarr
     (feature, bin), the last bin for what is missing. Numbers are split between neighbouring bins, categories, in the order of their
     gradients over their weights, between neighbours in that order; what is missing goes to either side. Ties: the first feature, then
     the first split, then missing to the right, and where nothing is missing, to the side with more rows."""
-    score = lambda a, b: a * a / (b + l2) if b + l2 > 0 else 0.0
-    best, total = None, (g[0].sum(), h[0].sum(), n[0].sum())
+    score = lambda x: np.where(x[..., 1] + l2 > 0, x[..., 0] * x[..., 0] / np.maximum(x[..., 1] + l2, 1e-300), 0.0)
+    best, total = None, np.array([g[0].sum(), h[0].sum(), n[0].sum()])
     for f in range(len(g)):
         order = np.arange(g.shape[1] - 1)
         if categories[f]:
             order = order[n[f, order] > 0]
             order = order[np.argsort(g[f, order] / np.maximum(h[f, order] + l2, 1e-12), kind="stable")]
         at = np.cumsum(np.stack([g[f, order], h[f, order], n[f, order]]), axis=1)
-        missing = (g[f, -1], h[f, -1], n[f, -1])
-        for k in range(at.shape[1] - 1 if missing[2] == 0 else at.shape[1]):
-            for to_left in (False, True) if missing[2] else (None,):
-                side = at[:, k] + np.array(missing) * bool(to_left)
-                other = np.array(total) - side
-                if min(side[2], other[2]) < max(least_rows, 1):
-                    continue
-                gain = score(side[0], side[1]) + score(other[0], other[1]) - score(total[0], total[1])
-                if gain > 1e-9 and (best is None or gain > best[0] * (1 + 1e-9)):  # sums come in any order
-                    goes = np.zeros(g.shape[1], bool)
-                    goes[order[: k + 1]] = True
-                    goes[-1] = side[2] > other[2] if to_left is None else to_left
-                    best = (float(gain), f, goes)
+        missing = np.array([g[f, -1], h[f, -1], n[f, -1]])
+        ways = np.array([False, True] if missing[2] else [False])
+        side = at[:, : at.shape[1] if missing[2] else max(at.shape[1] - 1, 0)].T[:, None] + missing * ways[:, None]  # [split, way, sum]
+        other = total - side
+        gain = score(side) + score(other) - score(total)
+        gain = np.where((np.minimum(side[..., 2], other[..., 2]) >= max(least_rows, 1)) & (gain > 1e-9), gain, -np.inf).ravel()
+        k = -1
+        while len(more := np.flatnonzero(gain[k + 1 :] > (best[0] * (1 + 1e-9) if best else -np.inf))):  # sums come in any order
+            k += 1 + int(more[0])
+            split, way = divmod(k, len(ways))
+            goes = np.zeros(g.shape[1], bool)
+            goes[order[: split + 1]] = True
+            goes[-1] = ways[way] if missing[2] else side[split, way, 2] > other[split, way, 2]
+            best = (float(gain[k]), f, goes)
     return best
 
 
 def fit(rows: DataFrame, columns: list[str], label: str, categorical: list[str] = [], held: str | None = None, iterations: int = 40, depth: int = 3, bins: int = 63, rate: float = 0.2, l2: float = 1.0, least_rows: int = 5, patience: int = 5) -> BoostedTrees:  # noqa: B006
     """Trees for the log odds of a 0/1 label. held: a boolean column; its rows aren't learned from, and when their loss hasn't fallen
     for `patience` trees, the trees after the best one go. Rows with a null label take no part; without rows of both labels the model
-    has no trees. Margins are written anew every eight trees, so that a pass looks at eight trees at most."""
+    has no trees. Margins are made anew every eight trees, so that a pass looks at eight trees at most."""
     rows = rows.where(F.col(label).isNotNull()).withColumn("_held", F.coalesce(F.col(held), F.lit(False)) if held else F.lit(False))
     train = rows.where("not _held")
     model = bounds(train, columns, categorical, bins)
@@ -205,54 +211,60 @@ def fit(rows: DataFrame, columns: list[str], label: str, categorical: list[str]
         for b in batches:
             codes = model.codes(b.columns[2:])
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(max(width, 1)), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed.cast(pa.binary()), pa.array(np.full(len(codes), model.base))], ["y", "held", "codes", "margin"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed.cast(pa.binary())], ["y", "held", "codes"])
+
+    equal = rows.select(F.col(label).cast("double"), "_held", *_inputs(model)).mapInArrow(encode, "y double, held boolean, codes binary").groupBy("y", "held", "codes").agg(F.count("*").alias("n"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                parts = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_numpy().astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*(x.tobytes() for x in parts), b"".join(b.column(2).to_pylist()))], ["y", "held", "n", "codes"])
 
-    binned = checkpointed(rows.select(F.col(label).cast("double"), "_held", *_inputs(model)).mapInArrow(encode, "y double, held boolean, codes binary, margin double"))
+    base = model.base
 
-    def opened(b: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, width)
-        margin = b.column(3).to_numpy() + model.sum_of_trees(codes, first)
-        return b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), codes, margin
+    def opened(r) -> tuple[np.ndarray, ...]:
+        y = np.frombuffer(r.y)
+        return y, np.frombuffer(r.held, bool), np.frombuffer(r.codes, np.uint8).reshape(len(y), -1), np.frombuffer(r.n), np.full(len(y), base)
 
-    def sums_of(tree: Tree, nodes: list[int], first: int) -> tuple[np.ndarray, float]:
+    # blocks of rows: bins stay where they are read, and a pass is one job without a plan of its own
+    blocks = checkpointed(equal.mapInArrow(packed, "y binary, held binary, n binary, codes binary")).rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    depth_of_sums = 1 if blocks.getNumPartitions() <= 32 else 2  # the driver adds up those of so many tasks itself
+
+    def sums_of(tree: Tree, nodes: list[int], recent: list[Tree]) -> tuple[np.ndarray, float]:
         """Histograms [sum, node, feature, bin] of the open nodes, and the held rows' loss."""
-        number = {n: i for i, n in enumerate(nodes)}
-        size = width * (bins + 1)
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, loss = np.zeros((3, len(nodes) * size)), 0.0
-            for b in batches:
-                y, held_, codes, margin = opened(b, first)
-                loss += np.logaddexp(0, -(2 * y - 1) * margin)[held_].sum()
+        number = np.array([nodes.index(i) if i in nodes else -1 for i in range(len(tree.feature))])
+        size, count = width * (bins + 1), len(nodes)
+
+        def work(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[np.ndarray]:
+            total, loss = np.zeros((3, count * size)), 0.0
+            for y, held_, codes, weight, margin in blocks:
+                margin = margin + _sum_of(recent, codes, bins)
+                loss += (weight * np.logaddexp(0, -(2 * y - 1) * margin))[held_].sum()
                 p = 1 / (1 + np.exp(-margin))
-                node = np.array([number.get(i, -1) for i in range(len(tree.feature))])[tree.place(codes, bins)]
+                node = number[tree.place(codes, bins)]
                 own = np.flatnonzero((node >= 0) & ~held_)
                 at = (node[own, None] * size + np.arange(width) * (bins + 1) + codes[own]).ravel()
-                for k, x in enumerate((p - y, p * (1 - p), np.ones(len(y)))):
-                    total[k] += np.bincount(at, np.repeat(x[own], width), len(nodes) * size)
-            some = np.flatnonzero(total[2])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.append(some, -1), np.append(total[0, some], loss), np.append(total[1, some], 0.0), np.append(total[2, some], 0.0))], ["at", "g", "h", "n"])
-
-        got = binned.mapInArrow(work, "at long, g double, h double, n double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()  # nodes * size
-        at = got.column("at").to_numpy()
-        out = np.zeros((3, len(nodes) * size))
-        for k, c in enumerate("ghn"):
-            out[k, at[at >= 0]] = got.column(c).to_numpy()[at >= 0]
-        return out.reshape(3, len(nodes), width, bins + 1), float(got.column("g").to_numpy()[at < 0].sum())
+                for k, x in enumerate((weight * (p - y), weight * p * (1 - p), weight)):
+                    total[k] += np.bincount(at, np.repeat(x[own], width), count * size)
+            yield np.append(total, loss)
+
+        got = blocks.mapPartitions(work).treeReduce(np.add, depth_of_sums)  # nodes * size, three times
+        return got[:-1].reshape(3, count, width, bins + 1), float(got[-1])
+
+    def moved(recent: list[Tree]):
+        return lambda x: (*x[:4], x[4] + _sum_of(recent, x[2], bins))
 
     best_loss, best_trees, first, gains = np.inf, 0, 0, []
     while len(model.trees) < iterations and width:
         if len(model.trees) - first == 8:
-            start, first = first, len(model.trees)
-
-            def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(opened(b, start)[3])], ["y", "held", "codes", "margin"])
-
-            binned = checkpointed(binned.mapInArrow(moved, binned.schema))
+            earlier, blocks = blocks, blocks.map(moved(model.trees[first:])).persist(StorageLevel.MEMORY_AND_DISK)
+            blocks.count()
+            earlier.unpersist()
+            first = len(model.trees)
         tree, open_, gained = Tree(), [0], np.zeros(width)
         for level in range(depth):
-            (g, h, n), loss = sums_of(tree, open_, first)
+            (g, h, n), loss = sums_of(tree, open_, model.trees[first:])
             if level == 0:
                 if held and loss < best_loss - 1e-9:
                     best_loss, best_trees = loss, len(model.trees)
@@ -274,6 +286,7 @@ def fit(rows: DataFrame, columns: list[str], label: str, categorical: list[str]
             break
         model.trees.append(tree)
         gains.append(gained)
+    blocks.unpersist()
     # the loss with a tree is known when the next one is begun
     if held and best_trees < len(model.trees) - 1:
         model.trees = model.trees[:best_trees]

@@ -77,14 +77,19 @@ def cost_curve(scored: DataFrame, score: str, label: str, saving: str, threshold
     return out.select("threshold", "flagged", "caught", "saved", (F.col("caught") / F.greatest("flagged", F.lit(1))).alias("precision"), (F.col("caught") / F.greatest("positives", F.lit(1))).alias("recall"))
 
 
-def train_risk(features: DataFrame, columns: list[str], label: str, categorical: list[str] = [], iterations: int = 40, depth: int = 3):  # noqa: B006
+#: Trees of a training at most, and after how many without a gain on the held rows it ends: the original's 3,000 and 150 at its rate of
+#: 0.03 go as far as these at the rate of 0.2 here.
+TREES, PATIENCE = 450, 23
+
+
+def train_risk(features: DataFrame, columns: list[str], label: str, categorical: list[str] = [], iterations: int = TREES, depth: int = 3, patience: int = PATIENCE):  # noqa: B006
     """Boosted trees over numbers and categories, which learn where a missing value goes and stop growing when the rows whose split is
-    valid gain no more, and an isotonic calibration of their scores on those rows. features: with `split`. Returns (trees,
-    calibration model)."""
+    valid gain no more for `patience` trees, and an isotonic calibration of their scores on those rows. features: with `split`. Returns
+    (trees, calibration model)."""
     from pyspark.ml.regression import IsotonicRegression
 
     ready = features.where("split in ('train', 'valid')").withColumn("_valid", F.col("split") == "valid")
-    model = boosting.fit(ready, columns, label, categorical, held="_valid", iterations=iterations, depth=depth)
+    model = boosting.fit(ready, columns, label, categorical, held="_valid", iterations=iterations, depth=depth, patience=patience)
     valid = _probability(ready.where("_valid"), model).select("_s", F.col(label).cast("double").alias("_y")).where("_y is not null")
     return model, IsotonicRegression(labelCol="_y", featuresCol="_s").fit(valid)
 

@@ -240,7 +240,7 @@ def risk_scores_trained(spark: SparkSession, sf: str) -> DataFrame:
     f = features(spark, sf).select("vin", "as_of", *[F.col(c).cast("double").alias(c) for c in columns])
     labelled = learning.first_in_horizon(f, events, "vin", "as_of", "ts").withColumn("split", learning.split_of(F.col("vin"), F.col("as_of") < F.lit("2024-01-16").cast("date")))
     learned = checkpointed(labelled.where("split is not null").select("vin", "as_of", *columns, "label", "split"))  # each pass of the training reads it
-    models = learning.train_risk(learned, columns, "label", iterations=5)
+    models = learning.train_risk(learned, columns, "label")
     return learning.score_risk(f.where("as_of = date'2024-01-30'"), models).select("vin", "as_of", "p")
 
 

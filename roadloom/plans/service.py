@@ -281,7 +281,7 @@ def _scoring_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     labelled = checkpointed(_labelled_frame(spark, sf))
     columns = [c for c in labelled.columns if c not in ("vin", "asof", "label", "component", "split")]
     costs = spark.createDataFrame([(f"part{i}", 900.0 + 100 * i, 300.0) for i in range(3)], "component string, breakdown_cost double, repair_cost double")
-    return scoring.scoring_run(labelled, "label", columns, ["powertrain"], costs, "2024-01-30", 0.5, "v1", iterations=8)
+    return scoring.scoring_run(labelled, "label", columns, ["powertrain"], costs, "2024-01-30", 0.5, "v1")
 
 
 @query()
@@ -302,5 +302,5 @@ def feature_gains(spark: SparkSession, sf: str) -> DataFrame:
     """The features that the trees of risk split by, by what their splits gain."""
     labelled = _labelled_frame(spark, sf).where("split in ('train', 'valid')").withColumn("held", F.col("split") == "valid")
     columns = [c for c in labelled.columns if c not in ("vin", "asof", "label", "component", "split", "held")]
-    ranking = boosting.gain_ranking(boosting.fit(labelled, columns, "label", ["powertrain"], held="held", iterations=4))
+    ranking = boosting.gain_ranking(boosting.fit(labelled, columns, "label", ["powertrain"], held="held", iterations=learning.TREES, patience=learning.PATIENCE))
     return spark.createDataFrame([(i + 1, c, round(g, 4)) for i, (c, g) in enumerate(ranking)], "rank int, feature string, gain double")

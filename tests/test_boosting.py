@@ -125,6 +125,30 @@ def test_training_rows_are_made_once(spark, sf, monkeypatch):
     assert plans.risk_scores_trained(spark, sf).count() and read and not any("events" in f for f in read)
 
 
+def test_held_rows_end_the_training(spark, sf, monkeypatch):
+    """The queries' trainings go on until the held rows gain no more, or as far as the original's would, not for a handful of trees."""
+    from roadloom.operators import learning
+    from roadloom.plans import learning as plans
+    from roadloom.plans import service
+
+    asked = []
+    fit = boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda *a, **k: asked.append((k["iterations"], k["patience"])) or fit(*a, **{**k, "iterations": 1}))
+    for q in (plans.risk_scores_trained, service.scoring_run_scores, service.feature_gains):
+        q(spark, sf)
+    assert asked == [(450, 23)] * 3
+
+
+def test_equal_rows_are_one_row_with_a_weight(spark, vehicles):
+    """Three copies of each row, with three times the bounds, give the trees of the rows alone."""
+    thrice = vehicles.crossJoin(spark.range(3).select(F.lit(1)))
+    one = boosting.fit(vehicles, COLUMNS, "y", ["maker"], held="held", iterations=3)
+    three = boosting.fit(thrice, COLUMNS, "y", ["maker"], held="held", iterations=3, l2=3.0, least_rows=15)
+    assert one.edges == three.edges and [t.feature for t in one.trees] == [t.feature for t in three.trees] and [t.goes_left for t in one.trees] == [t.goes_left for t in three.trees]
+    for a, b in zip(one.trees, three.trees, strict=True):
+        assert np.allclose(a.value, b.value) and np.allclose(np.array(a.cover) * 3, b.cover)
+
+
 def test_group_of_a_key(spark):
     """The hash as a number, for groups that divide a power of 16 and others, and null for null."""
     import hashlib
