@@ -606,6 +606,15 @@ def test_merges_go_by_the_counts_of_all_training_texts():
     assert attention_lm._head_words([], h[order], np.array([7, 8, 9]))[0] == []
 
 
+def test_merges_are_learned_from_the_words_of_all_training_texts(spark, monkeypatch):
+    """However small the start's sample is, each frequent word of every training text counts, and none of the other texts."""
+    rows = [(i, f"word{'abcdefghij'[i % 10]}{'abcd'[i // 10]} Common word{'abcdefghij'[i % 10]}{'abcd'[i // 10]}") for i in range(40)] + [(40, None), (41, "heldout heldout")]
+    docs, merged = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), []
+    monkeypatch.setattr(attention_lm.Vocabulary, "merge", lambda self, words, counts: merged.append(dict(zip(words, counts.tolist(), strict=True))))
+    attention_lm.score_texts(docs, F.col("doc_id") < 41, attention_lm.default_ranks(), sample_texts=1)
+    assert merged == [{"common": 40.0, **{f"word{a}{b}": 2.0 for a in "abcdefghij" for b in "abcd"}}]
+
+
 def test_rows_of_an_id_are_added():
     rng = np.random.default_rng(4)
     for n, ids in ((0, 5), (1, 5), (3000, 7), (3000, 900)):
